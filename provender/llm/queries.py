@@ -6,14 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op10_embeddings
+from .fingerprints import op9_fingerprints
+from .jaccard import op4_jaccard
 from .lines import OP2_SQL, op2_lines
 from .packing import op5_packing
 from .quality import op1_quality
+from .sharding import op6_sharding
+from .substrings import op8_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lines": op2_lines,
+    "op4_jaccard": op4_jaccard,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
+    "op8_substrings": op8_substrings,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLE: dict[str, str] = {"op2_lines": OP2_SQL}
