@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender import prepare
-from provender.llm import quality
+from provender.llm import jaccard, lines, mixing, packing, quality
 from provender.llm.common import settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -18,17 +18,40 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.classify(docs, model).where("score >= 0.7").select(*COLUMNS)
 
 
-STAGES = [("quality", keep_good)]
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate in their source."""
+    return lines.drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that similar texts link, the one with the smallest doc_id; all others stay."""
+    classes = jaccard.jaccard_classes(docs)
+    gone = settled(classes.where("doc_id <> component_id").select("doc_id"), "gone")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least, and those of rarer sources over again as their weights ask."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece of each row."""
+    cuts = packing.pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(settled(cuts, "pieces"))
+
+
+STAGES = [("quality", keep_good), ("lines", drop_lines), ("near_duplicates", one_of_each), ("mixing", mixed), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in turn to documents; each stage's rows are written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(prepare(spark), sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         docs = docs if i == len(STAGES) - 1 else settled(docs, name)
     return docs
 
 
-#: Stages 1 and 5 can't be put in SQL; tests hold the stages against brute force.
+#: The classifier and the tokenizer can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op10_embeddings
 from .fingerprints import op9_fingerprints
+from .html import op3_html
 from .jaccard import op4_jaccard
 from .lines import OP2_SQL, op2_lines
+from .mixing import op7_mixing
 from .packing import op5_packing
 from .quality import op1_quality
 from .sharding import op6_sharding
@@ -18,9 +20,11 @@ from .substrings import op8_substrings
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_lines": op2_lines,
+    "op3_html": op3_html,
     "op4_jaccard": op4_jaccard,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_mixing": op7_mixing,
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_embeddings": op10_embeddings,
