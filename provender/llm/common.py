@@ -106,6 +106,32 @@ def windows(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as join what the links a-b join."""
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(names))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            own = label != np.arange(len(names))
+            return names[own], names[label[own]]
+        label = new
+
+
+def among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are among sorted_keys."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), bool)
+    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
+
+
 def rows_per(n: int, each: int, least: int = 128) -> int:
     """Into how many blocks n rows go, each rows a block."""
     return max(least, -(-n // each))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, settled, table
+from .common import components, forest, settled, table
 
 TABLES, PROBES, SCALE, SEED = 6, 3, 1.6, 20
 
@@ -100,25 +100,6 @@ def first_met(a: np.ndarray, b: np.ndarray, table: np.ndarray, cell: np.ndarray)
     return (first == table) & (least == cell)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few links as join what the links a-b join."""
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = place[: len(a)], place[len(a) :]
-    label = np.arange(len(names))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            own = label != np.arange(len(names))
-            return names[own], names[label[own]]
-        label = new
-
-
 def links(classes: DataFrame, threshold: float, tables: int, probes: int, scale: float, chunk: int = 512) -> DataFrame:
     """(id, other, n): links found among distinct vectors. Rows with other null give how many
     vectors (n) id is linked with; rows with other join the components.

@@ -3,9 +3,9 @@
 A document is the set of its distinct five-word shingles. Under one order of all shingles, two sets
 of similarity t or more share a shingle among the first |x| - ceil(t |x|) + 1 of each: its prefix.
 Rare shingles come first in the order, so prefixes seldom hold what many documents share.
-Documents with the same prefix and size form one group; groups that share a prefix shingle are
-filtered by size and by what is left after their first common shingle, then expanded, and their
-members verified by exact set sizes. Two groups known to hang together aren't compared again.
+Documents with the same prefix and size form one group. Groups that share a prefix shingle gather
+in families around the one most like all; group pairs are filtered by size and by what is known to
+hang together already, then expanded, and their members verified by exact set sizes.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, settled, table, windows
+from .common import WordHashes, among, components, forest, settled, table, windows
 
 WORDS, PERCENT = 5, 80
 #: The share of a document's shingles, those with the smallest hashes, whose frequency is counted.
@@ -102,6 +102,73 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int = 256) -> DataFrame:
+    """Links (a, b) that join different components among members (doc_id, n, c: component, f: family).
+
+    tokens (token, f) says which families meet. A family is compared with itself if it has several
+    components, and with each family it meets, in chunks against chunks, all within tasks: pairs
+    are never rows. Of one family, what is in its head's component isn't compared with its like.
+    """
+    head = members.where("doc_id = f").select("f", F.col("c").alias("main"))
+    role = settled(members.join(head, "f", "left").withColumn("rest", ~F.coalesce(F.col("c") == F.col("main"), F.lit(False))).drop("main"), "role")
+    per = role.groupBy("f").agg(F.count("*").alias("k"), F.count_if("rest").alias("u"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("small"), F.max("n").alias("large"))
+    per = settled(per, "families")
+    one, two = (per.select(*(F.col(c).alias(c + s) for c in per.columns)) for s in "12")
+    t1, t2 = (tokens.select("token", F.col("f").alias("f" + s)) for s in "12")
+    met = t1.join(t2, "token").where("f1 < f2").select("f1", "f2").distinct().join(one, "f1").join(two, "f2")
+    met = met.where("not (low1 = high1 and low2 = high2 and low1 = low2)").where(f"100 * large1 >= {PERCENT} * small2 and 100 * large2 >= {PERCENT} * small1")
+    met = settled(met.select("f1", "f2", *(F.expr(f"cast(ceil(k{s} / {chunk}) as int)").alias("n" + s) for s in "12")), "families_met")
+
+    hashed = "cast(pmod(xxhash64(doc_id), {}) as int)"
+    unit = ["f1", "f2", "i", "j"]
+    sides = []
+    for own, other in ("12", "21"):
+        side = role.join(met, role["f"] == met["f" + own]).withColumn("i" if own == "1" else "j", F.expr(hashed.format("n" + own)))
+        side = side.withColumn("j" if own == "1" else "i", F.explode(F.sequence(F.lit(0), F.col("n" + other) - 1)))
+        sides.append(side.select(*unit, F.lit(own == "2").alias("right"), "doc_id", "n", "c"))
+    mixed = per.where("low <> high and u > 0").select(F.col("f"), F.expr(f"cast(ceil((k - u) / {chunk}) as int)").alias("m"), F.expr(f"cast(ceil(u / {chunk}) as int)").alias("r"))
+    inside = role.join(settled(mixed, "mixed"), "f").withColumn("x", F.when(F.col("rest"), F.col("m") + F.expr(hashed.format("r"))).otherwise(F.expr(hashed.format("greatest(m, 1)"))))
+    inside = inside.withColumn("y", F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("m")), F.col("m") + F.col("r") - 1)))
+    sides.append(inside.select(F.col("f").alias("f1"), F.col("f").alias("f2"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("right"), "doc_id", "n", "c"))
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    parts = max(128, role.count() // 100)
+    rows = rows.join(texts, "doc_id").withColumn("part", F.expr(f"cast(pmod(xxhash64(f1, f2, i, j), {parts}) as int)"))
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, sets, out_a, out_b = WordHashes(), {}, [], []
+        ids, n, c, right, text = (pdf[x].to_numpy() for x in ("doc_id", "n", "c", "right", "text"))
+        for k, at in pdf.groupby(unit).indices.items():
+            left, other = (at, at) if k[0] == k[1] and k[2] == k[3] else (at[~right[at]], at[right[at]])
+            near = (100 * np.minimum.outer(n[left], n[other]) >= PERCENT * np.maximum.outer(n[left], n[other])) & (c[left][:, None] != c[other][None, :])
+            if not near.any():
+                continue
+            for i in at:
+                if ids[i] not in sets:
+                    sets[ids[i]] = shingles(text[i].encode(), hashes)
+            common = overlaps([sets[ids[i]] for i in left], [sets[ids[i]] for i in other])
+            x, y = np.nonzero(near & (100 * common >= PERCENT * (n[left][:, None] + n[other][None, :] - common)))
+            if len(x):
+                a, b = forest(ids[left[x]], ids[other[y]])
+                out_a.append(a)
+                out_b.append(b)
+        return pd.DataFrame({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+
+    return rows.groupBy("part").applyInPandas(compared, "a long, b long")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of a and each set of b have in common."""
+    if len(a) * len(b) <= 8:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a], np.int64).reshape(len(a), len(b))
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for i in range(0, len(shared), 1 << 14):
+        part = shared[i : i + (1 << 14)]
+        x, y = (np.array([among(s, part) for s in sets], np.float32) for sets in (a, b))
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
@@ -124,35 +191,25 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # of the copies of a set, the representative alone is compared
     reps = settled(in_group.join(copies.select(F.col("rep").alias("doc_id")), "doc_id"), "reps")
 
-    posted = groups.select("g", "n", "skip", F.posexplode("prefix").alias("at", "token")).withColumn("at", F.col("at") + F.col("skip")).drop("skip")
-    index = posted.join(settled(posted.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "met").drop("c"), "token")
-    index = settled(index, "index")
+    # Each token that several groups have leads to the one of them with the least share of shingles
+    # of its own: of many edited copies, most likely the text they were made from.
+    posted = groups.select("g", "n", (F.col("skip") / F.col("n")).alias("own"), F.explode("prefix").alias("token"))
+    heads = posted.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("own", "g")).alias("head")).where("c > 1").drop("c")
+    index = settled(posted.drop("own").join(settled(heads, "heads"), "token"), "index")
+    family = settled(index.groupBy("g").agg(F.min("head").alias("head")).select("g", F.col("head.g").alias("f")), "family")
 
-    # First, links within groups, and from each group to the first group under one of its tokens.
+    # First, links of a group's members to its first one, and of that to the head of its family.
     texts = settled(docs.join(reps.select("doc_id").distinct(), "doc_id"), "texts")
-    first = settled(index.groupBy("token").agg(F.min("g").alias("b")), "first")
-    size = groups.select(F.col("g").alias("b"), F.col("n").alias("m"))
-    star = index.select("token", "g", "n").join(first, "token").where("g <> b").select("g", "n", "b").distinct().join(size, "b").where(fits("n", "m"))
-    star = star.groupBy("g").agg(F.min("b").alias("b")).select(F.col("g").alias("a"), "b")
+    star = family.where("g <> f").select(F.col("g").alias("a"), F.col("f").alias("b"))
     inner = reps.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b"))
     edges = settled(verified(inner.union(star), texts), "star")
-    known = components(edges)
-
-    # Then whatever may still join two components: members one by one.
-    comp = settled(reps.join(known.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "g", F.coalesce("component", "doc_id").alias("c")), "comp")
-    span = comp.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    spread = index.join(span, "g")
-    mixed = settled(spread.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("token"), "mixed")
-    open_ = settled(spread.join(mixed, "token"), "open")
-    left, right = (open_.select("token", *(F.col(c).alias(c + s) for c in ("g", "n", "at", "low", "high"))) for s in "12")
-    met = left.join(right, "token").where("g1 < g2 and not (low1 = high1 and low2 = high2 and low1 = low2)").where(fits("n1", "n2"))
-    met = met.groupBy("g1", "g2", "n1", "n2").agg(F.min("at1").alias("at1"), F.min("at2").alias("at2"))
-    # no more than what follows the first common token can be common
-    met = met.where(f"least(n1 - at1, n2 - at2) * {100 + PERCENT} >= {PERCENT} * (n1 + n2)").select("g1", "g2")
-    met = settled(met.union(comp.select(F.col("g").alias("g1"), F.col("g").alias("g2")).distinct().join(span.where("low <> high").select(F.col("g").alias("g1")), "g1")), "met")
-    one, two = (comp.select(*(F.col(c).alias(c + s) for c in ("doc_id", "g", "c"))) for s in "12")
-    pairs = met.join(one, "g1").join(two, "g2").where("c1 <> c2").select(F.greatest("doc_id1", "doc_id2").alias("a"), F.least("doc_id1", "doc_id2").alias("b")).distinct()
-    more = settled(verified(pairs, texts), "more")
+
+    # Then whatever else could join two components, family by family.
+    known = components(edges).withColumnRenamed("id", "doc_id")
+    sizes = groups.select("g", "n")
+    members = reps.join(known, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).join(sizes, "g")
+    members = settled(members.join(family, "g", "left").select("doc_id", "n", "c", F.coalesce("f", "g").alias("f")), "members")
+    more = settled(between(members, index.join(family, "g").select("token", "f").distinct(), texts), "more")
     whole = components(settled(edges.union(more), "all"))
 
     named = sets.select("doc_id", "n", "sig")
@@ -162,10 +219,5 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return out.union(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def fits(n: str, m: str) -> Column:
-    """Sizes that similar sets can have."""
-    return F.expr(f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})")
-
-
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))

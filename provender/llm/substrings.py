@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, rows_per, table, windows
+from .common import WordHashes, among, rows_per, table, windows
 
 WIDTH = 13
 #: An id that is null counts as larger than all others.
@@ -57,12 +57,6 @@ class Block:
         self.key1, self.key2, self.doc = key1[self.at], key2[self.at], doc[self.at]
 
 
-def among(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(sorted_keys):
-        return np.zeros(len(keys), bool)
-    return sorted_keys[np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)] == keys
-
-
 def starts(*keys: np.ndarray) -> np.ndarray:
     """Which rows of sorted keys differ from the row before."""
     out = np.ones(len(keys[0]), bool)
