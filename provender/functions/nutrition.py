@@ -158,13 +158,18 @@ def label_nutrition(text: Column) -> Column:
     serving = r"(?U)每一份量\s*(\d+(?:\.\d+)?)\s*(毫升|公克)"
     size = F.when(text.rlike(serving), F.struct(number_of(F.regexp_extract(text, serving, 1)).alias("amount"), unit[F.regexp_extract(text, serving, 2)].alias("unit")))
     lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]")
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\A\s+", ""))
     amounts, bad = [], []
-    for label, name in names.items():
+
+    def one(label: str, name: str) -> None:
         pattern = rf"(?U)\A{label}\s*([0-9.]+)\s*(大卡|公克|毫克)"
-        found = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)\A\s+", "")), lambda x, p=pattern: x.rlike(p))
-        last = F.try_element_at(found, F.lit(-1))
+        found = F.filter(lines, lambda x: x.rlike(pattern))
+        last = F.get(found, F.size(found) - 1)
         amounts.append(F.when(last.isNotNull(), F.struct(F.regexp_extract(last, pattern, 1).try_cast("double").alias("value"), unit[F.regexp_extract(last, pattern, 2)].alias("unit"))).alias(name))
-        bad.append(F.exists(found, lambda x, p=pattern: F.regexp_extract(x, p, 1).try_cast("double").isNull()))
+        bad.append(F.exists(found, lambda x: F.regexp_extract(x, pattern, 1).try_cast("double").isNull()))
+
+    for label, name in names.items():
+        one(label, name)
     error = F.when(reduce(lambda a, b: a | b, bad), F.lit("invalid_numeral"))
     return F.struct(size.alias("serving"), F.struct(*amounts).alias("nutrition"), error.alias("error"))
 

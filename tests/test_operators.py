@@ -1,0 +1,322 @@
+"""Operators that go by order, joins, validation and whole plans, on fixture rows dealt at random."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from provender.functions.nutrition import NAMES
+from provender.operators import classify, joins, ordered, schema, validate
+from provender.plans import catalog, products, registry, traceability, websites
+from provender.sources import io
+from provender.streaming.jobs import apply_event, incoming_records, running_ledger
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
+
+
+def test_first_wins_and_ids(spark):
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(["A", "B", "A", "A", "B"])], "_pos long, k string")
+    for n in (1, 3):
+        assert rows(ordered.first_wins(df.repartition(n), F.col("k"))) == [(0, "A"), (1, "B")]
+        assert [r["id"] for r in ordered.occurrence_ids(df.repartition(n), F.col("k"), "id").orderBy("_pos").collect()] == ["A", "B", "A:duplicate-2", "A:duplicate-3", "B:duplicate-2"]
+
+
+def test_grouped(spark):
+    data = [(0, "12345678"), (1, ""), (2, " 12345678"), (3, "123"), (4, None)]
+    got = ordered.grouped(spark.createDataFrame(data, "_pos long, n string").repartition(4), F.col("n"))
+    assert [(r["key"], r["first_pos"], [x["_pos"] for x in r["records"]]) for r in got.orderBy("first_pos").collect()] == [("12345678", 0, [0, 2]), (None, 1, [1]), ("123", 3, [3]), (None, 4, [4])]
+
+
+def test_duplicates(spark):
+    df = spark.createDataFrame([(k,) for k in ["a", "a", "a", "b", "b", "c", "", ""]], "k string")
+    assert tuple(ordered.duplicates(df, F.col("k"), blank_counts=False).first()) == (2, 3, 5)
+    assert tuple(ordered.duplicates(df, F.col("k")).first()) == (3, 4, 7)
+
+
+def test_merge_brands(spark):
+    kind = "_pos long, name string, description string, products array<struct<name:string>>, external_links array<struct<name:string,url:string>>"
+    data = [(0, "A b", "", [("x",), ("X",), ("y",)], [("l", "u1")]), (1, "<i>ab</i>", "text", [("Y",), ("z",), ("z ",), ("",)], [("l", "u1"), ("m", "u2")]), (2, "c", "d", [], [])]
+    got = ordered.merge_brands(spark.createDataFrame(data, kind).repartition(3)).orderBy("_pos").collect()
+    assert [(r["name"], r["description"], [p["name"] for p in r["products"]], [x["url"] for x in r["external_links"]]) for r in got] == [("A b", "text", ["x", "X", "y", "z"], ["u1", "u2"]), ("c", "d", [], [])]
+    index = spark.createDataFrame([(0, "X", "/b-x", ""), (1, "Y", "/B-X", "tea")], "_pos long, name string, url string, category string")
+    assert rows(ordered.merge_index(index, F.lower("url"))) == [(0, "X", "/b-x", "tea")]
+
+
+def fold_decisions(results, most):
+    seen, out = set(), []
+    for rank, url, excluded, refused in results:
+        if len(seen) == most:
+            break
+        if excluded or url is None:
+            reason = excluded or "invalid_url"
+        elif url in seen:
+            reason = "duplicate_url"
+        elif refused:
+            reason = refused
+        else:
+            seen.add(url)
+            reason = "business_name_or_number_match"
+        out.append((rank, reason))
+    return out
+
+
+def test_decide(spark):
+    rng = random.Random(4)
+    data = [(b, r, rng.choice("uvwxyz"), rng.choice([None, None, "shut"]), rng.choice([None, "weak"])) for b in range(60) for r in range(rng.randrange(12))]
+    df = spark.createDataFrame(data, "business_id long, rank long, url string, excluded string, refused string").repartition(5)
+    got = {}
+    for r in ordered.decide(df, 2).orderBy("rank").collect():
+        assert (r["decision"] == "accepted") == (r["reason"] == "business_name_or_number_match")
+        got.setdefault(r["business_id"], []).append((r["rank"], r["reason"]))
+    want = {b: fold_decisions([x[1:] for x in data if x[0] == b], 2) for b in range(60)}
+    assert got == {b: w for b, w in want.items() if w}
+
+
+def ledger_events():
+    rng = random.Random(8)
+    return [(u, s, rng.choice(["add", "add", "update", "remove", "add", "clear"] if s % 9 == 0 else ["add", "update", "remove"]), rng.choice(["a", "b", "c", "d", " ", "null", None]), rng.choice([1.0, 5.0, 0.0, -1.0, float("nan"), None])) for u in range(40) for s in range(25)]
+
+
+def folded_ledger(events):
+    out = {}
+    for u, _, op, p, q in events:
+        apply_event(out.setdefault(u, {}), op, p, q)
+    return sorted((u, p, q, i) for u, b in out.items() for i, (p, q) in enumerate(b.items()))
+
+
+EVENTS = "user long, seq long, op string, product_id string, quantity double"
+
+
+def test_ledger(spark):
+    events = ledger_events()
+    got = ordered.ledger(spark.createDataFrame(events, EVENTS).repartition(6))
+    assert sorted(map(tuple, got.select("user", "product_id", "quantity", "ord").collect())) == folded_ledger(events)
+    known = spark.createDataFrame([("a",)], "id string")
+    assert {r["product_id"] for r in products.basket_state(spark.createDataFrame(events, EVENTS), known).collect()} == {"a"}
+
+
+def test_streams(spark, tmp_path):
+    events = ledger_events()
+    for i, part in enumerate((events[:500], events[500:])):  # users arrive in order
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = running_ledger(spark.readStream.schema(EVENTS).json(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("ledger_out").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(map(tuple, spark.table("ledger_out").collect())) == folded_ledger(events)
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.json").write_text(json.dumps(trace(0) | {"_pos": 3}, ensure_ascii=False) + "\n")
+    q = incoming_records(spark, str(tmp_path / "t")).writeStream.format("memory").queryName("trace_out").start()
+    q.processAllAvailable()
+    q.stop()
+    assert [(r["_pos"], r["classification"]) for r in spark.table("trace_out").collect()] == [(3, "complete_nutrition_and_ingredients")]
+
+
+def trace(i, **changes):
+    units = {"calories": "大卡", "sodium": "毫克"}
+    out = dict(zip(io.TRACE_FIELDS.values(), [f"公司{i}", f"品{i}", "10公克", f"T {i}", "5公克", "水、糖"]))
+    out |= {f: f"{k}{units.get(n, '公克')}" for k, (n, f) in enumerate(io.TRACE_NUTRIENTS.items())}
+    return out | changes
+
+
+SOURCE = {"id": "src", "name": "Source", "provider": "P", "dataset_url": "https://a.tw/d", "download_url": "https://a.tw/f", "fetched_at": "2026-11-01T00:00:00Z"}
+
+
+@pytest.fixture(scope="module")
+def candidates(spark, tmp_path_factory):
+    records = [trace(0), trace(1, 內容物標示="水,"), trace(0), trace(3, 每份鈉="少量"), trace(4, 內容物標示=" "), trace(5, 每一份量=7), trace(6, 產品追溯系統串接碼="茶"), trace(7) | {"每份糖": "-1公克"}]
+    path = tmp_path_factory.mktemp("in") / "records.json"
+    path.write_text("﻿" + json.dumps(records, ensure_ascii=False))
+    read = io.require_fields(io.read_array(spark, str(path)))
+    rows_, counts = traceability.classify_products(traceability.normalize(read))
+    stats = traceability.collection_stats(rows_).first()
+    assert (stats["records"], stats["complete_nutrition"], stats["empty_label"], stats["anomaly_items"]) == (8, 6, 0, 2)
+    assert rows(counts) == sorted([("complete_nutrition_and_ingredients", 5), ("complete_nutrition", 1), ("has_ingredients", 2), ("incomplete", 0)], key=repr)
+    return traceability.build_candidates(rows_, SOURCE).cache()
+
+
+def test_candidates(candidates):
+    got = {r["_pos"]: r for r in candidates.collect()}
+    assert [got[i]["candidateId"] for i in (0, 1, 2, 5)] == ["tfda-traceability:T-0", "tfda-traceability:T-1", "tfda-traceability:T-0:duplicate-2", "tfda-traceability:T-5"]
+    assert [i["name"] for i in got[0]["ingredients"]] == ["水", "糖"] and got[1]["ingredientsParseError"] == "trailing_ingredient_separator" and got[1]["ingredients"] == []
+    stats = traceability.candidate_stats(candidates, candidates).first()
+    assert (stats["selected"], stats["missing_serving"], stats["ingredient_parse_failures"], stats["duplicate_codes"], stats["duplicate_products"]) == (5, 1, 1, 1, 1)
+
+
+def test_promotion(spark, candidates):
+    records, by_issue, by_category, totals = traceability.promotion_analysis(candidates)
+    assert totals.first()["schema_ready"] == 5 and dict(rows(by_issue))["missing_brand"] == 5 and dict(rows(by_category)) == {"multiple_issues": 5} and totals.first()["complete_ready"] == 3
+    old = spark.createDataFrame([(0, "tfda-traceability:T-9", "T 9", '{"id":"tfda-traceability:T-9","name":"n"}')], "_pos long, id string, traceabilityCode string, j string").withColumn("product", F.try_parse_json("j")).drop("j")
+    counts, details = traceability.dry_run(candidates, old)
+    c = counts.first()
+    assert (c["candidates"], c["convertible"], c["converted"], c["schema_pass"], c["duplicate_code_values"], c["duplicate_code_records"], c["safe_imports"]) == (5, 3, 3, 3, 1, 2, 1)
+    assert rows(details) == [("duplicate_codes", "T 0")]
+    with pytest.raises(io.ContractError):
+        traceability.promote(candidates, old, 1)
+    fine = candidates.where("_pos in (0, 6)")
+    out = traceability.promote(fine, old, 2).orderBy("_pos").collect()
+    assert [r["id"] for r in out][:2] == ["tfda-traceability:T-9", "tfda-traceability:T-0"] and len(out) == 3
+    with pytest.raises(io.ContractError):
+        traceability.promote(fine, old, 3)
+    taken = old.withColumn("traceabilityCode", F.lit("T 0"))
+    assert traceability.dry_run(fine, taken)[0].first()["existing_code_conflicts"] == 1
+
+
+@pytest.mark.parametrize(
+    "product, error",
+    [
+        ('{"id":"a","name":"n"}', None), ('{"id":"a"}', "$ required:name"), ('{"id":" ","name":"n"}', "$.id pattern"), ('{"id":"a","name":"n","x":1}', "$ undefined:x"), ('{"id":"a","name":"n","serving":{"amount":true,"unit":"g"}}', "$.serving.amount type:number"),
+        ('{"id":"a","name":"n","sources":[{"id":"s","name":"n","url":"ftp://x/y"}]}', "$.sources[0].url pattern"), ('{"id":"a","name":"n","sources":[{"id":"s","name":"n","url":"https://x","verified_at":"2026-02-30"}]}', "$.sources[0].verified_at date"),
+        ('{"id":"a","name":"n","sources":{}}', "$.sources type:array"), ("[]", "$ type:object"), ('{"id":"a","name":"n","nutrition":{"fat":{"value":1.5,"unit":"g"}}}', None), ('{"id":"a","name":"n","brand":null}', "$.brand type:string"),
+    ],
+)
+def test_schema(spark, product, error):
+    df = spark.createDataFrame([(product,)], "j string").select(F.try_parse_json("j").alias("v"))
+    assert schema.schema_validate(df, "v", schema.product_schema()).first()["first_error"] == error
+
+
+def test_schema_reference():
+    with pytest.raises(ValueError):
+        schema.resolved({"$ref": "http://x"}, {})
+    with pytest.raises(ValueError):
+        schema.resolved({"$ref": "#/a"}, {"a": {"$ref": "#/a"}})
+
+
+def test_load_validate(spark):
+    source = '"sources":[{"id":"s","name":"n","url":"bad"},{"id":"s","name":"n","url":"https://x"},{"id":"t","name":"n","url":"https://x","verified_at":"2026-2-3"}],"nutritionSource":"t"'
+    data = ['{"id":" a ","name":"n","serving":{"amount":1,"unit":" g "}}', '{"id":"b"}', '{"id":"b","name":"n"}', '{"id":"NaN","name":"n"}', '{"id":"c","name":"n","brand":null,"barcode":"12a","nutrition":{"fat":{"value":1,"unit":" g"},"sugar":{"value":2,"unit":"g"}}}', "5", f'{{"id":"d","name":"n","barcode":"12",{source}}}']
+    df = spark.createDataFrame(list(enumerate(data)), "_pos long, j string").select("_pos", F.try_parse_json("j").alias("record"))
+    good, warnings = validate.load_validate(df.repartition(3))
+    got = {r["id"]: r for r in good.collect()}
+    assert set(got) == {"a", "c", "d"} and tuple(got["a"]["serving"]) == (1.0, "g") and got["c"]["barcode"] is None and got["c"]["nutrition"]["fat"] is None and got["c"]["nutrition"]["sugar"]["value"] == 2.0
+    assert [s["id"] for s in got["d"]["sources"]] == ["t"] and got["d"]["sources"][0]["verified_at"] is None and got["d"]["nutritionSource"] == "t"
+    said = {(r["_pos"], r["field"]) for r in warnings.collect()}
+    assert (4, "brand") in said and (0, "brand") not in said and (2, "id") in said and (5, "product") in said and (6, "sources[1]") in said and (6, "sources[2]") in said and (4, "nutrition.fat") in said
+
+
+def nutrition(**values):
+    return tuple((values.get(n), {"calories": "kcal", "sodium": "mg"}.get(n, "g")) for n in NAMES)
+
+
+PRODUCT = "_pos long, id string, name string, brand string, manufacturer string, barcode string, traceabilityCode string, nutrition " + "struct<" + ",".join(f"{n}:struct<value:double,unit:string>" for n in NAMES) + ">, sources array<struct<id:string,name:string,url:string,verified_at:string>>, nutritionSource string, ingredients array<struct<name:string,sourceId:string>>"
+
+
+@pytest.fixture(scope="module")
+def shop(spark):
+    src = [("s", "S", "https://x/", "2026-05-04"), ("t", "T", "ftp://x", None)]
+    return spark.createDataFrame([(0, "p", "統一布丁", "B", None, "4710088430922", None, nutrition(fat=0.7, sugar=1.0, calories=1600.0), src, "s", [("水", "s"), ("", "t"), ("糖", "t"), ("鹽", " s ")]), (1, "q", "茶", None, "M", None, "T1", nutrition(fat=1.0), [], None, None)], PRODUCT)
+
+
+def test_search(spark, shop):
+    queries = spark.createDataFrame([(1, " 布丁 "), (2, "471008"), (3, "   "), (4, "zz"), (5, "t")], "query_id long, text string")
+    hits, states = products.search(shop, queries)
+    assert rows(hits, "query_id", "id", "summary") == [(1, "p", "品牌：B · 條碼：4710088430922"), (2, "p", "品牌：B · 條碼：4710088430922"), (5, "q", "製造業者：M · 食品追溯碼：T1")]
+    assert rows(states, "query_id", "state") == [(1, "success"), (2, "success"), (3, "initial"), (4, "not-found"), (5, "success")]
+    assert rows(joins.search_batch(shop, queries, ["name", "barcode"], most=2), "query_id") == [(1,), (2,)]
+
+
+def test_facts(shop):
+    facts = {(r["id"], r["nutrient"]): r for r in products.product_facts(shop, F.to_date(F.lit("2026-11-01"))).collect()}
+    assert facts["p", "calories"]["pct"] == 80.0 and tuple(facts["p", "fat"]["freshness"]) == (181, True) and facts["p", "sugar"]["pct"] is None and facts["q", "fat"]["freshness"] is None and facts["q", "sugar"]["label"] == "目前尚無資料"
+    assert [[s["id"] for s in r["ingredient_sources"] or []] for r in products.sources_of_ingredients(shop).orderBy("_pos").collect()] == [["s"], []]
+
+
+def test_basket(spark, shop):
+    items = spark.createDataFrame([("u", 0, "p", 3.0), ("v", 0, "p", 1.0), ("v", 1, "q", 1.0), ("w", 0, "p", 1.0), ("w", 1, "?", 1.0), ("x", 0, "p", 0.0)], "user string, ord int, product_id string, quantity double")
+    got = {(r["user"], r["nutrient"]): r for r in products.basket_totals(items, shop).collect()}
+    assert {k: r["value"] for k, r in got.items()} == {("u", "fat"): 2.1, ("u", "sugar"): 3.0, ("u", "calories"): 4800.0, ("v", "fat"): 1.7}
+    assert got["u", "calories"]["status"] == "reached"
+
+
+def test_registry(spark, tmp_path):
+    header = ",".join(io.REGISTRY_COLUMNS)
+    lines = [header, "甲,12345678,a,r0,工廠/製造場所", "乙,,b,r1,工廠／製造場所", "甲,12345678,a,r2,工廠/製造場所,extra", "丙,123,c,r3,工廠/製造場所", ",,,,", "乙,,b,r4,販售", "丁,87654321"]
+    path = tmp_path / "r.csv"
+    path.write_text("﻿" + "\n".join(lines) + "\n")
+    got = io.read_registry(spark, str(path))
+    counts, items = registry.profile(got)
+    c = counts.first()
+    assert (c["records"], c["with_number"], c["without_number"], c["malformed_number"], c["malformed_rows"], c["empty_rows"], c["businesses"]) == (6, 4, 2, 1, 1, 1, 4)
+    assert dict(rows(items)) == {"工廠/製造場所": 3, "工廠／製造場所": 1, "販售": 1, "（空白）": 1}
+    groups, n = registry.manufacturers(got.where("not _empty").coalesce(1).withColumn("_pos", F.monotonically_increasing_id()))
+    assert tuple(n.first()) == (6, 4, 3, 1, 1, 1)
+    io.reconcile(groups, **io.manufacturer_rules())
+    with pytest.raises(io.ContractError):
+        io.reconcile(groups, none=F.col("first_pos") >= 0)
+    with pytest.raises(io.ContractError):
+        registry.profile(got.drop(io.REGISTRY_COLUMNS[0]))
+
+
+def test_websites(spark):
+    business = spark.createDataFrame([("b", "統一企業股份有限公司", "12345678"), ("c", "好吃食品有限公司", "")], "business_id string, name string, number string")
+    results = [("b", 1, "https://facebook.com/x", "統一企業股份有限公司", ""), ("b", 2, "https://x.tw", "nothing", ""), ("b", 3, "https://x.tw", "統一企業股份有限公司 官網", ""), ("b", 4, "https://x.tw/#f", "統一企業股份有限公司", ""), ("b", 5, "https://y.tw", "12345678", None), ("b", 6, "https://z.tw", "統一企業股份有限公司", ""), ("c", 1, "https://p.tw", "好吃的", ""), ("c", 2, "https://q.tw", "好吃的", ""), ("c", 3, "https://r.tw", "好吃的", "")]
+    df = spark.createDataFrame(results, "business_id string, rank long, raw_url string, title string, description string").repartition(3)
+    pages = spark.createDataFrame([("https://p.tw/", "<p>好吃食品有限公司"), ("https://q.tw/", "<p>?")], "url string, html string")
+    got = websites.evaluate(business, df, pages, 2).orderBy("business_id", "rank").collect()
+    assert [(r["business_id"], r["rank"], r["reason"]) for r in got] == [("b", 1, "excluded_domain:facebook.com"), ("b", 2, "insufficient_business_match"), ("b", 3, "business_name_or_number_match"), ("b", 4, "duplicate_url"), ("b", 5, "business_name_or_number_match"), ("c", 1, "business_name_or_number_match"), ("c", 2, "candidate_page_missing_company_name"), ("c", 3, "candidate_page_fetch_failed")]
+    assert [r["evidence"] for r in got if r["decision"] == "accepted"] == [["full_name"], ["unified_number"], ["full_name_in_page"]]
+    listed = spark.createDataFrame([("c", 0, {"網址": "https://own.tw。"})], "business_id string, _pos long, record map<string,string>")
+    found, status = websites.discover(business, listed, df, pages, 2)
+    assert rows(websites.checked(found), "business_id", "url") == [("b", "https://x.tw/"), ("b", "https://y.tw/"), ("c", "https://own.tw/")]
+    assert rows(status) == [("b", 2, "candidates_found"), ("c", 1, "candidates_found")] and websites.website_stats(status).first()["urls"] == 3
+    done = spark.createDataFrame([("b", "1")], "identity string, signature string")
+    assert rows(joins.unfinished(spark.createDataFrame([("b", "1"), ("b", "2")], "identity string, signature string"), done)) == [("b", "2")]
+
+
+def test_catalog_and_matching(spark):
+    lists = spark.createDataFrame([("https://a.tw/list", '<a data-rel="cate-1">Tea</a><div class="item cate-1"><a href="brands-x.html">X</a></div>')], "url string, html string")
+    maps = spark.createDataFrame([("https://a.tw/map", '<a href="/brands-X.html">X2</a><a href="/brands-y.html">Y</a>')], "url string, html string")
+    index = catalog.brand_index(lists, maps)
+    assert rows(index, "name", "url", "category") == [("X", "https://a.tw/brands-x.html", "Tea"), ("Y", "https://a.tw/brands-y.html", "")]
+    page = '<div class="product-introduction"><h2>茶裏王</h2><div class="bd">said</div><div class="product-box"><a data-rel="12" data-name="日式無糖綠茶"></a><img src="i.png"></div><div class="qlink"><a href="/l">L</a><a href="mailto:x">M</a></div></div>'
+    pages = spark.createDataFrame([("https://a.tw/brands-x.html", page), ("https://a.tw/brands-y.html", "<p>")], "url string, html string")
+    merged = catalog.brands(index, pages)
+    row = merged.first()
+    assert merged.count() == 1 and (row["name"], row["description"], row["products"][0]["image_url"], [x["url"] for x in row["external_links"]]) == ("茶裏王", "said", "https://a.tw/i.png", ["https://a.tw/l"])
+    assert tuple(catalog.catalog_stats(index, merged, pages).first()) == (2, 1, 1, 2)
+    targets = io.catalog_targets(merged.withColumn("_pos", F.lit(0)), 5).withColumn("target_id", F.lit(1))
+    own = catalog.from_catalogue(targets, pages, spark.createDataFrame([("12", '<h1>日式無糖綠茶 <span class="gray">600 ml</span></h1>')], "product_id string, html string"), "own")
+    details = "<table><tr><td>內容物（成分）</td><td>水、茶</td></tr><tr><td>營養標示</td><td>每一份量 600 毫升<br>熱量 0 大卡</td></tr></table>"
+    data = json.dumps([{"goodsBarcode": 1, "goodsShowName": 2, "goodsSpec": 3, "details": 4}, "471", "統一茶裏王-日式無糖綠茶 1250ml", " ", details], ensure_ascii=False)
+    searches = spark.createDataFrame([(1, '<script type="application/ld+json">{"@type":"Product","name":"統一茶裏王 日式無糖綠茶","url":"https://s.tw/1"}</script><script type="application/ld+json">{"@type":"Product","name":"other","url":"https://s.tw/2"}</script>')], "target_id long, html string")
+    shop, errors = catalog.from_shop(targets, searches, spark.createDataFrame([("https://s.tw/1", f'<script id="__NUXT_DATA__">{data}</script>')], "url string, html string"), "shop")
+    got = catalog.match_candidates(own, shop).orderBy("rank").collect()
+    assert [(r["source_name"], r["match_score"]) for r in got] == [("own", 1.0), ("shop", 0.6923)] and errors.count() == 0
+    assert got[1]["ingredients"] == ["水", "茶"] and got[1]["serving"]["amount"] == 600.0 and got[1]["nutrition"]["calories"]["value"] == 0.0 and got[1]["specification"] is None
+    broken, errors = catalog.from_shop(targets, searches, pages, "shop")
+    assert broken.count() == 0 and rows(errors, "error") == [("page missing",)]
+
+
+def test_promote_one(spark):
+    kind = "source_url string, source_name string, matched_name string, brand string, product_name string, barcode string, specification string, serving struct<amount:double,unit:string>, nutrition struct<" + ",".join(f"{n}:struct<value:double,unit:string>" for n in NAMES) + ">, ingredients array<string>, generated_at string"
+    good = ("https://www.shop.com.tw/1", "Shop", "茶 ", "B", "茶", "471", "1L", (1.0, "l"), nutrition(**{n: 1.0 for n in NAMES}), ["水 "], "2026-09-27T01:00:00Z")
+    df = spark.createDataFrame([good, (*good[:5], "47a", *good[6:]), (*good[:5], "472", "x", None, *good[8:])], kind)
+    got = catalog.retail_product(df).collect()
+    assert [r["refusal"] for r in got] == [None, "barcode not digits", "serving not convertible"] and got[0]["id"] == "b-茶-1l-471"
+    existing = spark.createDataFrame([(0, "z", "1", '{"id":"z","name":"n"}')], "_pos long, id string, barcode string, j string").withColumn("product", F.try_parse_json("j")).drop("j")
+    out = catalog.promote_one(df, existing, F.col("barcode") == "471").orderBy("_pos").collect()
+    assert [r["id"] for r in out] == ["z", "b-茶-1l-471"] and [r["_pos"] for r in out] == [0, 1]
+    with pytest.raises(io.ContractError):
+        catalog.promote_one(df, existing.withColumn("barcode", F.lit("471")), F.col("barcode") == "471")
+    with pytest.raises(ValueError):
+        catalog.promote_one(df, existing, F.lit(True))
+
+
+def test_io(spark, tmp_path):
+    path = tmp_path / "e.json"
+    path.write_text(json.dumps({"source": {"n": 1}, "records": [{"a": 1}, {"a": 2}]}))
+    meta, records = io.read_envelope(spark, str(path))
+    assert records.count() == 2 and list(meta.first()["meta"]) == ["source"]
+    io.write_records(records.select("_pos"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    (tmp_path / "bad.json").write_text('[{"a":1},5]')
+    with pytest.raises(Exception, match="not an array of objects"):
+        io.read_array(spark, str(tmp_path / "bad.json")).collect()
+    with pytest.raises(io.ContractError):
+        io.require_fields(records)
+    assert rows(classify.class_counts(spark.createDataFrame([("incomplete",)], "classification string")))[-1] == ("incomplete", 1)
+    (tmp_path / "p.json").write_text(json.dumps({"products": [{"id": "a", "name": "n"}]}))
+    assert [r["id"] for r in products.load_products(io.read_products(spark, str(tmp_path / "p.json"))).collect()] == ["a"]
