@@ -99,15 +99,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield pdf.loc[keep, ["a", "b"]]
 
     x, y = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int = 256) -> DataFrame:
     """Links (a, b) that join different components among members (doc_id, n, c: component, f: family).
 
     tokens (token, f) says which families meet. A family is compared with itself if it has several
-    components, and with each family it meets, in chunks against chunks, all within tasks: pairs
-    are never rows. Of one family, what is in its head's component isn't compared with its like.
+    components, and with all members of smaller families that meet it, in chunks against chunks
+    within tasks: pairs are never rows. What is in its head's component isn't compared with its like.
     """
     head = members.where("doc_id = f").select("f", F.col("c").alias("main"))
     role = settled(members.join(head, "f", "left").withColumn("rest", ~F.coalesce(F.col("c") == F.col("main"), F.lit(False))).drop("main"), "role")
@@ -117,28 +117,37 @@ def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int
     t1, t2 = (tokens.select("token", F.col("f").alias("f" + s)) for s in "12")
     met = t1.join(t2, "token").where("f1 < f2").select("f1", "f2").distinct().join(one, "f1").join(two, "f2")
     met = met.where("not (low1 = high1 and low2 = high2 and low1 = low2)").where(f"100 * large1 >= {PERCENT} * small2 and 100 * large2 >= {PERCENT} * small1")
-    met = settled(met.select("f1", "f2", *(F.expr(f"cast(ceil(k{s} / {chunk}) as int)").alias("n" + s) for s in "12")), "families_met")
+    # the members of the smaller family visit the larger one
+    at_home = F.expr("k1 > k2 or (k1 = k2 and f1 < f2)")
+    met = met.select(F.when(at_home, F.col("f1")).otherwise(F.col("f2")).alias("host"), F.when(at_home, F.col("f2")).otherwise(F.col("f1")).alias("f"), F.greatest("k1", "k2").alias("k"))
+    visitors = settled(role.join(settled(met, "families_met"), "f").select("host", "k", "doc_id", "n", "c"), "visitors")
+    hosts = settled(visitors.groupBy("host", "k").agg(F.count("*").alias("v")), "hosts")
 
     hashed = "cast(pmod(xxhash64(doc_id), {}) as int)"
-    unit = ["f1", "f2", "i", "j"]
-    sides = []
-    for own, other in ("12", "21"):
-        side = role.join(met, role["f"] == met["f" + own]).withColumn("i" if own == "1" else "j", F.expr(hashed.format("n" + own)))
-        side = side.withColumn("j" if own == "1" else "i", F.explode(F.sequence(F.lit(0), F.col("n" + other) - 1)))
-        sides.append(side.select(*unit, F.lit(own == "2").alias("right"), "doc_id", "n", "c"))
-    mixed = per.where("low <> high and u > 0").select(F.col("f"), F.expr(f"cast(ceil((k - u) / {chunk}) as int)").alias("m"), F.expr(f"cast(ceil(u / {chunk}) as int)").alias("r"))
+    unit = ["f", "guests", "i", "j"]
+
+    def chunks(n: str) -> str:
+        return f"cast(ceil({n} / {chunk}) as int)"
+
+    def against(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.expr(chunks(n)) - 1))
+
+    home = role.join(hosts.select(F.col("host").alias("f"), "k", "v"), "f").withColumn("i", F.expr(hashed.format(chunks("k")))).withColumn("j", against("v"))
+    guest = visitors.join(hosts.select("host", "v"), "host").withColumn("j", F.expr(hashed.format(chunks("v")))).withColumn("i", against("k")).withColumn("f", F.col("host"))
+    sides = [x.select("f", F.lit(True).alias("guests"), "i", "j", F.lit(right).alias("right"), "doc_id", "n", "c") for x, right in ((home, False), (guest, True))]
+    mixed = per.where("low <> high and u > 0").select("f", F.expr(chunks("(k - u)")).alias("m"), F.expr(chunks("u")).alias("r"))
     inside = role.join(settled(mixed, "mixed"), "f").withColumn("x", F.when(F.col("rest"), F.col("m") + F.expr(hashed.format("r"))).otherwise(F.expr(hashed.format("greatest(m, 1)"))))
     inside = inside.withColumn("y", F.explode(F.sequence(F.when(F.col("rest"), 0).otherwise(F.col("m")), F.col("m") + F.col("r") - 1)))
-    sides.append(inside.select(F.col("f").alias("f1"), F.col("f").alias("f2"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("right"), "doc_id", "n", "c"))
+    sides.append(inside.select("f", F.lit(False).alias("guests"), F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") > F.col("y")).alias("right"), "doc_id", "n", "c"))
     rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
     parts = max(128, role.count() // 100)
-    rows = rows.join(texts, "doc_id").withColumn("part", F.expr(f"cast(pmod(xxhash64(f1, f2, i, j), {parts}) as int)"))
+    rows = rows.join(texts, "doc_id").withColumn("part", F.expr(f"cast(pmod(xxhash64(f, guests, i, j), {parts}) as int)"))
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, sets, out_a, out_b = WordHashes(), {}, [], []
         ids, n, c, right, text = (pdf[x].to_numpy() for x in ("doc_id", "n", "c", "right", "text"))
         for k, at in pdf.groupby(unit).indices.items():
-            left, other = (at, at) if k[0] == k[1] and k[2] == k[3] else (at[~right[at]], at[right[at]])
+            left, other = (at, at) if not k[1] and k[2] == k[3] else (at[~right[at]], at[right[at]])
             near = (100 * np.minimum.outer(n[left], n[other]) >= PERCENT * np.maximum.outer(n[left], n[other])) & (c[left][:, None] != c[other][None, :])
             if not near.any():
                 continue
@@ -199,7 +208,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     family = settled(index.groupBy("g").agg(F.min("head").alias("head")).select("g", F.col("head.g").alias("f")), "family")
 
     # First, links of a group's members to its first one, and of that to the head of its family.
-    texts = settled(docs.join(reps.select("doc_id").distinct(), "doc_id"), "texts")
+    texts = settled(docs.join(reps.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
     star = family.where("g <> f").select(F.col("g").alias("a"), F.col("f").alias("b"))
     inner = reps.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b"))
     edges = settled(verified(inner.union(star), texts), "star")
