@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -33,25 +34,35 @@ NUTRITION_TYPE = "struct<" + ",".join(f"{n}:struct<value:double,unit:string>" fo
 STALE_DAYS = 180
 
 
-def _amount(text: Column, units: dict[str, str]) -> tuple[Column, Column]:
-    """Number and canonical unit of a text that is nothing but the two; nulls otherwise."""
+def _amount(text: Column, units: dict[str, str], wanted: str | None = None) -> Column:
+    """{raw, value, unit} of a text that is nothing but a number and a unit; value and unit are null
+    for any other, or if the canonical unit isn't the one wanted."""
     names = "|".join(sorted(units, key=len, reverse=True))
     pattern = rf"(?iU)\A\s*{NUMERAL}\s*({names})\s*\z"
-    found = F.coalesce(text.rlike(pattern), F.lit(False))
-    unit = F.create_map(*(F.lit(x) for pair in units.items() for x in pair))[F.lower(F.regexp_extract(text, pattern, 2))]
-    return F.when(found, number_of(F.regexp_extract(text, pattern, 1))), F.when(found, unit)
+    parts = F.struct(F.coalesce(text, F.lit("")).alias("raw"), F.regexp_extract(text, pattern, 1).alias("value"), F.lower(F.regexp_extract(text, pattern, 2)).alias("unit"))
+    canonical = F.create_map(*(F.lit(x) for pair in units.items() for x in pair))
+
+    def read(m: Column) -> Column:
+        unit = canonical[m["unit"]]
+        good = unit.isNotNull() if wanted is None else unit == wanted
+        return F.struct(m["raw"].alias("raw"), F.when(good, number_of(m["value"])).alias("value"), F.when(good, unit).alias("unit"))
+
+    return let(parts, read)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once; large expressions stay small that way."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def quantity(text: Column) -> Column:
     """{raw, value, unit} of a serving size such as ``12.5公克``; raw is '' for null."""
-    value, unit = _amount(text, VOLUME_UNITS)
-    return F.struct(F.coalesce(text, F.lit("")).alias("raw"), value.alias("value"), unit.alias("unit"))
+    return _amount(text, VOLUME_UNITS)
 
 
 def nutrient(text: Column, unit: str) -> Column:
     """{raw, value, unit} of a nutrient's amount, null unless it is given in ``unit``."""
-    value, found = _amount(text, NUTRIENT_UNITS)
-    return F.struct(F.coalesce(text, F.lit("")).alias("raw"), F.when(found == unit, value).alias("value"), F.when(found == unit, found).alias("unit"))
+    return _amount(text, NUTRIENT_UNITS, unit)
 
 
 def zero_package(text: Column) -> Column:

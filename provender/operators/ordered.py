@@ -15,16 +15,29 @@ POS = "_pos"
 
 
 def first_wins(df: DataFrame, key: Column | list[Column], order: str | Column = POS) -> DataFrame:
-    """Of the rows with a key, the first."""
-    keys = key if isinstance(key, list) else [key]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_n = 1").drop("_n")
+    """Of the rows with a key, the first: a grouped minimum, so a common key is reduced where its rows lie."""
+    keys = [k.alias(f"_k{i}") for i, k in enumerate(key if isinstance(key, list) else [key])]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
 
 
-def occurrence_ids(df: DataFrame, base: Column, name: str, order: str | Column = POS) -> DataFrame:
+def numbered(df: DataFrame, key: str, order: str = POS, name: str = "n", each: int = 100_000) -> DataFrame:
+    """Add each row's number from 1 among the rows of its key in order, a whole number.
+
+    Rows are numbered within spans of ``each`` positions, and spans are counted, so a common key
+    isn't put in order in one place.
+    """
+    rows = df.withColumn("_span", F.expr(f"floor(`{order}` / {each})"))
+    n = rows.groupBy(key, "_span").agg(F.count("*").alias("_c"))
+    n = n.select(F.col(key).alias("_k"), F.col("_span").alias("_s"), (F.sum("_c").over(Window.partitionBy(key).orderBy("_span")) - F.col("_c")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(key, "_span").orderBy(order))
+    joined = rows.withColumn("_w", within).join(n, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_span") == F.col("_s")))
+    return joined.withColumn(name, F.col("_before") + F.col("_w")).drop("_span", "_w", "_k", "_s", "_before")
+
+
+def occurrence_ids(df: DataFrame, base: Column, name: str, order: str = POS) -> DataFrame:
     """Add base as an identifier; from its second row on with ``:duplicate-n``."""
-    df = df.withColumn("_base", base)
-    n = F.row_number().over(Window.partitionBy("_base").orderBy(order))
-    return df.withColumn("_n", n).withColumn(name, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(":duplicate-"), "_n"))).drop("_n", "_base")
+    rows = numbered(df.withColumn("_base", base), "_base", order, "_n")
+    return rows.withColumn(name, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(":duplicate-"), "_n"))).drop("_n", "_base")
 
 
 def grouped(df: DataFrame, key: Column, order: str = POS, records: str = "records") -> DataFrame:

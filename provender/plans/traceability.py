@@ -12,7 +12,7 @@ from provender.functions.keys import candidate_id
 from provender.functions.nutrition import NAMES, UNITS, anomalies, complete_non_negative, nutrient, quantity, valid_amount
 from provender.functions.text import clean, filled
 from provender.operators.classify import CLASSES, candidate_issues, class_counts, classified, eligible, ingredients_parsed, issue_category
-from provender.operators.joins import conflicts
+from provender.operators.joins import keyed
 from provender.operators.ordered import appended, duplicates, occurrence_ids
 from provender.operators.schema import product_schema, schema_validate, text_in
 from provender.operators.validate import catalogue_faults
@@ -107,38 +107,42 @@ def promotion_analysis(candidates: DataFrame, schema: dict | None = None, sample
     return records, by_issue, by_category, totals
 
 
-def promotable(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> DataFrame:
-    """Eligible candidates as products, with what speaks against each: duplicate, existing, schema."""
+def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> DataFrame:
+    """Candidates with what speaks for and against each: eligible, converted, schema_ok, dup_*, old_*, safe."""
     source_ok = filled(F.col("source.id")) & filled(F.col("source.name")) & filled(F.col("source.dataset_url"))
-    rows = candidates.where(eligible()).withColumns({"id": F.col("candidateId"), "converted": F.coalesce(source_ok, F.lit(False)), "product": formal_product(promotion=True)})
+    rows = candidates.withColumn("eligible", eligible()).withColumn("converted", F.col("eligible") & F.coalesce(source_ok, F.lit(False)))
+    rows = rows.withColumns({"id": F.col("candidateId"), "product": F.when(F.col("converted"), formal_product(promotion=True))})
     rows = schema_validate(rows, "product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error")
+    identity = F.when(F.col("eligible"), F.concat_ws("\x1f", *(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification"))))
+    keys = {n: F.when(F.col("converted") & filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))} | {"product": identity}
+    for name, key in keys.items():
+        # rows without a key are dealt out one by one, so they don't gather
+        alone = Window.partitionBy(F.coalesce(F.concat(F.lit("k"), f"_{name}"), F.col("_pos").cast("string")))
+        rows = rows.withColumn(f"_{name}", key).withColumn(f"dup_{name}", F.col(f"_{name}").isNotNull() & (F.count(F.lit(1)).over(alone) > 1))
     for name, column in (("id", "id"), ("code", "traceabilityCode")):
-        key = F.when(F.col("converted") & filled(F.col(column)), clean(F.col(column)))
-        rows = rows.withColumn(f"_{name}", key).withColumn(f"dup_{name}", F.col(f"_{name}").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy(f"_{name}")) > 1))
-        known = conflicts(rows, products, column).select(F.col(column).alias("_v"), F.lit(True).alias(f"old_{name}"))
+        known = keyed(products, column).select(F.col(column).alias("_v"), F.lit(True).alias(f"old_{name}"))
         rows = rows.join(known, F.col(f"_{name}") == F.col("_v"), "left").withColumn(f"old_{name}", F.coalesce(f"old_{name}", F.lit(False))).drop("_v")
     return rows.withColumn("safe", F.col("schema_ok") & F.col("_id").isNotNull() & ~F.col("dup_id") & ~F.col("dup_code") & ~F.col("old_id") & ~F.col("old_code"))
 
 
 def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """What promotion would do: one row of counts, and details (kind, value) of what stands in its way."""
-    rows = promotable(candidates, products, schema)
-    n = candidates.agg(
-        F.count("*").alias("candidates"), F.count_if(eligible()).alias("convertible"), F.count_if(~eligible()).alias("ineligible"), F.count_if(~valid_amount(F.col("serving"))).alias("invalid_serving"),
+    rows = judged(candidates, products, schema)
+
+    def values(flag: str, key: str) -> Column:
+        return F.countDistinct(F.when(F.col(flag), F.col(key)))
+
+    counts = rows.agg(
+        F.count("*").alias("candidates"), F.count_if("eligible").alias("convertible"), F.count_if(~F.col("eligible")).alias("ineligible"), F.count_if(~valid_amount(F.col("serving"))).alias("invalid_serving"),
         F.count_if(~complete_non_negative(F.col("nutrition"))).alias("incomplete_nutrition"), F.count_if(~ingredients_parsed(F.col("ingredients"), F.col("ingredientsParseError"))).alias("ingredient_parse_failures"),
+        F.count_if("converted").alias("converted"), F.count_if(F.expr("eligible and not converted")).alias("not_converted"), F.count_if("schema_ok").alias("schema_pass"), F.count_if(F.expr("converted and not schema_ok")).alias("schema_fail"),
+        values("dup_id", "_id").alias("duplicate_id_values"), F.count_if("dup_id").alias("duplicate_id_records"), values("dup_code", "_code").alias("duplicate_code_values"), F.count_if("dup_code").alias("duplicate_code_records"),
+        values("old_id", "_id").alias("existing_id_conflicts"), values("old_code", "_code").alias("existing_code_conflicts"), F.count_if(F.expr("old_id or old_code")).alias("existing_conflict_records"),
+        values("dup_product", "_product").alias("duplicate_product_groups"), F.count_if("dup_product").alias("duplicate_product_records"), F.lit(0).alias("duplicate_product_records_merged"), F.count_if("safe").alias("safe_imports"),
     )
-    flags = rows.agg(
-        F.count_if("converted").alias("converted"), F.count_if(F.expr("not converted")).alias("not_converted"), F.count_if("schema_ok").alias("schema_pass"), F.count_if(F.expr("converted and not schema_ok")).alias("schema_fail"),
-        F.countDistinct(F.when(F.col("dup_id"), F.col("_id"))).alias("duplicate_id_values"), F.count_if("dup_id").alias("duplicate_id_records"),
-        F.countDistinct(F.when(F.col("dup_code"), F.col("_code"))).alias("duplicate_code_values"), F.count_if("dup_code").alias("duplicate_code_records"),
-        F.countDistinct(F.when(F.col("old_id"), F.col("_id"))).alias("existing_id_conflicts"), F.countDistinct(F.when(F.col("old_code"), F.col("_code"))).alias("existing_code_conflicts"),
-        F.count_if(F.expr("old_id or old_code")).alias("existing_conflict_records"), F.count_if("safe").alias("safe_imports"),
-    )
-    same = duplicates(rows, F.struct(*(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification")))).select(F.col("values").alias("duplicate_product_groups"), F.col("records").alias("duplicate_product_records"), F.lit(0).alias("duplicate_product_records_merged"))
-    counts = reduce(lambda a, b: a.join(F.broadcast(b)), [n, flags, same])  # one row each
-    kinds = {"conversion_failures": ("not converted", "candidateId"), "schema_failures": ("converted and not schema_ok", "id"), "duplicate_ids": ("dup_id", "_id"), "duplicate_codes": ("dup_code", "_code"), "existing_id_conflicts": ("old_id", "_id"), "existing_code_conflicts": ("old_code", "_code")}
-    details = reduce(DataFrame.union, (rows.where(c).select(F.lit(k).alias("kind"), F.col(v).alias("value")).distinct() for k, (c, v) in kinds.items()))
-    return counts, details
+    kinds = {"conversion_failures": ("eligible and not converted", "candidateId"), "schema_failures": ("converted and not schema_ok", "id"), "duplicate_ids": ("dup_id", "_id"), "duplicate_codes": ("dup_code", "_code"), "existing_id_conflicts": ("old_id", "_id"), "existing_code_conflicts": ("old_code", "_code")}
+    found = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, (c, v) in kinds.items())))
+    return counts, rows.select(F.explode(found).alias("d")).select("d.*").distinct()
 
 
 def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: dict | None = None) -> DataFrame:
@@ -152,8 +156,7 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
         raise ContractError(f"conflicts: {', '.join(bad)}")
     if not counts["safe_imports"] or counts["safe_imports"] != expected or counts["convertible"] != expected:
         raise ContractError(f"{counts['safe_imports']} safe and {counts['convertible']} convertible candidates, {expected} expected")
-    rows = promotable(candidates, products, schema)
-    new = rows.where("safe").select("_pos", "id", "traceabilityCode", "product")
+    new = judged(candidates, products, schema).where("safe").select("_pos", "id", "traceabilityCode", "product")
     out = appended(products.select("_pos", "id", "traceabilityCode", "product"), new)
     checked = schema_validate(out, "product", schema or product_schema())
     if checked.where("status = 'blocked'").limit(1).count() or catalogue_faults(out).limit(1).count():

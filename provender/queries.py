@@ -398,3 +398,107 @@ def q_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
     first = first_wins(rows, F.col("p_brand"), "p_partkey").select("p_brand", F.col("p_name").alias("first_name"))
     return rows.join(first, "p_brand").select("p_partkey", sequence_ratio("first_name", "p_name").alias("score"), clean(F.col("p_name")).alias("p_name"))
+
+
+#: Faults of trace records made of parts, by key: which amount can't be read, which label is blank or
+#: broken, which serving is missing, which code repeats.
+TRACE = """concat('{"公司名稱":"', p_brand, '","產品名稱":"', p_name, '","包裝規格":"', if(p_partkey % 13 = 0, '0公克/包', concat(p_size, '公克')),
+ '","產品追溯系統串接碼":"T', p_partkey - if(p_partkey % 11 = 0, 1, 0), '","每一份量":', if(p_partkey % 17 = 0, '5', concat('"', p_size, ' ml"')),
+ ',"內容物標示":"', CASE WHEN p_partkey % 5 = 0 THEN ' ' WHEN p_partkey % 7 = 0 THEN '水,' ELSE replace(p_name, ' ', '、') END,
+ '","每份熱量":"', p_size, '大卡","每份蛋白質":"', p_size, ' 公克","每份脂肪":"1.5g","每份飽和脂肪":"0g","每份反式脂肪":"0 克","每份碳水化合物":"', p_size + 3, 'g","每份糖":"', if(p_partkey % 3 = 0, '少量', '2g'), '","每份鈉":"12 毫克"}')"""
+SOURCE = {"id": "trace", "name": "Trace records", "provider": "driver", "dataset_url": "https://example.org/trace", "download_url": "https://example.org/trace.json", "fetched_at": "2026-01-01T00:00:00Z"}
+PICKED = "p_partkey % 3 <> 0 AND p_partkey % 5 <> 0"
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provender.plans.traceability import classify_products, normalize
+
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("_pos"), F.try_parse_json(F.expr(TRACE)).alias("record"))
+    return classify_products(normalize(rows))[0]
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provender.plans.traceability import build_candidates
+
+    return build_candidates(_trace(spark, sf_dir), SOURCE)
+
+
+@query("""
+SELECT CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 THEN 'complete_nutrition_and_ingredients' WHEN p_partkey % 3 <> 0 THEN 'complete_nutrition' WHEN p_partkey % 5 <> 0 THEN 'has_ingredients' ELSE 'incomplete' END AS classification,
+  p_partkey % 13 = 0 OR p_partkey % 3 = 0 AS "hasAnomaly", count(*) AS n, CAST(sum(p_size) FILTER (p_partkey % 17 <> 0) AS DOUBLE) AS servings FROM part GROUP BY ALL""")
+def q_trace_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trace records normalised and classified."""
+    return _trace(spark, sf_dir).groupBy("classification", "hasAnomaly").agg(F.count("*").alias("n"), F.sum("serving.value").alias("servings"))
+
+
+@query(f"""
+WITH p AS (SELECT *, 'tfda-traceability:T' || (p_partkey - CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END) AS base FROM part WHERE {PICKED}),
+n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS n FROM p)
+SELECT p_partkey AS _pos, base || CASE WHEN n > 1 THEN ':duplicate-' || n ELSE '' END AS "candidateId", CASE WHEN p_partkey % 7 = 0 THEN 0 ELSE len(string_split(p_name, ' ')) END AS ingredients,
+  CASE WHEN p_partkey % 7 = 0 THEN 'trailing_ingredient_separator' END AS error FROM n""")
+def q_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate products of trace records."""
+    return _candidates(spark, sf_dir).select("_pos", "candidateId", F.size("ingredients").cast("long").alias("ingredients"), F.col("ingredientsParseError").alias("error"))
+
+
+@query(f"""
+SELECT count(*) AS candidates, count(*) AS schema_ready, 0 AS schema_blocked, count(*) FILTER (p_partkey % 17 <> 0 AND p_partkey % 7 <> 0) AS complete_ready, count(*) AS multiple_issues FROM part WHERE {PICKED}""")
+def q_promotion_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many candidates the product schema takes, and how many lack something."""
+    from provender.plans.traceability import promotion_analysis
+
+    return promotion_analysis(_candidates(spark, sf_dir))[3]
+
+
+@query(f"""
+WITH c AS (SELECT p_partkey, p_partkey - CASE WHEN p_partkey % 11 = 0 THEN 1 ELSE 0 END AS code, p_brand, p_name, CASE WHEN p_partkey % 13 = 0 THEN '0' ELSE CAST(p_size AS VARCHAR) END AS pack, p_partkey % 17 <> 0 AND p_partkey % 7 <> 0 AS ok FROM part WHERE {PICKED}),
+e AS (SELECT *, count(*) OVER (PARTITION BY code) > 1 AS dup, code IN (SELECT p_partkey FROM part WHERE p_partkey % 19 = 0) AS old FROM c WHERE ok),
+g AS (SELECT count(*) AS n FROM e GROUP BY p_brand, p_name, pack HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM c) AS candidates, (SELECT count(*) FROM e) AS convertible, (SELECT count(*) FROM c WHERE p_partkey % 17 = 0) AS invalid_serving, (SELECT count(*) FROM c WHERE p_partkey % 7 = 0) AS ingredient_parse_failures,
+  (SELECT count(DISTINCT code) FROM e WHERE dup) AS duplicate_code_values, (SELECT count(*) FROM e WHERE dup) AS duplicate_code_records, (SELECT count(DISTINCT code) FROM e WHERE old) AS existing_code_conflicts,
+  (SELECT count(*) FROM g) AS duplicate_product_groups, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM g) AS duplicate_product_records, (SELECT count(*) FROM e WHERE NOT dup AND NOT old) AS safe_imports""")
+def q_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What promoting the candidates into a catalogue of some parts would do."""
+    from provender.plans.traceability import dry_run
+
+    old = read(spark, sf_dir, "part").where("p_partkey % 19 = 0").select(F.concat(F.lit("old-"), "p_partkey").alias("id"), F.concat(F.lit("T"), "p_partkey").alias("traceabilityCode"))
+    counts = dry_run(_candidates(spark, sf_dir), old)[0]
+    return counts.select("candidates", "convertible", "invalid_serving", "ingredient_parse_failures", "duplicate_code_values", "duplicate_code_records", "existing_code_conflicts", "duplicate_product_groups", "duplicate_product_records", "safe_imports")
+
+
+@query("""
+WITH b AS (SELECT n_nationkey, lower(n_name) AS n FROM nation),
+r AS (SELECT n_nationkey AS business_id, page_id AS rank, 'https://' || CASE WHEN page_id % 6 = 0 THEN 'www.facebook.com/' ELSE 'h' || (page_id % 9) || '.example/' END AS url, CASE WHEN page_id % 4 = 0 THEN n || ' co' ELSE 'other' END AS title FROM b JOIN pages ON page_id % 25 = n_nationkey),
+d AS (SELECT *, rank % 4 = 0 AS ok FROM r),
+w AS (SELECT *, url LIKE '%facebook%' AS ex, min(CASE WHEN ok AND url NOT LIKE '%facebook%' THEN rank END) OVER (PARTITION BY business_id, url) AS f FROM d),
+a AS (SELECT *, ok AND NOT ex AND rank = f AS acc FROM w), s AS (SELECT *, sum(CAST(acc AS INT)) OVER (PARTITION BY business_id ORDER BY rank) AS s FROM a)
+SELECT business_id, rank, CASE WHEN acc THEN 'accepted' ELSE 'excluded' END AS decision, CASE WHEN ex THEN 'excluded_domain:www.facebook.com' WHEN rank > f THEN 'duplicate_url' WHEN NOT acc THEN 'insufficient_business_match' ELSE 'business_name_or_number_match' END AS reason
+FROM s WHERE s < 2 OR (s = 2 AND acc)""")
+def q_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as search results for nations as businesses, judged by evidence."""
+    from provender.plans.websites import evaluate
+
+    name = F.concat(F.lower("n_name"), F.lit(" co"))
+    business = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("business_id"), name.alias("name"), F.lit("").alias("number"))
+    k = F.col("page_id")
+    url = F.when(k % 6 == 0, "https://www.facebook.com/").otherwise(F.concat(F.lit("https://h"), k % 9, F.lit(".example/#x")))
+    results = read(spark, sf_dir, "pages").select((k % 25).cast("string").alias("business_id"), k.alias("rank"), url.alias("raw_url"))
+    named = results.join(business, "business_id").select("business_id", "rank", "raw_url", F.when(F.col("rank") % 4 == 0, F.col("name")).otherwise("other").alias("title"), F.lit("").alias("description"))
+    none = read(spark, sf_dir, "pages").select("url", "html")
+    out = evaluate(business, named, none, 2)
+    return out.select(F.col("business_id").cast("int").alias("business_id"), "rank", "decision", "reason")
+
+
+@query("""
+SELECT p_partkey AS id, 'protein' AS nutrient, p_size / 60.0 * 100 AS pct, CASE WHEN p_size / 60.0 * 100 > 100 THEN 100 ELSE p_size / 60.0 * 100 END AS progress, p_size || ' g' AS label, CAST(date_diff('day', DATE '1998-01-01' + CAST(p_partkey % 300 AS INTEGER), DATE '1998-10-28') AS INTEGER) AS days FROM part""")
+def q_product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a product's page says of its nutrients and sources."""
+    from provender.functions.nutrition import NAMES
+    from provender.plans.products import product_facts
+
+    k = F.col("p_partkey")
+    amounts = F.struct(*(F.struct((F.col("p_size") if n == "protein" else F.lit(None)).cast("double").alias("value"), F.lit("g").alias("unit")).alias(n) for n in NAMES))
+    source = F.array(F.struct(F.lit("s").alias("id"), F.lit("n").alias("name"), F.lit("https://x/").alias("url"), F.date_format(F.date_add(F.to_date(F.lit("1998-01-01")), (k % 300).cast("int")), "yyyy-MM-dd").alias("verified_at")))
+    rows = read(spark, sf_dir, "part").select(k.alias("_pos"), k.alias("id"), F.col("p_name").alias("name"), amounts.alias("nutrition"), source.alias("sources"), F.lit("s").alias("nutritionSource"), F.array().cast("array<struct<name:string,sourceId:string>>").alias("ingredients"))
+    facts = product_facts(rows, F.to_date(F.lit("1998-10-28"))).where("nutrient = 'protein'")
+    return facts.select("id", "nutrient", "pct", "progress", "label", F.col("freshness.elapsed_days").alias("days"))
