@@ -6,12 +6,13 @@ often as the term stands there, and the sign of each sum is the bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +46,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of each whole text, in hex; null counts as empty, and a column of that name is replaced."""
 
+    hashes = WordHashes()  # each task fills its own
+
     @F.pandas_udf("string")
-    def hexed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
-        for texts in batches:
-            yield pd.Series([fingerprint_of((t or "").encode(), hashes).tobytes().hex() for t in texts], dtype=object)
+    def hexed(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint_of(t or b"", hashes).tobytes().hex() for t in texts], dtype=object)
 
-    return docs.withColumn(name, hexed(F.col(text)))
+    return docs.withColumn(name, hexed(F.col(text).cast("binary")))
 
 
 def distance(a: str, b: str) -> Column:
@@ -60,41 +61,64 @@ def distance(a: str, b: str) -> Column:
     return reduce(add, (F.bit_count(x.bitwiseXOR(y)) for x, y in zip(*parts))).cast("int")
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = 3, fingerprint: str = "fingerprint") -> DataFrame:
-    """(query_id, doc_id, distance) of all fingerprints within ``radius`` bits of each query's.
+def near_kinds(queries: DataFrame, prints: DataFrame, radius: int, fingerprint: str = "fingerprint") -> DataFrame:
+    """(_a, _b, distance) of distinct fingerprints of queries and of prints within ``radius`` bits.
 
     The bits are cut into radius + 1 blocks: fingerprints within the radius agree on one of them.
     Table k is the fingerprint turned so that block k leads; each distinct fingerprint stands in
-    each table once with its block as key, so copies aren't compared one by one. Found pairs of
-    fingerprints are counted from the first block they agree on, which keeps them single. Pairs of
-    a document with itself don't count; null fingerprints link with nothing.
+    each table once with its block as key, so copies aren't compared one by one. A pair counts in
+    the first table that brings it together.
     """
     width = BITS // 4  # hex digits
     cuts = [round(i * width / (radius + 1)) for i in range(radius + 2)]
 
+    def block(name: str, k: int) -> Column:
+        return F.substring(name, cuts[k] + 1, cuts[k + 1] - cuts[k])
+
     def spread(df: DataFrame, name: str) -> DataFrame:
         kinds = df.where(F.col(fingerprint).isNotNull()).select(F.col(fingerprint).alias(name)).distinct()
-        blocks = F.array(*(F.substring(name, a + 1, b - a) for a, b in zip(cuts, cuts[1:])))
-        return kinds.select(name, F.posexplode(blocks).alias("table", "block"))
+        return kinds.select(name, F.posexplode(F.array(*(block(name, k) for k in range(radius + 1)))).alias("table", "block"))
 
-    def block(name: str, a: int, b: int) -> Column:
-        return F.substring(name, a + 1, b - a)
-
-    first = F.coalesce(*(F.when(block("_a", a, b) == block("_b", a, b), k) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    first = F.coalesce(*(F.when(block("_a", k) == block("_b", k), k) for k in range(radius + 1)))
     pairs = spread(queries, "_a").join(spread(prints, "_b"), ["table", "block"]).where(first == F.col("table"))
-    pairs = pairs.withColumn("distance", distance("_a", "_b")).where(F.col("distance") <= radius).select("_a", "_b", "distance")
-    found = queries.select(F.col("doc_id").alias("query_id"), F.col(fingerprint).alias("_a")).join(pairs, "_a")
-    found = found.join(prints.select("doc_id", F.col(fingerprint).alias("_b")), "_b").where("query_id <> doc_id")
-    return found.select("query_id", "doc_id", "distance")
+    return pairs.withColumn("distance", distance("_a", "_b")).where(F.col("distance") <= radius).select("_a", "_b", "distance")
+
+
+def near(queries: DataFrame, prints: DataFrame, radius: int = 3, fingerprint: str = "fingerprint") -> DataFrame:
+    """(query_id, doc_id, distance) of all documents within ``radius`` bits of each query; null fingerprints link with nothing."""
+    found = queries.select(F.col("doc_id").alias("query_id"), F.col(fingerprint).alias("_a")).join(near_kinds(queries, prints, radius, fingerprint), "_a")
+    return found.join(prints.select("doc_id", F.col(fingerprint).alias("_b")), "_b").where("query_id <> doc_id").select("query_id", "doc_id", "distance")
+
+
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int = 3, fingerprint: str = "fingerprint") -> DataFrame:
+    """(fingerprint, n_near): how many other documents are within ``radius`` bits of each query's; queries are among prints."""
+    many = prints.groupBy(F.col(fingerprint).alias("_b")).agg(F.count("*").alias("_n"))
+    return near_kinds(queries, prints, radius, fingerprint).join(many, "_b").groupBy(F.col("_a").alias(fingerprint)).agg((F.sum("_n") - 1).alias("n_near"))
 
 
 def with_next(docs: DataFrame, *carry: str, blocks: int = 4096, each: int = 1000) -> DataFrame:
-    """Add ``next_<column>`` of the document with the next smaller doc_id; the last one's next is the first.
+    """Add ``next_text`` and ``next_<column>`` of the document with the next smaller doc_id (see neighbours)."""
+    out = neighbours(docs, *carry, blocks=blocks, each=each)
+    return out.withColumns({"text": unpacked()("_text").cast("string"), "next_text": unpacked()("_next_text").cast("string")}).drop("_text", "_next_text")
+
+
+def unpacked():
+    @F.pandas_udf("binary")
+    def each(data: pd.Series) -> pd.Series:
+        return pd.Series([zstandard.decompress(d) for d in data], dtype=object)
+
+    return each
+
+
+def neighbours(docs: DataFrame, *carry: str, derive: Callable[[DataFrame], DataFrame] | None = None, blocks: int = 4096, each: int = 1000) -> DataFrame:
+    """docs with their text as ``_text`` and that of the next smaller doc_id as ``_next_text``, both
+    under zstd, and ``next_<column>``; the last one's next is the first.
 
     Ranges of ids with about as many documents, at most ``blocks`` of them, are dealt out; the
     first document of each range is added to the range above it as that one's last neighbour, so
-    texts move once and no task holds more than a range. Null ids come last; equal ids go by text;
-    a single document is its own next.
+    texts move once, compressed, and no task holds more than a range. ``derive`` may add columns
+    to be carried. Null ids come last; equal ids go by a hash of the text; a single document is its
+    own next; an empty table stays empty.
     """
     spark = docs.sparkSession
     docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
@@ -106,23 +130,41 @@ def with_next(docs: DataFrame, *carry: str, blocks: int = 4096, each: int = 1000
     def block_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.to_numpy(), "left"))
 
+    @F.pandas_udf("binary")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([zstandard.compress(t or b"", 1) for t in texts], dtype=object)
+
+    docs = docs.withColumn("_tie", F.xxhash64("text"))
     dealt = docs.withColumn("_block", block_of("_id")).withColumn("_added", F.lit(False))
     top = {r["_block"]: r["m"] for r in dealt.groupBy("_block").agg(F.max("_id").alias("m")).collect()}
     down = sorted(top, reverse=True)
     follows = [(b, top[c]) for b, c in zip(down, down[1:] + down[:1])]
     follows = F.broadcast(spark.createDataFrame(follows, "_of int, _id long"))  # one row for each range
-    text = F.coalesce("text", F.lit(""))
-    added = dealt.join(follows, "_id").groupBy("_of").agg(F.min_by(F.struct(*dealt.columns), text).alias("_d")).select("_of", "_d.*")
-    added = added.withColumn("_block", F.col("_of")).withColumn("_added", F.lit(True)).select(*dealt.columns)
-    order = Window.partitionBy("_block").orderBy("_added", F.desc("_id"), text)
-    out = dealt.union(added).withColumns({f"next_{c}": F.lead(c).over(order) for c in carry})
-    return out.where(~F.col("_added")).drop("_id", "_block", "_added")
+    added = docs.join(follows, "_id").groupBy("_of").agg(F.min_by(F.struct(*docs.columns), "_tie").alias("_d")).select("_d.*", F.col("_of").alias("_block"), F.lit(True).alias("_added"))
+    derive = derive or (lambda df: df)
+    moved = derive(dealt).unionByName(derive(added)).withColumn("_text", packed(F.col("text").cast("binary"))).drop("text")
+    order = Window.partitionBy("_block").orderBy("_added", F.desc("_id"), "_tie")
+    out = moved.withColumns({"_next_text": F.lead("_text").over(order)} | {f"next_{c}": F.lead(c).over(order) for c in carry})
+    return out.where(~F.col("_added")).drop("_id", "_block", "_added", "_tie")
 
 
-def edited(text: Column, following: Column) -> Column:
+def edited(text: str, following: str) -> str:
     """The text with its last floor(n / 2) code points replaced by the first as many of the following text, or all of it."""
-    half = F.floor(F.char_length(text) / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(following, F.lit(1), half))
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def edited_prints(rows: DataFrame) -> DataFrame:
+    """Add ``edited`` (bytes) and its ``edited_fingerprint`` to what neighbours gives."""
+    hashes = WordHashes()
+
+    @F.pandas_udf("edited binary, edited_fingerprint string")
+    def make(texts: pd.Series, following: pd.Series) -> pd.DataFrame:
+        pairs = ((zstandard.decompress(x).decode() for x in (a, b)) for a, b in zip(texts, following))
+        made = [edited(*p).encode() for p in pairs]
+        return pd.DataFrame({"edited": made, "edited_fingerprint": [fingerprint_of(t, hashes).tobytes().hex() for t in made]}, dtype=object)
+
+    return rows.withColumn("_e", make("_text", "_next_text")).select(*rows.columns, "_e.*")
 
 
 def likeness_of(a: str, b: str) -> Column:
@@ -131,13 +173,13 @@ def likeness_of(a: str, b: str) -> Column:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = with_next(fingerprints(docs), "text", "fingerprint").withColumn("_edited", edited(F.col("text"), F.col("next_text")))
-    docs = fingerprints(docs, "_edited", "edited_fingerprint")
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    docs = edited_prints(neighbours(docs, "fingerprint", derive=fingerprints))
     return docs.select(
         "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("_edited", 256).alias("edited_sha256"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness_of("fingerprint", "edited_fingerprint").alias("near_edited"),

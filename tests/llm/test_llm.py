@@ -118,12 +118,13 @@ def test_substrings_null_ids(spark):
 def test_fingerprints(spark, sf_dir, odd, which):
     docs = odd if which == "odd" else table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = {r["doc_id"]: r for r in fingerprints.with_next(fingerprints.fingerprints(rows), "text", "fingerprint").withColumn("e", fingerprints.edited(F.col("text"), F.col("next_text"))).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.with_next(rows).collect()}
+    made = {r["doc_id"]: bytes(r["edited"]).decode() for r in fingerprints.edited_prints(fingerprints.neighbours(rows)).collect()}
     order = sorted(got, reverse=True)
     for i, d in enumerate(order):
         text, following = got[d]["text"], got[order[(i + 1) % len(order)]]["text"]
         half = len(text) // 2
-        assert got[d]["next_text"] == following and got[d]["e"] == text[: len(text) - half] + following[:half]
+        assert got[d]["next_text"] == following and made[d] == text[: len(text) - half] + following[:half]
 
 
 def test_likeness_and_search(spark, sf_dir):
@@ -134,6 +135,8 @@ def test_likeness_and_search(spark, sf_dir):
         got = {(r["query_id"], r["doc_id"], r["distance"]) for r in fingerprints.near(queries, prints, radius).collect()}
         want = {(a, b, int((bits[a] != bits[b]).sum())) for a in bits if a % 10 == 0 for b in bits if a != b and (bits[a] != bits[b]).sum() <= radius}
         assert got == want
+        n = {r["doc_id"]: r["n_near"] for r in queries.join(fingerprints.near_counts(queries, prints, radius), "fingerprint").collect()}
+        assert n == {a: sum(x == a for x, _, _ in want) for a in bits if a % 10 == 0}
 
 
 def test_packing(spark, sf_dir, odd):
@@ -292,7 +295,7 @@ def test_empty_tables(spark, run):
     model = lambda: quality.fit(["a b c", "!! ## !!"], np.array([1, 0]), epochs=2)
     jobs = {
         "jaccard": lambda: jaccard.jaccard_classes(docs), "lines": lambda: lines.drop_boilerplate(docs), "mixing": lambda: mixing.mix(docs), "pack": lambda: packing.pack(packing.pieces(docs)), "sub": lambda: substrings.dedup(docs),
-        "prints": lambda: fingerprints.with_next(fingerprints.fingerprints(docs), "text"), "html": lambda: html.main_text(pages), "vec": lambda: embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
+        "prints": lambda: fingerprints.edited_prints(fingerprints.neighbours(docs)), "html": lambda: html.main_text(pages), "vec": lambda: embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")),
         "quality": lambda: quality.classify(docs, model()), "shards": lambda: sharding.shards(docs.select("doc_id", "lang", "source"), ["lang", "source"], 4, ["doc_id"]),
     }
     assert jobs[run]().count() == 0
