@@ -57,13 +57,13 @@ def digests(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                s = shingles((text or "").encode(), hashes)
+                s = shingles(text or b"", hashes)
                 n = len(s)
                 take = max(int(np.searchsorted(s, np.uint64(edge))), n - (PERCENT * n + 99) // 100 + 1) if n else 0
                 rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), (s[:take] >> np.uint64(SHIFT)).astype(np.int64)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": [r[0] for r in rows], "sig": [r[1] for r in rows], "zone": [r[2] for r in rows]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, sig binary, zone array<long>")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, n int, sig binary, zone array<long>")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of texts (doc_id, text) whose sets have the similarity asked for."""
+    """The pairs (a, b) of texts (doc_id, text as bytes) whose sets have the similarity asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last, held = WordHashes(), None, None
@@ -92,8 +92,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             keep = []
             for b, x, y in zip(pdf["b"], pdf["x"], pdf["y"]):
                 if b != last:
-                    last, held = b, shingles(y.encode(), hashes)
-                s = shingles(x.encode(), hashes)
+                    last, held = b, shingles(y, hashes)
+                s = shingles(x, hashes)
                 common = len(np.intersect1d(s, held, assume_unique=True))
                 keep.append(100 * common >= PERCENT * (len(s) + len(held) - common))
             yield pdf.loc[keep, ["a", "b"]]
@@ -153,7 +153,7 @@ def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int
                 continue
             for i in at:
                 if ids[i] not in sets:
-                    sets[ids[i]] = shingles(text[i].encode(), hashes)
+                    sets[ids[i]] = shingles(text[i], hashes)
             common = overlaps([sets[ids[i]] for i in left], [sets[ids[i]] for i in other])
             x, y = np.nonzero(near & (100 * common >= PERCENT * (n[left][:, None] + n[other][None, :] - common)))
             if len(x):
@@ -208,7 +208,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     family = settled(index.groupBy("g").agg(F.min("head").alias("head")).select("g", F.col("head.g").alias("f")), "family")
 
     # First, links of a group's members to its first one, and of that to the head of its family.
-    texts = settled(docs.join(reps.select("doc_id").distinct().hint("merge"), "doc_id"), "texts")
+    texts = settled(docs.join(reps.select("doc_id").distinct().hint("merge"), "doc_id").withColumn("text", F.col("text").cast("binary")), "texts")
     star = family.where("g <> f").select(F.col("g").alias("a"), F.col("f").alias("b"))
     inner = reps.where("doc_id <> g").select(F.col("doc_id").alias("a"), F.col("g").alias("b"))
     edges = settled(verified(inner.union(star), texts), "star")
@@ -230,3 +230,16 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS total, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT doc_id, total, i, string_agg(x, ' ') OVER r AS s, count(*) OVER r AS n FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, md5(s) AS s FROM k WHERE n = 5 OR (total < 5 AND i = 1)),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM j JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * j.n >= 80 * (x.n + y.n - j.n)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(c.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = doc_id), doc_id)) AS component_id FROM documents LEFT JOIN c USING (doc_id)
+"""

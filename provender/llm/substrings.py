@@ -47,7 +47,7 @@ class Block:
     """The windows of a block of documents: key1, key2 (hashes), at (first word), doc (row)."""
 
     def __init__(self, texts: pd.Series, width: int):
-        self.words = [(t or "").encode().split() for t in texts]
+        self.words = [(t or b"").split() for t in texts]
         sizes = np.array([len(w) for w in self.words], np.int64)
         self.ends = np.cumsum(sizes)
         h = WordHashes().of([x for w in self.words for x in w])
@@ -79,7 +79,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, each: int = 1000, cells: int = 8)
     shards = max(128, blocks // 2)
     # a document is taken to have some 512 words; with longer ones the sketch only estimates higher
     drop = np.uint64(max(0, 64 - int(np.ceil(np.log2(max(1, rows) * 512))) - cells))
-    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text").withColumn("block", F.expr(f"cast(pmod(xxhash64(id, text), {blocks}) as int)"))
+    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("binary").alias("text")).withColumn("block", F.expr(f"cast(pmod(xxhash64(id, text), {blocks}) as int)"))
 
     def dealt_out(block: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
         at = parts(key, shards)
@@ -151,16 +151,28 @@ def dedup(docs: DataFrame, width: int = WIDTH, each: int = 1000, cells: int = 8)
         for words, end in zip(b.words, b.ends):
             g = gone[start:end]
             removed.append(int(g.sum()))
-            kept.append(b" ".join(words if not removed[-1] else [w for w, x in zip(words, g.tolist()) if not x]).decode())
+            kept.append(b" ".join(words if not removed[-1] else [w for w, x in zip(words, g.tolist()) if not x]))
             start = end
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
 
     by_block, by_shard = "block int, shard int, data binary", "block int, data binary"
     often = dealt.groupBy("block").applyInPandas(sketch, by_block).groupBy("shard").applyInPandas(merge, by_shard)
     found = dealt.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(candidates, by_block).groupBy("shard").applyInPandas(least, by_shard)
-    left = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remove, "id long, n_words long, n_removed long, kept string")
-    return left.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", "kept")
+    left = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remove, "id long, n_words long, n_removed long, kept binary")
+    return left.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, x FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d)),
+k AS (SELECT doc_id, i, md5(string_agg(x, ' ') OVER r) AS key, count(*) OVER r AS n FROM p WINDOW r AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+m AS (SELECT key, min(doc_id) AS first FROM k WHERE n = 13 GROUP BY key),
+f AS (SELECT doc_id, i FROM k JOIN m USING (key) WHERE n = 13 AND first < doc_id),
+c AS (SELECT p.doc_id, p.i, p.x, max(f.i) OVER (PARTITION BY p.doc_id ORDER BY p.i) AS near FROM p LEFT JOIN f ON f.doc_id = p.doc_id AND f.i = p.i),
+g AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (near IS NOT NULL AND i < near + 13) AS n_removed, coalesce(string_agg(x, ' ' ORDER BY i) FILTER (near IS NULL OR i >= near + 13), '') AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN g USING (doc_id)
+"""
