@@ -60,17 +60,23 @@ def components(edges: DataFrame) -> DataFrame:
     still; each step is a grouped minimum and a join, so no neighbourhood is gathered.
     """
     now = settled(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    if now.isEmpty():
+    n = now.count()
+    if not n:
         return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    parts = 8 + n // 100_000  # no step makes more rows than twice the edges
+
+    def step(df: DataFrame, name: str) -> DataFrame:
+        return settled(df.coalesce(parts), name)
+
     mark = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        least = step(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = settled(large.distinct(), "large")
-        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = step(large.distinct(), "large")
+        least = step(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        now = settled(small.where("u <> v").distinct().toDF("a", "b"), "edges")
+        now = step(small.where("u <> v").distinct().toDF("a", "b"), "edges")
         was, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == was:
             break

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, settled, table
 
-TABLES, PROBES, SCALE, SEED = 6, 3, 1.6, 20
+#: At cosine 0.9 a pair of 64 dimensions is met with probability 0.96, at 0.95 with 0.999.
+TABLES, PROBES, SCALE, SEED = 6, 3, 2.0, 20
 
 
 def nearest_e8(x: np.ndarray) -> np.ndarray:
