@@ -131,9 +131,7 @@ def links(classes: DataFrame, threshold: float, tables: int, probes: int, scale:
             group = group.reset_index(drop=True)
             ids, row = np.unique(group["id"], return_inverse=True)
             one = group.iloc[np.unique(row, return_index=True)[1]]
-            unit, many = unit_of(one["data"], kind), one["many"].to_numpy()
-            code = cells(unit, tables, probes, scale)
-            found = []
+            unit, many, found = unit_of(one["data"], kind), one["many"].to_numpy(), []
             for (t, cell, low, high), g in group.groupby(["table", "cell", "low", "high"]).indices.items():
                 at, home, i = row[g], group["home"].to_numpy()[g], group["i"].to_numpy()[g]
                 near = np.triu(unit[at] @ unit[at].T >= threshold, 1) & (home[:, None] | home[None, :])
@@ -144,7 +142,9 @@ def links(classes: DataFrame, threshold: float, tables: int, probes: int, scale:
                     found.append((at[x], at[y], np.full(len(x), t), np.full(len(x), cell)))
             if found:
                 x, y, t, cell = map(np.concatenate, zip(*found))
-                new = first_met(code[x], code[y], t, cell)
+                linked, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                code = cells(unit[linked], tables, probes, scale)
+                new = first_met(code[place[: len(x)]], code[place[len(x) :]], t, cell)
                 x, y = x[new], y[new]
                 n = np.bincount(x, many[y], len(ids)) + np.bincount(y, many[x], len(ids))
                 own = np.flatnonzero(n)
