@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,9 +185,14 @@ def expression(node: Node) -> str:
     return f"({out}){['', '?', '+', '*'][node[1]]}" if node[1] else out
 
 
+def digest(text: str) -> str:
+    """What is kept of a text to compare it, whatever its length."""
+    return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "replace"))
+
+
 class Wrapper:
-    """tree: the expression. slots: for each path of tags the text that it always has, or None if
-    texts differ, and on how many pages. pages: how many it was aligned with."""
+    """tree: the expression. slots: for each path of tags the digest of the text that it always has, or
+    None if texts differ, and on how many pages. pages: how many it was aligned with."""
 
     def __init__(self, tree: Node | None = None, slots: dict | None = None, pages: int = 0):
         self.tree, self.slots, self.pages, self.seen = tree, slots or {}, pages, set()
@@ -199,7 +205,7 @@ class Wrapper:
             tree = stream(paths)
             self.tree = merged(self.tree, tree) if self.tree else tree
         for p, t in blocks:
-            self.slot("/".join(p), t if len(t) <= 200 else None, 0)
+            self.slot("/".join(p), digest(t), 0)
         for p in set(paths):
             self.slots["/".join(p)][1] += 1
         self.pages += 1

@@ -236,6 +236,13 @@ def test_html_parts():
     assert html.expression(other.merge(third).tree) == "<html><body><nav><ul>(<li>#</li>)+</ul></nav>(<div.ad>#</div>)?<article><h1>#</h1>(<p>#</p>)+</article></body></html>"
 
 
+def test_html_long_notice(spark):
+    notice = "We keep what you tell us. " * 12  # over 200 characters, the same on all pages of a host without marks
+    rows = [(i, "http://h/", f"<body><div class=w><h2>{notice}</h2><p>Article {i}</p></div></body>") for i in range(4)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Article {i}" for i in range(4)}
+
+
 def test_html_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     got = html.main_text(pages.withColumn("text", F.lit(1))).toPandas()
