@@ -199,6 +199,12 @@ def test_lines(spark):
     assert got[60] == ("copy", 2, 1)  # its copies count once, so its own line stays
 
 
+def test_lines_standing(spark):
+    rows = [(1000 * h + i, f"own {h} {i}" + "\nstanding" * (i < on) + "\nnow and then" * (i < 8), f"h{h}") for h, on in enumerate((17, 20, 26)) for i in range(200)]
+    got = lines.drop_boilerplate(docs_of(spark, rows)).groupBy("source").agg(F.sum("n_dropped").alias("n")).collect()
+    assert {r["source"]: r["n"] for r in got} == {"h0": 17, "h1": 20, "h2": 26}  # 8.5, 10 and 13 % of the pages
+
+
 def test_mixing(spark, sf_dir, odd):
     docs = table(spark, sf_dir, "documents")
     got = mixing.mix(docs, repeats=1.5).toPandas()
