@@ -27,6 +27,8 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Rows to fit on at most; the rows with the smallest hashes of their text are taken.
 SAMPLE = 4000
 CELLS, DIM, SEEDS, NEAR, HIDDEN = 1 << 14, 64, 4, 2, 24
+#: Tokens whose pairs are counted at once in fitting: 8 pairs of 8 bytes each.
+BLOCK = 1 << 18
 #: So many tokens of the average document are added to each, which keeps short texts from extremes.
 PRIOR = 20
 
@@ -110,16 +112,34 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def word_vectors(texts: list[str], cells: Cells) -> np.ndarray:
-    """Sum, over all places of a token, the index vectors of the tokens within NEAR words."""
-    index, out, pairs = index_vectors(), np.zeros((CELLS, DIM), np.float64), []
+    """Sum, over all places of a token in all texts, the index vectors of the tokens within NEAR words.
+
+    Sums are added up after every some BLOCK tokens, so memory doesn't grow with the texts.
+    """
+    index, out, pairs, held = index_vectors(), np.zeros((CELLS, DIM), np.float64), [], 0
+
+    def add() -> None:
+        pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+        for i in range(0, len(pair), 1 << 18):
+            to, near = np.divmod(pair[i : i + (1 << 18)], CELLS)
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            out[to[first]] += np.add.reduceat(index[near] * n[i : i + (1 << 18), None], first)
+        pairs.clear()
+
     for text in texts:
-        at = np.fromiter(map(cells.__getitem__, tokens(text)), np.int64)
-        pairs += [x for k in range(1, 2 * NEAR + 1) for x in (at[k:] * CELLS + at[:-k], at[:-k] * CELLS + at[k:])]
-    pair, n = np.unique(np.concatenate(pairs or [np.zeros(0, np.int64)]), return_counts=True)
-    for i in range(0, len(pair), 1 << 18):
-        to, near = np.divmod(pair[i : i + (1 << 18)], CELLS)
-        first = np.flatnonzero(np.diff(to, prepend=-1))
-        out[to[first]] += np.add.reduceat(index[near] * n[i : i + (1 << 18), None], first)
+        whole = np.fromiter(map(cells.__getitem__, tokens(text)), np.int64)
+        for start in range(0, len(whole), BLOCK):  # a pair is counted in the block of its second token
+            at = whole[max(0, start - 2 * NEAR) : start + BLOCK]
+            skip = start - max(0, start - 2 * NEAR)
+            for k in range(1, 2 * NEAR + 1):
+                one, two = at[max(0, skip - k) : len(at) - k], at[max(skip, k) :]
+                pairs += (two * CELLS + one, one * CELLS + two)
+            held += len(at)
+            if held >= BLOCK:
+                add()
+                held = 0
+    if pairs:
+        add()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     # a token's own index vector takes part, so that tokens never met in fitting still have a vector
     return (np.divide(out, norm, where=norm > 0, out=np.zeros_like(out)) + index / np.sqrt(SEEDS)).astype(np.float32)
@@ -130,7 +150,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 50, seed: int = 11)
     cells = Cells()
     if not texts:
         texts, labels = [""], np.ones(1)
-    model = Model(word_vectors(texts[:600], cells), np.zeros(DIM), np.zeros(DIM), np.ones(DIM), np.zeros((DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
+    model = Model(word_vectors(texts, cells), np.zeros(DIM), np.zeros(DIM), np.ones(DIM), np.zeros((DIM, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
     model.prior = np.mean([model.pooled(t, cells) for t in texts], 0)
     x, y = np.array([model.pooled(t, cells) for t in texts], np.float64), labels.astype(np.float64)
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6

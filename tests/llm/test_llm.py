@@ -264,6 +264,17 @@ def test_html_pages(spark, sf_dir):
     assert got[1] == "x" and got[2] == got[3] == "" and got[4] == "plain & text" and len(got[5]) == 249_999
 
 
+def test_word_vectors_of_all_texts():
+    rng = np.random.default_rng(2)
+    texts = ["copy of one text " * 3] * 700 + [" ".join(rng.choice(["stone", "water", "tree"], 12)) for _ in range(100)] + ["long " * 300_000]
+    cells = quality.Cells()
+    all_at_once, alone = quality.word_vectors(texts, cells), quality.word_vectors(texts[:700], cells)
+    at = cells["stone"]
+    assert not np.allclose(all_at_once[at], alone[at])
+    model = quality.fit(texts, np.arange(len(texts)) % 2, epochs=1)  # fit learns from all of them, not from the first ones
+    assert np.allclose(model.vectors, all_at_once)
+
+
 def test_quality(spark, sf_dir, odd):
     docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
     model = quality.fit_on(docs, labels)
