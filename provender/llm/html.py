@@ -12,7 +12,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -185,6 +187,36 @@ def expression(node: Node) -> str:
     return f"({out}){['', '?', '+', '*'][node[1]]}" if node[1] else out
 
 
+@lru_cache(100_000)
+def marked(path: tuple[str, ...]) -> tuple[int, ...] | None:
+    """Where a path enters a container that a word of its class or id marks as outside of the article, as
+    lengths of the path; None if a tag, a role or being hidden puts it there anyway."""
+    found, inside = [], False
+    for i, s in enumerate(path):
+        tag, *words = s.split(".")
+        if tag in ("html", "body"):
+            continue
+        if tag == "header" and inside and path[-1].split(".")[0] in HEADING:
+            continue  # the title of an article
+        if tag in AROUND or not ROLES.isdisjoint(words) or "hidden" in words:
+            return None
+        if any(w in WORDS for w in words if not (w == "header" and tag in HEADING)):
+            found.append(i + 1)
+        inside |= tag in BODY_ROLES
+    return tuple(found)
+
+
+def bodies(path: tuple[str, ...]) -> bool:
+    return any(s.split(".")[0] in BODY_ROLES for s in path)
+
+
+def around(path: tuple[str, ...], layout: set[str] = frozenset()) -> bool:
+    """Whether a path leads out of the article: through a menu, a footer, an advert and so on, but for
+    the containers in ``layout``, whose words say how the page is laid out."""
+    at = marked(path)
+    return at is None or any("/".join(path[:n]) not in layout for n in at)
+
+
 def digest(text: str) -> str:
     """What is kept of a text to compare it, whatever its length."""
     return xxhash.xxh3_128_hexdigest(text.encode("utf-8", "replace"))
@@ -192,10 +224,12 @@ def digest(text: str) -> str:
 
 class Wrapper:
     """tree: the expression. slots: for each path of tags the digest of the text that it always has, or
-    None if texts differ, and on how many pages. pages: how many it was aligned with."""
+    None if texts differ, and on how many pages. pages: how many it was aligned with. containers: for
+    each container marked by a word, the characters inside and outside of it on the pages that have it,
+    and how many of each stand in an article or main."""
 
-    def __init__(self, tree: Node | None = None, slots: dict | None = None, pages: int = 0):
-        self.tree, self.slots, self.pages, self.seen = tree, slots or {}, pages, set()
+    def __init__(self, tree: Node | None = None, slots: dict | None = None, pages: int = 0, containers: dict | None = None):
+        self.tree, self.slots, self.pages, self.containers, self.seen = tree, slots or {}, pages, containers or {}, set()
 
     def add(self, blocks: list[tuple[tuple[str, ...], str]]) -> None:
         paths = [p for p, _ in blocks]
@@ -209,6 +243,22 @@ class Wrapper:
         for p in set(paths):
             self.slots["/".join(p)][1] += 1
         self.pages += 1
+        self.weigh(blocks)
+
+    def weigh(self, blocks: list[tuple[tuple[str, ...], str]]) -> None:
+        sizes: Counter = Counter()
+        for p, t in blocks:
+            if marked(p) is not None:
+                sizes[p] += len(t)
+        for c in {p[:n] for p in sizes for n in marked(p)}:
+            sums = self.containers.setdefault("/".join(c), [0, 0, 0, 0])
+            for p, n in sizes.items():
+                if p[: len(c)] == c:
+                    sums[0] += n
+                    sums[2] += n * bodies(p[len(c) - 1 :])
+                elif all(p[:m] == c[:m] for m in marked(p)):  # in no container that c isn't in
+                    sums[1] += n
+                    sums[3] += n * bodies(p)
 
     def slot(self, path: str, text: str | None, pages: int) -> None:
         had = self.slots.setdefault(path, [text, 0])
@@ -220,38 +270,40 @@ class Wrapper:
         self.tree = merged(self.tree, other.tree) if self.tree and other.tree else self.tree or other.tree
         for path, (text, pages) in other.slots.items():
             self.slot(path, text, pages)
+        for path, sums in other.containers.items():
+            self.containers[path] = [x + y for x, y in zip(self.containers.get(path, [0] * 4), sums)]
         self.pages += other.pages
         return self
 
     def dump(self) -> str:
-        return json.dumps([self.tree, self.slots, self.pages], ensure_ascii=False)
+        return json.dumps([self.tree, self.slots, self.pages, self.containers], ensure_ascii=False)
 
     @classmethod
     def load(cls, data: str) -> Wrapper:
         return cls(*json.loads(data))
 
 
-def around(path: tuple[str, ...]) -> bool:
-    """Whether a path leads out of the article: through a menu, a footer, an advert and so on."""
-    inside = False
-    for i, s in enumerate(path):
-        tag, *words = s.split(".")
-        if tag in ("html", "body"):
-            continue
-        if tag == "header" and inside and path[-1].split(".")[0] in HEADING:
-            continue  # the title of an article
-        if tag in AROUND or not ROLES.isdisjoint(words) or any(w in WORDS for w in words if not (w == "header" and tag in HEADING)):
-            return True
-        inside |= tag in BODY_ROLES
-    return False
+def layouts(slots: dict[str, list], containers: dict[str, list]) -> set[str]:
+    """The containers that hold the page rather than a part around its article.
+
+    Where an article or main stands outside of a container, its word is right. Else it is layout if it
+    has an article or main inside or three quarters of the text, and texts in it that vary.
+    """
+    found = set()
+    for c, (within, out, own, others) in containers.items():
+        if 10 * others < within + out and (own or 4 * within >= 3 * (within + out)):
+            if any((p == c or p.startswith(c + "/")) and (text is None or pages < 3) for p, (text, pages) in slots.items()):
+                found.add(c)
+    return found
 
 
-def content(slots: dict[str, list]) -> tuple[set[str], set[str]]:
+def content(slots: dict[str, list], containers: dict[str, list] | None = None) -> tuple[set[str], set[str]]:
     """Of a wrapper's slots: those of the article, and all that could be text if a page has none of those.
 
     A slot with the same text on three pages or more is part of the template.
     """
-    free = {p for p in slots if not around(tuple(p.split("/")))}
+    layout = layouts(slots, containers or {})
+    free = {p for p in slots if not around(tuple(p.split("/")), layout)}
     varying = {p for p in free if slots[p][0] is None or slots[p][1] < 3}
     rest = varying or free
     for marks in ({"article"}, {"main"}, {"article", "post", "entry", "story"}, {"content", "body"}):
@@ -321,7 +373,8 @@ def main_text(pages: DataFrame) -> DataFrame:
                 if w not in parts:
                     if len(parts) > 500:
                         parts.clear()
-                    parts[w] = content(Wrapper.load(w).slots)
+                    whole = Wrapper.load(w)
+                    parts[w] = content(whole.slots, whole.containers)
                 article, rest = parts[w]
                 blocks = [("/".join(p), t) for p, t in parsed(page)]
                 own = [t for p, t in blocks if p in article] or [t for p, t in blocks if p in rest]

@@ -249,6 +249,20 @@ def test_html_long_notice(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"Article {i}" for i in range(4)}
 
 
+def test_html_layout_words(spark):
+    side = "<div class='sidebar'><p>{0} links</p></div><div class='comments'><p>comment {0}</p></div>"
+    forms = {
+        "a": "<div class='layout has-sidebar'><div class=x><p>{1}</p></div>" + side + "</div>",
+        "b": "<p>tag line</p><div id='page' class='no-comments'><div class='layout has-sidebar'><article><p>{1}</p></article>" + side + "</div></div>",
+        "c": "<main class='content sidebar-right'><p>{1}</p></main>" + side,
+        "d": "<article><p>{1}</p></article><div class='comments'><article><p>comment {0}</p></article></div>",  # words that are right
+    }
+    long = {i: f"Article {i} " + "says a lot " * 20 + "." for i in range(4)}
+    rows = [(f"{h}{i}", f"http://{h}/", "<body>" + form.format(i, long[i]) + "</body>") for h, form in forms.items() for i in long]
+    got = html.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {f"{h}{i}": long[i] for h in forms for i in long}
+
+
 def test_html_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     got = html.main_text(pages.withColumn("text", F.lit(1))).toPandas()
