@@ -13,8 +13,8 @@ from .common import settled, table
 
 #: A line on more than this share of a host's pages, and on this many pages, is boilerplate. At sf0.1 a
 #: standing line is on 8.7 % to 13.2 % of a source's pages and the next on at most 4.6 %: half of what the
-#: standing line has on average lies between. Chosen on 11 of the 20 sources, where from 0.05 to 0.08 no line
-#: is dropped in some and kept in others (0.04: 4 lines, 0.1: 1), as on the other 9 (0.04: 5, 0.1: 1).
+#: standing line has on average lies between. In either group of sources looked at (11 and 9 of the 20), from
+#: 0.05 to 0.08 no line is dropped in some and kept in others (0.04: 4 and 5 lines, 0.1: 1 and 1).
 #: Hosts under 100 pages go by LEAST_PAGES, which keeps chance out.
 RATIO, LEAST_PAGES = 0.05, 5
 
