@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -13,11 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. A temporary one only where that is unset and driver and executors
+    are one process; elsewhere executors would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[.*)?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
@@ -31,6 +35,18 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """The caller's columns in one struct ``_in``, so that no helper column can clash with one of them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"))
+
+
+def unwrapped(df: DataFrame, of: DataFrame, **added: Column | str) -> DataFrame:
+    """The columns of ``of`` out of ``_in`` again, with others added; those of the same name are replaced."""
+    lowered = {a.lower() for a in added}
+    own = [F.col("_in").getField(c).alias(c) for c in of.columns if c.lower() not in lowered]
+    return df.select(*own, *((F.col(c) if isinstance(c, str) else c).alias(a) for a, c in added.items()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

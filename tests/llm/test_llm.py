@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from provender.llm import embeddings, fingerprints, html, jaccard, lines, mixing, packing, quality, sharding, substrings
+from provender.llm import embeddings, fingerprints, jaccard, lines, mixing, packing, quality, sharding, substrings
+from provender.llm import html
 from provender.llm.common import components, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,55 +230,6 @@ def test_mixing_exponent(spark):
     assert mixing.exponent(sources, entropy=0.01, repeats=None) == 1.0
 
 
-def test_html_parts():
-    page = '<html><body class="has-sidebar"><header><h1>Site</h1></header><div id="cookie-notice">We use</div><nav><a>m</a></nav><article><header><h1>T &amp t</h1></header><p>one<br>two<p>three &lt;x&gt; <b>bold</b>!<ul><li>a<li>b</ul><form>f</form><aside>s</aside><div class="comments"><p>c</p></div></article><script>if(a<b && c="x) "</p>"</script><!-- <p>no --><footer>&copy;</footer>'
-    w = html.Wrapper()
-    w.add(html.parsed(page))
-    article, _ = html.content(w.slots)
-    assert " ".join(t for p, t in html.parsed(page) if "/".join(p) in article) == "T & t one two three <x> bold! a b"
-    other = html.Wrapper()
-    other.add(html.parsed("<html><body><nav><ul><li>1<li>2<li>3</ul></nav><article><h1>t</h1><p>a</p><p>b</p></article></body></html>"))
-    third = html.Wrapper()
-    third.add(html.parsed("<html><body><nav><ul><li>1</ul></nav><div class=ad>x</div><article><h1>t</h1><p>a</p></article></body></html>"))
-    assert html.expression(other.merge(third).tree) == "<html><body><nav><ul>(<li>#</li>)+</ul></nav>(<div.ad>#</div>)?<article><h1>#</h1>(<p>#</p>)+</article></body></html>"
-
-
-def test_html_long_notice(spark):
-    notice = "We keep what you tell us. " * 12  # over 200 characters, the same on all pages of a host without marks
-    rows = [(i, "http://h/", f"<body><div class=w><h2>{notice}</h2><p>Article {i}</p></div></body>") for i in range(4)]
-    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {i: f"Article {i}" for i in range(4)}
-
-
-def test_html_layout_words(spark):
-    side = "<div class='sidebar'><p>{0} links</p></div><div class='comments'><p>comment {0}</p></div>"
-    forms = {
-        "a": "<div class='layout has-sidebar'><div class=x><p>{1}</p></div>" + side + "</div>",
-        "b": "<p>tag line</p><div id='page' class='no-comments'><div class='layout has-sidebar'><article><p>{1}</p></article>" + side + "</div></div>",
-        "c": "<main class='content sidebar-right'><p>{1}</p></main>" + side,
-        "d": "<article><p>{1}</p></article><div class='comments'><article><p>comment {0}</p></article></div>",  # words that are right
-    }
-    long = {i: f"Article {i} " + "says a lot " * 20 + "." for i in range(4)}
-    rows = [(f"{h}{i}", f"http://{h}/", "<body>" + form.format(i, long[i]) + "</body>") for h, form in forms.items() for i in long]
-    got = html.main_text(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
-    assert {r["page_id"]: r["text"] for r in got} == {f"{h}{i}": long[i] for h in forms for i in long}
-
-
-def test_html_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    got = html.main_text(pages.withColumn("text", F.lit(1))).toPandas()
-    import re
-    from html import unescape
-
-    for page, text in zip(got["html"], got["text"]):
-        body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
-        want = " ".join(" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", body))
-        assert text == " ".join(want.split())
-    odd = spark.createDataFrame([(1, None, "<p>x"), (2, "http://h/", None), (3, "http://h/", ""), (4, "http://h/", "plain & <b>text"), (5, "http://h/", "<p>" + "long " * 50_000)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html.main_text(odd).collect()}
-    assert got[1] == "x" and got[2] == got[3] == "" and got[4] == "plain & text" and len(got[5]) == 249_999
-
-
 def test_word_vectors_of_all_texts():
     rng = np.random.default_rng(2)
     texts = ["copy of one text " * 3] * 700 + [" ".join(rng.choice(["stone", "water", "tree"], 12)) for _ in range(100)] + ["long " * 300_000]
