@@ -1,60 +1,79 @@
 """Substring dedup: words covered by a window that starts in an earlier document too are removed.
 
-A count-min sketch comes first. Each block of documents makes a sketch of its windows, kept as the
-sorted cells that are not 0; sketches are merged by ranges of cells, so a cell's count is never
-less than its windows' counts, and each block learns which of its cells were met more than once.
-Only windows in those cells are grouped exactly, by 128 bits of hash: no repeated window is lost,
-and one that is estimated repeated without being so finds no partner. Documents are dealt by block
+A count-min sketch comes first: ``depth`` rows of counters, in each of which a window has one cell.
+Every block of documents makes a sketch of its windows; sketches of all blocks have the same shape and
+are merged by adding their counters, so the least of a window's counters is never below its count. Each
+block learns which of its counters are above one. Only windows with all their counters above one are
+grouped exactly, by 96 bits of hash: no repeated window is lost, and one that is estimated repeated
+without being so finds no partner. Counters that are 0 are never stored or sent, and ranges of cells are
+merged apart, so a sketch may be as wide as the table asks. Documents are packed into blocks and dealt
 once; the three passes over them share that exchange.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, among, rows_per, table, windows
+from .common import WordHashes, among, mixed, table, windows
 
 WIDTH = 13
+#: Rows of the sketch, and cells in each for every window of the table. A window that isn't repeated meets
+#: another one in a cell with a probability of at most 1 / CELLS, in all rows with CELLS ** -DEPTH: 1.6 %.
+DEPTH, CELLS = 3, 4
 #: An id that is null counts as larger than all others.
 LAST = (1 << 63) - 1
 OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    """64-bit columns of one length, as byte planes under zstd; the first is sorted and goes by differences."""
+    """Unsigned columns of one length, as byte planes under zstd; the first is sorted and goes by differences."""
     first = np.diff(columns[0], prepend=columns[0][:1] * 0)
-    planes = np.concatenate([c.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel() for c in (first, *columns[1:])])
-    return zstandard.compress(planes.tobytes(), 1)
+    planes = [c.astype(c.dtype.newbyteorder("<")).view(np.uint8).reshape(-1, c.itemsize).T.ravel() for c in (first, *columns[1:])]
+    return zstandard.compress(np.concatenate(planes).tobytes(), 1)
 
 
-def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(columns, 8, -1)
-    out = [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    raw, sizes = np.frombuffer(zstandard.decompress(data), np.uint8), [np.dtype(k).itemsize for k in kinds]
+    n, out, at = len(raw) // sum(sizes), [], 0
+    for kind, size in zip(kinds, sizes):
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
     return [np.cumsum(out[0], dtype=np.uint64), *out[1:]]
 
 
-def parts(key: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of 64-bit values begins in sorted keys, and the end."""
-    edges = np.array([(i << 64) // n for i in range(1, n)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(key, edges), [len(key)]])
+def parts(key: np.ndarray, n: int, top: int) -> np.ndarray:
+    """Where each of n equal ranges of the values below top begins in sorted keys, and the end."""
+    edges = np.array([i * top // n for i in range(1, n)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(key, edges), [len(key)]]).astype(np.int64)
 
 
 class Block:
-    """The windows of a block of documents: key1, key2 (hashes), at (first word), doc (row)."""
-
-    def __init__(self, texts: pd.Series, width: int):
-        self.words = [(t or b"").split() for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        self.ends = np.cumsum(sizes)
+    """The windows of a block of documents: key1 and key2 (hashes), at (first word), doc (row), and ids of documents."""
+
+    def __init__(self, row: pd.Series, width: int):
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        sizes, data = np.frombuffer(row["sizes"], "<i8"), zstandard.decompress(row["data"])
+        ends = np.cumsum(sizes)
+        self.words = [data[e - n : e].split() for n, e in zip(sizes.tolist(), ends.tolist())]
+        n = np.array([len(w) for w in self.words], np.int64)
+        self.ends = np.cumsum(n)
         h = WordHashes().of([x for w in self.words for x in w])
         key1, key2 = windows(h, width), windows(h ^ OTHER, width)
-        doc = np.repeat(np.arange(len(sizes)), sizes)[: len(key1)]
+        doc = np.repeat(np.arange(len(n)), n)[: len(key1)]
         self.at = np.flatnonzero(np.arange(width, len(key1) + width) <= self.ends[doc]) if len(key1) else np.zeros(0, np.int64)
-        self.key1, self.key2, self.doc = key1[self.at], key2[self.at], doc[self.at]
+        self.key1, self.key2, self.doc = key1[self.at], key2[self.at].astype(np.uint32), doc[self.at]
+
+
+def counters(key: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """depth x n: the counter of each window in each row of a sketch of 2 ** bits cells a row, as one number."""
+    cells = [mixed(key + turn) >> np.uint64(64 - bits) for turn in np.arange(1, depth + 1, dtype=np.uint64) * OTHER]
+    return np.array([c * np.uint64(depth) + np.uint64(d) for d, c in enumerate(cells)], np.uint64).reshape(depth, len(key))
 
 
 def starts(*keys: np.ndarray) -> np.ndarray:
@@ -65,82 +84,126 @@ def starts(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, each: int = 1000, cells: int = 8) -> DataFrame:
+def blocks_of(docs: DataFrame, size: int) -> DataFrame:
+    """(block, ids, sizes, data): the documents of a partition in blocks of ``size`` bytes of text, under zstd.
+
+    A longer text is a block alone. The number of a block hangs on its place in the scan.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list[int] = []
+        texts: list[bytes] = []
+        held, n, part = 0, 0, 0
+
+        def out() -> pd.DataFrame:
+            row = (part << 24) + n, np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.compress(b"".join(texts), 1)
+            return pd.DataFrame([row], columns=["block", "ids", "sizes", "data"])
+
+        for pdf in batches:
+            for part, i, text in zip(pdf["part"], pdf["id"], pdf["text"]):
+                text = text or b""
+                if texts and held + len(text) > size:
+                    yield out()
+                    ids, texts, held, n = [], [], 0, n + 1
+                ids.append(i)
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield out()
+
+    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(run, "block long, ids binary, sizes binary, data binary")
+
+
+def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float = CELLS, block_bytes: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): what is left of each text, its words joined by one space.
 
     A word goes if a window of ``width`` words covers it whose words also stand in a row in a
     document with a smaller doc_id. Rows with the same id don't take words from one another; a
     null id counts as larger than all. Null and empty texts have no words; texts with fewer words
-    than a window stay whole; an empty table gives an empty one. ``each`` rows make a block;
-    the sketch has some 2 ** ``cells`` cells for each window of the table.
+    than a window stay whole; very long texts count whole; other columns of docs are left out and
+    may have any names; an empty table gives an empty one.
+
+    The sketch has ``depth`` rows of some ``cells`` cells for each window that the table has at most.
+    It may be far too small: then more windows are grouped exactly, and none is lost. Blocks hold 1/64
+    of the texts' bytes, but 256 kB at least and 4 MB at most, or 1/32768 of all if that is more, so
+    that what a block sends to a range of cells stays worth a row.
     """
-    rows = docs.count()
-    blocks = rows_per(rows, each)
-    shards = max(128, blocks // 2)
-    # a document is taken to have some 512 words; with longer ones the sketch only estimates higher
-    drop = np.uint64(max(0, 64 - int(np.ceil(np.log2(max(1, rows) * 512))) - cells))
-    dealt = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("binary").alias("text")).withColumn("block", F.expr(f"cast(pmod(xxhash64(id, text), {blocks}) as int)"))
-
-    def dealt_out(block: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
-        at = parts(key, shards)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = block_bytes or max(1 << 18, min(1 << 22, total // 64), total // 32768)
+    most = max(1, total // 2)  # windows of one-letter words; texts have some third of that
+    bits = max(1, int(np.ceil(np.log2(cells * max(1, most // 3)))))
+    top = depth << bits
+    shards = max(16, min(most // 3_000_000, size // 400))
+    dealt = blocks_of(docs.select("doc_id", "text"), size)
+    sent = ["block", "shard", "data"]
+
+    def dealt_out(block: int, key: np.ndarray, end: int, *columns: np.ndarray) -> pd.DataFrame:
+        at = parts(key, shards, end)
         full = np.flatnonzero(np.diff(at))
-        return pd.DataFrame({"block": block, "shard": full, "data": [packed(*(c[at[i] : at[i + 1]] for c in columns)) for i in full]}, columns=["block", "shard", "data"])
+        return pd.DataFrame({"block": block, "shard": full, "data": [packed(*(c[at[i] : at[i + 1]] for c in columns)) for i in full]}, columns=sent)
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Block(pdf["text"], width)
-        cell = b.key1 >> drop
-        order = np.lexsort((cell, b.doc))
-        doc, cell = b.doc[order], cell[order]
-        cell = cell[starts(doc, cell)]  # a document counts once in a cell
-        value, n = np.unique(cell, return_counts=True)
-        return dealt_out(int(pdf["block"].iloc[0]), value << drop, value, n.astype(np.uint64))
+        value, n = np.unique(counters(Block(pdf.iloc[0], width).key1, depth, bits), return_counts=True)
+        return dealt_out(pdf["block"].iloc[0], value, top, value, np.minimum(n, 2).astype(np.uint8))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [unpacked(x, 2) for x in pdf["data"]]
+        """For each block a bit for each of the counters it sent: whether the sum is above one."""
+        got = [unpacked(x, "<u8", "u1") for x in pdf["data"]]
         value, place = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        often = value[np.bincount(place, np.concatenate([g[1] for g in got])) > 1]
-        met = [g[0][among(often, g[0])] for g in got]
-        keep = [i for i, m in enumerate(met) if len(m)]
-        return pd.DataFrame({"block": pdf["block"].iloc[keep].to_numpy(), "data": [packed(met[i]) for i in keep]}, columns=["block", "data"])
+        often = np.bincount(place, np.concatenate([g[1] for g in got])) > 1
+        ends = np.cumsum([len(g[0]) for g in got])
+        bits_of = [np.packbits(often[place[e - len(g[0]) : e]]).tobytes() for g, e in zip(got, ends)]
+        return pd.DataFrame({"block": pdf["block"].to_numpy(), "shard": pdf["shard"].to_numpy(), "data": bits_of})
 
     def candidates(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty or answer.empty:
-            return pd.DataFrame(columns=["block", "shard", "data"])
-        b, often = Block(pdf["text"], width), np.sort(np.concatenate([unpacked(x, 1)[0] for x in answer["data"]]))
-        on = among(often, b.key1 >> drop)
-        k1, k2, ids = b.key1[on], b.key2[on], pdf["id"].to_numpy()[b.doc[on]]
+            return pd.DataFrame(columns=sent)
+        b = Block(pdf.iloc[0], width)
+        own = counters(b.key1, depth, bits)
+        value = np.unique(own)
+        at = parts(value, shards, top)
+        often = np.zeros(len(value), bool)
+        for shard, data in zip(answer["shard"], answer["data"]):
+            often[at[shard] : at[shard + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=at[shard + 1] - at[shard])
+        value = value[often]
+        on = np.logical_and.reduce([among(value, row) for row in own])
+        k1, k2, ids = b.key1[on], b.key2[on], b.ids[b.doc[on]]
         order = np.lexsort((ids, k2, k1))
         k1, k2, ids = k1[order], k2[order], ids[order]
         first = np.flatnonzero(starts(k1, k2))
         last = np.concatenate([first[1:], [len(k1)]])[: len(first)] - 1
-        return dealt_out(int(pdf["block"].iloc[0]), k1[first], k1[first], k2[first], ids[first], ids[last])
+        low = ids[first].view(np.uint64)
+        return dealt_out(pdf["block"].iloc[0], k1[first], 1 << 64, k1[first], k2[first], low, ids[last].view(np.uint64) - low)
 
     def least(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = [unpacked(x, 4) for x in pdf["data"]]
-        k1, k2, low, high = (np.concatenate(c) for c in zip(*got))
-        low, high, of = low.view(np.int64), high.view(np.int64), np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
+        """For each block those of its windows that stand in a document earlier than one of its own, and the first such."""
+        got = [unpacked(x, "<u8", "<u4", "<u8", "<u8") for x in pdf["data"]]
+        k1, k2, low, more = (np.concatenate(c) for c in zip(*got))
+        high, low = (low + more).view(np.int64), low.view(np.int64)
         order = np.lexsort((low, k2, k1))
         new = starts(k1[order], k2[order])
         small = np.empty_like(low)
         small[order] = low[order][new][np.cumsum(new) - 1]
-        on = small < high  # some document of that block has an earlier one
-        out = []
-        for i in np.unique(of[on]):
-            own = on & (of == i)
-            out.append((int(pdf["block"].iloc[i]), packed(k1[own], k2[own], small[own].astype(np.uint64))))
+        on, out, end = small < high, [], 0
+        for block, g in zip(pdf["block"], got):
+            own = end + np.flatnonzero(on[end : end + len(g[0])])
+            end += len(g[0])
+            if len(own):
+                out.append((block, packed(k1[own], k2[own], small[own].view(np.uint64))))
         return pd.DataFrame(out, columns=["block", "data"])
 
     def remove(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=["id", "n_words", "n_removed", "kept"])
-        b = Block(pdf["text"], width)
+        b = Block(pdf.iloc[0], width)
         total = int(b.ends[-1]) if len(b.ends) else 0
         cover = np.zeros(total + width + 1, np.int64)
         if len(answer):
-            k1, k2, small = (np.concatenate(c) for c in zip(*(unpacked(x, 3) for x in answer["data"])))
+            k1, k2, small = (np.concatenate(c) for c in zip(*(unpacked(x, "<u8", "<u4", "<u8") for x in answer["data"])))
             order = np.lexsort((k2, k1))
             k1, k2, small = k1[order], k2[order], small[order].view(np.int64)
-            at, ids = np.searchsorted(k1, b.key1), pdf["id"].to_numpy()[b.doc]
+            at, ids = np.searchsorted(k1, b.key1), b.ids[b.doc]
             for step in range(int(np.unique(k1, return_counts=True)[1].max())):  # more than one only where 64 bits agree by chance
                 i = np.minimum(at + step, len(k1) - 1)
                 start = b.at[(k1[i] == b.key1) & (k2[i] == b.key2) & (small[i] < ids)]
@@ -153,11 +216,11 @@ def dedup(docs: DataFrame, width: int = WIDTH, each: int = 1000, cells: int = 8)
             removed.append(int(g.sum()))
             kept.append(b" ".join(words if not removed[-1] else [w for w, x in zip(words, g.tolist()) if not x]))
             start = end
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
+        return pd.DataFrame({"id": b.ids, "n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
 
-    by_block, by_shard = "block int, shard int, data binary", "block int, data binary"
-    often = dealt.groupBy("block").applyInPandas(sketch, by_block).groupBy("shard").applyInPandas(merge, by_shard)
-    found = dealt.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(candidates, by_block).groupBy("shard").applyInPandas(least, by_shard)
+    by_shard, by_block = "block long, shard int, data binary", "block long, data binary"
+    often = dealt.groupBy("block").applyInPandas(sketch, by_shard).groupBy("shard").applyInPandas(merge, by_shard)
+    found = dealt.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(candidates, by_shard).groupBy("shard").applyInPandas(least, by_block)
     left = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remove, "id long, n_words long, n_removed long, kept binary")
     return left.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 

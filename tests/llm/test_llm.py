@@ -109,6 +109,26 @@ def test_substrings(spark, sf_dir, odd, which):
     assert got == brute_substrings([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
 
 
+@pytest.mark.parametrize("shape", [{"cells": 1e-4, "depth": 1}, {"cells": 1e-4}, {"depth": 5}, {"block_bytes": 2000}])
+def test_substrings_any_sketch(spark, odd, shape):
+    """A sketch far too small, or blocks of a few documents, lose nothing."""
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substrings.dedup(odd, **shape).collect()}
+    assert got == brute_substrings([(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()])
+
+
+def test_sketch_never_counts_less():
+    key = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    key = np.concatenate([key, key[:300]])
+    for bits in (4, 10, 20):
+        own = substrings.counters(key, 3, bits)
+        assert len(np.unique(own % 3)) == 3 and (own < 3 << bits).all() and (own[:, :300] == own[:, 5000:]).all()
+        sums = np.bincount(own.ravel().astype(np.int64), minlength=3 << bits)
+        least = sums[own.astype(np.int64)].min(0)
+        assert (least[:300] >= 2).all() and (least >= 1).all()
+        if bits == 20:
+            assert (least[300:5000] > 1).mean() < 0.02
+
+
 def test_substrings_null_ids(spark):
     w = " ".join(f"w{i}" for i in range(20))
     got = substrings.dedup(spark.createDataFrame([(None, w), (5, w), (5, w)], "doc_id long, text string")).collect()
