@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, among, components, forest, settled, table, windows
+from .common import WordHashes, among, components, distinct, forest, settled, table, windows
 
 WORDS, PERCENT = 5, 80
 #: The share of a document's shingles, those with the smallest hashes, whose frequency is counted.
@@ -34,7 +34,7 @@ def shingles(text: bytes, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
     h = hashes.of(words)
     if len(h) < width:
         return windows(np.append(h, np.uint64(len(h))), len(h) + 1)
-    return np.unique(windows(h, width))
+    return distinct(windows(h, width))
 
 
 def prefix_size(n: Column) -> Column:

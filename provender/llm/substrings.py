@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, among, mixed, table, windows
+from .common import WordHashes, mixed, table, windows
 
 WIDTH = 13
 #: Rows of the sketch, and cells in each for every window of the table. A window that isn't repeated meets
@@ -161,13 +161,17 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
             return pd.DataFrame(columns=sent)
         b = Block(pdf.iloc[0], width)
         own = counters(b.key1, depth, bits)
-        value = np.unique(own)
+        order = np.argsort(own.ravel())
+        value = own.ravel()[order]
+        new = starts(value)
+        value, place = value[new], np.cumsum(new) - 1
         at = parts(value, shards, top)
         often = np.zeros(len(value), bool)
         for shard, data in zip(answer["shard"], answer["data"]):
             often[at[shard] : at[shard + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=at[shard + 1] - at[shard])
-        value = value[often]
-        on = np.logical_and.reduce([among(value, row) for row in own])
+        above = np.empty(own.size, bool)
+        above[order] = often[place]
+        on = above.reshape(own.shape).all(0)
         k1, k2, ids = b.key1[on], b.key2[on], b.ids[b.doc[on]]
         order = np.lexsort((ids, k2, k1))
         k1, k2, ids = k1[order], k2[order], ids[order]
