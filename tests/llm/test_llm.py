@@ -1,10 +1,12 @@
 """The corpus operators against brute force on small tables, and their edge cases."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from provender.llm import embeddings, fingerprints, jaccard, lines, mixing, packing, quality, sharding, substrings
@@ -135,11 +137,38 @@ def test_substrings_null_ids(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in got) == [(0, 20), (5, 0), (5, 0)]
 
 
+M64 = (1 << 64) - 1
+
+
+def spread_bits(h):
+    h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & M64
+    h = (h ^ (h >> 27)) * 0x94D049BB133111EB & M64
+    return h ^ (h >> 31)
+
+
+def plain_print(text):
+    """The fingerprint by its definition, bit by bit: pairs of words vote by their hash's bits."""
+    h = [xxhash.xxh3_64_intdigest(w) for w in text.encode().split()]
+    terms = [spread_bits((a * 0x9E3779B97F4A7C15 + b) & M64) for a, b in zip(h, h[1:])] if len(h) > 1 else h
+    out = []
+    for half in range(2):
+        for byte in range(8):
+            for bit in range(7, -1, -1):
+                ones = sum(spread_bits((t + half) & M64) >> (8 * byte + bit) & 1 for t in terms)
+                out.append(2 * ones > len(terms))
+    return bytes(sum(b << 7 - i for i, b in enumerate(out[k : k + 8])) for k in range(0, 128, 8)).hex()
+
+
+def plain_likeness(a, b):
+    apart = bin(int(a, 16) ^ int(b, 16)).count("1")
+    return max(0.0, math.cos(math.pi * apart / 128))
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_fingerprints(spark, sf_dir, odd, which):
     docs = odd if which == "odd" else table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    got = {r["doc_id"]: r for r in fingerprints.with_next(rows).collect()}
+    got = {r["doc_id"]: r for r in fingerprints.with_next(rows, each=7).collect()}
     made = {r["doc_id"]: bytes(r["edited"]).decode() for r in fingerprints.edited_prints(fingerprints.neighbours(rows)).collect()}
     order = sorted(got, reverse=True)
     for i, d in enumerate(order):
@@ -148,6 +177,40 @@ def test_fingerprints(spark, sf_dir, odd, which):
         assert got[d]["next_text"] == following and made[d] == text[: len(text) - half] + following[:half]
 
 
+def test_fingerprint_query(spark, sf_dir):
+    """Every column of the query by its definition."""
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, sf_dir, "documents").collect()}
+    got = {r["doc_id"]: r for r in fingerprints.op9_fingerprints(spark, sf_dir).collect()}
+    assert got.keys() == docs.keys()
+    order = sorted(docs, reverse=True)
+    prints = {d: plain_print(t) for d, t in docs.items()}
+    for i, d in enumerate(order):
+        text, after = docs[d], order[(i + 1) % len(order)]
+        half = len(text) // 2
+        changed = text[: len(text) - half] + docs[after][:half]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest(), prints[d], plain_print(changed))
+        assert r["near_edited"] == pytest.approx(plain_likeness(prints[d], plain_print(changed)), abs=1e-12) and r["near_next"] == pytest.approx(plain_likeness(prints[d], prints[after]), abs=1e-12)
+        want = sum(bin(int(prints[d], 16) ^ int(p, 16)).count("1") <= fingerprints.RADIUS for p in prints.values()) - 1
+        assert r["n_near"] == (want if d % 100 == 0 else None)
+
+
+def test_neighbours_of_equal_and_null_ids(spark):
+    rows = [(None, "n1"), (None, "n2"), (5, "b"), (5, "a"), (5, "a"), (9, "z"), (-3, None)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("_tie", "_id", "_block", "_added", "_in", "_of", "_e")}).repartition(3)
+    for each in (1, 4, 100):
+        got = fingerprints.with_next(docs, each=each)
+        assert set(docs.columns) <= set(got.columns)
+        got = got.collect()
+        assert len(got) == 21 and all(r["_tie"] == r["_id"] == r["_block"] == r["_added"] == r["_in"] == r["_of"] == 1 for r in got)
+        after = {}
+        for r in got:
+            after.setdefault(r["doc_id"], []).append(r["next_text"])
+        assert sorted(after[9]) == sorted(["z", "z"] + [x for x in after[9] if x in "ab"]) and sum(x in ("n1", "n2") for x in after[-3]) == 1
+        assert sum(x == "z" for x in after[None]) == 1
+        assert sorted((r["next_text"] or "") for r in got) == sorted((t or "") for _, t in rows * 3)  # a cycle: each follows once
+
+
 def test_likeness_and_search(spark, sf_dir):
     prints = fingerprints.fingerprints(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint").cache()
     bits = {r["doc_id"]: np.unpackbits(np.frombuffer(bytes.fromhex(r["fingerprint"]), np.uint8)) for r in prints.collect()}
