@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import settled, table
 
 #: A token is a run of letters and digits, or a run of other signs.
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
@@ -185,24 +185,26 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold, of both labels alike.
+    """Fit on at most ``sample`` labelled documents outside the held-out fold, of both labels alike.
 
-    Up to twice ``sample`` whole texts come to the driver; the bound is a parameter.
+    They are those with the smallest hashes of their ids, so which are taken hangs neither on order nor
+    on how rows are dealt; whole texts of no more than ``sample`` documents come to the driver. A
+    document with several labels counts as good if one says so; of rows that share an id the largest
+    text is taken; null texts count as empty; without labelled rows the model says 0.5 or more of all.
     """
     known = labels.where("quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    if n > sample:  # by a hash of the id, so which rows are taken hangs neither on order nor on size
-        known = known.where(F.expr(f"pmod(xxhash64(doc_id, 5), 1000000) < {int(1e6 * sample / n)}"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "quality")
-    got = rows.limit(2 * sample).toPandas().sort_values("text", key=lambda s: s.map(lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace"))), kind="stable")
+    known = known.where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample)
+    known = F.broadcast(settled(known, "sample"))  # ``sample`` rows of two numbers
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    got = rows.toPandas().sort_values("text", key=lambda s: s.map(lambda t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace"))), kind="stable")
     return fit(got["text"].tolist(), got["quality"].to_numpy())
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1; higher: better) to docs, from whole texts; null counts as empty.
+    """Add ``score`` (0 to 1; higher: better) to docs, from whole texts, very long ones too; null counts as empty.
 
-    An empty text scores as the average document. Repeated rows and ties score alike; an empty
-    table stays empty; a ``score`` column that docs already has is replaced, others stay.
+    An empty text scores as the average document. Repeated rows and ties score alike; an empty table
+    stays empty; a ``score`` column that docs already has is replaced, others stay whatever their names.
     """
     model = docs.sparkSession.sparkContext.broadcast(model)  # CELLS x DIM floats: 4 MB whatever the input
 
