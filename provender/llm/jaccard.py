@@ -102,6 +102,39 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
+def families_met(tokens: DataFrame, most: int = 512, bucket: int = 512) -> DataFrame:
+    """(host, f, k): pairs of families that a token brings together, the members of the smaller to visit the larger (k members).
+
+    tokens: token, f, and of each family k (members), low and high (least and greatest component), small and
+    large (sizes of sets). Pairs that hang together already, or whose sizes are too unlike, are left out before
+    they are rows. A token of over ``most`` families is dealt into buckets, and buckets are compared within tasks.
+    """
+    own = ["f", "k", "low", "high", "small", "large"]
+    many = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    rows = tokens.join(many, "token")
+    one, two = (rows.where(f"n between 2 and {most}").select("token", *(F.col(c).alias(c + s) for c in own)) for s in "12")
+    open_ = F.expr(f"f1 < f2 and not (low1 = high1 and low2 = high2 and low1 = low2) and 100 * large1 >= {PERCENT} * small2 and 100 * large2 >= {PERCENT} * small1")
+    at_home = F.expr("k1 > k2 or (k1 = k2 and f1 < f2)")
+    few = one.join(two, "token").where(open_).select(F.when(at_home, F.col("f1")).otherwise(F.col("f2")).alias("host"), F.when(at_home, F.col("f2")).otherwise(F.col("f1")).alias("f"), F.greatest("k1", "k2").alias("k"))
+
+    hot = rows.where(f"n > {most}").withColumn("b", F.expr(f"cast(ceil(n / {bucket}) as int)")).withColumn("x", F.expr("cast(pmod(xxhash64(f), b) as int)"))
+    hot = hot.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("b") - 1))).select("token", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", *own)
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        f, k, low, high, small, large, x = (pdf[c].to_numpy() for c in (*own, "x"))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        a, b = np.flatnonzero(x == i), np.flatnonzero(x == j)
+        near = (100 * large[a][:, None] >= PERCENT * small[b][None]) & (100 * large[b][None] >= PERCENT * small[a][:, None])
+        near &= ~((low[a] == high[a])[:, None] & (low[b] == high[b])[None] & (low[a][:, None] == low[b][None]))
+        near &= (f[a][:, None] < f[b][None]) if i == j else (f[a][:, None] != f[b][None])
+        p, q = np.nonzero(near)
+        p, q = a[p], b[q]
+        home = (k[p] > k[q]) | ((k[p] == k[q]) & (f[p] < f[q]))
+        return pd.DataFrame({"host": np.where(home, f[p], f[q]), "f": np.where(home, f[q], f[p]), "k": np.maximum(k[p], k[q])})
+
+    return few.union(hot.groupBy("token", "i", "j").applyInPandas(pairs, "host long, f long, k long")).distinct()
+
+
 def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int = 256) -> DataFrame:
     """Links (a, b) that join different components among members (doc_id, n, c: component, f: family).
 
@@ -113,13 +146,7 @@ def between(members: DataFrame, tokens: DataFrame, texts: DataFrame, chunk: int
     role = settled(members.join(head, "f", "left").withColumn("rest", ~F.coalesce(F.col("c") == F.col("main"), F.lit(False))).drop("main"), "role")
     per = role.groupBy("f").agg(F.count("*").alias("k"), F.count_if("rest").alias("u"), F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("small"), F.max("n").alias("large"))
     per = settled(per, "families")
-    one, two = (per.select(*(F.col(c).alias(c + s) for c in per.columns)) for s in "12")
-    t1, t2 = (tokens.select("token", F.col("f").alias("f" + s)) for s in "12")
-    met = t1.join(t2, "token").where("f1 < f2").select("f1", "f2").distinct().join(one, "f1").join(two, "f2")
-    met = met.where("not (low1 = high1 and low2 = high2 and low1 = low2)").where(f"100 * large1 >= {PERCENT} * small2 and 100 * large2 >= {PERCENT} * small1")
-    # the members of the smaller family visit the larger one
-    at_home = F.expr("k1 > k2 or (k1 = k2 and f1 < f2)")
-    met = met.select(F.when(at_home, F.col("f1")).otherwise(F.col("f2")).alias("host"), F.when(at_home, F.col("f2")).otherwise(F.col("f1")).alias("f"), F.greatest("k1", "k2").alias("k"))
+    met = families_met(settled(tokens.join(per.drop("u"), "f"), "tokens"))
     visitors = settled(role.join(settled(met, "families_met"), "f").select("host", "k", "doc_id", "n", "c"), "visitors")
     hosts = settled(visitors.groupBy("host", "k").agg(F.count("*").alias("v")), "hosts")
 
