@@ -10,18 +10,19 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, table
+from .common import settled, table, unwrapped, wrapped
 
-#: In the mix of the query no document is dropped, and none is taken more often than this, rounded up.
-REPEATS, SEED, BLOCK = 1.25, 17, 1000
+#: In the mix of the query no document is dropped, and the rarest source is taken this many times: of a
+#: source with a third of all tokens beside twenty even ones, the weight falls from 0.33 to 0.21.
+REPEATS, SEED, BLOCK = 2.0, 17, 1000
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs with ``n_tokens``, the words of the text: runs without ASCII white space."""
-    return docs.withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
+def tokens_in(text: Column) -> Column:
+    """The words of a text: runs without ASCII white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def exponent(sources: DataFrame, entropy: float | None = None, repeats: float | None = None, rounds: int = 10) -> float:
@@ -72,35 +73,43 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = R
     The order of a source is (epoch, block, place): each epoch is a permutation of its documents,
     dealt into blocks by hash; the last epoch of a source ends in the block where its budget does,
     with the document that reaches it. Only blocks' sums and that one block are put in order, so a
-    large source isn't gathered. A null source is a source of its own; null and empty texts have no
-    tokens;
-    repeated rows are documents of their own; an empty table gives an empty one. Columns of
-    those five names are replaced, others stay.
+    large source isn't gathered. Documents that tie in their place go by doc_id (null first) and text;
+    repeated rows are documents of their own that share a place. A null source is a source of its own;
+    null and empty texts have no tokens, and a source without any is taken once as it is; very long
+    texts count whole; an empty table gives an empty one. Columns of those five names are replaced,
+    others stay whatever their names.
     """
-    names = [c for c in docs.columns if c not in ("epoch", "block", "place", "weight", "n_tokens")]
-    rows = counted(docs.select(*names)).withColumns({"_s": F.coalesce(F.col(source).cast("string"), F.lit("")), "_none": F.col(source).isNull()})
+    own = F.col("_in")
+    name = own.getField(source)
+    rows = wrapped(docs).withColumns({"_s": F.coalesce(name.cast("string"), F.lit("")), "_none": name.isNull(), "_id": own["doc_id"], "_text": own["text"], "n_tokens": tokens_in(own["text"])})
     sources = settled(rows.groupBy("_s", "_none").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
     plan = budgets(sources, exponent(sources, entropy, repeats), budget).withColumn("blocks", F.ceil(F.col("docs") / block)).drop("docs", "tokens")
     plan = settled(plan, "plan")
     dealt = rows.join(plan, ["_s", "_none"])
 
-    last = dealt.where("rest > 0").withColumn("block", F.expr(f"pmod(xxhash64(doc_id, whole, {seed}), blocks)"))
+    def block_in(epoch: str) -> Column:
+        return F.expr(f"pmod(xxhash64(_id, {epoch}, {seed}), blocks)")
+
+    def place_in(epoch: str) -> Column:
+        return F.expr(f"xxhash64(_id, {epoch}, {seed + 1})")
+
+    last = dealt.where("rest > 0").withColumn("block", block_in("whole"))
     sums = last.groupBy("_s", "_none", "block", "rest").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_s", "_none").orderBy("block")) - F.col("n")
     cut = sums.withColumn("before", before).where("before < rest and before + n >= rest")
     # where rounding leaves the rest a little over the sum, the last block is the one
     cut = settled(cut.groupBy("_s", "_none").agg(F.min("block").alias("cut"), F.min_by("before", "block").alias("before")), "cut")
     dealt = dealt.join(cut, ["_s", "_none"], "left")
-    ends = F.expr(f"pmod(xxhash64(doc_id, whole, {seed}), blocks)")
-    epochs = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
-    more = F.when((F.col("rest") > 0) & (ends < F.coalesce("cut", F.col("blocks"))), F.array("whole")).otherwise(F.array().cast("array<int>"))
-    taken = dealt.withColumn("epoch", F.explode(F.concat(epochs, more))).withColumn("block", F.expr(f"pmod(xxhash64(doc_id, epoch, {seed}), blocks)"))
-    taken = taken.withColumn("place", F.expr(f"xxhash64(doc_id, epoch, {seed + 1})"))
-    edge = dealt.where((F.col("rest") > 0) & (ends == F.col("cut"))).withColumns({"epoch": F.col("whole"), "block": ends, "place": F.expr(f"xxhash64(doc_id, whole, {seed + 1})")})
-    order = Window.partitionBy("_s", "_none").orderBy("place", "doc_id", *(["text"] if "text" in names else []))
-    edge = edge.withColumn("_before", F.col("before") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).where("_before < rest")
-    columns = [*names, "epoch", "block", "place", "weight", "n_tokens"]
-    return taken.select(*columns).union(edge.select(*columns))
+    none = F.array().cast("array<int>")
+    epochs = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(none)
+    more = F.when((F.col("rest") > 0) & (block_in("whole") < F.coalesce("cut", F.col("blocks"))), F.array("whole")).otherwise(none)
+    taken = dealt.withColumn("epoch", F.explode(F.concat(epochs, more))).withColumns({"block": block_in("epoch"), "place": place_in("epoch")})
+    edge = dealt.where((F.col("rest") > 0) & (block_in("whole") == F.col("cut"))).withColumns({"epoch": F.col("whole"), "block": block_in("whole"), "place": place_in("whole")})
+    order = Window.partitionBy("_s", "_none").orderBy("place", "_id", "_text").rowsBetween(Window.unboundedPreceding, 0)
+    edge = edge.withColumn("_before", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens")).where("_before < rest")
+    added = ["epoch", "block", "place", "weight", "n_tokens"]
+    both = taken.select("_in", *added).union(edge.select("_in", *added))
+    return unwrapped(both, docs, **{c: c for c in added})
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
