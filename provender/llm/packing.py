@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rows_per, settled, table
+from .common import rows_per, settled, table, unwrapped, wrapped
 
 CAPACITY, END_ID = 1024, 2
 ENCODING = "byte_bpe_50k"
@@ -61,7 +61,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian unsigned 32-bit) of each piece, and the columns in keep.
 
-    A null text counts as empty, and an empty one is the end id alone. Long texts make many pieces.
+    A null text counts as empty, and an empty one is the end id alone. Very long texts make many pieces.
+    Repeated rows are cut alike, each into pieces of its own; a null doc_id stays null; an empty table gives
+    an empty one. Columns of docs that aren't in keep are left out and may have any names.
     """
     vocabulary = vocabulary or vocabulary_path()
     kind = docs.select("doc_id", *keep).schema
@@ -217,9 +219,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = 48) -> DataFr
 
     Lengths are 1 to ``capacity``. Only the counts by length come to the driver and only the plan,
     bounded by ``capacity``, goes out; ranks among pieces of a length are taken within blocks, so a
-    common length isn't gathered in one task. Repeated rows are pieces of their own; ties among
-    equal lengths go by block, doc_id and piece; an empty table gives an empty one. items are read
-    more than once: pass a table, or what ``settled`` returns.
+    common length isn't gathered in one task. Repeated rows are pieces of their own, and rows without a
+    doc_id too; ties among equal lengths go by block, doc_id (null first) and piece, and which of repeated
+    rows comes first doesn't matter, as they are alike; an empty table gives an empty one. Columns named
+    sequence_id or offset are replaced, others stay whatever their names. items are read more than once:
+    pass a table, or what ``settled`` returns.
     """
     spark = items.sparkSession
     found = items.groupBy("length").agg(F.count("*").alias("n")).toPandas()
@@ -229,10 +233,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = 48) -> DataFr
     rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
     sent = spark.sparkContext.broadcast(rows)
     blocks = rows_per(int(counts.sum()), 4000)
-    keyed = items.withColumn("_block", F.expr(f"cast(pmod(xxhash64(doc_id, piece), {blocks}) as int)"))
+    keyed = wrapped(items).withColumns({"length": F.col("_in.length"), "_id": F.col("_in.doc_id"), "_piece": F.col("_in.piece")})
+    keyed = keyed.withColumn("_block", F.expr(f"cast(pmod(xxhash64(_id, _piece), {blocks}) as int)"))
     starts = keyed.groupBy("length", "_block").agg(F.count("*").alias("_n"))
     starts = starts.select("length", "_block", (F.sum("_n").over(Window.partitionBy("length").orderBy("_block")) - F.col("_n")).alias("_start"))
-    within = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "piece")))
+    within = keyed.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_block").orderBy("_id", "_piece")))
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
@@ -242,7 +247,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, groups: int = 48) -> DataFr
         return pd.DataFrame({"sequence_id": r[at, 3] + rank.to_numpy() - r[at, 1], "offset": r[at, 4]})
 
     out = within.join(starts, ["length", "_block"]).withColumn("_at", placed("length", F.col("_start") + F.col("_row") - 1))
-    return out.select(*items.columns, "_at.*")
+    return unwrapped(out, items, sequence_id="_at.sequence_id", offset="_at.offset")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

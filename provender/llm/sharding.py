@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, settled, table
+from .common import ranked, settled, table, unwrapped, wrapped
 
 ORDER = 8  # bits of a dimension
 
@@ -61,27 +61,32 @@ def shards(rows: DataFrame, dimensions: list[str], n: int, ties: list[str]) -> D
 
     Counts of shards differ by one at most. Rows of one cell follow each other by ``ties``, whose
     last column should tell all rows apart; repeated rows take places of their own, with nulls
-    first. With fewer rows than shards some stay empty; an empty table gives an empty one. rows
-    should be narrow: put texts to their shards by key afterwards.
+    first, and a null dimension is a cell of its own. With fewer rows than shards some stay empty; an
+    empty table gives an empty one. Columns of those three names are replaced, others stay whatever
+    their names. rows should be narrow: a very long text is moved as often as its row, so put texts to
+    their shards by key afterwards.
     """
-    kinds = dict(rows.dtypes)
+    kinds, whole = dict(rows.dtypes), rows
+    rows = wrapped(rows).select("_in", *(F.col("_in").getField(c).alias(f"_d{i}") for i, c in enumerate(dimensions)), *(F.col("_in").getField(c).alias(f"_t{i}") for i, c in enumerate(ties)))
 
     @F.pandas_udf("long")
     def curve(cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert(np.array(cells.tolist(), np.int64).reshape(len(cells), len(dimensions))))
 
-    placed = rows.withColumn("curve", curve(F.array(*(quantised(F.col(d), kinds[d]) for d in dimensions))))
+    placed = rows.withColumn("curve", curve(F.array(*(quantised(F.col(f"_d{i}"), kinds[d]) for i, d in enumerate(dimensions)))))
     placed = settled(placed, "curve")
     total = placed.count()
-    at = ranked(placed, [F.col("curve"), *map(F.col, ties)], "_rank")
+    at = ranked(placed, [F.col("curve"), *(F.col(f"_t{i}") for i in range(len(ties)))], "_rank")
     # shard s begins at ceil(s * total / n)
     at = at.withColumn("shard", F.expr(f"cast((_rank * {n}) div {max(1, total)} as int)"))
-    return at.withColumn("slot", F.expr(f"_rank - ((cast(shard as bigint) * {total} + {n - 1}) div {n})")).drop("_rank")
+    at = at.withColumn("slot", F.expr(f"_rank - ((cast(shard as bigint) * {total} + {n - 1}) div {n})"))
+    return unwrapped(at, whole, curve="curve", shard="shard", slot="slot")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by lang, source and size. Equal texts take the dimensions of the
-    one with the smallest doc_id, so that a group of copies is one run; only a cut may part it."""
+    one with the smallest doc_id, so that a group of copies is one run; only a cut may part it: the law
+    leaves a cut no more than one row to move, so where a group of copies lies across it, it is parted."""
     docs = table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", "lang", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("_text"))

@@ -10,7 +10,6 @@ import xxhash
 from pyspark.sql import functions as F
 
 from provender.llm import embeddings, fingerprints, jaccard, lines, mixing, packing, quality, sharding, substrings
-from provender.llm import html
 from provender.llm.common import components, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -82,6 +81,24 @@ def test_jaccard_edited_copies(spark):
     check_jaccard(docs_of(spark, rows))
 
 
+def test_families_met(spark):
+    """Hot tokens in buckets and others by a join give the pairs of families that brute force gives."""
+    rng = np.random.default_rng(8)
+    fam = {f: (int(rng.integers(1, 4)), *(sorted(int(x) for x in rng.integers(0, 3, 2)) if f % 2 else [f + 10, f + 10]), *sorted(int(x) for x in rng.integers(10, 40, 2))) for f in range(60)}
+    at = {(t, f) for t in range(20) for f in rng.choice(60, 50 if t < 3 else 6)}
+    rows = [(t, int(f), *fam[f]) for t, f in at]
+    df = spark.createDataFrame(rows, "token long, f long, k long, low long, high long, small int, large int")
+    want = set()
+    for t, a in at:
+        for u, b in at:
+            (k1, l1, h1, s1, g1), (k2, l2, h2, s2, g2) = fam[a], fam[b]
+            if t == u and a < b and not (l1 == h1 == l2 == h2) and 100 * g1 >= 80 * s2 and 100 * g2 >= 80 * s1:
+                home = k1 > k2 or k1 == k2
+                want.add((int(a if home else b), int(b if home else a), max(k1, k2)))
+    for most, bucket in ((512, 512), (10, 7), (1, 50)):
+        assert {tuple(r) for r in jaccard.families_met(df, most, bucket).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -231,6 +248,8 @@ def test_packing(spark, sf_dir, odd):
     docs = odd.unionByName(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs_of(spark, [(5000, "a<|endoftext|>b  \n\n c's 12", "a")]))
     cuts = packing.pieces(docs).cache()
     got = packing.pack(cuts).toPandas()
+    for r in table(spark, "/root/testdata/sf0.01", "documents").collect():  # the faster library against the one whose file this is
+        assert packing.ids_of(r["text"] or "", packing.vocabulary_path()).tolist() == [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]
     texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
     for doc, part in got.sort_values("piece").groupby("doc_id"):
         ids = np.array([*tokenizer.encode(texts[doc], add_special_tokens=False).ids, 2], "<u4")
@@ -270,17 +289,85 @@ def test_sharding(spark, sf_dir, odd):
     assert few["shard"].is_unique and (few["slot"] == 0).all()
 
 
+def plain_hilbert(x, y, bits):
+    """The classic walk down the quadrants of a square."""
+    d, n = 0, 1 << bits
+    s = n // 2
+    while s:
+        rx, ry = int(x & s > 0), int(y & s > 0)
+        d += s * s * ((3 * rx) ^ ry)
+        if ry == 0:
+            if rx:
+                x, y = n - 1 - x, n - 1 - y
+            x, y = y, x
+        s //= 2
+    return d
+
+
+def test_order_along_the_curve(spark):
+    """Shards and slots are the order of the curve, worked out cell by cell in two dimensions."""
+    square = np.array([(x, y) for x in range(32) for y in range(32)])
+    curve = {tuple(int(v) for v in c): int(h) for c, h in zip(square, sharding.hilbert(square, 5))}
+    plain = {c: plain_hilbert(c[0], c[1], 5) for c in curve}
+    assert curve in (plain, {(x, y): h for (y, x), h in plain.items()})  # the curve, or its mirror image
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.integers(0, 3000)), int(rng.integers(0, 50))) for i in range(700)] + [(700, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, n long").repartition(3)
+    got = sharding.shards(df, ["size", "n"], 9, ["doc_id"]).collect()
+
+    def cell(v):
+        return 0 if v is None else min(255, int(8 * math.log2(v + 1)))
+
+    index = {i: int(sharding.hilbert(np.array([[cell(a), cell(b)]]))[0]) for i, a, b in rows}
+    order = sorted(index, key=lambda i: (index[i], i))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))] == order
+    assert {r["doc_id"]: r["curve"] for r in got} == index
+    runs = np.diff([-(-s * len(rows) // 9) for s in range(10)])
+    assert [sum(r["shard"] == s for r in got) for s in range(9)] == runs.tolist()
+
+
 def test_hilbert_steps():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     order = np.argsort(at := sharding.hilbert(cells, 3))
     assert sorted(at) == list(range(512)) and (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
-def test_lines(spark):
-    rows = [(i, f"menu\nown {i}\n\n foot ", "a") for i in range(20)] + [(50 + i, "copy\nmenu", "a") for i in range(30)] + [(90, None, None), (91, "menu\nx", "b"), (92, "", "b")]
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_boilerplate(docs_of(spark, rows)).collect()}
-    assert got[3] == ("own 3\n", 4, 2) and got[91] == ("menu\nx", 2, 0) and got[90] == ("", 1, 0)
-    assert got[60] == ("copy", 2, 1)  # its copies count once, so its own line stays
+def brute_lines(rows, ratio, distinct):
+    """The rule by its definition: (k - 1) / (n - 1) of a host's pages, line by line."""
+    hosts = {}
+    for i, t, h in rows:
+        hosts.setdefault(h, []).append(t)
+    gone = {}
+    for h, texts in hosts.items():
+        texts = list(dict.fromkeys(texts)) if distinct else texts
+        on = {}
+        for t in texts:
+            for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
+                on[x] = on.get(x, 0) + 1
+        gone[h] = {x for x, k in on.items() if k > 1 and k - 1 > ratio * (len(texts) - 1)}
+    out = {}
+    for i, t, h in rows:
+        split = (t or "").split("\n")
+        kept = [x for x in split if x.strip(" ") not in gone[h]]
+        out[i] = ("\n".join(kept), len(split), len(split) - len(kept))
+    return out
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_lines(spark, distinct):
+    rows = [(i, f"menu\nown {i}\n\n foot ", "a") for i in range(20)] + [(50 + i, "copy\nmenu", "a") for i in range(30)] + [(90, None, None), (91, "menu\nx", "b"), (92, "", "b"), (93, "only page\nof its host", "c"), (94, "both\none", "d"), (95, "both\ntwo", "d")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_boilerplate(docs_of(spark, rows), distinct=distinct).collect()}
+    assert got == brute_lines(rows, lines.RATIO, distinct)
+    assert got[60] == ("copy", 2, 1) if distinct else got[60] == ("", 2, 2)
+    assert got[93] == ("only page\nof its host", 2, 0) and got[94] == ("one", 2, 1)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_lines_of_documents(spark, distinct):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_boilerplate(docs, distinct=distinct).collect()}
+    assert got == brute_lines(rows, lines.RATIO, distinct) and sum(x[2] for x in got.values())
 
 
 def test_lines_standing(spark):
@@ -302,6 +389,49 @@ def test_mixing(spark, sf_dir, odd):
     assert (abs(share - 1 / len(tokens)) < 0.05).all()  # the last document of each may reach over
 
 
+@pytest.mark.parametrize("target", [{"repeats": 3.0}, {"repeats": None, "entropy": 0.97}, {"repeats": None, "entropy": 0.99, "budget": 60_000}])
+def test_mixing_by_hand(spark, target):
+    """The rows drawn, their blocks and places, and where each source ends, worked out one by one."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), "abcde"[int(rng.choice(5, p=[0.5, 0.2, 0.15, 0.1, 0.05]))]) for i in range(1500)] + [(5000 + i, "", "empty") for i in range(3)]
+    docs = docs_of(spark, rows)
+    got = {(r["doc_id"], r["epoch"]): (r["block"], r["place"]) for r in mixing.mix(docs, block=100, **target).collect()}
+    tokens = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcde"}
+    total = sum(tokens.values())
+
+    def weights(x):
+        w = {s: (n / total) ** x for s, n in tokens.items()}
+        return {s: v / sum(w.values()) for s, v in w.items()}
+
+    def met(x):
+        if target.get("repeats"):
+            return (min(tokens.values()) / max(tokens.values())) ** (x - 1) > target["repeats"]
+        p = list(weights(x).values())
+        return -sum(v * math.log(v) for v in p) >= target["entropy"] * math.log(5)
+
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if met(mid) else (low, mid)
+    w = weights(low)
+    scale = target.get("budget") or max(tokens[s] / w[s] for s in w)
+    hashes = {(r["doc_id"], r["e"]): (r["b"], r["p"]) for r in docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("e")).select("doc_id", "e", F.expr(f"xxhash64(doc_id, e, {mixing.SEED})").alias("b"), F.expr(f"xxhash64(doc_id, e, {mixing.SEED + 1})").alias("p")).collect()}
+    want = {}
+    for s in "abcde":
+        own = [(i, len(t.split())) for i, t, x in rows if x == s]
+        blocks = -(-len(own) // 100)
+        times = w[s] * scale / tokens[s]
+        whole = int(times + 1e-9)
+        for e in range(whole + 1):
+            taken = 0
+            for i, n in sorted(own, key=lambda d: (hashes[d[0], e][0] % blocks, hashes[d[0], e][1], d[0])):
+                if e < whole or taken < (times - whole) * tokens[s] - 1e-6:
+                    want[i, e] = (hashes[i, e][0] % blocks, hashes[i, e][1])
+                taken += n
+    want |= {(5000 + i, 0): (0, hashes[5000 + i, 0][1]) for i in range(3)}
+    assert got == want
+
+
 def test_mixing_exponent(spark):
     sources = spark.createDataFrame([(t,) for t in (1000, 100, 10)], "tokens long")
     x = mixing.exponent(sources, repeats=4.0)
@@ -324,6 +454,59 @@ def test_word_vectors_of_all_texts():
     assert np.allclose(model.vectors, all_at_once)
 
 
+def plain_score(m, text):
+    """A score by its definition: each token of the text in turn."""
+    total, n = m.prior.astype(np.float64) * quality.PRIOR, quality.PRIOR
+    for token in quality.tokens(text):
+        total = total + m.vectors[xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) % quality.CELLS]
+        n += 1
+    x = ((total / n if n > quality.PRIOR else m.prior) - m.mean) / m.scale
+    hidden = [math.tanh(sum(x[i] * m.w1[i, j] for i in range(quality.DIM)) + m.b1[j]) for j in range(quality.HIDDEN)]
+    return 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, m.w2)) + m.b2) / m.temperature))
+
+
+def test_scores_by_hand(spark, sf_dir, odd):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_on(docs, table(spark, sf_dir, "labels"))
+    for rows in (docs.limit(40), odd):
+        for r in quality.classify(rows, model).collect():
+            assert r["score"] == pytest.approx(plain_score(model, r["text"] or ""), abs=1e-5)
+
+
+def test_word_vectors_by_hand():
+    """A token's vector: the index vectors of the tokens up to NEAR words away, each time they stand there, and its own."""
+    texts = ["one two three two", "Four 5 !! one", ""]
+    index, sums, cells = quality.index_vectors(), {}, quality.Cells()
+    for text in texts:
+        at = [cells[t] for t in quality.tokens(text)]
+        for i, a in enumerate(at):
+            for j, b in enumerate(at):
+                if i != j and abs(i - j) <= 2 * quality.NEAR:
+                    sums[a] = sums.get(a, 0) + index[b].astype(np.float64)
+    got = quality.word_vectors(texts, cells)
+    for a in range(quality.CELLS):
+        own = index[a] / quality.SEEDS**0.5
+        want = own + sums[a] / np.linalg.norm(sums[a]) if a in sums and np.linalg.norm(sums[a]) else own
+        if a in sums or a < 50:
+            assert np.allclose(got[a], want, atol=1e-5)
+
+
+def test_fit_takes_the_sample_whole(spark):
+    """No more than ``sample`` documents are fitted on, and the same ones however rows are dealt and repeated."""
+    rows = [(i, f"text {i} " * 5, "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda texts, y: seen.append((texts, y.tolist()))
+    try:
+        quality.fit_on(docs_of(spark, rows), labels, 50)
+        quality.fit_on(docs_of(spark, rows * 3).repartition(7), labels.union(labels), 50)
+        quality.fit_on(docs_of(spark, rows), labels, 4000)
+    finally:
+        quality.fit = fit
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(400))
+    assert len(seen[0][0]) == 50 and seen[0] == seen[1] and len(seen[2][0]) == 400 - held
+
+
 def test_quality(spark, sf_dir, odd):
     docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
     model = quality.fit_on(docs, labels)
@@ -352,6 +535,47 @@ def test_embeddings(spark):
     assert (got["kept"] == (got.index == got["component_id"])).all()
 
 
+@pytest.mark.parametrize("size", [8, 24, 64, 384])
+@pytest.mark.parametrize("n", [10**3, 10**6, 10**9])
+def test_recall_of_designs(size, n):
+    """Planted pairs at the threshold and a little above are met by the tables chosen for n vectors."""
+    d = embeddings.design(n, size, 0.9)
+    rng = np.random.default_rng((3, size))
+    a, b = rng.normal(size=(2, 600, size))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    for cosine, least in ((0.9, 0.92), (0.93, 0.95), (0.97, 0.98)):
+        near = cosine * a + np.sqrt(1 - cosine**2) * b
+        assert embeddings.meet(embeddings.cells(a, d), embeddings.cells(near, d)).any(1).mean() >= least
+    if n == 10**9 and size >= 64:  # unrelated vectors seldom meet
+        other = np.roll(a, 1, axis=0)
+        assert d.parts > 2 and embeddings.meet(embeddings.cells(a, d), embeddings.cells(other, d)).mean() < 1e-3
+
+
+def test_embeddings_table(spark):
+    """The given table with planted copies: links and classes against brute force over all pairs."""
+    rng = np.random.default_rng(4)
+    rows = [(r["vec_id"], np.array(r["embedding"], np.float64)) for r in table(spark, "/root/testdata/sf0.01", "embeddings").collect()]
+    top = max(i for i, _ in rows) + 1
+    for k in range(150):  # near copies of chains and pairs, at cosines about 0.9 to 1
+        v = rows[k % 60][1] if k < 100 else rows[-1][1]
+        rows.append((top + k, v + rng.normal(size=len(v)) * np.linalg.norm(v) / len(v) ** 0.5 * rng.uniform(0.05, 0.45)))
+    kind = table(spark, "/root/testdata/sf0.01", "embeddings").schema["embedding"].dataType.simpleString()
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], f"vec_id long, embedding {kind}")
+    x = np.array([r["embedding"] for r in df.collect()], np.float64)
+    ids = np.array([i for i, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    assert near.sum() > 200
+    want = roots([int(i) for i in ids], [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(np.triu(near)))])
+    got = embeddings.near_vectors(df.withColumns({c: F.lit(1) for c in ("id", "cell", "_n", "_c", "kept", "size")})).toPandas().set_index("vec_id")
+    assert (got["n_links"].reindex(ids).to_numpy() <= near.sum(1)).all() and got["n_links"].sum() >= 0.95 * near.sum()
+    same = sum(got["component_id"][i] == c for i, c in want.items())
+    assert same >= 0.98 * len(ids) and all(got["component_id"][i] >= c for i, c in want.items())  # never joins what brute force doesn't
+
+
 def test_lattice():
     steps = embeddings.minimal_vectors()
     assert len(steps) == 240 and (np.square(steps).sum(1) == 8).all()
