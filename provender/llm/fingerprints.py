@@ -89,7 +89,7 @@ def near_kinds(queries: DataFrame, prints: DataFrame, radius: int, fingerprint:
     first = F.coalesce(*(F.when(block("_a", k) == block("_b", k), k) for k in range(radius + 1)))
     asked = spread(queries, "_a", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     known = spread(prints, "_b", F.expr(f"cast(pmod(xxhash64(_b), {salts}) as int)"))
-    pairs = asked.join(known, ["table", "block", "salt"]).where(first == F.col("table"))
+    pairs = asked.join(known.hint("merge"), ["table", "block", "salt"]).where(first == F.col("table"))
     return pairs.withColumn("distance", distance("_a", "_b")).where(F.col("distance") <= radius).select("_a", "_b", "distance")
 
 
@@ -111,7 +111,7 @@ def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, fin
     null fingerprints are left out; empty tables give an empty one.
     """
     many = prints.where(F.col(fingerprint).isNotNull()).groupBy(F.col(fingerprint).alias("_b")).agg(F.count("*").alias("_n"))
-    return near_kinds(queries, prints, radius, fingerprint).join(many, "_b").groupBy(F.col("_a").alias(fingerprint)).agg((F.sum("_n") - 1).alias("n_near"))
+    return near_kinds(queries, prints, radius, fingerprint).join(many.hint("merge"), "_b").groupBy(F.col("_a").alias(fingerprint)).agg((F.sum("_n") - 1).alias("n_near"))
 
 
 def with_next(docs: DataFrame, *carry: str, each: int = 1000) -> DataFrame:
@@ -233,5 +233,5 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = settled(docs, "prints")
     asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
     queries = docs.where(asked)
-    counted = queries.join(near_counts(queries, docs), "fingerprint", "left").select(*docs.columns, "n_near")
+    counted = queries.join(near_counts(queries, docs).hint("merge"), "fingerprint", "left").select(*docs.columns, "n_near")
     return counted.union(docs.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
