@@ -1,69 +1,120 @@
-"""Ingredient lists as printed on labels, split into names."""
+"""Ingredient lists as printed on labels, split into names.
+
+Separators inside of brackets don't part names. Lists without a bracket, which most are, stay in the JVM; of
+others a small Arrow function hides the separators inside brackets, and the same split follows.
+"""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .arrow import arrow
+from .text import trimmed
 
-# What parts ingredients, and the brackets inside of which nothing does.
+# What parts ingredients, the brackets inside of which nothing does, and the names of errors.
 SEPARATORS = "、,，;；\n\r"
-BRACKETS = {"(": ")", "（": "）", "[": "]", "【": "】", "〔": "〕", "﹝": "﹞", "{": "}"}
+BRACKETS = ["()", "（）", "[]", "【】", "〔〕", "﹝﹞", "{}"]
+LENIENT_SEPARATORS = "、，,"
+LENIENT_BRACKETS = ["(（", ")）"]
+EMPTY, UNBALANCED, BETWEEN, TRAILING = "empty_content_label", "unbalanced_ingredient_brackets", "empty_ingredient_between_separators", "trailing_ingredient_separator"
 
+#: Hidden separators are kept as code points for private use, one for each.
+HIDDEN = dict(zip(SEPARATORS, map(chr, range(0xE000, 0xE000 + len(SEPARATORS)))))
+MARKS = re.compile("[" + re.escape(SEPARATORS + "".join(BRACKETS)) + "]")
+CLOSER = {pair[0]: pair[1] for pair in BRACKETS}
+LENIENT_MARKS = re.compile("[" + re.escape(LENIENT_SEPARATORS + "".join(LENIENT_BRACKETS)) + "]")
 
-def strict_parts(text: str | None) -> tuple[list[str], str | None]:
-    """Names, or an error: brackets must match in kind and nest, and no separator may stand without a name.
 
-    Only the ideographic comma may be doubled after a name, or stand at the end.
-    """
-    text = text or ""
-    if not text.strip():
-        return [], "empty_content_label"
-    names: list[str] = []
+def hidden(text: str) -> tuple[str, bool]:
+    """The text with the separators inside of brackets hidden, as far as its brackets match, and whether all do."""
     awaited: list[str] = []
-    begin, comma = 0, False
-    for i, c in enumerate(text):
-        if c in BRACKETS:
-            awaited.append(BRACKETS[c])
-        elif c in BRACKETS.values():
-            if not awaited or awaited.pop() != c:
-                return [], "unbalanced_ingredient_brackets"
-        elif not awaited and c in SEPARATORS:
-            name = text[begin:i].strip()
-            if name:
-                names.append(name)
-            elif not (names and comma and c == "、"):
-                return [], "empty_ingredient_between_separators"
-            begin, comma = i + 1, c == "、"
-    if awaited:
-        return [], "unbalanced_ingredient_brackets"
-    if last := text[begin:].strip():
-        names.append(last)
-    elif not comma:
-        return [], "trailing_ingredient_separator"
-    return (names, None) if names else ([], "ingredients_not_parsed")
-
-
-def lenient_parts(text: str | None) -> list[str]:
+    end = len(text)
+    spans = []
+    for m in MARKS.finditer(text):
+        sign = m[0]
+        if sign in CLOSER:
+            awaited.append(CLOSER[sign])
+        elif sign in HIDDEN:
+            if awaited:
+                spans.append(m.start())
+        elif awaited and awaited[-1] == sign:
+            awaited.pop()
+        else:
+            end = m.start()
+            break
+    signs = list(text[:end])
+    for i in spans:
+        signs[i] = HIDDEN[signs[i]]
+    return "".join(signs), end == len(text) and not awaited
+
+
+def leniently_hidden(text: str) -> str:
+    """The text with the separators inside of round brackets of either width hidden; too many closing ones don't count."""
+    opening, closing = LENIENT_BRACKETS
+    depth, signs = 0, list(text)
+    for m in LENIENT_MARKS.finditer(text):
+        if m[0] in LENIENT_SEPARATORS:
+            if depth:
+                signs[m.start()] = HIDDEN[m[0]]
+        else:
+            depth = depth + 1 if m[0] in opening else max(depth - 1, 0)
+    return "".join(signs)
+
+
+@arrow("text string, whole boolean")
+def _hidden(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([(None, None) if t is None else hidden(t) for t in texts], columns=["text", "whole"])
+
+
+@arrow("string")
+def _leniently_hidden(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else leniently_hidden(t) for t in texts], dtype=object)
+
+
+def _class(signs: str) -> str:
+    return "[" + re.escape(signs) + "]"
+
+
+def _shown(name: Column) -> Column:
+    return F.translate(trimmed(name), "".join(HIDDEN.values()), SEPARATORS)
+
+
+def _text(text: Column | str) -> Column:
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+
+
+def split_strict(text: Column | str) -> Column:
+    """{names, error}: brackets must match in kind and nest, and no separator may stand without a name.
+
+    Only the ideographic comma may be doubled after a name, or stand at the end. The first error in order
+    of the text counts, and there are no names beside it.
+    """
+    text = _text(text)
+    bracketed = text.rlike(_class("".join(BRACKETS)))
+    safe = _hidden(F.when(bracketed, text))
+    whole = F.coalesce(safe["whole"], F.lit(True))
+    # doubled ideographic commas are one; what a name is made of can't be blank
+    once = F.regexp_replace(F.coalesce(safe["text"], text), r"(?U)、(?:[\s\x1c-\x1f&&[^\n\r]]*、)+", "、")
+    parts = F.transform(F.split(once, _class(SEPARATORS)), _shown)
+    last = F.element_at(parts, -1)
+    names = F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ends_well = (last != "") | trimmed(F.regexp_replace(once, r"[\n\r]", "\u0001")).endswith("、")
+    error = (
+        F.when(trimmed(text) == "", EMPTY)
+        .when(F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda n: n == ""), BETWEEN)
+        .when(~whole, UNBALANCED)
+        .when(~ends_well, TRAILING)
+    )
+    return F.struct(F.when(error.isNull(), names).otherwise(F.array().cast("array<string>")).alias("names"), error.alias("error"))
+
+
+def split_lenient(text: Column | str) -> Column:
     """Names between commas outside of round brackets; blanks are dropped, nothing is an error."""
-    names, depth, begin = [], 0, 0
-    text = text or ""
-    for i, c in enumerate(text):
-        if c in "(（":
-            depth += 1
-        elif c in ")）":
-            depth = max(0, depth - 1)
-        elif depth == 0 and c in "、，,":
-            names.append(text[begin:i])
-            begin = i + 1
-    return [n for x in (*names, text[begin:]) if (n := x.strip())]
-
-
-@arrow("names array<string>, error string")
-def split_strict(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([strict_parts(t) for t in texts], columns=["names", "error"])
-
-
-@arrow("array<string>")
-def split_lenient(texts: pd.Series) -> pd.Series:
-    return pd.Series([lenient_parts(t) for t in texts], dtype=object)
+    text = _text(text)
+    safe = _leniently_hidden(F.when(text.rlike(_class("".join(LENIENT_BRACKETS))), text))
+    parts = F.split(F.coalesce(safe, text), _class(LENIENT_SEPARATORS))
+    return F.filter(F.transform(parts, _shown), lambda n: n != "")

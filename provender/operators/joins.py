@@ -79,7 +79,8 @@ def safe(new: DataFrame, existing: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_pages(results: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """results with ``page``, the text at their address, or null where nothing was fetched."""
+    """results with ``page``, the text at their address, or null where nothing was fetched; pages nobody asks for are left out first."""
+    pages = pages.join(results.select(F.col(url).alias("url")).distinct(), "url", "left_semi")
     known = first_wins(pages.select(F.col("url").alias("_page_url"), F.col("html").alias("page")), F.col("_page_url"), F.col("page"))
     return results.join(known, F.col(url) == F.col("_page_url"), "left").drop("_page_url")
 

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.functions.text import clean, filled, has_display_value, plain_key
+from provender.functions.text import clean, filled, finite, has_display_value, plain_key, script_trimmed
 
 POS = "_pos"
 
 
 def first_wins(df: DataFrame, key: Column | list[Column], order: str | Column = POS) -> DataFrame:
-    """Of the rows with a key, the first: a grouped minimum, so a common key is reduced where its rows lie."""
+    """Of the rows with a key, the first: a grouped minimum, so a common key is reduced where its rows lie.
+
+    Rows are moved whole; where they are wide, find the first positions on narrow ones and join.
+    """
     keys = [k.alias(f"_k{i}") for i, k in enumerate(key if isinstance(key, list) else [key])]
     return df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("_r")).select("_r.*")
 
@@ -98,40 +101,65 @@ def decide(results: DataFrame, most: int = 5, group: str = "business_id", rank:
     """Add ``decision`` and ``reason`` to search results, and leave out those after the last one needed.
 
     results: url, excluded (why an address isn't looked at, or null), refused (why evidence isn't
-    enough, or null). In order of rank an address is excluded, or repeats one accepted before, or is
-    refused, or accepted, until ``most`` are.
+    enough, or null). In order of rank, and of url where ranks tie, an address is excluded, or repeats
+    one accepted before, or is refused, or accepted, until ``most`` are. Results of a group with the
+    same rank and url are one. Only grouped minima and the first ``most`` of a group are looked for, so
+    a large group isn't put in order in one place.
     """
-    would = F.col("excluded").isNull() & F.col("refused").isNull() & F.col("url").isNotNull()
-    rows = results.withColumn("_would", would)
-    by_url = Window.partitionBy(group, "url")
-    first = F.min(F.when(F.col("_would"), F.col(rank))).over(by_url)
-    rows = rows.withColumn("_first", first).withColumn("_accept", F.col("_would") & (F.col(rank) == F.col("_first")))
-    so_far = F.sum(F.col("_accept").cast("int")).over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_sum", so_far).where((F.col("_sum") < most) | ((F.col("_sum") == most) & F.col("_accept")))
-    repeat = F.col("url").isNotNull() & (F.col(rank) > F.col("_first"))
-    reason = F.coalesce(F.col("excluded"), F.when(F.col("url").isNull(), "invalid_url"), F.when(repeat, "duplicate_url"), F.when(~F.col("_accept"), F.col("refused")), F.lit("business_name_or_number_match"))
-    return rows.withColumn("decision", F.when(F.col("_accept"), "accepted").otherwise("excluded")).withColumn("reason", reason).drop("_would", "_first", "_accept", "_sum", "excluded", "refused")
+    order = F.struct(F.col(rank).alias("r"), F.col("url").alias("u"))
+    rows = results.dropDuplicates([group, rank, "url"]).withColumns({"_o": order, "_would": F.col("excluded").isNull() & F.col("refused").isNull() & F.col("url").isNotNull()})
+    first = rows.where("_would").groupBy(group, "url").agg(F.min("_o").alias("_first"))
+    top = first.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_first"))).where(F.col("_n") <= most)
+    cut = top.groupBy(group).agg(F.max("_first").alias("_last"), F.count("*").alias("_k"))
+    rows = rows.join(first, [group, "url"], "left").join(cut, group, "left")
+    rows = rows.where((F.coalesce("_k", F.lit(0)) < most) | (F.col("_o") <= F.col("_last")))
+    accept = F.coalesce(F.col("_would") & (F.col("_o") == F.col("_first")), F.lit(False))
+    repeat = F.coalesce(F.col("url").isNotNull() & (F.col("_o") > F.col("_first")), F.lit(False))
+    reason = F.coalesce(F.col("excluded"), F.when(F.col("url").isNull(), "invalid_url"), F.when(repeat, "duplicate_url"), F.when(~accept, F.col("refused")), F.lit("business_name_or_number_match"))
+    kept = [c for c in results.columns if c not in ("excluded", "refused")]
+    return rows.select(*kept, F.when(accept, "accepted").otherwise("excluded").alias("decision"), reason.alias("reason"))
+
+
+def product_key(product_id: Column) -> Column:
+    """A product's id as baskets know it: trimmed; null if it says nothing."""
+    return F.when(has_display_value(product_id.cast("string")), script_trimmed(product_id.cast("string")))
+
+
+def good_quantity(q: Column) -> Column:
+    return finite(q) & F.coalesce(q.cast("double") > 0, F.lit(False))
 
 
 def ledger(events: DataFrame, user: str = "user", order: str = "seq") -> DataFrame:
     """(user, product_id, quantity, ord): baskets after events (user, seq, op, product_id, quantity) in order.
 
     add puts one more in, update sets the quantity of what is there to a number above 0, remove and
-    clear take out; ord is the place of the first add since the product last went. Blank products
-    don't count.
+    clear take out; ord is the place of the first add since the product last went. Ids are trimmed, and
+    products whose id says nothing don't count. seq tells the events of a user apart. Each step is a
+    grouped minimum or maximum joined back, so a user with many events isn't put in order in one place.
+    """
+    key, q = [user, "product_id"], F.col("quantity").cast("double")
+    cleared = events.where("op = 'clear'").groupBy(user).agg(F.max(order).alias("_c"))
+    rows = events.where("op in ('add', 'update', 'remove')").select(user, F.col(order).alias("_s"), "op", product_key(F.col("product_id")).alias("product_id"), q.alias("_q")).where("product_id is not null")
+    rows = rows.join(cleared, user, "left").where("_c is null or _s > _c").drop("_c")
+    removed = rows.where("op = 'remove'").groupBy(*key).agg(F.max("_s").alias("_r"))
+    rows = rows.where("op <> 'remove'").join(removed, key, "left").where("_r is null or _s > _r").drop("_r")
+    good = F.when((F.col("op") == "update") & good_quantity(F.col("_q")), F.col("_s"))
+    there = rows.groupBy(*key).agg(F.min(F.when(F.col("op") == "add", F.col("_s"))).alias("_a"), F.max(good).alias("_u"), F.max_by("_q", good).alias("_set")).where("_a is not null")
+    there = there.withColumn("_set", F.when(F.col("_u") > F.col("_a"), F.col("_set"))).withColumn("_u", F.when(F.col("_u") > F.col("_a"), F.col("_u")))
+    adds = rows.where("op = 'add'").join(there.select(*key, "_u"), key).where("_u is null or _s > _u").groupBy(*key).agg(F.count("*").alias("_n"))
+    out = there.join(adds, key, "left").select(*key, (F.coalesce("_set", F.lit(0.0)) + F.coalesce("_n", F.lit(0))).alias("quantity"), "_a")
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("_a")).cast("long") - 1).drop("_a")
+
+
+def restored(items: DataFrame, user: str = "user", order: str = "ord") -> DataFrame:
+    """(user, product_id, quantity, ord): saved baskets (user, ord, product_id, quantity) as they are taken up again.
+
+    Of each product the first row counts that has an id, trimmed, and a finite quantity above 0; places
+    are given anew.
     """
-    cleared = F.max(F.when(F.col("op") == "clear", F.col(order))).over(Window.partitionBy(user))
-    rows = events.withColumn("_c", cleared).where((F.col("op") != "clear") & (F.col("_c").isNull() | (F.col(order) > F.col("_c"))))
-    rows = rows.where(has_display_value(F.col("product_id").cast("string")))
-    per = Window.partitionBy(user, "product_id")
-    rows = rows.withColumn("_r", F.max(F.when(F.col("op") == "remove", F.col(order))).over(per)).where(F.col("_r").isNull() | (F.col(order) > F.col("_r")))
-    rows = rows.withColumn("_a", F.min(F.when(F.col("op") == "add", F.col(order))).over(per)).where(F.col(order) >= F.col("_a"))
-    q = F.col("quantity").cast("double")
-    good = (F.col("op") == "update") & (q > 0) & ~F.isnan(q) & (q < F.lit(float("inf")))
-    rows = rows.withColumn("_u", F.max(F.when(good, F.col(order))).over(per))
-    base = F.coalesce(F.max(F.when(F.col(order) == F.col("_u"), q)), F.lit(0.0))
-    adds = F.count_if((F.col("op") == "add") & (F.col("_u").isNull() | (F.col(order) > F.col("_u"))))
-    return rows.groupBy(user, "product_id").agg((base + adds).alias("quantity"), F.min("_a").alias("_a")).withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("_a")).cast("long") - 1).drop("_a")
+    rows = items.select(user, F.col(order).alias("_o"), product_key(F.col("product_id")).alias("product_id"), F.col("quantity").cast("double").alias("quantity"))
+    first = rows.where(F.col("product_id").isNotNull() & good_quantity(F.col("quantity"))).groupBy(user, "product_id").agg(F.min(F.struct("_o", "quantity")).alias("_f"))
+    return first.select(user, "product_id", "_f.quantity", F.row_number().over(Window.partitionBy(user).orderBy("_f._o")).cast("long").alias("ord")).withColumn("ord", F.col("ord") - 1)
 
 
 def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank") -> DataFrame:

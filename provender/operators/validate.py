@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from provender.functions.nutrition import NAMES, UNITS, calendar_date
 from provender.functions.text import clean, filled, has_display_value, script_trimmed
 
-from .ordered import first_wins
 from .schema import kind_is, number_in, text_in
 
 TEXTS = ["brand", "manufacturer", "barcode", "traceabilityCode"]
@@ -65,24 +64,23 @@ def _sources(v: Column) -> tuple[Column, Column]:
     return F.coalesce(kept, none), F.coalesce(F.flatten(F.transform(read, of)), F.array(F.struct(F.lit("sources").alias("field"), F.lit("missing or not an array").alias("reason"))))
 
 
-def load_validate(rows: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
-    """Clean products (_pos, id, name, ..., other) and warnings (_pos, field, reason) of VARIANT rows.
+def checked_products(rows: DataFrame, record: str = "record") -> DataFrame:
+    """Every VARIANT row once, with ``kept``, the fields of a product (null unless kept) and ``warnings``.
 
     A row needs an object with id and name. Of rows with the same id the first alone is looked at:
     it takes the id even if it lacks a name. Other fields that aren't valid become null with a
     warning; absent texts are null without one. ``other`` is the record as it came, for the fields
-    that aren't validated.
+    that aren't validated. Only ids and positions are grouped; records aren't moved for it unless
+    the join with the first positions asks for it.
     """
     v = F.col(record)
-    read = rows.select("_pos", v.alias("other"), kind_is(v, "object").alias("object"), _text(_field(v, "id")).alias("id"), _text(_field(v, "name")).alias("name"), *(_field(v, t).alias(f"raw_{t}") for t in TEXTS), *(_field(v, t).alias(f"raw_{t}") for t in ("serving", "nutrition", "sources", "nutritionSource")))
-    read = read.withColumns({"object": F.coalesce("object", F.lit(False))})
-    named = first_wins(read.where("object and id is not null"), F.col("id")).select(F.col("_pos").alias("_p"))
-    read = read.join(named, F.col("_pos") == F.col("_p"), "left").withColumn("first", F.col("_p").isNotNull()).drop("_p")
+    rows = rows.withColumn("_id", F.when(F.coalesce(kind_is(v, "object"), F.lit(False)), _text(_field(v, "id"))))
+    named = rows.where("_id is not null").groupBy("_id").agg(F.min("_pos").alias("_p"))
+    read = rows.join(named, "_id", "left").select("_pos", v.alias("other"), F.coalesce(kind_is(v, "object"), F.lit(False)).alias("object"), F.col("_id").alias("id"), _text(_field(v, "name")).alias("name"), F.coalesce(F.col("_pos") == F.col("_p"), F.lit(False)).alias("first"), *(_field(v, t).alias(f"raw_{t}") for t in (*TEXTS, "serving", "nutrition", "sources", "nutritionSource")))
     texts = {t: _text(F.col(f"raw_{t}")) for t in TEXTS}
-    barcode = texts["barcode"]
-    texts["barcode"] = F.when(barcode.rlike(r"\A[0-9]+\z"), barcode)
+    texts["barcode"] = F.when(texts["barcode"].rlike(r"\A[0-9]+\z"), texts["barcode"])
     sources, source_warnings = _sources(F.col("raw_sources"))
-    out = read.where("first and name is not null").withColumn("_s", F.struct(sources.alias("sources"), source_warnings.alias("warnings")))
+    out = read.withColumn("kept", F.col("first") & F.col("name").isNotNull()).withColumn("_s", F.struct(sources.alias("sources"), source_warnings.alias("warnings")))
     refers = _text(F.col("raw_nutritionSource"))
     nutrition = F.struct(*(_amount(_field(F.col("raw_nutrition"), n), "value", UNITS[n]).alias(n) for n in NAMES))
     is_object = F.coalesce(kind_is(F.col("raw_nutrition"), "object"), F.lit(False))
@@ -91,15 +89,21 @@ def load_validate(rows: DataFrame, record: str = "record") -> tuple[DataFrame, D
     found += [_warn(_text(F.col("raw_barcode")).isNotNull() & F.col("barcode").isNull(), "barcode", "not digits"), _warn(F.col("serving").isNull(), "serving", "not a quantity"), _warn(~is_object, "nutrition", "missing or not an object")]
     found += [_warn(is_object & F.col("nutrition")[n].isNull(), f"nutrition.{n}", "not a quantity") for n in NAMES]
     found += [_warn(refers.isNull(), "nutritionSource", "missing or not a text"), _warn(refers.isNotNull() & F.col("nutritionSource").isNull(), "nutritionSource", "no such source")]
-    warned = out.select("_pos", F.explode(F.concat(F.array_compact(F.array(*found)), F.col("_s.warnings"))).alias("w")).select("_pos", "w.*")
-    lost = read.select("_pos", F.explode(F.array_compact(F.array(
+    lost = F.array_compact(F.array(
         _warn(~F.col("object"), "product", "not an object"),
         _warn(F.col("object") & F.col("id").isNull(), "id", "missing or not a text"),
         _warn(F.col("object") & F.col("name").isNull(), "name", "missing or not a text"),
-        _warn(F.col("id").isNotNull() & F.col("object") & ~F.col("first"), "id", "duplicate id"),
-    ))).alias("w")).select("_pos", "w.*")
-    clean_rows = out.select("_pos", "id", "name", *TEXTS, "serving", "nutrition", F.col("_s.sources").alias("sources"), "nutritionSource", "other")
-    return clean_rows, lost.union(warned)
+        _warn(F.col("id").isNotNull() & ~F.col("first"), "id", "duplicate id"),
+    ))
+    warnings = F.concat(lost, F.when(F.col("kept"), F.concat(F.array_compact(F.array(*found)), F.col("_s.warnings"))).otherwise(F.array().cast(WARNING)))
+    fields = {"id": F.col("id"), "name": F.col("name"), **{t: F.col(t) for t in TEXTS}, "serving": F.col("serving"), "nutrition": F.col("nutrition"), "sources": F.col("_s.sources"), "nutritionSource": F.col("nutritionSource"), "other": F.col("other")}
+    return out.select("_pos", "kept", *(F.when(F.col("kept"), c).alias(n) for n, c in fields.items()), warnings.alias("warnings"))
+
+
+def load_validate(rows: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
+    """Clean products (_pos, id, name, ..., other) and warnings (_pos, field, reason): the two halves of checked_products."""
+    checked = checked_products(rows, record)
+    return checked.where("kept").drop("kept", "warnings"), checked.select("_pos", F.explode("warnings").alias("w")).select("_pos", "w.*")
 
 
 def refers_to_source(sources: Column, source_id: Column) -> Column:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provender.functions.display import ingredient_sources, quantity_label, resolve_source, suggestion, summary
-from provender.functions.nutrition import NAMES, daily_pct, freshness, long_form, pct_label, precision15, progress, reference_of, reference_status, unit_of
-from provender.functions.text import filled, finite, non_negative
+from provender.functions.nutrition import NAMES, UNITS, daily_pct, freshness, long_form, pct_label, precision15, progress, reference_of, reference_status, unit_of
+from provender.functions.text import finite, non_negative
 from provender.operators.classify import search_state
 from provender.operators.joins import search_batch
-from provender.operators.ordered import ledger
+from provender.operators.ordered import ledger, product_key
 from provender.operators.validate import load_validate
 
 SEARCHED = ["name", "brand", "manufacturer", "barcode", "traceabilityCode"]
@@ -40,27 +40,29 @@ def sources_of_ingredients(products: DataFrame) -> DataFrame:
     return products.select("_pos", "id", ingredient_sources(F.col("ingredients"), F.col("sources")).alias("ingredient_sources"))
 
 
-def totals(items: DataFrame, amounts: DataFrame, user: str = "user", names: list[str] = NAMES) -> DataFrame:
+def totals(items: DataFrame, products: DataFrame, user: str = "user", names: list[str] = NAMES) -> DataFrame:
     """(user, nutrient, value, unit): each nutrient's sum over a basket, if every item has a valid amount of it.
 
-    items: user, ord, product_id, quantity. amounts: product_id, nutrient, value, unit, one row for
-    each product and nutrient at most. An item of an unknown product leaves no nutrient at all.
+    items: user, product_id, quantity. products: product_id and nutrition, a struct of {value, unit} by
+    name, one row for each product at most. An item of an unknown product leaves no nutrient at all.
+    Items are joined once, summed once for all nutrients, and only sums are put under each other.
     """
-    nutrients = F.explode(F.array(*map(F.lit, names)))
-    wanted = items.select(user, "ord", "product_id", "quantity", nutrients.alias("nutrient"))
-    rows = wanted.join(amounts, ["product_id", "nutrient"], "left")
-    part = F.col("value") * F.col("quantity")
-    good = finite(F.col("quantity")) & (F.col("quantity") > 0) & non_negative(F.col("value")) & F.coalesce(F.col("unit") == unit_of(F.col("nutrient")), F.lit(False)) & finite(part)
-    # equal parts sum to the same whatever the order; others may differ in the last digit, which precision15 takes away
-    out = rows.groupBy(user, "nutrient").agg(F.sum(part).alias("value"), F.bool_and(F.coalesce(good, F.lit(False))).alias("_good"))
-    out = out.where(F.col("_good") & finite(F.col("value")))
-    return out.select(user, "nutrient", precision15("value").alias("value"), unit_of(F.col("nutrient")).alias("unit"))
+    amounts = products.select("product_id", *(F.struct(F.col("nutrition")[n]["value"].cast("double").alias("value"), F.col("nutrition")[n]["unit"].alias("unit")).alias(f"_n{i}") for i, n in enumerate(names)))
+    rows = items.select(user, "product_id", F.col("quantity").cast("double").alias("_q")).join(amounts, "product_id", "left")
+    sums = []
+    for i, n in enumerate(names):
+        value, part = F.col(f"_n{i}.value"), F.col(f"_n{i}.value") * F.col("_q")
+        good = finite(F.col("_q")) & (F.col("_q") > 0) & non_negative(value) & F.coalesce(F.col(f"_n{i}.unit") == UNITS[n], F.lit(False)) & finite(part)
+        # equal parts sum to the same whatever the order; others may differ in the last digit, which precision15 takes away
+        sums += [F.sum(part).alias(f"_s{i}"), F.bool_and(F.coalesce(good, F.lit(False))).alias(f"_g{i}")]
+    all_ = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.when(F.col(f"_g{i}") & finite(F.col(f"_s{i}")), F.col(f"_s{i}")).alias("value"), F.lit(UNITS[n]).alias("unit")) for i, n in enumerate(names)))
+    out = rows.groupBy(user).agg(*sums).select(user, F.inline(F.filter(all_, lambda x: x["value"].isNotNull())))
+    return out.select(user, "nutrient", precision15("value").alias("value"), "unit")
 
 
 def basket_totals(items: DataFrame, products: DataFrame, user: str = "user") -> DataFrame:
     """Totals of baskets with their share of the daily reference and its status."""
-    amounts = products.select(*long_form("nutrition", "id")).withColumnRenamed("id", "product_id")
-    out = totals(items, amounts, user)
+    out = totals(items, products.select(F.col("id").alias("product_id"), "nutrition"), user)
     pct = daily_pct(F.col("value"), F.col("unit"), reference_of(F.col("nutrient")), unit_of(F.col("nutrient")))
     return out.withColumn("pct", pct).withColumns({"pct_label": pct_label(F.col("pct")), "status": reference_status(F.col("pct"))})
 
@@ -68,6 +70,7 @@ def basket_totals(items: DataFrame, products: DataFrame, user: str = "user") ->
 def basket_state(events: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Baskets after events; products that aren't known can't be added."""
     if products is not None:
-        known = products.where(filled(F.col("id"))).select(F.col("id").alias("product_id")).distinct()
-        events = events.where("op <> 'add'").unionByName(events.where("op = 'add'").join(known, "product_id", "left_semi").select(*events.columns))
+        known = products.select(product_key(F.col("id")).alias("_known")).where("_known is not null").distinct()
+        adds = events.where("op = 'add'").withColumn("_known", product_key(F.col("product_id"))).join(known, "_known", "left_semi")
+        events = events.where("op <> 'add'").unionByName(adds.select(*events.columns))
     return ledger(events)

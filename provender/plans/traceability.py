@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provender.functions.ingredients import split_strict
@@ -115,10 +115,11 @@ def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = Non
     rows = schema_validate(rows, "product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error")
     identity = F.when(F.col("eligible"), F.concat_ws("\x1f", *(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification"))))
     keys = {n: F.when(F.col("converted") & filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))} | {"product": identity}
-    for name, key in keys.items():
-        # rows without a key are dealt out one by one, so they don't gather
-        alone = Window.partitionBy(F.coalesce(F.concat(F.lit("k"), f"_{name}"), F.col("_pos").cast("string")))
-        rows = rows.withColumn(f"_{name}", key).withColumn(f"dup_{name}", F.col(f"_{name}").isNotNull() & (F.count(F.lit(1)).over(alone) > 1))
+    rows = rows.withColumns({f"_{name}": key for name, key in keys.items()})
+    for name in keys:
+        # keys alone are counted; only those that stand there twice meet the rows again
+        twice = rows.where(F.col(f"_{name}").isNotNull()).groupBy(F.col(f"_{name}").alias("_v")).agg(F.count("*").alias("_n")).where("_n > 1").select("_v", F.lit(True).alias(f"dup_{name}"))
+        rows = rows.join(twice, F.col(f"_{name}") == F.col("_v"), "left").withColumn(f"dup_{name}", F.coalesce(f"dup_{name}", F.lit(False))).drop("_v")
     for name, column in (("id", "id"), ("code", "traceabilityCode")):
         known = keyed(products, column).select(F.col(column).alias("_v"), F.lit(True).alias(f"old_{name}"))
         rows = rows.join(known, F.col(f"_{name}") == F.col("_v"), "left").withColumn(f"old_{name}", F.coalesce(f"old_{name}", F.lit(False))).drop("_v")
@@ -126,7 +127,11 @@ def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = Non
 
 
 def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """What promotion would do: one row of counts, and details (kind, value) of what stands in its way."""
+    """What promotion would do: one row, and details (kind, value) in order of what stands in its way.
+
+    products: id, traceabilityCode and, if the whole catalogue to be is to be validated, _pos and product
+    (VARIANT): candidates that aren't valid aren't safe, so what fails then is an existing product.
+    """
     rows = judged(candidates, products, schema)
 
     def values(flag: str, key: str) -> Column:
@@ -140,9 +145,17 @@ def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = No
         values("old_id", "_id").alias("existing_id_conflicts"), values("old_code", "_code").alias("existing_code_conflicts"), F.count_if(F.expr("old_id or old_code")).alias("existing_conflict_records"),
         values("dup_product", "_product").alias("duplicate_product_groups"), F.count_if("dup_product").alias("duplicate_product_records"), F.lit(0).alias("duplicate_product_records_merged"), F.count_if("safe").alias("safe_imports"),
     )
+    failed = F.lit(None).cast("string").alias("batch_schema_error")
+    if "product" in products.columns:
+        old = schema_validate(products.select("_pos", "product"), "product", schema or product_schema()).where("status = 'blocked'")
+        first = old.agg(F.min_by(F.concat(F.lit("$.products["), F.col("_pos").cast("string"), F.lit("]"), F.expr("substring(first_error, 2)")), "_pos").alias("batch_schema_error"))
+        counts = counts.join(F.broadcast(first))  # one row each
+    else:
+        counts = counts.select("*", failed)
+    counts = counts.select(F.lit("dry-run").alias("mode"), F.lit(False).alias("products_modified"), "*", F.when(F.col("batch_schema_error").isNull(), "pass").otherwise("fail").alias("batch_schema_validation"))
     kinds = {"conversion_failures": ("eligible and not converted", "candidateId"), "schema_failures": ("converted and not schema_ok", "id"), "duplicate_ids": ("dup_id", "_id"), "duplicate_codes": ("dup_code", "_code"), "existing_id_conflicts": ("old_id", "_id"), "existing_code_conflicts": ("old_code", "_code")}
     found = F.array_compact(F.array(*(F.when(F.expr(c), F.struct(F.lit(k).alias("kind"), F.col(v).alias("value"))) for k, (c, v) in kinds.items())))
-    return counts, rows.select(F.explode(found).alias("d")).select("d.*").distinct()
+    return counts, rows.select(F.explode(found).alias("d")).select("d.*").distinct().orderBy("kind", "value")
 
 
 def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: dict | None = None) -> DataFrame:
@@ -152,6 +165,8 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
     """
     counts = dry_run(candidates, products, schema)[0].first()
     zero = ["duplicate_id_values", "duplicate_code_values", "existing_id_conflicts", "existing_code_conflicts", "schema_fail"]
+    if counts["batch_schema_validation"] != "pass":
+        raise ContractError(f"the catalogue isn't valid: {counts['batch_schema_error']}")
     if bad := [z for z in zero if counts[z]]:
         raise ContractError(f"conflicts: {', '.join(bad)}")
     if not counts["safe_imports"] or counts["safe_imports"] != expected or counts["convertible"] != expected:

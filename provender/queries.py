@@ -22,7 +22,7 @@ from provender.operators.classify import ISSUES, class_counts, class_of, issue_c
 from provender.operators.joins import conflicts, safe, search, search_batch
 from provender.operators.ordered import decide, duplicates, first_wins, grouped, ledger, merge_index, occurrence_ids, ranked_candidates
 from provender.operators.schema import product_schema, schema_validate
-from provender.operators.validate import load_validate
+from provender.operators.validate import checked_products
 from provender.plans.products import totals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -292,10 +292,9 @@ SELECT l_orderkey AS user, 'protein' AS nutrient, CAST(sum(part) AS DOUBLE) AS v
 UNION ALL SELECT l_orderkey, 'sodium', CAST(sum(2 * part) AS DOUBLE), 'mg' FROM i GROUP BY 1 HAVING bool_and(NOT worse AND q > 0)""")
 def q_basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as baskets, parts as products: a nutrient's total, unless an item lacks it."""
-    parts = read(spark, sf_dir, "part")
-    rows = F.inline(F.array(*(F.struct(F.lit(n).alias("nutrient"), F.when(F.col("p_partkey") % m != 0, F.col("p_size") * f).cast("double").alias("value"), F.lit(u).alias("unit")) for n, m, f, u in (("protein", 97, 1, "g"), ("sodium", 89, 2, "mg")))))
-    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("user"), F.lit(0).alias("ord"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("double").alias("quantity"))
-    return totals(items, parts.select(F.col("p_partkey").alias("product_id"), rows), names=["protein", "sodium"])
+    amounts = F.struct(*(F.struct(F.when(F.col("p_partkey") % m != 0, F.col("p_size") * f).cast("double").alias("value"), F.lit(u).alias("unit")).alias(n) for n, m, f, u in (("protein", 97, 1, "g"), ("sodium", 89, 2, "mg"))))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("user"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("double").alias("quantity"))
+    return totals(items, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), amounts.alias("nutrition")), names=["protein", "sodium"])
 
 
 @query("""
@@ -366,9 +365,8 @@ SELECT 'clean' AS kind, p_partkey AS _pos, 0 AS n FROM part WHERE p_partkey % 8
 UNION ALL SELECT 'warnings', p_partkey, CASE p_partkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 4 WHEN 7 THEN 4 ELSE 3 END FROM part""")
 def q_load_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records loaded as a catalogue: what is kept, and how many warnings each gives."""
-    good, warnings = load_validate(_faulty(spark, sf_dir))
-    counted = warnings.groupBy("_pos").agg(F.count("*").cast("int").alias("n"))
-    return good.select(F.lit("clean").alias("kind"), "_pos", F.lit(0).alias("n")).union(counted.select(F.lit("warnings"), "_pos", "n"))
+    rows = checked_products(_faulty(spark, sf_dir)).select("_pos", F.array_compact(F.array(F.when(F.col("kept"), F.struct(F.lit("clean").alias("kind"), F.lit(0).alias("n"))), F.when(F.size("warnings") > 0, F.struct(F.lit("warnings").alias("kind"), F.size("warnings").alias("n"))))).alias("r"))
+    return rows.select("_pos", F.inline("r")).select("kind", "_pos", "n")
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS INTEGER) AS rank FROM lineitem")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,26 +20,40 @@ class ContractError(ValueError):
     """An input or output isn't what it has to be."""
 
 
-def read_array(spark: SparkSession, path: str) -> DataFrame:
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """Files as one VARIANT each, which holds some 128 MB; a file that can't be read so is an error with its size."""
+    text = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", r"\A\x{FEFF}", "")).alias("v"), F.col("_metadata.file_size").alias("size"))
+    problem = F.raise_error(F.concat(F.lit("not JSON, or too large to be read as one value: "), F.col("size").cast("string"), F.lit(" bytes"))).cast("variant")
+    return text.select(F.coalesce("v", problem).alias("v"))
+
+
+def read_array(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
     """(_pos, record VARIANT) of a file that is one JSON array of objects; a byte order mark is allowed.
 
-    Such a file is one row at first: land large ones as Parquet, or give JSON lines to read_lines.
+    With the names of the ``fields`` that are wanted, elements are read one after the other whatever the
+    size of the file, and a field that is null counts as absent. Without, the file is read as one value,
+    which is an error beyond some 128 MB.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", r"\A\x{FEFF}", "")).alias("v"))
-    return _records(whole, "$")
+    if fields is None:
+        return _records(_whole(spark, path).select(F.try_variant_get("v", "$", "array<variant>").alias("r")), "$")
+    schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields])
+    rows = spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
+    return rows.select(F.monotonically_increasing_id().alias("_pos"), F.to_variant_object(F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"`{f}`")))), lambda _, v: v.isNotNull())).alias("record"))
 
 
 def read_envelope(spark: SparkSession, path: str, array_key: str = "records") -> tuple[DataFrame, DataFrame]:
-    """The envelope's other fields (one row, VARIANT ``meta``) and its records (_pos, record VARIANT)."""
-    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json(F.regexp_replace("value", r"\A\x{FEFF}", "")).alias("v"))
-    rest = F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k != array_key)
-    return whole.select(rest.alias("meta")), _records(whole, f"$.{array_key}")
+    """The envelope's other fields (one row, VARIANT ``meta``) and its records (_pos, record VARIANT).
+
+    Each record is a value of its own, so only records are bounded in size; ``meta`` reads the file as one value.
+    """
+    meta = _whole(spark, path).select(F.map_filter(F.try_variant_get("v", "$", "map<string,variant>"), lambda k, _: k != array_key).alias("meta"))
+    schema = T.StructType([T.StructField(array_key, T.ArrayType(T.VariantType()))])
+    return meta, _records(spark.read.json(path, schema=schema, multiLine=True).select(F.col(f"`{array_key}`").alias("r")), f"$.{array_key}")
 
 
 def _records(whole: DataFrame, path: str) -> DataFrame:
-    items = F.try_variant_get("v", path, "array<variant>")
-    good = F.coalesce(F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(False))
-    checked = F.when(good, items).otherwise(F.raise_error(F.lit(f"not an array of objects at {path}")).cast("array<variant>"))
+    good = F.coalesce(F.forall("r", lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(False))
+    checked = F.when(good, F.col("r")).otherwise(F.raise_error(F.lit(f"not an array of objects at {path}")).cast("array<variant>"))
     return whole.select(F.posexplode(checked).alias("_pos", "record")).withColumn("_pos", F.col("_pos").cast("long"))
 
 
@@ -54,11 +67,21 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     return read_envelope(spark, path, "products")[1]
 
 
-def read_registry(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if all lines of a file are that, else MS950, the other encoding in which registries come."""
+    odd = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
+    return "MS950" if odd else "UTF-8"
+
+
+def read_registry(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """A registry CSV as text columns, ``_malformed`` for rows with cells beyond the header, and ``_empty`` for blank ones.
 
-    Missing cells are empty texts. MS950 needs spark.sql.legacy.javaCharsets.
+    Missing cells are empty texts. Without an encoding the file is looked through for lines that aren't
+    UTF-8, with a byte order mark or without; MS950 needs spark.sql.legacy.javaCharsets, which is set then.
     """
+    encoding = encoding or encoding_of(spark, path)
+    if encoding == "MS950":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     header = spark.read.csv(path, encoding=encoding, multiLine=True).first()
     names = [(c or "").lstrip("﻿").strip() for c in header]
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_bad", T.StringType())])
@@ -93,10 +116,21 @@ def first_rows(df: DataFrame, n: int | None, order: str = "_pos") -> DataFrame:
     return df if n is None else df.orderBy(order).limit(n)
 
 
-def write_records(df: DataFrame, path: str, kind: str = "json") -> None:
-    """Compressed JSON lines or Parquet; Spark's commit makes the folder whole or not there."""
+def write_records(df: DataFrame, path: str, kind: str = "json", stats: DataFrame | None = None) -> None:
+    """Compressed JSON lines or Parquet, and its stats beside it under path + "_stats"; Spark's commit makes a folder whole or not there."""
     writer = df.write.mode("overwrite")
     writer.json(path, compression="gzip") if kind == "json" else writer.parquet(path)
+    if stats is not None:
+        stats.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_stats")
+
+
+def reconcile_counts(groups: DataFrame, stats: DataFrame) -> DataFrame:
+    """groups of manufacturers as written, if they and their records are as many as the stats (groups, manufacturing) say."""
+    found = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.size("records")), F.lit(0)).alias("manufacturing")).first().asDict()
+    said = stats.select("groups", "manufacturing").first().asDict()
+    if found != said:
+        raise ContractError(f"counts differ: {found} written, {said} in the stats")
+    return groups
 
 
 def reconcile(df: DataFrame, **violations: Column) -> DataFrame:
@@ -121,7 +155,3 @@ def manufacturer_rules() -> dict[str, Column]:
 def manufacturing(item: Column) -> Column:
     # The registration item of manufacturers, with either slash.
     return F.coalesce(clean(item).isin("工廠/製造場所", "工廠／製造場所"), F.lit(False))
-
-
-def count_of(*conditions: Column) -> Column:
-    return reduce(add, (F.count_if(c) for c in conditions))

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from provender.functions.text import SENTINELS
 from provender.operators.classify import classified
+from provender.operators.ordered import product_key
 from provender.plans.traceability import normalize
 
 
@@ -23,11 +24,11 @@ def incoming_records(spark: SparkSession, path: str, files: int | None = None) -
 
 
 def apply_event(basket: dict[str, float], op: str, product: str | None, quantity: float | None) -> None:
-    """One event on a basket in order of insertion."""
+    """One event on a basket in order of insertion; ids are trimmed already, null where they say nothing."""
     if op == "clear":
         basket.clear()
         return
-    if product is None or not product.strip() or product.strip().lower() in SENTINELS:
+    if product is None:
         return
     if op == "add":
         basket[product] = basket.get(product, 0.0) + 1
@@ -52,4 +53,24 @@ def running_ledger(events: DataFrame) -> DataFrame:
         state.update((json.dumps(list(basket.items())),))
         yield pd.DataFrame([(key[0], p, q, i) for i, (p, q) in enumerate(basket.items())], columns=["user", "product_id", "quantity", "ord"])
 
+    events = events.withColumn("product_id", product_key(F.col("product_id"))).where("op = 'clear' or product_id is not null")
     return events.groupBy("user").applyInPandasWithState(fold, "user long, product_id string, quantity double, ord long", "basket string", "update", "NoTimeout")
+
+
+def into_parquet(stream: DataFrame, path: str, checkpoint: str, whole: bool = True) -> StreamingQuery:
+    """Append arriving rows to Parquet files; ``whole``: what is there now, in batches, and then stop.
+
+    The checkpoint holds what was read, so a query that starts again goes on where it stopped.
+    """
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if whole else writer).start()
+
+
+def into_baskets(stream: DataFrame, path: str, checkpoint: str, whole: bool = True) -> StreamingQuery:
+    """Write each batch of running_ledger's rows to a folder of its own number, so that a batch done twice is there once."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    writer = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update")
+    return (writer.trigger(availableNow=True) if whole else writer).start()

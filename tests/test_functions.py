@@ -51,13 +51,22 @@ def test_zero_package(spark):
         ("水(糖", [], "unbalanced_ingredient_brackets"), ("水)糖", [], "unbalanced_ingredient_brackets"), ("水(糖]", [], "unbalanced_ingredient_brackets"), ("水（糖)", [], "unbalanced_ingredient_brackets"), (" ", [], "empty_content_label"), (None, [], "empty_content_label"),
     ],
 )
-def test_strict(given, names, error):
-    assert ingredients.strict_parts(given) == (names, error)
+def test_strict(spark, given, names, error):
+    got = values(spark, [given], ingredients.split_strict)[0]
+    assert (list(got["names"]), got["error"]) == (names, error)
 
 
 @pytest.mark.parametrize("given, names", [("、水,,糖、", ["水", "糖"]), ("水（糖)、鹽", ["水（糖)", "鹽"]), ("水(糖、鹽", ["水(糖、鹽"]), ("水;糖", ["水;糖"]), (None, [])])
-def test_lenient(given, names):
-    assert ingredients.lenient_parts(given) == names
+def test_lenient(spark, given, names):
+    assert list(values(spark, [given], ingredients.split_lenient)[0]) == names
+
+
+def test_first_error_counts(spark):
+    """Of several errors the first in order of the text; separators after a bracket that never closes stand inside of it."""
+    got = values(spark, ["a,,(", "a(,,", "a),,", "(a]、,", "、(", "a、(b、c)、、d", "[a,(b;c)],d", "a(b\n"], ingredients.split_strict)
+    between, brackets = "empty_ingredient_between_separators", "unbalanced_ingredient_brackets"
+    assert [g["error"] for g in got] == [between, brackets, brackets, brackets, between, None, None, brackets]
+    assert list(got[5]["names"]) == ["a", "(b、c)", "d"] and list(got[6]["names"]) == ["[a,(b;c)]", "d"]
 
 
 def test_rounding_and_precision(spark):

@@ -10,7 +10,7 @@ from provender.functions.nutrition import NAMES
 from provender.operators import classify, joins, ordered, schema, validate
 from provender.plans import catalog, products, registry, traceability, websites
 from provender.sources import io
-from provender.streaming.jobs import apply_event, incoming_records, running_ledger
+from provender.streaming.jobs import apply_event, incoming_records, into_baskets, into_parquet, running_ledger
 
 
 def rows(df, *columns):
@@ -77,13 +77,14 @@ def test_decide(spark):
 
 def ledger_events():
     rng = random.Random(8)
-    return [(u, s, rng.choice(["add", "add", "update", "remove", "add", "clear"] if s % 9 == 0 else ["add", "update", "remove"]), rng.choice(["a", "b", "c", "d", " ", "null", None]), rng.choice([1.0, 5.0, 0.0, -1.0, float("nan"), None])) for u in range(40) for s in range(25)]
+    return [(u, s, rng.choice(["add", "add", "update", "remove", "add", "clear"] if s % 9 == 0 else ["add", "update", "remove"]), rng.choice(["a", " a", "b", "\ufeffb\u3000", "c", "d", " ", "\ufeff", "Null ", None]), rng.choice([1.0, 5.0, 0.0, -1.0, float("nan"), None])) for u in range(40) for s in range(25)]
 
 
 def folded_ledger(events):
     out = {}
     for u, _, op, p, q in events:
-        apply_event(out.setdefault(u, {}), op, p, q)
+        p = (p or "").strip(" \ufeff\u3000")
+        apply_event(out.setdefault(u, {}), op, None if p.lower() in ("", "null") else p, q)
     return sorted((u, p, q, i) for u, b in out.items() for i, (p, q) in enumerate(b.items()))
 
 
@@ -98,6 +99,69 @@ def test_ledger(spark):
     assert {r["product_id"] for r in products.basket_state(spark.createDataFrame(events, EVENTS), known).collect()} == {"a"}
 
 
+def test_restored(spark):
+    items = [(1, 0, " a", 2.0), (1, 1, "b", 0.0), (1, 2, "a", 5.0), (1, 3, "b", 4.0), (1, 4, "NaN", 1.0), (1, 5, None, 1.0), (1, 6, "c", float("inf")), (2, 0, "x", float("nan")), (3, 9, "\ufeffz", 1.5)]
+    got = ordered.restored(spark.createDataFrame(items, "user long, ord long, product_id string, quantity double").repartition(3))
+    assert rows(got) == [(1, "a", 2.0, 0), (1, "b", 4.0, 1), (3, "z", 1.5, 0)]
+
+
+def test_decide_ties(spark):
+    data = [(1, 1, "u", None, None), (1, 1, "u", None, None), (1, 1, "a", None, None), (1, 2, "u", None, None), (1, 3, "v", None, None), (2, 1, None, None, None), (2, 2, "w", "x", None)]
+    got = ordered.decide(spark.createDataFrame(data, "business_id long, rank long, url string, excluded string, refused string").repartition(4), 2)
+    assert rows(got, "business_id", "rank", "url", "decision", "reason") == sorted([
+        (1, 1, "a", "accepted", "business_name_or_number_match"), (1, 1, "u", "accepted", "business_name_or_number_match"), (2, 1, None, "excluded", "invalid_url"), (2, 2, "w", "excluded", "x"),
+    ], key=repr)
+
+
+def test_sinks(spark, tmp_path):
+    """Streams to files: what arrives later is appended, what was read isn't read again."""
+    at = {n: str(tmp_path / n) for n in ("in", "baskets", "records", "c1", "c2")}
+    events = ledger_events()
+    for part in (events[:500], events[500:]):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(at["in"])
+        into_baskets(running_ledger(spark.readStream.schema(EVENTS).json(at["in"])), at["baskets"], at["c1"]).awaitTermination()
+    got = spark.read.parquet(at["baskets"])
+    assert sorted(tuple(r)[:4] for r in got.select("user", "product_id", "quantity", "ord").collect()) == folded_ledger(events)
+    spark.createDataFrame([(json.dumps(trace(0) | {"_pos": 3}, ensure_ascii=False),)], "value string").write.text(str(tmp_path / "t"))
+    for _ in range(2):
+        stream = incoming_records(spark, str(tmp_path / "t")).select("_pos", "classification")
+        into_parquet(stream, at["records"], at["c2"]).awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(at["records"]).collect()] == [(3, "complete_nutrition_and_ingredients")]
+
+
+def test_large_files(spark, tmp_path):
+    """Arrays and envelopes beyond what one VARIANT holds are read record by record."""
+    text = "x" * 1_000_000
+    with open(tmp_path / "a.json", "w") as f:
+        f.write('{"source": 1, "records": [' + ",".join(f'{{"id": {i}, "t": "{text}"}}' for i in range(140)) + "]}")
+    got = io.read_envelope(spark, str(tmp_path / "a.json"))[1].select("_pos", F.try_variant_get("record", "$.id", "int").alias("id"))
+    assert rows(got) == sorted([(i, i) for i in range(140)], key=repr)
+    with open(tmp_path / "b.json", "w") as f:
+        f.write("[" + ",".join(f'{{"id": {i}, "t": "{text}"}}' for i in range(140)) + "]")
+    got = io.read_array(spark, str(tmp_path / "b.json"), ["id", "t"]).select("_pos", F.try_variant_get("record", "$.id", "int").alias("id"))
+    assert rows(got) == sorted([(i, i) for i in range(140)], key=repr)
+    with pytest.raises(Exception, match="bytes"):
+        io.read_array(spark, str(tmp_path / "b.json")).count()
+
+
+def test_registry_encodings(spark, tmp_path):
+    head, row = "公司或商業登記名稱,公司統一編號,業者地址,食品業者登錄字號,登錄項目", "甲公司,12345678,台北,A-1,販售"
+    for name, data in {"utf8": (head + "\n" + row + "\n").encode(), "bom": b"\xef\xbb\xbf" + (head + "\n" + row + "\n").encode(), "cp950": (head + "\n" + row + "\n").encode("cp950")}.items():
+        (tmp_path / name).write_bytes(data)
+        got = io.read_registry(spark, str(tmp_path / name)).drop("_malformed", "_empty")
+        assert got.columns == head.split(",") and rows(got) == [tuple(row.split(","))]
+
+
+def test_counts_reconciled(spark, tmp_path):
+    groups, counts = registry.manufacturers(spark.createDataFrame([(0, "甲", "12345678", "", "A", "工廠/製造場所"), (1, "乙", "", "", "B", "工廠/製造場所")], "_pos long, `公司或商業登記名稱` string, `公司統一編號` string, `業者地址` string, `食品業者登錄字號` string, `登錄項目` string"))
+    io.write_records(groups, str(tmp_path / "out"), "parquet", counts)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    stats = spark.read.json(str(tmp_path / "out_stats"))
+    assert io.reconcile_counts(back, stats).count() == 2
+    with pytest.raises(io.ContractError):
+        io.reconcile_counts(back.limit(1), stats)
+
+
 def test_streams(spark, tmp_path):
     events = ledger_events()
     for i, part in enumerate((events[:500], events[500:])):  # users arrive in order
