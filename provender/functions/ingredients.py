@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow import arrow
-from .text import trimmed
+from .text import let, trimmed
 
 # What parts ingredients, the brackets inside of which nothing does, and the names of errors.
 SEPARATORS = "、,，;；\n\r"
@@ -94,22 +94,26 @@ def split_strict(text: Column | str) -> Column:
     of the text counts, and there are no names beside it.
     """
     text = _text(text)
-    bracketed = text.rlike(_class("".join(BRACKETS)))
-    safe = _hidden(F.when(bracketed, text))
-    whole = F.coalesce(safe["whole"], F.lit(True))
+    safe = _hidden(F.when(text.rlike(_class("".join(BRACKETS))), text))
     # doubled ideographic commas are one; what a name is made of can't be blank
     once = F.regexp_replace(F.coalesce(safe["text"], text), r"(?U)、(?:[\s\x1c-\x1f&&[^\n\r]]*、)+", "、")
-    parts = F.transform(F.split(once, _class(SEPARATORS)), _shown)
-    last = F.element_at(parts, -1)
-    names = F.when(last == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    ends_well = (last != "") | trimmed(F.regexp_replace(once, r"[\n\r]", "\u0001")).endswith("、")
-    error = (
-        F.when(trimmed(text) == "", EMPTY)
-        .when(F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda n: n == ""), BETWEEN)
-        .when(~whole, UNBALANCED)
-        .when(~ends_well, TRAILING)
-    )
-    return F.struct(F.when(error.isNull(), names).otherwise(F.array().cast("array<string>")).alias("names"), error.alias("error"))
+    read = F.struct((trimmed(text) == "").alias("blank"), F.coalesce(safe["whole"], F.lit(True)).alias("whole"), once.alias("once"))
+    no_names = F.array().cast("array<string>")
+
+    def parted(m: Column) -> Column:
+        ends = trimmed(F.regexp_replace(m["once"], r"[\n\r]", "\u0001")).endswith("、")
+        return F.struct(m["blank"].alias("blank"), m["whole"].alias("whole"), ends.alias("ends"), F.transform(F.split(m["once"], _class(SEPARATORS)), _shown).alias("parts"))
+
+    def judged(m: Column) -> Column:
+        before, last = F.slice(m["parts"], 1, F.size(m["parts"]) - 1), F.element_at(m["parts"], -1)
+        error = F.when(m["blank"], EMPTY).when(F.array_contains(before, ""), BETWEEN).when(~m["whole"], UNBALANCED).when((last == "") & ~m["ends"], TRAILING)
+        return F.struct(F.when(last == "", before).otherwise(m["parts"]).alias("names"), error.alias("error"))
+
+    def told(m: Column) -> Column:
+        return F.struct(F.when(m["error"].isNull(), m["names"]).otherwise(no_names).alias("names"), m["error"].alias("error"))
+
+    # each step is computed once, however often the next one refers to it
+    return let(let(let(read, parted), judged), told)
 
 
 def split_lenient(text: Column | str) -> Column:

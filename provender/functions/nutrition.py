@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow import arrow
-from .text import filled, finite, non_negative, number_of
+from .text import filled, let, non_negative, number_of
 
 # Nutrient, unit, daily reference (null: none).
 NUTRIENTS = [
@@ -50,11 +49,6 @@ def _amount(text: Column, units: dict[str, str], wanted: str | None = None) -> C
     return let(parts, read)
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with value computed once; large expressions stay small that way."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def quantity(text: Column) -> Column:
     """{raw, value, unit} of a serving size such as ``12.5公克``; raw is '' for null."""
     return _amount(text, VOLUME_UNITS)

@@ -155,11 +155,11 @@ def restored(items: DataFrame, user: str = "user", order: str = "ord") -> DataFr
     """(user, product_id, quantity, ord): saved baskets (user, ord, product_id, quantity) as they are taken up again.
 
     Of each product the first row counts that has an id, trimmed, and a finite quantity above 0; places
-    are given anew.
+    are given anew. Rows that share a place go by quantity and product.
     """
     rows = items.select(user, F.col(order).alias("_o"), product_key(F.col("product_id")).alias("product_id"), F.col("quantity").cast("double").alias("quantity"))
     first = rows.where(F.col("product_id").isNotNull() & good_quantity(F.col("quantity"))).groupBy(user, "product_id").agg(F.min(F.struct("_o", "quantity")).alias("_f"))
-    return first.select(user, "product_id", "_f.quantity", F.row_number().over(Window.partitionBy(user).orderBy("_f._o")).cast("long").alias("ord")).withColumn("ord", F.col("ord") - 1)
+    return first.select(user, "product_id", "_f.quantity", F.row_number().over(Window.partitionBy(user).orderBy("_f._o", "product_id")).cast("long").alias("ord")).withColumn("ord", F.col("ord") - 1)
 
 
 def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,8 @@ def build_candidates(rows: DataFrame, source: dict[str, str], sample: int | None
     source: id, name, provider, dataset_url, download_url, fetched_at. Brand and barcode are never
     taken from elsewhere.
     """
-    kept = first_rows(rows.where(F.col("classification") == CLASSES[0]), sample)
+    # read twice in numbering, so parsed once and kept on executors' disks
+    kept = first_rows(rows.where(F.col("classification") == CLASSES[0]), sample).persist(StorageLevel.DISK_ONLY)
     identity = [F.col(c) for c in ("companyName", "productName", "packageSpecification")]
     kept = occurrence_ids(kept, candidate_id(F.col("traceabilityCode"), *identity), "candidateId")
     split = split_strict("contentLabel")
@@ -115,7 +117,8 @@ def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = Non
     rows = schema_validate(rows, "product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error")
     identity = F.when(F.col("eligible"), F.concat_ws("\x1f", *(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification"))))
     keys = {n: F.when(F.col("converted") & filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))} | {"product": identity}
-    rows = rows.withColumns({f"_{name}": key for name, key in keys.items()})
+    # read four times below: kept on executors' disks, and made again from the candidates where one is lost
+    rows = rows.withColumns({f"_{name}": key for name, key in keys.items()}).persist(StorageLevel.DISK_ONLY)
     for name in keys:
         # keys alone are counted; only those that stand there twice meet the rows again
         twice = rows.where(F.col(f"_{name}").isNotNull()).groupBy(F.col(f"_{name}").alias("_v")).agg(F.count("*").alias("_n")).where("_n > 1").select("_v", F.lit(True).alias(f"dup_{name}"))
@@ -126,13 +129,14 @@ def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = Non
     return rows.withColumn("safe", F.col("schema_ok") & F.col("_id").isNotNull() & ~F.col("dup_id") & ~F.col("dup_code") & ~F.col("old_id") & ~F.col("old_code"))
 
 
-def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> tuple[DataFrame, DataFrame]:
+def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = None, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What promotion would do: one row, and details (kind, value) in order of what stands in its way.
 
     products: id, traceabilityCode and, if the whole catalogue to be is to be validated, _pos and product
-    (VARIANT): candidates that aren't valid aren't safe, so what fails then is an existing product.
+    (VARIANT): candidates that aren't valid aren't safe, so what fails then is an existing product. rows:
+    what judged gives, where that is known already.
     """
-    rows = judged(candidates, products, schema)
+    rows = judged(candidates, products, schema) if rows is None else rows
 
     def values(flag: str, key: str) -> Column:
         return F.countDistinct(F.when(F.col(flag), F.col(key)))
@@ -163,7 +167,8 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
 
     products: _pos, id, traceabilityCode, product (VARIANT).
     """
-    counts = dry_run(candidates, products, schema)[0].first()
+    rows = judged(candidates, products, schema)
+    counts = dry_run(candidates, products, schema, rows)[0].first()
     zero = ["duplicate_id_values", "duplicate_code_values", "existing_id_conflicts", "existing_code_conflicts", "schema_fail"]
     if counts["batch_schema_validation"] != "pass":
         raise ContractError(f"the catalogue isn't valid: {counts['batch_schema_error']}")
@@ -171,7 +176,7 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
         raise ContractError(f"conflicts: {', '.join(bad)}")
     if not counts["safe_imports"] or counts["safe_imports"] != expected or counts["convertible"] != expected:
         raise ContractError(f"{counts['safe_imports']} safe and {counts['convertible']} convertible candidates, {expected} expected")
-    new = judged(candidates, products, schema).where("safe").select("_pos", "id", "traceabilityCode", "product")
+    new = rows.where("safe").select("_pos", "id", "traceabilityCode", "product")
     out = appended(products.select("_pos", "id", "traceabilityCode", "product"), new)
     checked = schema_validate(out, "product", schema or product_schema())
     if checked.where("status = 'blocked'").limit(1).count() or catalogue_faults(out).limit(1).count():

@@ -6,8 +6,6 @@ line items are baskets, events are ledger events, pages are search results.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +22,7 @@ from provender.operators.ordered import decide, duplicates, first_wins, grouped,
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import checked_products
 from provender.plans.products import totals
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from provender.query_table import ORACLE, QUERIES, query, read
 
 #: A label text for each part: units, leading zeros, signs and separators by turns. {} is the size.
 FORMS = ["{}公克", " {} ML ", "0{} g", "-{} g", "{}", "{}.5克", "1,{} g", "{}毫升"]
@@ -300,7 +280,7 @@ def q_basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH e AS (SELECT user_id, event_id, event_id % 20 AS p, floor(value) + 1 AS q, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'view' THEN 'update' WHEN 'error' THEN 'remove' ELSE 'clear' END AS op FROM events),
 c AS (SELECT *, max(CASE WHEN op = 'clear' THEN event_id END) OVER (PARTITION BY user_id) AS c FROM e),
-r AS (SELECT *, max(CASE WHEN op = 'remove' THEN event_id END) OVER (PARTITION BY user_id, p) AS r FROM c WHERE op <> 'clear' AND (c IS NULL OR event_id > c)),
+r AS (SELECT *, max(CASE WHEN op = 'remove' THEN event_id END) OVER (PARTITION BY user_id, p) AS r FROM c WHERE op <> 'clear' AND p NOT IN (7, 11) AND (c IS NULL OR event_id > c)),
 a AS (SELECT *, min(CASE WHEN op = 'add' THEN event_id END) OVER (PARTITION BY user_id, p) AS a FROM r WHERE r IS NULL OR event_id > r),
 u AS (SELECT *, max(CASE WHEN op = 'update' AND q > 0 THEN event_id END) OVER (PARTITION BY user_id, p) AS u FROM a WHERE event_id >= a),
 t AS (SELECT user_id, p, min(a) AS a, coalesce(max(CASE WHEN event_id = u THEN q END), 0) + count(*) FILTER (op = 'add' AND (u IS NULL OR event_id > u)) AS quantity FROM u GROUP BY ALL)
@@ -309,7 +289,9 @@ def q_basket_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of baskets: what is in them in the end."""
     ops = {"click": "add", "purchase": "add", "view": "update", "error": "remove", "signup": "clear"}
     op = F.create_map(*(F.lit(x) for p in ops.items() for x in p))[F.col("event_type")]
-    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), op.alias("op"), (F.col("event_id") % 20).cast("string").alias("product_id"), (F.floor("value") + 1).cast("double").alias("quantity"))
+    p = F.col("event_id") % 20
+    odd = F.when(p == 7, " \ufeff").when(p == 11, " Null").when(F.col("event_id") % 3 == 0, F.concat(F.lit("\u3000"), p, F.lit("\ufeff "))).otherwise(p.cast("string"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), op.alias("op"), odd.alias("product_id"), (F.floor("value") + 1).cast("double").alias("quantity"))
     return ledger(rows)
 
 
@@ -500,3 +482,8 @@ def q_product_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "part").select(k.alias("_pos"), k.alias("id"), F.col("p_name").alias("name"), amounts.alias("nutrition"), source.alias("sources"), F.lit("s").alias("nutritionSource"), F.array().cast("array<struct<name:string,sourceId:string>>").alias("ingredients"))
     facts = product_facts(rows, F.to_date(F.lit("1998-10-28"))).where("nutrient = 'protein'")
     return facts.select("id", "nutrient", "pct", "progress", "label", F.col("freshness.elapsed_days").alias("days"))
+
+
+from provender import queries_catalogue  # noqa: E402, F401  (adds its own to QUERIES)
+
+__all__ = ["ORACLE", "QUERIES"]
