@@ -130,25 +130,25 @@ def q_promote_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT l_orderkey % 50 AS page, p_name AS key, l_partkey AS product_id, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey),
+WITH l AS (SELECT l_orderkey % 50 AS page, p_name AS key, l_partkey AS product_id, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS pos FROM lineitem JOIN part ON p_partkey = l_partkey),
 t AS (SELECT p_partkey AS target_id, p_partkey % 50 AS page, p_name AS key FROM part)
 SELECT target_id, arg_max(product_id, pos) AS product_id FROM t JOIN l USING (page, key) GROUP BY target_id""")
 def q_lookup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets with the id that their page lists last under their name."""
     parts = read(spark, sf_dir, "part")
-    listed = read(spark, sf_dir, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") % 50).alias("page"), F.col("p_name").alias("key"), F.col("l_partkey").alias("product_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_pos"))
+    listed = read(spark, sf_dir, "lineitem").join(parts, F.col("p_partkey") == F.col("l_partkey")).select((F.col("l_orderkey") % 50).alias("page"), F.col("p_name").alias("key"), F.col("l_partkey").alias("product_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("_pos"))
     targets = parts.select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") % 50).alias("page"), F.col("p_name").alias("key"))
     return lookup_ids(targets, listed).select("target_id", "product_id")
 
 
 @query("""
 WITH t AS (SELECT s_suppkey AS target_id, substr(lower(n_name), 1, 1) AS b, CAST(s_suppkey % 10 AS VARCHAR) AS p FROM supplier JOIN nation ON n_nationkey = s_nationkey),
-f AS (SELECT l_suppkey AS target_id, p_name || l_partkey AS name, 'u' || (l_partkey % 7) AS url, l_orderkey * 10 + l_linenumber AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)
+f AS (SELECT l_suppkey AS target_id, p_name || l_partkey AS name, 'u' || (l_partkey % 7) AS url, (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS pos FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT target_id, url, arg_min(name, pos) AS name_key FROM f JOIN t USING (target_id) WHERE contains(name, b) AND contains(name, p) GROUP BY ALL""")
 def q_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products found for a target that hold its brand and name, the first of each address."""
     targets = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("target_id"), F.substring(F.lower("n_name"), 1, 1).alias("brand_key"), (F.col("s_suppkey") % 10).cast("string").alias("product_key"))
-    found = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("target_id"), F.concat("p_name", "l_partkey").alias("name_key"), F.concat(F.lit("u"), F.col("l_partkey") % 7).alias("url"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_pos"))
+    found = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("l_suppkey").alias("target_id"), F.concat("p_name", "l_partkey").alias("name_key"), F.concat(F.lit("u"), F.col("l_partkey") % 7).alias("url"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("_pos"))
     return contained(targets, found).select("target_id", "url", "name_key")
 
 
