@@ -119,13 +119,13 @@ def q_retail_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "refusal", at("$.id", "string").alias("id"), at("$.sources[0].id", "string").alias("source"), at("$.nutrition.sodium.value", "double").alias("sodium"))
 
 
-@query(f"SELECT p_partkey - 1 AS _pos, 'old-' || p_partkey AS id FROM part WHERE p_partkey <= 100 UNION ALL SELECT 100, {RETAIL_ID} FROM part WHERE p_partkey = 120")
+@query(f"SELECT p_partkey - 1 AS _pos, 'old-' || p_partkey AS id FROM part UNION ALL SELECT (SELECT max(p_partkey) FROM part), {RETAIL_ID} FROM part WHERE p_partkey = 120")
 def q_promote_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One retail candidate promoted after the products there are."""
     from provender.plans.catalog import promote_one
 
     k = F.col("p_partkey")
-    old = read(spark, sf_dir, "part").where(k <= 100).select((k - 1).cast("long").alias("_pos"), F.concat(F.lit("old-"), k).alias("id"), F.concat(F.lit("9"), k).alias("barcode"), F.try_parse_json(F.concat(F.lit('{"id":"old-'), k, F.lit('","name":"n"}'))).alias("product"))
+    old = read(spark, sf_dir, "part").select((k - 1).cast("long").alias("_pos"), F.concat(F.lit("old-"), k).alias("id"), F.concat(F.lit("9"), k).alias("barcode"), F.try_parse_json(F.concat(F.lit('{"id":"old-'), k, F.lit('","name":"n"}'))).alias("product"))
     return promote_one(_retail(spark, sf_dir), old, k == 120).select("_pos", "id")
 
 
