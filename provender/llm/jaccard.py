@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, among, components, distinct, forest, settled, table, windows
+from .common import WordHashes, among, components, distinct, forest, settled, table, texts_of, windows
 
 WORDS, PERCENT = 5, 80
 #: The share of a document's shingles, those with the smallest hashes, whose frequency is counted.
@@ -46,24 +47,28 @@ def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n, sig, zone) of each document: its set's size and hash, and its smallest tokens.
 
     zone holds the tokens under the ZONE share of all values, or as many as the prefix has if those
-    are fewer; they come before all others in the order.
+    are fewer; they come before all others in the order. Ids stay Arrow columns: pandas would make
+    those beside a null floats.
     """
     edge = int(ZONE * (1 << 64))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes = WordHashes()
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
-                s = shingles(text or b"", hashes)
+            for text in texts_of(batch):
+                s = shingles(text, hashes)
                 n = len(s)
                 take = max(int(np.searchsorted(s, np.uint64(edge))), n - (PERCENT * n + 99) // 100 + 1) if n else 0
                 rows.append((n, xxhash.xxh3_128_digest(s.tobytes()), (s[:take] >> np.uint64(SHIFT)).astype(np.int64)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "n": [r[0] for r in rows], "sig": [r[1] for r in rows], "zone": [r[2] for r in rows]})
+            sizes = np.cumsum([0, *(len(r[2]) for r in rows)])
+            zones = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)])))
+            columns = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), zones]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sig", "zone"])
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(run, "doc_id long, n int, sig binary, zone array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n int, sig binary, zone array<long>")
 
 
 def prefixes(sets: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,24 +64,27 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     A null text counts as empty, and an empty one is the end id alone. Very long texts make many pieces.
     Repeated rows are cut alike, each into pieces of its own; a null doc_id stays null; an empty table gives
-    an empty one. Columns of docs that aren't in keep are left out and may have any names.
+    an empty one. Columns of docs that aren't in keep are left out and may have any names. Kept columns
+    stay as they are, whatever their types: they never leave Arrow.
     """
     vocabulary = vocabulary or vocabulary_path()
     kind = docs.select("doc_id", *keep).schema
-    names = kind.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                ids = [ids_of("" if t is None else t, vocabulary) for t in part["text"]]
+    own = [*kind.names, "piece", "start", "length", "ids"]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                ids = [ids_of(t or "", vocabulary) for t in part.column(0).to_pylist()]
                 cuts = [cut(len(x), capacity) for x in ids]
-                out = part[names].loc[part.index.repeat([len(c) for c in cuts])].reset_index(drop=True)
-                rows = [(k, s, n, x[s : s + n].tobytes()) for x, c in zip(ids, cuts) for k, (s, n) in enumerate(c)]
-                yield out.assign(**dict(zip(("piece", "start", "length", "ids"), zip(*rows))))
+                rows = zip(*((k, s, n, x[s : s + n].tobytes()) for x, c in zip(ids, cuts) for k, (s, n) in enumerate(c)))
+                of = pa.array(np.repeat(np.arange(len(cuts)), [len(c) for c in cuts]))
+                kept = [c.take(of) for c in part.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, t) for x, t in zip(rows, types))], own)
 
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in kind)}, piece int, start long, length long, ids binary"
-    return docs.select("doc_id", "text", *keep).mapInPandas(run, schema)
+    return docs.select("text", "doc_id", *keep).mapInArrow(run, schema)
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:

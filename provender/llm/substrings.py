@@ -26,8 +26,6 @@ WIDTH = 13
 #: Rows of the sketch, and cells in each for every window of the table. A window that isn't repeated meets
 #: another one in a cell with a probability of at most 1 / CELLS, in all rows with CELLS ** -DEPTH: 1.6 %.
 DEPTH, CELLS = 3, 4
-#: An id that is null counts as larger than all others.
-LAST = (1 << 63) - 1
 OTHER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -54,10 +52,10 @@ def parts(key: np.ndarray, n: int, top: int) -> np.ndarray:
 
 
 class Block:
-    """The windows of a block of documents: key1 and key2 (hashes), at (first word), doc (row), and ids of documents."""
+    """The windows of a block of documents: key1 and key2 (hashes), at (first word), doc (row), and of each document its id and whether that is null."""
 
     def __init__(self, row: pd.Series, width: int):
-        self.ids = np.frombuffer(row["ids"], "<i8")
+        self.ids, self.none = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["none"], bool)
         sizes, data = np.frombuffer(row["sizes"], "<i8"), zstandard.decompress(row["data"])
         ends = np.cumsum(sizes)
         self.words = [data[e - n : e].split() for n, e in zip(sizes.tolist(), ends.tolist())]
@@ -85,34 +83,35 @@ def starts(*keys: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(docs: DataFrame, size: int) -> DataFrame:
-    """(block, ids, sizes, data): the documents of a partition in blocks of ``size`` bytes of text, under zstd.
+    """(block, ids, none, sizes, data): the documents of a partition in blocks of ``size`` bytes of text, under zstd.
 
-    A longer text is a block alone. The number of a block hangs on its place in the scan.
+    A longer text is a block alone. The number of a block hangs on its place in the scan. none marks
+    documents without an id.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[int] = []
+        ids: list[tuple[int, bool]] = []
         texts: list[bytes] = []
         held, n, part = 0, 0, 0
 
         def out() -> pd.DataFrame:
-            row = (part << 24) + n, np.array(ids, "<i8").tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.compress(b"".join(texts), 1)
-            return pd.DataFrame([row], columns=["block", "ids", "sizes", "data"])
+            row = (part << 24) + n, np.array([i for i, _ in ids], "<i8").tobytes(), np.array([x for _, x in ids], bool).tobytes(), np.array([len(t) for t in texts], "<i8").tobytes(), zstandard.compress(b"".join(texts), 1)
+            return pd.DataFrame([row], columns=["block", "ids", "none", "sizes", "data"])
 
         for pdf in batches:
-            for part, i, text in zip(pdf["part"], pdf["id"], pdf["text"]):
+            for part, i, none, text in zip(pdf["part"], pdf["id"], pdf["none"], pdf["text"]):
                 text = text or b""
                 if texts and held + len(text) > size:
                     yield out()
                     ids, texts, held, n = [], [], 0, n + 1
-                ids.append(i)
+                ids.append((i, none))
                 texts.append(text)
                 held += len(text)
         if texts:
             yield out()
 
-    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "block long, ids binary, sizes binary, data binary")
+    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.isnull("doc_id").alias("none"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(run, "block long, ids binary, none binary, sizes binary, data binary")
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float = CELLS, block_bytes: int | None = None) -> DataFrame:
@@ -122,7 +121,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
     document with a smaller doc_id. Rows with the same id don't take words from one another; a
     null id counts as larger than all. Null and empty texts have no words; texts with fewer words
     than a window stay whole; very long texts count whole; other columns of docs are left out and
-    may have any names; an empty table gives an empty one.
+    may have any names; an empty table gives an empty one. Three passes read docs, so its rows have to
+    come in the same order each time: pass a table read from files, or what ``settled`` returns.
 
     The sketch has ``depth`` rows of some ``cells`` cells for each window that the table has at most.
     It may be far too small: then more windows are grouped exactly, and none is lost. Blocks hold 1/64
@@ -172,24 +172,27 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
         above = np.empty(own.size, bool)
         above[order] = often[place]
         on = above.reshape(own.shape).all(0)
-        k1, k2, ids = b.key1[on], b.key2[on], b.ids[b.doc[on]]
-        order = np.lexsort((ids, k2, k1))
-        k1, k2, ids = k1[order], k2[order], ids[order]
+        k1, k2, ids, none = b.key1[on], b.key2[on], b.ids[b.doc[on]], b.none[b.doc[on]]
+        order = np.lexsort((ids, none, k2, k1))
+        k1, k2, ids, none = k1[order], k2[order], ids[order], none[order]
         first = np.flatnonzero(starts(k1, k2))
         last = np.concatenate([first[1:], [len(k1)]])[: len(first)] - 1
         low = ids[first].view(np.uint64)
-        return dealt_out(pdf["block"].iloc[0], k1[first], 1 << 64, k1[first], k2[first], low, ids[last].view(np.uint64) - low)
+        # of documents without an id: none, the last, all
+        flag = none[first].astype(np.uint8) + none[last]
+        return dealt_out(pdf["block"].iloc[0], k1[first], 1 << 64, k1[first], k2[first], low, ids[last].view(np.uint64) - low, flag)
 
     def least(pdf: pd.DataFrame) -> pd.DataFrame:
         """For each block those of its windows that stand in a document earlier than one of its own, and the first such."""
-        got = [unpacked(x, "<u8", "<u4", "<u8", "<u8") for x in pdf["data"]]
-        k1, k2, low, more = (np.concatenate(c) for c in zip(*got))
+        got = [unpacked(x, "<u8", "<u4", "<u8", "<u8", "u1") for x in pdf["data"]]
+        k1, k2, low, more, flag = (np.concatenate(c) for c in zip(*got))
         high, low = (low + more).view(np.int64), low.view(np.int64)
-        order = np.lexsort((low, k2, k1))
+        order = np.lexsort((low, flag == 2, k2, k1))
         new = starts(k1[order], k2[order])
-        small = np.empty_like(low)
-        small[order] = low[order][new][np.cumsum(new) - 1]
-        on, out, end = small < high, [], 0
+        lead = np.empty(len(low), np.int64)
+        lead[order] = order[new][np.cumsum(new) - 1]
+        small = low[lead]
+        on, out, end = (flag[lead] < 2) & ((flag > 0) | (small < high)), [], 0
         for block, g in zip(pdf["block"], got):
             own = end + np.flatnonzero(on[end : end + len(g[0])])
             end += len(g[0])
@@ -199,7 +202,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
 
     def remove(pdf: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=["id", "n_words", "n_removed", "kept"])
+            return pd.DataFrame(columns=["id", "none", "n_words", "n_removed", "kept"])
         b = Block(pdf.iloc[0], width)
         total = int(b.ends[-1]) if len(b.ends) else 0
         cover = np.zeros(total + width + 1, np.int64)
@@ -207,10 +210,10 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
             k1, k2, small = (np.concatenate(c) for c in zip(*(unpacked(x, "<u8", "<u4", "<u8") for x in answer["data"])))
             order = np.lexsort((k2, k1))
             k1, k2, small = k1[order], k2[order], small[order].view(np.int64)
-            at, ids = np.searchsorted(k1, b.key1), b.ids[b.doc]
+            at, ids, none = np.searchsorted(k1, b.key1), b.ids[b.doc], b.none[b.doc]
             for step in range(int(np.unique(k1, return_counts=True)[1].max())):  # more than one only where 64 bits agree by chance
                 i = np.minimum(at + step, len(k1) - 1)
-                start = b.at[(k1[i] == b.key1) & (k2[i] == b.key2) & (small[i] < ids)]
+                start = b.at[(k1[i] == b.key1) & (k2[i] == b.key2) & (none | (small[i] < ids))]
                 np.add.at(cover, start, 1)
                 np.add.at(cover, start + width, -1)
         gone = np.cumsum(cover)[:total] > 0
@@ -220,13 +223,13 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
             removed.append(int(g.sum()))
             kept.append(b" ".join(words if not removed[-1] else [w for w, x in zip(words, g.tolist()) if not x]))
             start = end
-        return pd.DataFrame({"id": b.ids, "n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
+        return pd.DataFrame({"id": b.ids, "none": b.none, "n_words": [len(w) for w in b.words], "n_removed": removed, "kept": kept})
 
     by_shard, by_block = "block long, shard int, data binary", "block long, data binary"
     often = dealt.groupBy("block").applyInPandas(sketch, by_shard).groupBy("shard").applyInPandas(merge, by_shard)
     found = dealt.groupBy("block").cogroup(often.groupBy("block")).applyInPandas(candidates, by_shard).groupBy("shard").applyInPandas(least, by_block)
-    left = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remove, "id long, n_words long, n_removed long, kept binary")
-    return left.select(F.nullif("id", F.lit(LAST)).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+    left = dealt.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remove, "id long, none boolean, n_words long, n_removed long, kept binary")
+    return left.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,3 +112,32 @@ def test_repeated_documents_in_the_pipeline(spark):
     rows = [(i, text, "en", "a") for i in (5, 3, 9)] + [(10, text + " more", "en", "b"), (11, "something else that stands alone here", "en", "b")]
     out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, frame(spark, rows), "")
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 11]
+
+
+EDGES = [(1 << 53) + 1, (1 << 60) + 1, (1 << 60) + 3, (1 << 63) - 1, None]
+
+
+@pytest.mark.parametrize("name", [*KEEP, "jaccard", "substrings"])
+def test_large_ids(spark, model, name):
+    """Ids over 2**53 stay exact beside a null one, all in one batch."""
+    docs = frame(spark, [(i, f"text number {k} " + "some words that follow here " * 3, "en", "a") for k, i in enumerate(EDGES)]).coalesce(1)
+    got = run(name, docs, model).collect()
+    assert {r["doc_id"] for r in got} == set(EDGES)
+    if name == "jaccard":
+        assert {r["doc_id"]: r["component_id"] for r in got} == {i: i for i in EDGES}
+
+
+def test_large_ids_of_vectors(spark):
+    vectors = [(i, [float(x == k) for x in range(8)]) for k, i in enumerate(EDGES)]
+    got = embeddings.near_vectors(spark.createDataFrame(vectors, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    assert {(r["vec_id"], r["component_id"]) for r in got} == {(i, i) for i in EDGES}
+
+
+def test_order_of_windows_by_id(spark):
+    """A window belongs to the smallest id; the largest id comes before none."""
+    run13 = " ".join(f"w{i}" for i in range(13))
+    rows = [(None, run13 + " a", "en", "a"), ((1 << 63) - 1, "b " + run13, "en", "a"), (None, "c " + run13, "en", "b")]
+    got = {(r["doc_id"], r["kept"]) for r in substrings.dedup(frame(spark, rows)).collect()}
+    assert got == {((1 << 63) - 1, "b " + run13), (None, "a"), (None, "c")}
+    got = substrings.dedup(frame(spark, [r for r in rows if r[0] is None])).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 0]
