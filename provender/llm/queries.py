@@ -13,6 +13,8 @@ from .jaccard import OP4_SQL, op4_jaccard
 from .lines import OP2_SQL, op2_lines
 from .mixing import op7_mixing
 from .packing import op5_packing
+from .periods import op12_periods
+from .phrases import OP13_SQL, op13_phrases
 from .quality import op1_quality
 from .sharding import op6_sharding
 from .substrings import OP8_SQL, op8_substrings
@@ -28,7 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_embeddings": op10_embeddings,
+    "op12_periods": op12_periods,
+    "op13_phrases": op13_phrases,
 }
 
-#: The others need a model, a tokenizer, bit votes, a curve or a seeded permutation: tests hold those.
-ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_jaccard": OP4_SQL, "op8_substrings": OP8_SQL}
+#: The others need a model, a tokenizer, bit votes, a curve, a seeded permutation or every period: tests hold those.
+ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_jaccard": OP4_SQL, "op8_substrings": OP8_SQL, "op13_phrases": OP13_SQL}
