@@ -18,6 +18,7 @@ from .phrases import OP13_SQL, op13_phrases
 from .quality import op1_quality
 from .sharding import op6_sharding
 from .substrings import OP8_SQL, op8_substrings
+from .warc import OP11_SQL, op11_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
@@ -30,9 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_fingerprints": op9_fingerprints,
     "op10_embeddings": op10_embeddings,
+    "op11_warc": op11_warc,
     "op12_periods": op12_periods,
     "op13_phrases": op13_phrases,
 }
 
 #: The others need a model, a tokenizer, bit votes, a curve, a seeded permutation or every period: tests hold those.
-ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_jaccard": OP4_SQL, "op8_substrings": OP8_SQL, "op13_phrases": OP13_SQL}
+ORACLE: dict[str, str] = {"op2_lines": OP2_SQL, "op4_jaccard": OP4_SQL, "op8_substrings": OP8_SQL, "op11_warc": OP11_SQL, "op13_phrases": OP13_SQL}
