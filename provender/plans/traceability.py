@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +12,11 @@ from provender.functions.keys import candidate_id
 from provender.functions.nutrition import NAMES, UNITS, anomalies, complete_non_negative, nutrient, quantity, valid_amount
 from provender.functions.text import clean, filled
 from provender.operators.classify import CLASSES, candidate_issues, class_counts, classified, eligible, ingredients_parsed, issue_category
-from provender.operators.joins import keyed
 from provender.operators.ordered import appended, duplicates, occurrence_ids
 from provender.operators.schema import product_schema, schema_validate, text_in
 from provender.operators.validate import catalogue_faults
 from provender.sources.io import TRACE_FIELDS, TRACE_NUTRIENTS, ContractError, first_rows
+from provender.sources.shared import kept, released
 
 
 def normalize(records: DataFrame) -> DataFrame:
@@ -53,13 +52,13 @@ def build_candidates(rows: DataFrame, source: dict[str, str], sample: int | None
     source: id, name, provider, dataset_url, download_url, fetched_at. Brand and barcode are never
     taken from elsewhere.
     """
-    # read twice in numbering, so parsed once and kept on executors' disks
-    kept = first_rows(rows.where(F.col("classification") == CLASSES[0]), sample).persist(StorageLevel.DISK_ONLY)
+    # read twice in numbering, so parsed once
+    chosen = kept(first_rows(rows.where(F.col("classification") == CLASSES[0]), sample), "chosen")
     identity = [F.col(c) for c in ("companyName", "productName", "packageSpecification")]
-    kept = occurrence_ids(kept, candidate_id(F.col("traceabilityCode"), *identity), "candidateId")
+    chosen = occurrence_ids(chosen, candidate_id(F.col("traceabilityCode"), *identity), "candidateId")
     split = split_strict("contentLabel")
     src = F.struct(*(F.lit(v).alias(k) for k, v in source.items()))
-    return kept.withColumn("_i", split).select(
+    return chosen.withColumn("_i", split).select(
         "_pos", "candidateId", "companyName", F.lit(None).cast("string").alias("brand"), "productName", "packageSpecification", "traceabilityCode", "barcode", "serving", "nutrition",
         F.transform("_i.names", lambda n: F.struct(n.alias("name"), F.lit(source["id"]).alias("sourceId"))).alias("ingredients"),
         F.col("contentLabel").alias("ingredientsRaw"), F.col("_i.error").alias("ingredientsParseError"), src.alias("source"), F.lit(source.get("fetched_at")).alias("fetched_at"), "anomalies",
@@ -109,24 +108,36 @@ def promotion_analysis(candidates: DataFrame, schema: dict | None = None, sample
     return records, by_issue, by_category, totals
 
 
+FLAGS = {"dup_id": "dup and kind = 'id'", "dup_code": "dup and kind = 'code'", "dup_product": "dup and kind = 'product'", "old_id": "old and kind = 'id'", "old_code": "old and kind = 'code'"}
+
+
 def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> DataFrame:
-    """Candidates with what speaks for and against each: eligible, converted, schema_ok, dup_*, old_*, safe."""
+    """Candidates with what speaks for and against each: eligible, converted, schema_ok, dup_*, old_*, safe.
+
+    Rows are converted and held against the schema once, and kept. All keys of all kinds are then counted in
+    one grouping, together with those of products; the few that are common meet the positions that have them,
+    and rows are moved once, by position, which has to tell them apart.
+    """
     source_ok = filled(F.col("source.id")) & filled(F.col("source.name")) & filled(F.col("source.dataset_url"))
     rows = candidates.withColumn("eligible", eligible()).withColumn("converted", F.col("eligible") & F.coalesce(source_ok, F.lit(False)))
     rows = rows.withColumns({"id": F.col("candidateId"), "product": F.when(F.col("converted"), formal_product(promotion=True))})
     rows = schema_validate(rows, "product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error")
     identity = F.when(F.col("eligible"), F.concat_ws("\x1f", *(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification"))))
     keys = {n: F.when(F.col("converted") & filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))} | {"product": identity}
-    # read four times below: kept on executors' disks, and made again from the candidates where one is lost
-    rows = rows.withColumns({f"_{name}": key for name, key in keys.items()}).persist(StorageLevel.DISK_ONLY)
-    for name in keys:
-        # keys alone are counted; only those that stand there twice meet the rows again
-        twice = rows.where(F.col(f"_{name}").isNotNull()).groupBy(F.col(f"_{name}").alias("_v")).agg(F.count("*").alias("_n")).where("_n > 1").select("_v", F.lit(True).alias(f"dup_{name}"))
-        rows = rows.join(twice, F.col(f"_{name}") == F.col("_v"), "left").withColumn(f"dup_{name}", F.coalesce(f"dup_{name}", F.lit(False))).drop("_v")
-    for name, column in (("id", "id"), ("code", "traceabilityCode")):
-        known = keyed(products, column).select(F.col(column).alias("_v"), F.lit(True).alias(f"old_{name}"))
-        rows = rows.join(known, F.col(f"_{name}") == F.col("_v"), "left").withColumn(f"old_{name}", F.coalesce(f"old_{name}", F.lit(False))).drop("_v")
-    return rows.withColumn("safe", F.col("schema_ok") & F.col("_id").isNotNull() & ~F.col("dup_id") & ~F.col("dup_code") & ~F.col("old_id") & ~F.col("old_code"))
+    rows = kept(rows.withColumns({f"_{name}": key for name, key in keys.items()}), "judged")
+
+    def listed(df: DataFrame, columns: dict[str, Column], old: bool) -> DataFrame:
+        pairs = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in columns.items()))
+        flat = df.select((F.lit(None).cast("long") if old else F.col("_pos")).alias("_pos"), F.explode(pairs).alias("k"))
+        return flat.select("_pos", "k.*").where("value is not null")
+
+    own = listed(rows, {name: F.col(f"_{name}") for name in keys}, False)
+    known = listed(products, {n: F.when(filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))}, True)
+    counts = own.union(known).groupBy("kind", "value").agg(F.count("_pos").alias("n"), (F.count("*") > F.count("_pos")).alias("old"))
+    met = own.join(counts.where("n > 1 or (n > 0 and old)").select("kind", "value", F.expr("n > 1").alias("dup"), "old"), ["kind", "value"])
+    flags = met.groupBy("_pos").agg(*(F.bool_or(F.expr(c)).alias(name) for name, c in FLAGS.items()))
+    out = rows.join(flags, "_pos", "left").withColumns({name: F.coalesce(name, F.lit(False)) for name in FLAGS})
+    return out.withColumn("safe", F.col("schema_ok") & F.col("_id").isNotNull() & ~F.col("dup_id") & ~F.col("dup_code") & ~F.col("old_id") & ~F.col("old_code"))
 
 
 def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = None, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -167,7 +178,7 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
 
     products: _pos, id, traceabilityCode, product (VARIANT).
     """
-    rows = judged(candidates, products, schema)
+    rows = kept(judged(candidates, products, schema), "promotion")
     counts = dry_run(candidates, products, schema, rows)[0].first()
     zero = ["duplicate_id_values", "duplicate_code_values", "existing_id_conflicts", "existing_code_conflicts", "schema_fail"]
     if counts["batch_schema_validation"] != "pass":
@@ -177,9 +188,10 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
     if not counts["safe_imports"] or counts["safe_imports"] != expected or counts["convertible"] != expected:
         raise ContractError(f"{counts['safe_imports']} safe and {counts['convertible']} convertible candidates, {expected} expected")
     new = rows.where("safe").select("_pos", "id", "traceabilityCode", "product")
-    out = appended(products.select("_pos", "id", "traceabilityCode", "product"), new)
+    out = kept(appended(products.select("_pos", "id", "traceabilityCode", "product"), new), "promoted")
     checked = schema_validate(out, "product", schema or product_schema())
     if checked.where("status = 'blocked'").limit(1).count() or catalogue_faults(out).limit(1).count():
         raise ContractError("the catalogue to be written isn't valid")
+    released(rows)
     return out
 
