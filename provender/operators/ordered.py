@@ -129,25 +129,45 @@ def good_quantity(q: Column) -> Column:
     return finite(q) & F.coalesce(q.cast("double") > 0, F.lit(False))
 
 
-def ledger(events: DataFrame, user: str = "user", order: str = "seq") -> DataFrame:
+def ledger(events: DataFrame, user: str = "user", order: str = "seq", each: int = 100_000, slices: int = 16) -> DataFrame:
     """(user, product_id, quantity, ord): baskets after events (user, seq, op, product_id, quantity) in order.
 
     add puts one more in, update sets the quantity of what is there to a number above 0, remove and
     clear take out; ord is the place of the first add since the product last went. Ids are trimmed, and
-    products whose id says nothing don't count. seq tells the events of a user apart. Each step is a
-    grouped minimum or maximum joined back, so a user with many events isn't put in order in one place.
+    products whose id says nothing don't count. seq tells the events of a user apart.
+
+    Events are folded by spans of ``each`` positions: of a product's run of events it is enough to know
+    whether it was taken out, the first add and the last good update since, and the adds after that. Folds
+    of spans are composed the same way. A user's products are dealt into ``slices``, and clears go to
+    each of them, so neither a user nor a product with very many events is one task's work; nothing is joined.
     """
-    key, q = [user, "product_id"], F.col("quantity").cast("double")
-    cleared = events.where("op = 'clear'").groupBy(user).agg(F.max(order).alias("_c"))
-    rows = events.where("op in ('add', 'update', 'remove')").select(user, F.col(order).alias("_s"), "op", product_key(F.col("product_id")).alias("product_id"), q.alias("_q")).where("product_id is not null")
-    rows = rows.join(cleared, user, "left").where("_c is null or _s > _c").drop("_c")
-    removed = rows.where("op = 'remove'").groupBy(*key).agg(F.max("_s").alias("_r"))
-    rows = rows.where("op <> 'remove'").join(removed, key, "left").where("_r is null or _s > _r").drop("_r")
+    key, part = [user, "_slice", "product_id"], [user, "_slice"]
+    rows = events.where("op in ('add', 'update', 'remove', 'clear')").select(user, F.col(order).alias("_s"), "op", F.when(F.col("op") != "clear", product_key(F.col("product_id"))).alias("product_id"), F.col("quantity").cast("double").alias("_q"))
+    rows = rows.where("op = 'clear' or product_id is not null")
+    mine = F.pmod(F.xxhash64("product_id"), F.lit(slices)).cast("int")
+    rows = rows.withColumn("_slice", F.explode(F.when(F.col("op") == "clear", F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(mine)))).withColumn("_span", F.expr(f"floor(_s / {each})"))
+
     good = F.when((F.col("op") == "update") & good_quantity(F.col("_q")), F.col("_s"))
-    there = rows.groupBy(*key).agg(F.min(F.when(F.col("op") == "add", F.col("_s"))).alias("_a"), F.max(good).alias("_u"), F.max_by("_q", good).alias("_set")).where("_a is not null")
-    there = there.withColumn("_set", F.when(F.col("_u") > F.col("_a"), F.col("_set"))).withColumn("_u", F.when(F.col("_u") > F.col("_a"), F.col("_u")))
-    adds = rows.where("op = 'add'").join(there.select(*key, "_u"), key).where("_u is null or _s > _u").groupBy(*key).agg(F.count("*").alias("_n"))
-    out = there.join(adds, key, "left").select(*key, (F.coalesce("_set", F.lit(0.0)) + F.coalesce("_n", F.lit(0))).alias("quantity"), "_a")
+    pair, all_ = Window.partitionBy(user, "_slice", "_span", "product_id"), Window.partitionBy(user, "_slice", "_span")
+    # the wider windows first: what is dealt for them serves the others too
+    rows = rows.withColumn("_c", F.max(F.when(F.col("op") == "clear", F.col("_s"))).over(all_)).withColumn("_r", F.max(F.when(F.col("op") == "remove", F.col("_s"))).over(pair))
+    out_at = F.greatest("_r", "_c")  # null if there is neither
+    rows = rows.withColumn("_in", out_at.isNull() | (F.col("_s") > out_at)).withColumn("_good", F.when(F.col("_in"), good))
+    rows = rows.withColumn("_u", F.max("_good").over(pair))
+    add = F.col("_in") & (F.col("op") == "add")
+    folds = rows.groupBy(*part, "_span", "product_id").agg(
+        F.max("_c").alias("_c"), F.max("_r").isNotNull().alias("_out"), F.min(F.when(add, F.col("_s"))).alias("_a"), F.max("_u").alias("_u"), F.max_by("_q", "_good").alias("_set"), F.count_if(add & (F.col("_u").isNull() | (F.col("_s") > F.col("_u")))).alias("_n")
+    )
+
+    pair = Window.partitionBy(*key)
+    folds = folds.withColumn("_cleared", F.max(F.when(F.col("_c").isNotNull(), F.col("_span"))).over(Window.partitionBy(*part))).withColumn("_from", F.max(F.when(F.col("_out"), F.col("_span"))).over(pair))
+    folds = folds.withColumn("_in", (F.coalesce("_from", F.col("_span")) <= F.col("_span")) & (F.coalesce("_cleared", F.col("_span")) <= F.col("_span")))
+    last = F.when(F.col("_in"), F.col("_u"))
+    folds = folds.withColumn("_last", F.max(F.when(last.isNotNull(), F.col("_span"))).over(pair))
+    found = folds.where("_in and product_id is not null").groupBy(*key).agg(
+        F.min("_a").alias("_a"), F.max("_u").alias("_u"), F.max_by("_set", "_u").alias("_set"), F.sum(F.when(F.col("_last").isNull() | (F.col("_span") >= F.col("_last")), F.col("_n"))).alias("_n")
+    )
+    out = found.where("_a is not null").select(user, "product_id", (F.when(F.col("_u") > F.col("_a"), F.col("_set")).otherwise(0.0) + F.coalesce("_n", F.lit(0))).alias("quantity"), "_a")
     return out.withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("_a")).cast("long") - 1).drop("_a")
 
 

@@ -21,7 +21,7 @@ from provender.operators.joins import conflicts, safe, search, search_batch
 from provender.operators.ordered import decide, duplicates, first_wins, grouped, ledger, merge_index, occurrence_ids, ranked_candidates
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import checked_products
-from provender.plans.products import totals
+from provender.plans.products import basket_state, totals
 from provender.query_table import ORACLE, QUERIES, query, read
 
 #: A label text for each part: units, leading zeros, signs and separators by turns. {} is the size.
@@ -277,6 +277,15 @@ def q_basket_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(items, read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), amounts.alias("nutrition")), names=["protein", "sodium"])
 
 
+def _basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of baskets."""
+    ops = {"click": "add", "purchase": "add", "view": "update", "error": "remove", "signup": "clear"}
+    op = F.create_map(*(F.lit(x) for p in ops.items() for x in p))[F.col("event_type")]
+    p = F.col("event_id") % 20
+    odd = F.when(p == 7, " \ufeff").when(p == 11, " Null").when(F.col("event_id") % 3 == 0, F.concat(F.lit("\u3000"), p, F.lit("\ufeff "))).otherwise(p.cast("string"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), op.alias("op"), odd.alias("product_id"), (F.floor("value") + 1).cast("double").alias("quantity"))
+
+
 @query("""
 WITH e AS (SELECT user_id, event_id, event_id % 20 AS p, floor(value) + 1 AS q, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'view' THEN 'update' WHEN 'error' THEN 'remove' ELSE 'clear' END AS op FROM events),
 c AS (SELECT *, max(CASE WHEN op = 'clear' THEN event_id END) OVER (PARTITION BY user_id) AS c FROM e),
@@ -286,13 +295,22 @@ u AS (SELECT *, max(CASE WHEN op = 'update' AND q > 0 THEN event_id END) OVER (P
 t AS (SELECT user_id, p, min(a) AS a, coalesce(max(CASE WHEN event_id = u THEN q END), 0) + count(*) FILTER (op = 'add' AND (u IS NULL OR event_id > u)) AS quantity FROM u GROUP BY ALL)
 SELECT user_id AS user, CAST(p AS VARCHAR) AS product_id, CAST(quantity AS DOUBLE) AS quantity, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS ord FROM t""")
 def q_basket_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as changes of baskets: what is in them in the end."""
-    ops = {"click": "add", "purchase": "add", "view": "update", "error": "remove", "signup": "clear"}
-    op = F.create_map(*(F.lit(x) for p in ops.items() for x in p))[F.col("event_type")]
-    p = F.col("event_id") % 20
-    odd = F.when(p == 7, " \ufeff").when(p == 11, " Null").when(F.col("event_id") % 3 == 0, F.concat(F.lit("\u3000"), p, F.lit("\ufeff "))).otherwise(p.cast("string"))
-    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("event_id").alias("seq"), op.alias("op"), odd.alias("product_id"), (F.floor("value") + 1).cast("double").alias("quantity"))
-    return ledger(rows)
+    """What is in baskets after all events."""
+    return ledger(_basket_events(spark, sf_dir))
+
+
+@query("""
+WITH e AS (SELECT * FROM (SELECT user_id, event_id, event_id % 20 AS p, floor(value) + 1 AS q, CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'view' THEN 'update' WHEN 'error' THEN 'remove' ELSE 'clear' END AS op FROM events) WHERE op <> 'add' OR p IN (SELECT p_partkey FROM part WHERE p_partkey % 3 > 0)),
+c AS (SELECT *, max(CASE WHEN op = 'clear' THEN event_id END) OVER (PARTITION BY user_id) AS c FROM e),
+r AS (SELECT *, max(CASE WHEN op = 'remove' THEN event_id END) OVER (PARTITION BY user_id, p) AS r FROM c WHERE op <> 'clear' AND p NOT IN (7, 11) AND (c IS NULL OR event_id > c)),
+a AS (SELECT *, min(CASE WHEN op = 'add' THEN event_id END) OVER (PARTITION BY user_id, p) AS a FROM r WHERE r IS NULL OR event_id > r),
+u AS (SELECT *, max(CASE WHEN op = 'update' AND q > 0 THEN event_id END) OVER (PARTITION BY user_id, p) AS u FROM a WHERE event_id >= a),
+t AS (SELECT user_id, p, min(a) AS a, coalesce(max(CASE WHEN event_id = u THEN q END), 0) + count(*) FILTER (op = 'add' AND (u IS NULL OR event_id > u)) AS quantity FROM u GROUP BY ALL)
+SELECT user_id AS user, CAST(p AS VARCHAR) AS product_id, CAST(quantity AS DOUBLE) AS quantity, row_number() OVER (PARTITION BY user_id ORDER BY a) - 1 AS ord FROM t""")
+def q_basket_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where only products of the catalogue can be added."""
+    products = read(spark, sf_dir, "part").where("p_partkey % 3 > 0").select(F.concat(F.lit(" "), F.col("p_partkey")).alias("id"))
+    return basket_state(_basket_events(spark, sf_dir), products)
 
 
 @query("""

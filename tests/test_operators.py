@@ -10,7 +10,7 @@ from provender.functions.nutrition import NAMES
 from provender.operators import classify, joins, ordered, schema, validate
 from provender.plans import catalog, products, registry, traceability, websites
 from provender.sources import io
-from provender.streaming.jobs import apply_event, incoming_records, into_baskets, into_parquet, running_ledger
+from provender.streaming.jobs import apply_event, baskets_now, incoming_records, into_baskets, into_parquet, running_ledger
 
 
 def rows(df, *columns):
@@ -95,6 +95,12 @@ def test_ledger(spark):
     events = ledger_events()
     got = ordered.ledger(spark.createDataFrame(events, EVENTS).repartition(6))
     assert sorted(map(tuple, got.select("user", "product_id", "quantity", "ord").collect())) == folded_ledger(events)
+    for each, slices in ((1, 1), (3, 2), (7, 16)):
+        assert rows(ordered.ledger(spark.createDataFrame(events, EVENTS).repartition(3), each=each, slices=slices), "user", "product_id", "quantity", "ord") == sorted(folded_ledger(events), key=repr)
+    hot = [(0, s, "clear" if s == 2500 else "remove" if s in (100, 4000) else "update" if s % 7 == 0 else "add", "b" if s % 3 else "a", float(s)) for s in range(6000)]
+    assert rows(ordered.ledger(spark.createDataFrame(hot, EVENTS), each=500), "user", "product_id", "quantity", "ord") == sorted(folded_ledger(hot), key=repr)
+    plan = ordered.ledger(spark.createDataFrame(events, EVENTS))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3 and "Join" not in plan
     known = spark.createDataFrame([("a",)], "id string")
     assert {r["product_id"] for r in products.basket_state(spark.createDataFrame(events, EVENTS), known).collect()} == {"a"}
 
@@ -121,7 +127,7 @@ def test_sinks(spark, tmp_path):
         spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(at["in"])
         into_baskets(running_ledger(spark.readStream.schema(EVENTS).json(at["in"])), at["baskets"], at["c1"]).awaitTermination()
     got = spark.read.parquet(at["baskets"])
-    assert sorted(tuple(r)[:4] for r in got.select("user", "product_id", "quantity", "ord").collect()) == folded_ledger(events)
+    assert rows(baskets_now(got), "user", "product_id", "quantity", "ord") == sorted(folded_ledger(events), key=repr)
     spark.createDataFrame([(json.dumps(trace(0) | {"_pos": 3}, ensure_ascii=False),)], "value string").write.text(str(tmp_path / "t"))
     for _ in range(2):
         stream = incoming_records(spark, str(tmp_path / "t")).select("_pos", "classification")
@@ -163,14 +169,6 @@ def test_counts_reconciled(spark, tmp_path):
 
 
 def test_streams(spark, tmp_path):
-    events = ledger_events()
-    for i, part in enumerate((events[:500], events[500:])):  # users arrive in order
-        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = running_ledger(spark.readStream.schema(EVENTS).json(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("ledger_out").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("ledger_out").collect())) == folded_ledger(events)
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.json").write_text(json.dumps(trace(0) | {"_pos": 3}, ensure_ascii=False) + "\n")
     q = incoming_records(spark, str(tmp_path / "t")).writeStream.format("memory").queryName("trace_out").start()
