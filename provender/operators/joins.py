@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender.functions.text import clean, filled, script_trimmed
 
 from .ordered import first_wins
 
+#: What is kept of businesses that were evaluated.
+STATE = "identity string, signature string"
+
 
 def matches_any(fields: list[str], query: Column) -> Column:
     """Whether one of the fields holds the query, in lower case and trimmed; a blank query matches nothing."""
@@ -25,18 +29,36 @@ def search(products: DataFrame, query: str, fields: list[str]) -> DataFrame:
     return products.where(matches_any(fields, F.lit(query)))
 
 
-def search_batch(products: DataFrame, queries: DataFrame, fields: list[str], most: int = 10_000) -> DataFrame:
-    """Products with each query (query_id, text): queries are a set of checked size, sent to all.
+def grams_of(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """The distinct runs of 1, 2 and 3 characters of a text."""
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.char_length(text) - (n - 1))
+        return F.when(F.char_length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*map(runs, sizes)))
+
 
-    More than ``most`` queries are taken in blocks of that many.
+def search_batch(products: DataFrame, queries: DataFrame, fields: list[str], key: str = "_pos") -> DataFrame:
+    """Products with each query (query_id, text) that one of their fields holds, in lower case and trimmed; a blank query matches nothing.
+
+    An index of the fields' distinct values by their runs of characters answers all queries at once: a query
+    is held against the values that have its rarest run of three, and one of one or two characters is itself
+    a run. All joins are by equality, so neither side is sent to all or read once for each query. ``key`` tells
+    products apart; rows that share one are all found.
     """
-    n = queries.count()
-    if n <= most:
-        return products.join(F.broadcast(queries), matches_any(fields, F.col("text")))
-    blocks = -(-n // most) * 2
-    cut = queries.withColumn("_b", F.expr(f"pmod(xxhash64(query_id), {blocks})"))
-    parts = [search_batch(products, cut.where(F.col("_b") == i).drop("_b"), fields, most) for i in range(blocks)]
-    return reduce(DataFrame.union, parts)
+    values = products.select(F.col(key).alias("_key"), F.explode(F.array_distinct(F.array(*(F.lower(script_trimmed(F.col(f))) for f in fields)))).alias("_value")).where("_value <> ''")
+    asked = queries.select("query_id", F.lower(script_trimmed(F.col("text"))).alias("_q")).where("_q <> ''")
+    probes = asked.select("_q").distinct().select("_q", F.explode(F.when(F.char_length("_q") < 3, F.array("_q")).otherwise(grams_of(F.col("_q"), (3,)))).alias("_gram"))
+    postings = values.select("_value").distinct().select("_value", F.explode(grams_of(F.col("_value"))).alias("_gram"))
+    postings = postings.join(probes.select("_gram").distinct(), "_gram", "left_semi")
+    many = postings.groupBy("_gram").agg(F.count("*").alias("_n"))
+    # a run that no value has is the rarest of all, and ends the search
+    rarest = probes.join(many, "_gram", "left").groupBy("_q").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    met = rarest.join(postings, "_gram").where(F.contains("_value", "_q")).select("_q", "_value")
+    found = asked.join(met, "_q").join(values, "_value").select("query_id", "_key").distinct()
+    whole, of = products.select(F.col(key).alias("_key"), F.struct("*").alias("_product")), queries.select("query_id", F.struct("*").alias("_query"))
+    return whole.join(found, "_key").join(of, "query_id").select("_product.*", "_query.*")
 
 
 def last_wins(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
@@ -85,6 +107,34 @@ def with_pages(results: DataFrame, pages: DataFrame, url: str = "url") -> DataFr
     return results.join(known, F.col(url) == F.col("_page_url"), "left").drop("_page_url")
 
 
+def input_signatures(identity: str, tables: dict[str, DataFrame], settings: dict[str, object] | None = None) -> DataFrame:
+    """(identity, signature): a digest of all rows that each table has of a business, in any order.
+
+    Rows are hashed with their table's name and all their columns under two seeds, and hashes are summed, so a
+    business with very many rows is summed where they lie. A row more or less, a changed or a repeated one give
+    another signature, as do other ``settings``. Columns count by name, whatever their order.
+    """
+    parts = []
+    for name, df in tables.items():
+        own = F.struct(*sorted(df.columns))
+        parts.append(df.select(F.col(identity).alias("identity"), *(F.xxhash64(F.lit(seed), F.lit(name), F.to_json(own, {"ignoreNullFields": "false"})).cast("decimal(20,0)").alias(f"h{seed}") for seed in (1, 2))))
+    sums = reduce(DataFrame.unionByName, parts).groupBy("identity").agg(F.count("*").alias("n"), *(F.sum(f"h{seed}").alias(f"h{seed}") for seed in (1, 2)))
+    said = F.lit(json.dumps(settings or {}, sort_keys=True))
+    return sums.select("identity", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("h1").cast("string"), F.col("h2").cast("string"), said), 256).alias("signature"))
+
+
 def unfinished(businesses: DataFrame, done: DataFrame) -> DataFrame:
-    """Businesses not evaluated yet for the same input."""
+    """Businesses (identity, signature) not evaluated yet for the same input."""
     return businesses.join(done.select("identity", "signature"), ["identity", "signature"], "left_anti")
+
+
+def evaluated(spark: SparkSession, path: str) -> DataFrame:
+    """(identity, signature) of what earlier runs have evaluated; none where nothing is kept at path yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    kept = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(STATE).parquet(path) if kept else spark.createDataFrame([], STATE)
+
+
+def mark_evaluated(businesses: DataFrame, path: str) -> None:
+    """Add businesses (identity, signature) to what is kept at path; a run that fails before adds nothing."""
+    businesses.select("identity", "signature").write.mode("append").parquet(path)

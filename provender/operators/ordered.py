@@ -6,10 +6,14 @@ rows are dealt.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions.text import clean, filled, finite, has_display_value, plain_key, script_trimmed
+from provender.sources.shared import kept
 
 POS = "_pos"
 
@@ -43,16 +47,34 @@ def occurrence_ids(df: DataFrame, base: Column, name: str, order: str = POS) ->
     return rows.withColumn(name, F.when(F.col("_n") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(":duplicate-"), "_n"))).drop("_n", "_base")
 
 
-def grouped(df: DataFrame, key: Column, order: str = POS, records: str = "records") -> DataFrame:
-    """(key, position of the first row, records in order); each row without a key is a group of its own.
+def group_rows(df: DataFrame, key: Column, order: str = POS, each: int = 100_000) -> DataFrame:
+    """The rows with ``key`` (trimmed, null if blank), ``group_no`` (groups from 0 by their first row), ``first_pos`` and ``place`` (from 1).
+
+    Each row without a key is a group of its own. A group stays as many rows as it has: first positions are
+    grouped minima, and places and group numbers are counted by spans of ``each`` positions, so a key with very many
+    rows is nobody's work alone. Columns of these names are replaced.
+    """
+    rows = df.drop("key", "group_no", "first_pos", "place").withColumn("key", F.when(filled(key), clean(key)))
+    rows = rows.withColumn("_own", F.when(F.col("key").isNull(), F.col(order)))  # tells the groups without a key apart
+    groups = rows.groupBy("key", "_own").agg(F.min(order).alias("first_pos"))
+    groups = numbered(groups.withColumn("_all", F.lit(0)), "_all", "first_pos", "_g", each).select(F.col("key").alias("_k"), F.col("_own").alias("_o"), "first_pos", (F.col("_g") - 1).alias("group_no"))
+    rows = rows.join(groups, F.col("key").eqNullSafe(F.col("_k")) & F.col("_own").eqNullSafe(F.col("_o"))).drop("_k", "_o", "_own")
+    return numbered(rows, "first_pos", order, "place", each)
+
+
+def nested(flat: DataFrame, columns: list[str], records: str = "records") -> DataFrame:
+    """One row for each group of ``group_rows``: key, first_pos and its rows in order, as an array of structs of the columns.
 
-    A group is one row of the result, so a key must not hold more rows than a row can.
+    For writers that need the rows of a group in one record: a group must not hold more than that can.
     """
-    rows = df.withColumn("_key", F.when(filled(key), clean(key)))
-    own = F.when(F.col("_key").isNull(), F.col(order))  # tells the groups without a key apart
-    whole = F.struct(F.col(order).alias("_o"), F.struct(*df.columns).alias("r"))
-    out = rows.groupBy("_key", own.alias("_own")).agg(F.min(order).alias("first_pos"), F.array_sort(F.collect_list(whole)).alias("_r"))
-    return out.select(F.col("_key").alias("key"), "first_pos", F.transform("_r", lambda x: x["r"]).alias(records))
+    whole = F.struct(F.col("place").alias("_o"), F.struct(*columns).alias("r"))
+    out = flat.groupBy("key", "first_pos").agg(F.array_sort(F.collect_list(whole)).alias("_r"))
+    return out.select("key", "first_pos", F.transform("_r", lambda x: x["r"]).alias(records))
+
+
+def grouped(df: DataFrame, key: Column, order: str = POS, records: str = "records") -> DataFrame:
+    """(key, position of the first row, records in order); each row without a key is a group of its own. See ``nested``."""
+    return nested(group_rows(df, key, order), df.columns, records)
 
 
 def duplicates(df: DataFrame, key: Column, blank_counts: bool = True) -> DataFrame:
@@ -182,9 +204,28 @@ def restored(items: DataFrame, user: str = "user", order: str = "ord") -> DataFr
     return first.select(user, "product_id", "_f.quantity", F.row_number().over(Window.partitionBy(user).orderBy("_f._o", "product_id")).cast("long").alias("ord")).withColumn("ord", F.col("ord") - 1)
 
 
-def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank") -> DataFrame:
-    """Add each row's place in its group: the highest score first, then by ties."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(score), *ties)))
+def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank", each: int = 1_000_000) -> DataFrame:
+    """Add each row's place in its group: the highest score first, then by ties.
+
+    Groups of up to ``each`` rows are put in order whole. Larger ones are dealt by ranges of (group, score, ties),
+    numbered within their ranges, and what lies in the ranges before is added: at most one such number for each range.
+    Where ties don't tell rows apart, any of them may come first.
+    """
+    order = [F.desc(score), *map(F.col, ties)]
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(f"_n > {each}").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)))
+    whole = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    if large.isEmpty():
+        return df.withColumn(name, whole)
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)))
+    small = df.join(large, same, "left_anti").withColumn(name, whole)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kept(df.join(large, same, "left_semi").repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = dealt.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy(*(f"_g{i}" for i in range(len(group)))).orderBy("_r")) - F.col("_n"))
+    before = before.where("_before > 0").drop("_n")  # a range begins in one group: no more rows than ranges
+    within = dealt.withColumn("_w", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)))
+    placed = within.join(F.broadcast(before), same & (F.col("_range") == F.col("_r")), "left").withColumn(name, (F.col("_w") + F.coalesce("_before", F.lit(0))).cast("int"))
+    return small.unionByName(placed.select(*df.columns, name))
 
 
 def appended(existing: DataFrame, new: DataFrame, order: str = POS) -> DataFrame:

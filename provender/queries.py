@@ -18,7 +18,7 @@ from provender.functions.text import clean
 from provender.functions.urls import candidate_url, exclusion_reason, url_parts
 from provender.operators.classify import ISSUES, class_counts, class_of, issue_category, issues_of, search_state
 from provender.operators.joins import conflicts, safe, search, search_batch
-from provender.operators.ordered import decide, duplicates, first_wins, grouped, ledger, merge_index, occurrence_ids, ranked_candidates
+from provender.operators.ordered import decide, duplicates, first_wins, group_rows, grouped, ledger, merge_index, occurrence_ids, ranked_candidates
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import checked_products
 from provender.plans.products import basket_state, totals
@@ -185,7 +185,7 @@ def q_manufacturers(spark: SparkSession, sf_dir: str) -> DataFrame:
     from provender.plans.registry import manufacturers
 
     rows = read(spark, sf_dir, "customer").selectExpr("c_custkey AS _pos", "c_name AS `公司或商業登記名稱`", "if(c_custkey % 3 = 0, '', lpad(string(c_custkey % 50), 8, '0')) AS `公司統一編號`", "CASE c_mktsegment WHEN 'BUILDING' THEN '工廠/製造場所' WHEN 'MACHINERY' THEN ' 工廠／製造場所' ELSE '販售' END AS `登錄項目`")
-    return manufacturers(rows)[0].withColumn("records", F.size("records").cast("long"))
+    return manufacturers(rows)[0].groupBy("first_pos", "unified_number", "unified_number_status").agg(F.count("*").alias("records"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -225,11 +225,40 @@ FROM h LEFT JOIN part ON trim(q) <> '' AND (contains(lower(p_name), q) OR contai
 def q_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several searches at once, and what state each is in."""
     queries = read(spark, sf_dir, "region").selectExpr("r_regionkey AS query_id", "substr(r_name, 1, 2) AS text").union(spark.range(1).selectExpr("9", "' '"))
-    hits = search_batch(read(spark, sf_dir, "part"), queries, ["p_name", "p_type"]).groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = search_batch(read(spark, sf_dir, "part"), queries, ["p_name", "p_type"], "p_partkey").groupBy("query_id").agg(F.count("*").alias("n"))
     rows = queries.join(hits, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return rows.select("query_id", "n", search_state(F.col("text"), F.col("n")).alias("state"))
 
 
+@query("""
+WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 4 WHEN 0 THEN ' ' || substr(s_name, 13, 6) WHEN 1 THEN substr(s_name, 17, 2) WHEN 2 THEN 'R#' || substr(s_name, 10, 7) ELSE 'machin' END AS text FROM supplier)
+SELECT query_id, count(*) AS n, min(c_custkey) AS first FROM q JOIN customer ON contains(lower(c_name), lower(trim(text))) OR contains(lower(c_mktsegment), lower(trim(text))) GROUP BY query_id""")
+def q_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of several lengths, one for each supplier, among customers."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 4 == 0, F.concat(F.lit(" "), F.substring("s_name", 13, 6))).when(k % 4 == 1, F.substring("s_name", 17, 2)).when(k % 4 == 2, F.concat(F.lit("R#"), F.substring("s_name", 10, 7))).otherwise("machin")
+    queries = read(spark, sf_dir, "supplier").select(k.alias("query_id"), text.alias("text"))
+    hits = search_batch(read(spark, sf_dir, "customer"), queries, ["c_name", "c_mktsegment"], "c_custkey")
+    return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("c_custkey").alias("first"))
+
+
+@query("""
+SELECT s_suppkey, k AS key, dense_rank() OVER (ORDER BY f) - 1 AS group_no, f AS first_pos, row_number() OVER (PARTITION BY f ORDER BY s_suppkey) AS place
+FROM (SELECT *, CASE WHEN k IS NULL THEN s_suppkey ELSE min(s_suppkey) OVER (PARTITION BY k) END AS f FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_nationkey AS VARCHAR) END AS k FROM supplier))""")
+def q_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records beside the number of their group and their place in it."""
+    rows = read(spark, sf_dir, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 10 != 0, F.col("s_nationkey").cast("string")).otherwise(" ").alias("k"))
+    return group_rows(rows, F.col("k"), "s_suppkey", 50).select("s_suppkey", "key", "group_no", "first_pos", "place")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(l_partkey % 3 AS BIGINT) AS target, CAST(row_number() OVER (PARTITION BY l_partkey % 3 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS INTEGER) AS rank FROM lineitem""")
+def q_rank_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets that hold all items: none is put in order in one place."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_partkey") % 3).cast("long").alias("target"))
+    return ranked_candidates(rows, ["target"], "l_extendedprice", "l_orderkey", "l_linenumber", each=1000).drop("l_extendedprice")
+
+
 @query("""
 SELECT p_partkey, concat_ws(' · ', CASE WHEN p_partkey % 2 = 0 THEN '品牌：' || p_brand WHEN p_partkey % 3 = 0 THEN '製造業者：' || p_type END,
   CASE WHEN p_partkey % 5 = 0 THEN '條碼：' || p_partkey WHEN p_partkey % 7 = 0 THEN '食品追溯碼：' || p_size END) AS summary FROM part""")

@@ -421,3 +421,18 @@ def q_split_brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = text if end is None else F.when(F.col("p_partkey") % 8 == i, F.concat(n, F.lit(end))).otherwise(text)
     rows = read(spark, sf_dir, "part").select("p_partkey", split_strict(text).alias("s"), split_lenient(text).alias("l"))
     return rows.select("p_partkey", F.size("s.names").cast("long").alias("n"), "s.error", F.size("l").cast("long").alias("lenient"))
+
+
+@query("""
+SELECT p_partkey, 2 + p_partkey % 2 AS n, chr(CAST(57344 + p_partkey % 7 AS INTEGER)) || p_name || CASE WHEN p_partkey % 2 = 0 THEN '(a、' || chr(57345) || ')' ELSE '' END AS first, '水' || chr(57350) AS last,
+  CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 3 END AS lenient FROM part""")
+def q_split_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists with code points for private use, where code pages put characters of their own: they are no separators."""
+    from provender.functions.ingredients import split_lenient, split_strict
+
+    k = F.col("p_partkey")
+    own = F.element_at(F.array(*(F.lit(chr(0xE000 + i)) for i in range(7))), (k % 7 + 1).cast("int"))
+    first = F.concat(own, "p_name", F.when(k % 2 == 0, F.lit("(a、\ue001)")).otherwise(F.lit("")))
+    text = F.concat(first, F.when(k % 2 == 0, F.lit("、")).otherwise(F.lit("、糖，")), F.lit("水\ue006"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", split_strict(text).alias("s"), split_lenient(text).alias("l"))
+    return rows.select("p_partkey", F.size("s.names").cast("long").alias("n"), F.get("s.names", F.lit(0)).alias("first"), F.element_at("s.names", -1).alias("last"), F.size("l").cast("long").alias("lenient"))

@@ -124,15 +124,6 @@ def write_records(df: DataFrame, path: str, kind: str = "json", stats: DataFrame
         stats.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_stats")
 
 
-def reconcile_counts(groups: DataFrame, stats: DataFrame) -> DataFrame:
-    """groups of manufacturers as written, if they and their records are as many as the stats (groups, manufacturing) say."""
-    found = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum(F.size("records")), F.lit(0)).alias("manufacturing")).first().asDict()
-    said = stats.select("groups", "manufacturing").first().asDict()
-    if found != said:
-        raise ContractError(f"counts differ: {found} written, {said} in the stats")
-    return groups
-
-
 def reconcile(df: DataFrame, **violations: Column) -> DataFrame:
     """df, if no row breaks a rule; rules are named columns that are true where broken."""
     found = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in violations.items())).first().asDict()
@@ -142,13 +133,13 @@ def reconcile(df: DataFrame, **violations: Column) -> DataFrame:
 
 
 def manufacturer_rules() -> dict[str, Column]:
-    """What groups of manufacturers have to keep to: see reconcile."""
+    """What manufacturing rows with their groups have to keep to: see reconcile."""
     from provender.functions.evidence import number_status
 
     return {
         "status": F.col("unified_number_status") != number_status(F.col("unified_number")),
-        "missing": (F.col("unified_number_status") == "missing") & (F.size("records") != 1),
-        "item": F.exists("records", lambda r: ~manufacturing(r["登錄項目"])),
+        "missing": (F.col("unified_number_status") == "missing") & (F.col("unified_number").isNotNull() | (F.col("place") > 1)),
+        "item": ~manufacturing(F.col("登錄項目")),
     }
 
 

@@ -149,3 +149,71 @@ def test_pages():
     nodes = [{"goodsBarcode": 1, "goodsShowName": 2, "goodsSpec": 3, "details": 4}, "471", "N", None, "<table>"]
     assert pages.embedded_record(f'<script id="__NUXT_DATA__">{json.dumps(nodes)}</script>') == ("471", "N", None, "<table>")
     assert pages.table_rows("<table><tr><td>a  b</td><td>c<br>d</td></tr><tr><td>x</td></tr></table>") == [("a b", "c\nd")]
+
+
+def _strict(text):
+    """(names, error) by the plainest reading of the rules, sign by sign."""
+    space = lambda s: s.strip() == ""
+    if space(text):
+        return [], ingredients.EMPTY
+    pairs = dict(ingredients.BRACKETS)
+    parts, seps, open_, whole, now = [], [], [], True, ""
+    for c in text:
+        if c in pairs:
+            open_.append(pairs[c])
+        elif c in pairs.values():
+            if not open_ or open_.pop() != c:
+                whole = False
+                break
+        elif c in ingredients.SEPARATORS and not open_:
+            parts.append(now)
+            seps.append(c)
+            now = ""
+            continue
+        now += c
+    if not whole:
+        pass
+    elif open_:
+        whole = False
+    i = 1
+    while i < len(seps):  # an ideographic comma after another, nothing between
+        if seps[i - 1] == seps[i] == "、" and space(parts[i]):
+            del parts[i], seps[i]
+        else:
+            i += 1
+    if any(space(p) for p in parts):
+        return [], ingredients.BETWEEN
+    if not whole:
+        return [], ingredients.UNBALANCED
+    names = [*parts, now]
+    if space(now):
+        if seps and seps[-1] != "、":
+            return [], ingredients.TRAILING
+        names = parts
+    return [n.strip() for n in names], None
+
+
+def _lenient(text):
+    depth, parts, now = 0, [], ""
+    for c in text:
+        if c in ingredients.LENIENT_SEPARATORS and not depth:
+            parts.append(now)
+            now = ""
+            continue
+        depth = depth + 1 if c in ingredients.LENIENT_BRACKETS[0] else max(0, depth - 1) if c in ingredients.LENIENT_BRACKETS[1] else depth
+        now += c
+    return [p.strip() for p in [*parts, now] if p.strip()]
+
+
+def test_splitting_against_brute_force(spark):
+    """Random texts of brackets, separators, white space and code points for private use."""
+    import random
+
+    rng = random.Random(11)
+    signs = list("、、、,，;；\n\r()（）[]【】{}") + ["a", "鹽", " ", "　", "\x1c", "", "", "", "", "\U000f0000", "é", "\x00"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(3000)] + ["".join(rng.choices("、,a 鹽\n", k=rng.randint(0, 9))) for _ in range(1500)]
+    got = values(spark, texts, ingredients.split_strict)
+    for t, x in zip(texts, got):
+        assert (list(x["names"]), x["error"]) == _strict(t), repr(t)
+    for t, x in zip(texts, values(spark, texts, ingredients.split_lenient)):
+        assert list(x) == _lenient(t), repr(t)

@@ -158,14 +158,91 @@ def test_registry_encodings(spark, tmp_path):
         assert got.columns == head.split(",") and rows(got) == [tuple(row.split(","))]
 
 
-def test_counts_reconciled(spark, tmp_path):
-    groups, counts = registry.manufacturers(spark.createDataFrame([(0, "甲", "12345678", "", "A", "工廠/製造場所"), (1, "乙", "", "", "B", "工廠/製造場所")], "_pos long, `公司或商業登記名稱` string, `公司統一編號` string, `業者地址` string, `食品業者登錄字號` string, `登錄項目` string"))
-    io.write_records(groups, str(tmp_path / "out"), "parquet", counts)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    stats = spark.read.json(str(tmp_path / "out_stats"))
-    assert io.reconcile_counts(back, stats).count() == 2
-    with pytest.raises(io.ContractError):
-        io.reconcile_counts(back.limit(1), stats)
+REGISTRY_ROW = "_pos long, `公司或商業登記名稱` string, `公司統一編號` string, `業者地址` string, `食品業者登錄字號` string, `登錄項目` string"
+
+
+def test_written_and_reconciled(spark, tmp_path):
+    """One job writes and counts; each counter in turn is held against the stats, and a failure leaves no files."""
+    data = [(i, "甲", n, "", "A", item) for i, (n, item) in enumerate([("12345678", "工廠/製造場所"), ("", "工廠/製造場所"), ("12345678", "工廠／製造場所"), ("1", "工廠/製造場所"), (None, "工廠/製造場所"), ("87654321", "販售")])]
+    rows_ = spark.createDataFrame(data, REGISTRY_ROW).repartition(3)
+    flat, stats = registry.manufacturers(rows_)
+    want = {"scanned": 6, "manufacturing": 5, "groups": 4, "valid": 1, "invalid": 1, "missing": 2}
+    at = str(tmp_path / "out")
+    assert registry.write_manufacturers(rows_, at, stats) == want
+    back = spark.read.parquet(at)
+    assert rows(back, "_pos", "group_no", "place") == [(0, 0, 1), (1, 1, 1), (2, 0, 2), (3, 2, 1), (4, 3, 1)] and spark.read.json(at + "_stats").first()["groups"] == 4
+    for counter in want:
+        with pytest.raises(io.ContractError, match=counter):
+            registry.write_manufacturers(rows_, str(tmp_path / counter), stats.withColumn(counter, F.col(counter) + 1))
+        assert not (tmp_path / counter).exists()
+    nested = registry.manufacturer_records(flat)
+    assert [(r["first_pos"], r["unified_number"], r["unified_number_status"], [x["_pos"] for x in r["records"]]) for r in nested.orderBy("first_pos").collect()] == [(0, "12345678", "valid", [0, 2]), (1, None, "missing", [1]), (3, "1", "invalid", [3]), (4, None, "missing", [4])]
+    bad = flat.withColumn("place", F.lit(2))
+    with pytest.raises(io.ContractError, match="missing"):
+        io.reconcile(bad, **io.manufacturer_rules())
+
+
+def test_group_rows(spark):
+    """Numbers and places of groups, a third of all rows in one, however spans fall."""
+    rng = random.Random(3)
+    data = [(i * 3, rng.choice(["a", "a", "b ", " c", "", None, "d"])) for i in range(300)]
+    order: dict = {}
+    want = []
+    for pos, n in data:
+        key = (n or "").strip() or None
+        g = order.setdefault(key if key else ("own", pos), [len(order), pos, 0])
+        g[2] += 1
+        want.append((pos, key, g[0], g[1], g[2]))
+    df = spark.createDataFrame(data, "_pos long, n string").withColumn("place", F.lit("own"))
+    for each in (7, 100_000):
+        assert rows(ordered.group_rows(df.repartition(4), F.col("n"), each=each), "_pos", "key", "group_no", "first_pos", "place") == sorted(want, key=repr)
+    assert ordered.group_rows(df.limit(0), F.col("n")).count() == 0
+
+
+def test_ranks_of_large_groups(spark):
+    """A group with most rows is dealt by ranges; ties, nulls and small groups are ranked as by one window."""
+    rng = random.Random(6)
+    data = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.choice([None, 1.0, 2.0, 2.0, rng.random()]), i) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, s double, i long").repartition(5)
+    want = rows(df.withColumn("rank", F.expr("row_number() over (partition by g order by s desc, i)")))
+    assert rows(ordered.ranked_candidates(df, ["g"], "s", "i", each=50)) == want == rows(ordered.ranked_candidates(df, ["g"], "s", "i"))
+
+
+def test_search_index(spark):
+    """Queries of all lengths, of any characters, against a loop over everything; none is sent to all rows."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choices("ab茶 é𠮷İ", k=n))
+    goods = [(i, word(rng.randint(0, 9)), word(rng.randint(0, 5)) if i % 3 else None) for i in range(300)]
+    asked = [(i, word(rng.randint(0, 5)) if i % 9 else None) for i in range(200)] + [(900, "aaaaaaaaaaaa"), (901, "AB"), (902, "ab")]
+    products_ = spark.createDataFrame(goods, "_pos long, name string, brand string")
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    got = joins.search_batch(products_, queries, ["name", "brand"])
+    loop = products_.crossJoin(queries).where(joins.matches_any(["name", "brand"], F.col("text")))
+    assert rows(got) == rows(loop) and got.columns == ["_pos", "name", "brand", "query_id", "text"] and got.count() > 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_signatures_and_resume(spark, tmp_path):
+    """One changed, added or repeated record makes exactly that business run again; other settings make all."""
+    registry_ = [(f"b{i % 5}", i, "n") for i in range(20)]
+    results = [(f"b{i % 4}", i, None) for i in range(12)]
+    at = str(tmp_path / "state")
+
+    def run(a, b, settings=None):
+        tables = {"registry": spark.createDataFrame(a, "identity string, k long, v string").repartition(3), "results": spark.createDataFrame(b, "identity string, rank long, url string")}
+        left = joins.unfinished(joins.input_signatures("identity", tables, settings), joins.evaluated(spark, at)).cache()
+        ids = sorted(r["identity"] for r in left.collect())
+        joins.mark_evaluated(left, at)
+        return ids
+
+    assert run(registry_, results) == ["b0", "b1", "b2", "b3", "b4"]
+    assert run(registry_[::-1], results) == []
+    assert run([(b, k, "x" if k == 7 else v) for b, k, v in registry_], results) == ["b2"]
+    assert run(registry_, results) == []  # as it was: evaluated before
+    assert run(registry_, [*results, results[0]]) == ["b0"]
+    assert run(registry_, [r for r in results if r[1] != 3]) == ["b3"]
+    assert run(registry_, results, {"max": 3}) == ["b0", "b1", "b2", "b3", "b4"]
 
 
 def test_streams(spark, tmp_path):
@@ -277,7 +354,7 @@ def test_search(spark, shop):
     hits, states = products.search(shop, queries)
     assert rows(hits, "query_id", "id", "summary") == [(1, "p", "品牌：B · 條碼：4710088430922"), (2, "p", "品牌：B · 條碼：4710088430922"), (5, "q", "製造業者：M · 食品追溯碼：T1")]
     assert rows(states, "query_id", "state") == [(1, "success"), (2, "success"), (3, "initial"), (4, "not-found"), (5, "success")]
-    assert rows(joins.search_batch(shop, queries, ["name", "barcode"], most=2), "query_id") == [(1,), (2,)]
+    assert rows(joins.search_batch(shop, queries, ["name", "barcode"]), "query_id") == [(1,), (2,)]
 
 
 def test_facts(shop):
@@ -303,11 +380,11 @@ def test_registry(spark, tmp_path):
     c = counts.first()
     assert (c["records"], c["with_number"], c["without_number"], c["malformed_number"], c["malformed_rows"], c["empty_rows"], c["businesses"]) == (6, 4, 2, 1, 1, 1, 4)
     assert dict(rows(items)) == {"工廠/製造場所": 3, "工廠／製造場所": 1, "販售": 1, "（空白）": 1}
-    groups, n = registry.manufacturers(got.where("not _empty").coalesce(1).withColumn("_pos", F.monotonically_increasing_id()))
+    flat, n = registry.manufacturers(got.where("not _empty").coalesce(1).withColumn("_pos", F.monotonically_increasing_id()))
     assert tuple(n.first()) == (6, 4, 3, 1, 1, 1)
-    io.reconcile(groups, **io.manufacturer_rules())
+    io.reconcile(flat, **io.manufacturer_rules())
     with pytest.raises(io.ContractError):
-        io.reconcile(groups, none=F.col("first_pos") >= 0)
+        io.reconcile(flat, none=F.col("first_pos") >= 0)
     with pytest.raises(io.ContractError):
         registry.profile(got.drop(io.REGISTRY_COLUMNS[0]))
 
