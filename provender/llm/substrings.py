@@ -173,7 +173,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
         above[order] = often[place]
         on = above.reshape(own.shape).all(0)
         k1, k2, ids, none = b.key1[on], b.key2[on], b.ids[b.doc[on]], b.none[b.doc[on]]
-        order = np.lexsort((ids, none, k2, k1))
+        order = np.lexsort((ids, none, k2, k1) if none.any() else (ids, k2, k1))
         k1, k2, ids, none = k1[order], k2[order], ids[order], none[order]
         first = np.flatnonzero(starts(k1, k2))
         last = np.concatenate([first[1:], [len(k1)]])[: len(first)] - 1
@@ -187,7 +187,7 @@ def dedup(docs: DataFrame, width: int = WIDTH, depth: int = DEPTH, cells: float
         got = [unpacked(x, "<u8", "<u4", "<u8", "<u8", "u1") for x in pdf["data"]]
         k1, k2, low, more, flag = (np.concatenate(c) for c in zip(*got))
         high, low = (low + more).view(np.int64), low.view(np.int64)
-        order = np.lexsort((low, flag == 2, k2, k1))
+        order = np.lexsort((low, flag == 2, k2, k1) if flag.any() else (low, k2, k1))
         new = starts(k1[order], k2[order])
         lead = np.empty(len(low), np.int64)
         lead[order] = order[new][np.cumsum(new) - 1]
