@@ -40,24 +40,38 @@ def sources_of_ingredients(products: DataFrame) -> DataFrame:
     return products.select("_pos", "id", ingredient_sources(F.col("ingredients"), F.col("sources")).alias("ingredient_sources"))
 
 
+def scaled_parts(x: Column) -> tuple[Column, Column, Column]:
+    """A number of at least 0 as (hi * 2 ** 33 + lo) * 2 ** (32 * scale - 53), in whole numbers and without rounding."""
+    scale = F.when(x > 0, F.floor(F.log2(x) / 32)).otherwise(0).cast("int")
+    half = F.pow(F.lit(2.0), F.lit(-16) * scale)  # twice, as the whole factor can be too large
+    unit = x * half * half * 2.0**20
+    hi = F.floor(unit)
+    return scale, hi, F.floor((unit - hi.cast("double")) * 2.0**33)
+
+
 def totals(items: DataFrame, products: DataFrame, user: str = "user", names: list[str] = NAMES) -> DataFrame:
     """(user, nutrient, value, unit): each nutrient's sum over a basket, if every item has a valid amount of it.
 
     items: user, product_id, quantity. products: product_id and nutrition, a struct of {value, unit} by
     name, one row for each product at most. An item of an unknown product leaves no nutrient at all.
-    Items are joined once, summed once for all nutrients, and only sums are put under each other.
+
+    Amounts are added as whole numbers, those of about the same size together, and only what comes out is
+    rounded, so a sum has the same bits however rows are dealt. A basket with very many items is added where they lie.
     """
     amounts = products.select("product_id", *(F.struct(F.col("nutrition")[n]["value"].cast("double").alias("value"), F.col("nutrition")[n]["unit"].alias("unit")).alias(f"_n{i}") for i, n in enumerate(names)))
     rows = items.select(user, "product_id", F.col("quantity").cast("double").alias("_q")).join(amounts, "product_id", "left")
-    sums = []
-    for i, n in enumerate(names):
-        value, part = F.col(f"_n{i}.value"), F.col(f"_n{i}.value") * F.col("_q")
-        good = finite(F.col("_q")) & (F.col("_q") > 0) & non_negative(value) & F.coalesce(F.col(f"_n{i}.unit") == UNITS[n], F.lit(False)) & finite(part)
-        # equal parts sum to the same whatever the order; others may differ in the last digit, which precision15 takes away
-        sums += [F.sum(part).alias(f"_s{i}"), F.bool_and(F.coalesce(good, F.lit(False))).alias(f"_g{i}")]
-    all_ = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.when(F.col(f"_g{i}") & finite(F.col(f"_s{i}")), F.col(f"_s{i}")).alias("value"), F.lit(UNITS[n]).alias("unit")) for i, n in enumerate(names)))
-    out = rows.groupBy(user).agg(*sums).select(user, F.inline(F.filter(all_, lambda x: x["value"].isNotNull())))
-    return out.select(user, "nutrient", precision15("value").alias("value"), "unit")
+    each = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.lit(UNITS[n]).alias("unit"), F.col(f"_n{i}").alias("a")) for i, n in enumerate(names)))
+    flat = rows.select(user, "_q", F.inline(each)).withColumn("_x", F.col("a.value") * F.col("_q"))
+    good = finite(F.col("_q")) & (F.col("_q") > 0) & non_negative(F.col("a.value")) & F.coalesce(F.col("a.unit") == F.col("unit"), F.lit(False)) & finite(F.col("_x"))
+    flat = flat.withColumn("_good", F.coalesce(good, F.lit(False)))
+    scale, hi, lo = scaled_parts(F.when(F.col("_good"), F.col("_x")).otherwise(0.0))
+    flat = flat.select(user, "nutrient", "unit", "_good", scale.alias("_scale"), hi.cast("decimal(20,0)").alias("_hi"), lo.cast("decimal(20,0)").alias("_lo"))
+    sums = flat.groupBy(user, "nutrient", "unit", "_scale").agg(F.sum("_hi").alias("_hi"), F.sum("_lo").alias("_lo"), F.bool_and("_good").alias("_good"))
+    half = F.pow(F.lit(2.0), F.lit(16) * F.col("_scale"))
+    whole = F.expr("(cast(_hi as decimal(27,0)) * cast(8589934592 as decimal(10,0)) + _lo)").cast("double") * 2.0**-53 * half * half
+    out = sums.groupBy(user, "nutrient", "unit").agg(F.array_sort(F.collect_list(F.struct("_scale", whole.alias("x")))).alias("_all"), F.bool_and("_good").alias("_good"))
+    value = F.aggregate("_all", F.lit(0.0), lambda a, e: a + e["x"])  # the small ones first; there are at most 67
+    return out.where("_good").withColumn("value", value).where(finite(F.col("value"))).select(user, "nutrient", precision15("value").alias("value"), "unit")
 
 
 def basket_totals(items: DataFrame, products: DataFrame, user: str = "user") -> DataFrame:

@@ -370,6 +370,32 @@ def test_basket(spark, shop):
     assert got["u", "calories"]["status"] == "reached"
 
 
+def test_totals_do_not_depend_on_order(spark):
+    """The same bits for ten ways of dealing the rows, and within a digit of the exact sums, for amounts of any size."""
+    import math
+
+    rng = random.Random(12)
+    amounts = [0.1, 0.7, 1 / 3, 1e-9, 123456.789, 5e-324, 1e300, 0.0, 2.0**53 + 2, 1e17]
+    goods = [(f"p{i}", ((a, "g"), (a * 3, "mg"))) for i, a in enumerate(amounts)]
+    catalogue = spark.createDataFrame(goods, "product_id string, nutrition struct<fat: struct<value: double, unit: string>, sodium: struct<value: double, unit: string>>")
+    kinds = {0: range(5), 1: [3, 5, 7], 2: [6, 0], 3: range(10), 4: [4, 8, 9]}
+    data = [(u, f"p{rng.choice(list(kinds[u]))}", rng.choice([1.0, 0.1, 3.3, 7.0, 0.25])) for u in list(kinds) * 300]
+    want = {}
+    for u, p, q in data:
+        a = amounts[int(p[1:])]
+        for name, x in (("fat", a * q), ("sodium", a * 3 * q)):
+            want.setdefault((u, name), []).append(x)
+    seen = set()
+    for n in range(10):
+        rng.shuffle(data)
+        items = spark.createDataFrame(data, "user int, product_id string, quantity double").repartition(n + 1)
+        got = {(r["user"], r["nutrient"]): r["value"] for r in products.totals(items, catalogue, names=["fat", "sodium"]).collect()}
+        seen.add(tuple(sorted((k, v.hex()) for k, v in got.items())))
+    assert len(seen) == 1 and got.keys() == want.keys()
+    for k, xs in want.items():
+        assert math.isclose(got[k], math.fsum(xs), rel_tol=2e-15), k
+
+
 def test_registry(spark, tmp_path):
     header = ",".join(io.REGISTRY_COLUMNS)
     lines = [header, "甲,12345678,a,r0,工廠/製造場所", "乙,,b,r1,工廠／製造場所", "甲,12345678,a,r2,工廠/製造場所,extra", "丙,123,c,r3,工廠/製造場所", ",,,,", "乙,,b,r4,販售", "丁,87654321"]
