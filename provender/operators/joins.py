@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provender.functions.text import clean, filled, script_trimmed
+from provender.functions.urls import EXCLUDED_DOMAINS, host_suffixes
 
 from .ordered import first_wins
 
@@ -101,12 +102,33 @@ def safe(new: DataFrame, existing: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def with_pages(results: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """results with ``page``, the text at their address, or null where nothing was fetched; pages nobody asks for are left out first."""
-    pages = pages.join(results.select(F.col(url).alias("url")).distinct(), "url", "left_semi")
-    known = first_wins(pages.select(F.col("url").alias("_page_url"), F.col("html").alias("page")), F.col("_page_url"), F.col("page"))
+    """results with ``page``, the text at their address, or null where nothing was fetched; of several texts the one with the smallest hash.
+
+    Pages nobody asks for are left out first, and hashes alone are compared: a page is moved once.
+    """
+    pages = pages.join(results.select(F.col(url).alias("url")).distinct(), "url", "left_semi").select(F.col("url").alias("_page_url"), F.col("html").alias("page"), F.sha2("html", 256).alias("_h"))
+    one = pages.groupBy("_page_url").agg(F.min("_h").alias("_least"))
+    known = pages.join(one, "_page_url").where(F.col("_h").eqNullSafe(F.col("_least"))).dropDuplicates(["_page_url", "_h"]).drop("_h", "_least")
     return results.join(known, F.col(url) == F.col("_page_url"), "left").drop("_page_url")
 
 
+def excluded_domains(spark: SparkSession) -> DataFrame:
+    """(domain) of hosts whose pages are not a business's own site."""
+    return spark.createDataFrame([(d,) for d in EXCLUDED_DOMAINS], "domain string")
+
+
+def with_excluded(df: DataFrame, host: Column, domains: DataFrame, name: str = "excluded_host") -> DataFrame:
+    """df with ``name``: whether a host is one of the domains (column domain) or below one.
+
+    Each host is looked at once, its suffixes meet the domains by equality, and hosts that were met are joined
+    back: both lists may be of any length. A host without labels, or null, is below none.
+    """
+    rows = df.withColumn("_host", F.lower(host))
+    suffixes = rows.select("_host").where("_host is not null").distinct().select("_host", F.explode(host_suffixes(F.col("_host"))).alias("_domain"))
+    met = suffixes.join(domains.select(F.lower("domain").alias("_domain")), "_domain", "left_semi").select("_host").distinct().withColumn(name, F.lit(True))
+    return rows.drop(name).join(met, "_host", "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("_host")
+
+
 def input_signatures(identity: str, tables: dict[str, DataFrame], settings: dict[str, object] | None = None) -> DataFrame:
     """(identity, signature): a digest of all rows that each table has of a business, in any order.
 

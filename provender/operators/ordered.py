@@ -101,22 +101,23 @@ def merge_brands(brands: DataFrame, order: str = POS) -> DataFrame:
     brands: name, description, products array<struct<name, ..>>, external_links array<struct<.., url>>.
     """
     rows = brands.withColumn("_key", plain_key(F.col("name")))
-    rows = rows.withColumn("_brand", F.row_number().over(Window.partitionBy("_key").orderBy(order)))
-    first = rows.where("_brand = 1").drop("description", "products", "external_links", "_brand")
-    text = rows.groupBy("_key").agg(F.min_by("description", F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.col("_brand"))).alias("_text"))
-
-    def items(column: str, key: Column, needed: bool) -> DataFrame:
-        flat = rows.select("_key", "_brand", F.posexplode(column).alias("_at", "item")).withColumn("_item", key)
-        n = F.row_number().over(Window.partitionBy("_key", "_item").orderBy("_brand", "_at"))
-        keep = flat.withColumn("_n", n).where((F.col("_brand") == 1) | ((F.col("_n") == 1) & (F.col("_item") != "" if needed else F.lit(True))))
-        sorted_ = F.array_sort(F.collect_list(F.struct("_brand", "_at", "item")))
-        return keep.groupBy("_key").agg(F.transform(sorted_, lambda x: x["item"]).alias(column))
-
-    out = first.join(text, "_key", "left")
+    said = F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.col(order))
+    first = rows.groupBy("_key").agg(F.min(order).alias("_first"), F.min_by(F.struct(*brands.columns), order).alias("_row"), F.min_by("description", said).alias("_text"))
+
+    def others(column: str, key: Column, needed: bool) -> DataFrame:
+        """What brands after the first add: an item that none before it has, where it first stands."""
+        flat = rows.select("_key", F.col(order).alias("_o"), F.posexplode(column).alias("_at", "item")).withColumn("_item", key)
+        place = F.struct("_o", "_at")
+        met = flat.groupBy("_key", "_item").agg(F.min(place).alias("_p"), F.min_by("item", place).alias("item"))
+        new = met.join(first.select("_key", "_first"), "_key").where((F.col("_p._o") != F.col("_first")) & (F.col("_item") != "" if needed else F.lit(True)))
+        return new.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "item"))), lambda x: x["item"]).alias(f"_{column}"))
+
+    out, merged = first, {"description": F.coalesce("_text", F.lit(""))}
     for column, key, needed in (("products", plain_key(F.col("item.name")), True), ("external_links", F.col("item.url"), False)):
         empty = F.array().cast(brands.schema[column].dataType)
-        out = out.join(items(column, key, needed), "_key", "left").withColumn(column, F.coalesce(column, empty))
-    return out.withColumn("description", F.coalesce("_text", F.lit(""))).select(*brands.columns)
+        out = out.join(others(column, key, needed), "_key", "left")
+        merged[column] = F.concat(F.coalesce(F.col(f"_row.{column}"), empty), F.coalesce(f"_{column}", empty))
+    return out.select(*(merged[c].alias(c) if c in merged else F.col(f"_row.{c}") for c in brands.columns))
 
 
 def decide(results: DataFrame, most: int = 5, group: str = "business_id", rank: str = "rank") -> DataFrame:

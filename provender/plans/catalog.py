@@ -31,10 +31,16 @@ def brand_index(lists: DataFrame, sitemaps: DataFrame) -> DataFrame:
     return merged.select(F.col("_o").alias("_pos"), "name", "url", "category")
 
 
+def brand_pages(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """Brands of the index with ``_b``, what their pages (url, html) say, ``_name``, and ``error``, why nothing is known of one."""
+    found = index.join(pages.select("url", "html"), "url", "left").withColumn("_b", brand_page_of("html"))
+    found = found.withColumn("_name", F.when(F.col("_b.name") != "", F.col("_b.name")).otherwise(F.col("name")))
+    return found.withColumn("error", F.when(F.col("html").isNull(), "page missing").when(F.col("_b.name").isNull(), "no introduction").when(F.coalesce("_name", F.lit("")) == "", "no name")).drop("html")
+
+
 def brands(index: DataFrame, pages: DataFrame) -> DataFrame:
     """Brands of the index with what their pages (url, html) say, merged by name; brands whose page is missing or says nothing go."""
-    found = index.join(pages.select("url", "html"), "url").withColumn("_b", brand_page_of("html")).where("_b.name is not null")
-    found = found.withColumn("_name", F.when(F.col("_b.name") != "", F.col("_b.name")).otherwise(F.col("name"))).where("_name <> ''")
+    found = brand_pages(index, pages).where("error is null")
     products = found.select("_pos", "url", F.posexplode("_b.products").alias("at", "p"))
     image = absolute_url(F.col("p.src"), F.col("url"))
     products = products.withColumn("image", F.when((F.col("p.src") != "") & image.rlike(r"\Ahttps?:"), image).otherwise(""))
@@ -47,10 +53,16 @@ def brands(index: DataFrame, pages: DataFrame) -> DataFrame:
     return merge_brands(out.withColumns({"products": none("products", "image_url"), "external_links": none("external_links", "url")}))
 
 
-def catalog_stats(index: DataFrame, merged: DataFrame, fetched: DataFrame) -> DataFrame:
-    """One row: brands listed, brands after merging, products, pages fetched."""
-    rows = [index.agg(F.count("*").alias("brands_listed")), merged.agg(F.count("*").alias("brands"), F.coalesce(F.sum(F.size("products")), F.lit(0)).alias("products")), fetched.agg(F.count("*").alias("pages"))]
-    return reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # one row each
+def catalog_errors(index: DataFrame, pages: DataFrame) -> DataFrame:
+    """(name, url, error) of brands of which nothing is known, in the order of the index."""
+    return brand_pages(index, pages).where("error is not null").orderBy("_pos").select("name", "url", "error")
+
+
+def catalog_stats(index: DataFrame, merged: DataFrame, pages: DataFrame) -> DataFrame:
+    """One row: brands listed, brands after merging, products, brands whose page was read, and those whose page failed."""
+    read = brand_pages(index, pages).agg(F.count("*").alias("brands_listed"), F.count_if(F.col("error").isNull()).alias("fetched"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    own = merged.agg(F.count("*").alias("brands"), F.coalesce(F.sum(F.size("products")), F.lit(0)).alias("products"))
+    return read.join(F.broadcast(own)).select("brands_listed", "brands", "products", "fetched", "failed")  # one row each
 
 
 CANDIDATE = ["target_id", "source_name", "source_url", "matched_name", "barcode", "specification", "serving", "nutrition", "ingredients", "match_score"]

@@ -9,9 +9,10 @@ from provender.functions.evidence import core_name, distinctive_prefix, field_ur
 from provender.functions.text import clean
 from provender.functions.urls import decode_redirect, exclusion_reason, url_parts
 from provender.operators.classify import website_status
-from provender.operators.joins import with_pages
+from provender.operators.joins import excluded_domains, with_excluded, with_pages
 from provender.operators.ordered import decide, first_wins
 from provender.sources.io import reconcile
+from provender.sources.shared import kept
 
 from .registry import NAME, REGISTRATION
 
@@ -32,23 +33,27 @@ def registry_urls(records: DataFrame) -> DataFrame:
     return first_wins(flat, [F.col("business_id"), F.col("url")], "_o").select("business_id", "url", F.col("u.field").alias("field"), F.col("_o").alias("_pos"))
 
 
-def evaluate(business: DataFrame, results: DataFrame, pages: DataFrame, most: int = 5) -> DataFrame:
-    """Search results (business_id, rank, raw_url, title, description) of businesses, each with its decision and evidence."""
+def evaluate(business: DataFrame, results: DataFrame, pages: DataFrame, most: int = 5, domains: DataFrame | None = None) -> DataFrame:
+    """Search results (business_id, rank, raw_url, title, description) of businesses, each with its decision and evidence.
+
+    domains (domain): hosts that aren't looked at; without it those that are known.
+    """
     rows = results.join(business.select("business_id", "name", "number"), "business_id")
     rows = rows.withColumn("decoded_url", decode_redirect("raw_url")).withColumn("_p", url_parts("decoded_url"))
-    rows = rows.withColumns({"excluded": exclusion_reason(F.col("_p")), "text": clean(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))})
-    rows = rows.withColumn("url", F.when(F.col("excluded").isNull(), F.col("_p.url"))).drop("_p")
+    rows = with_excluded(rows, F.col("_p.host"), excluded_domains(rows.sparkSession) if domains is None else domains, "_x")
+    rows = rows.withColumns({"excluded": exclusion_reason(F.col("_p"), F.col("_x")), "text": clean(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))})
+    rows = rows.withColumn("url", F.when(F.col("excluded").isNull(), F.col("_p.url"))).drop("_p", "_x")
     rows = rows.withColumns({"_n": match_key("name"), "_c": match_key(core_name(F.col("name"))), "_u": match_key("url"), "_t": match_key("text")})
     rows = rows.withColumn("evidence", match_evidence(F.col("_u"), F.col("_t"), F.col("_n"), F.col("_c"), F.col("url"), F.col("text"), F.col("number")))
     open_ = F.coalesce((F.size("evidence") == 0) & F.col("url").isNotNull() & distinctive_prefix(F.concat("_t", "_u"), F.col("_c")), F.lit(False))
-    rows = rows.withColumn("_open", open_)
+    rows = kept(rows.withColumn("_open", open_), "results")  # looked at several times from here on
     # pages are looked at for those alone whose title and address don't tell
     seen = with_pages(rows.where("_open"), pages)
     shown = page_evidence(match_key("page"), F.col("_n"), F.col("_c"))
     seen = seen.withColumn("evidence", F.when(F.col("page").isNull(), F.col("evidence")).otherwise(shown))
     seen = seen.withColumn("refused", F.when(F.col("page").isNull(), "candidate_page_fetch_failed").when(F.size("evidence") == 0, "candidate_page_missing_company_name")).drop("page")
     told = rows.where("not _open").withColumn("refused", F.when(F.coalesce(F.size("evidence"), F.lit(0)) <= 0, "insufficient_business_match"))
-    return decide(told.unionByName(seen).drop("_n", "_c", "_u", "_t", "_open", "text"), most)
+    return decide(kept(told.unionByName(seen).drop("_n", "_c", "_u", "_t", "_open", "text"), "told"), most)
 
 
 def discover(groups: DataFrame, registry: DataFrame, results: DataFrame, pages: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,9 @@ from provender.functions.keys import candidate_id, sequence_ratio
 from provender.functions.nutrition import anomalies, daily_pct, freshness, nutrient, one_decimal, quantity, reference_status
 from provender.functions.pages import summary_of
 from provender.functions.text import clean
-from provender.functions.urls import candidate_url, exclusion_reason, url_parts
+from provender.functions.urls import exclusion_reason, url_parts
 from provender.operators.classify import ISSUES, class_counts, class_of, issue_category, issues_of, search_state
-from provender.operators.joins import conflicts, safe, search, search_batch
+from provender.operators.joins import conflicts, excluded_domains, safe, search, search_batch, with_excluded
 from provender.operators.ordered import decide, duplicates, first_wins, group_rows, grouped, ledger, merge_index, occurrence_ids, ranked_candidates
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import checked_products
@@ -348,12 +348,22 @@ SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)cheap-pills\\.example\\.com$
   CASE WHEN NOT regexp_matches(h, '(^|\\.)cheap-pills\\.example\\.com$') THEN regexp_replace(url, '#.*$', '') END AS url FROM u""")
 def q_url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses in their normal form, those of excluded hosts apart."""
-    from provender.functions.urls import host_excluded
-
     rows = read(spark, sf_dir, "pages").select("page_id", url_parts("url").alias("p"))
-    shut = host_excluded(F.col("p.host"), ["cheap-pills.example.com"])
-    reason = F.coalesce(exclusion_reason(F.col("p")), F.when(shut, F.concat(F.lit("excluded_domain:"), F.col("p.host"))))
-    return rows.select("page_id", reason.alias("reason"), F.when(reason.isNull(), candidate_url(F.col("p"))).alias("url"))
+    domains = excluded_domains(spark).union(spark.createDataFrame([("Cheap-Pills.example.com",)], "domain string"))
+    rows = with_excluded(rows, F.col("p.host"), domains)
+    reason = exclusion_reason(F.col("p"), F.col("excluded_host"))
+    return rows.select("page_id", reason.alias("reason"), F.when(reason.isNull(), F.col("p.url")).alias("url"))
+
+
+@query("""
+WITH u AS (SELECT page_id, lower(split_part(split_part(url, '://', 2), '/', 1)) AS h FROM pages),
+d AS (SELECT DISTINCT CASE WHEN page_id % 3 = 0 THEN h ELSE 'no.' || h END AS d FROM u)
+SELECT page_id, h AS host, EXISTS (SELECT 1 FROM d WHERE h = d.d OR ends_with(h, '.' || d.d)) AS excluded_host FROM u""")
+def q_excluded_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain for each host of the pages: as many as there are hosts, some of them hosts, some below."""
+    rows = read(spark, sf_dir, "pages").select("page_id", url_parts("url")["host"].alias("host"))
+    domains = rows.select(F.when(F.col("page_id") % 3 == 0, F.col("host")).otherwise(F.concat(F.lit("no."), "host")).alias("domain")).distinct()
+    return with_excluded(rows, F.col("host"), domains)
 
 
 @query("""

@@ -441,7 +441,8 @@ def test_catalog_and_matching(spark):
     merged = catalog.brands(index, pages)
     row = merged.first()
     assert merged.count() == 1 and (row["name"], row["description"], row["products"][0]["image_url"], [x["url"] for x in row["external_links"]]) == ("茶裏王", "said", "https://a.tw/i.png", ["https://a.tw/l"])
-    assert tuple(catalog.catalog_stats(index, merged, pages).first()) == (2, 1, 1, 2)
+    assert tuple(catalog.catalog_stats(index, merged, pages).first()) == (2, 1, 1, 1, 1)
+    assert rows(catalog.catalog_errors(index, pages.where("url like '%x.html'"))) == [("Y", "https://a.tw/brands-y.html", "page missing")]
     targets = io.catalog_targets(merged.withColumn("_pos", F.lit(0)), 5).withColumn("target_id", F.lit(1))
     own = catalog.from_catalogue(targets, pages, spark.createDataFrame([("12", '<h1>日式無糖綠茶 <span class="gray">600 ml</span></h1>')], "product_id string, html string"), "own")
     details = "<table><tr><td>內容物（成分）</td><td>水、茶</td></tr><tr><td>營養標示</td><td>每一份量 600 毫升<br>熱量 0 大卡</td></tr></table>"
