@@ -436,3 +436,132 @@ def q_split_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(first, F.when(k % 2 == 0, F.lit("、")).otherwise(F.lit("、糖，")), F.lit("水\ue006"))
     rows = read(spark, sf_dir, "part").select("p_partkey", split_strict(text).alias("s"), split_lenient(text).alias("l"))
     return rows.select("p_partkey", F.size("s.names").cast("long").alias("n"), F.get("s.names", F.lit(0)).alias("first"), F.element_at("s.names", -1).alias("last"), F.size("l").cast("long").alias("lenient"))
+
+
+def _brand_site(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """List pages by nation, a site map and brand pages, made from suppliers; some pages are missing and some say nothing."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = read(spark, sf_dir, "supplier").select(k, n)
+    card = F.concat(F.lit('<div class="item cate-'), n, F.lit('"><a href="brands-s'), k, F.lit('.html">S'), k, F.lit("</a></div>"))
+    link = F.concat(F.lit('<a href="/Brands-s'), k, F.lit('.html">M'), k, F.lit("</a>"))
+    ordered = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", c.alias("h")))), lambda x: x["h"]), "")
+    lists = rows.where(k % 7 > 0).groupBy(n).agg(ordered(card).alias("cards"))
+    lists = lists.select(F.concat(F.lit("https://a.tw/n"), F.lpad(n.cast("string"), 2, "0")).alias("url"), F.concat(F.lit('<a data-rel="cate-'), n, F.lit('">Cat '), n, F.lit("</a>"), "cards").alias("html"))
+    maps = rows.where(k % 3 == 0).groupBy((k % 4).alias("m")).agg(ordered(link).alias("html")).select(F.concat(F.lit("https://a.tw/m"), "m").alias("url"), "html")
+    box = lambda name: F.concat(F.lit('<div class="product-box"><a data-name="'), name, F.lit('"></a><img src="i.png"></div>'))
+    body = F.concat(F.lit('<div class="product-introduction"><h2>Shop '), k % 30, F.lit('</h2><div class="bd">'), F.when(k % 2 == 0, F.concat(F.lit("said "), k)).otherwise(F.lit("")), F.lit("</div>"), box(F.concat(F.lit("X"), k % 3)), box(F.concat(F.lit("y"), k)), F.lit("</div>"))
+    pages = rows.where(k % 5 > 0).select(F.when(k % 7 > 0, F.concat(F.lit("https://a.tw/brands-s"), k, F.lit(".html"))).otherwise(F.concat(F.lit("https://a.tw/Brands-s"), k, F.lit(".html"))).alias("url"), F.when(k % 13 == 0, F.lit("<p>")).otherwise(body).alias("html"))
+    return lists, maps, pages
+
+
+BRANDS = """
+WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier),
+i AS (SELECT k, 0 AS o, 'https://a.tw/n' || lpad(CAST(n AS VARCHAR), 2, '0') AS base, 'S' || k AS name, 'https://a.tw/brands-s' || k || '.html' AS url, 'Cat ' || n AS category FROM s WHERE k % 7 > 0
+  UNION ALL SELECT k, 1, 'https://a.tw/m' || (k % 4), 'M' || k, 'https://a.tw/Brands-s' || k || '.html', '' FROM s WHERE k % 3 = 0 AND k % 7 = 0),
+p AS (SELECT *, CASE WHEN k % 5 = 0 THEN 'page missing' WHEN k % 13 = 0 THEN 'no introduction' END AS error FROM i)"""
+
+
+@query(f"{BRANDS} SELECT name, url, category, error FROM p")
+def q_brand_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of brands, lists before site maps, and why nothing is known of some."""
+    from provender.plans.catalog import brand_index, brand_pages
+
+    lists, maps, pages = _brand_site(spark, sf_dir)
+    return brand_pages(brand_index(lists, maps), pages).select("name", "url", "category", "error")
+
+
+@query(f"""{BRANDS},
+g AS (SELECT *, 'Shop ' || (k % 30) AS shop, row_number() OVER (PARTITION BY k % 30 ORDER BY o, base, k) AS r FROM p WHERE error IS NULL),
+t AS (SELECT shop, r, 0 AS place, 'X' || (k % 3) AS item FROM g UNION ALL SELECT shop, r, 1, 'y' || k FROM g),
+u AS (SELECT *, row_number() OVER (PARTITION BY shop, item ORDER BY r, place) AS m FROM t)
+SELECT shop AS name, min(url) FILTER (r = 1) AS url, min(category) FILTER (r = 1) AS category, coalesce(arg_min('said ' || k, r) FILTER (k % 2 = 0), '') AS description, (SELECT string_agg(item, '|' ORDER BY u.r, place) FROM u WHERE u.shop = g.shop AND (u.r = 1 OR m = 1)) AS products FROM g GROUP BY shop""")
+def q_build_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue of brands and products from all pages."""
+    from provender.plans.catalog import brand_index, brands
+
+    lists, maps, pages = _brand_site(spark, sf_dir)
+    merged = brands(brand_index(lists, maps), pages)
+    return merged.select("name", "url", "category", "description", F.array_join(F.transform("products", lambda p: p["name"]), "|").alias("products"))
+
+
+@query(f"""{BRANDS}, g AS (SELECT k % 30 AS shop, k % 3 AS x, k FROM p WHERE error IS NULL)
+SELECT (SELECT count(*) FROM p) AS brands_listed, (SELECT count(DISTINCT shop) FROM g) AS brands, (SELECT CAST(sum(c) AS BIGINT) FROM (SELECT count(DISTINCT x) + count(*) AS c FROM g GROUP BY shop)) AS products, (SELECT count(*) FROM g) AS fetched, (SELECT count(*) FROM p WHERE error IS NOT NULL) AS failed""")
+def q_catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was listed, read, merged, and failed."""
+    from provender.plans.catalog import brand_index, brands, catalog_stats
+
+    lists, maps, pages = _brand_site(spark, sf_dir)
+    index = brand_index(lists, maps)
+    return catalog_stats(index, brands(index, pages), pages)
+
+
+def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates of the catalogue and of a shop for each part, and the shop's errors: pages that are missing or can't be read."""
+    from provender.plans.catalog import from_catalogue, from_shop
+
+    k = F.col("p_partkey")
+    page = F.concat(F.lit("https://a.tw/c"), k % 20)
+    parts = read(spark, sf_dir, "part").select(k, page.alias("page"))
+    targets = parts.select(k.alias("target_id"), F.concat(F.lit("item "), k).alias("product_name"), F.concat(F.lit("Brand"), k % 9).alias("brand"), F.col("page").alias("catalog_source"))
+    anchor = F.concat(F.lit('<a data-rel="'), k, F.lit('" data-name="ITEM '), k, F.lit('"></a>'))
+    pages = parts.where(k % 3 > 0).groupBy("page").agg(F.array_join(F.array_sort(F.collect_list(anchor)), "").alias("html")).select(F.col("page").alias("url"), "html")
+    details = parts.select(k.cast("string").alias("product_id"), F.concat(F.lit("<h1>item "), k, F.lit(' <span class="gray">'), k % 7, F.lit(" ml</span></h1>")).alias("html"))
+    own = from_catalogue(targets, pages, details, "own")
+    result = F.concat(F.lit('<script type="application/ld+json">{"@type":"Product","name":"Brand'), k % 9, F.lit(" item "), k, F.lit('","url":"https://s.tw/'), k, F.lit('"}</script>'))
+    calories = F.when(k % 11 == 0, F.lit("1.2.3")).otherwise((k % 50).cast("string"))
+    table = F.concat(F.lit("<table><tr><td>內容物（成分）</td><td>水、茶</td></tr><tr><td>營養標示</td><td>每一份量 5 毫升<br>熱量 "), calories, F.lit(" 大卡</td></tr></table>"))
+    data = F.concat(F.lit('[{"goodsBarcode": 1, "goodsShowName": 2, "goodsSpec": 3, "details": 4}, "471'), k, F.lit('", "Brand'), k % 9, F.lit("item "), k, F.lit('", " ", "'), table, F.lit('"]'))
+    shop_pages = parts.where(k % 7 > 0).select(F.concat(F.lit("https://s.tw/"), k).alias("url"), F.concat(F.lit('<script id="__NUXT_DATA__">'), data, F.lit("</script>")).alias("html"))
+    shop, errors = from_shop(targets, parts.select(k.alias("target_id"), result.alias("html")), shop_pages, "shop")
+    return own, shop, errors
+
+
+@query("""
+WITH own AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 3 > 0), shop AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0)
+SELECT k AS target_id, 'own' AS source_name, 1 AS rank, 1.0 AS match_score, 'item ' || k AS matched_name, NULL AS barcode, CAST(k % 7 AS DOUBLE) AS amount, NULL AS calories, 0 AS ingredients FROM own
+UNION ALL SELECT k, 'shop', CASE WHEN k % 3 > 0 THEN 2 ELSE 1 END, 1.0, 'Brand' || (k % 9) || 'item ' || k, '471' || k, 5.0, CAST(k % 50 AS DOUBLE), 2 FROM shop""")
+def q_collect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of two sources for every target, ranked together."""
+    from provender.plans.catalog import match_candidates
+
+    own, shop, _ = _two_sources(spark, sf_dir)
+    calories = F.col("nutrition.calories.value")
+    return match_candidates(own, shop).select("target_id", "source_name", "rank", "match_score", "matched_name", "barcode", F.col("serving.amount").alias("amount"), calories.alias("calories"), F.size("ingredients").alias("ingredients"))
+
+
+@query("SELECT p_partkey AS target_id, 'shop' AS source_name, CASE WHEN p_partkey % 7 = 0 THEN 'page missing' ELSE 'invalid_numeral' END AS error FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 = 0")
+def q_candidate_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets for which a source failed, and why."""
+    return _two_sources(spark, sf_dir)[2]
+
+
+@query("""
+WITH n AS (SELECT * FROM (VALUES (0, 'calories', 'kcal', 2000.0), (1, 'protein', 'g', 60.0), (2, 'fat', 'g', 60.0), (3, 'saturatedFat', 'g', 18.0), (4, 'transFat', 'g', NULL), (5, 'carbohydrates', 'g', 300.0), (6, 'sugar', 'g', NULL), (7, 'sodium', 'mg', 2000.0)) t(i, nutrient, unit, reference)),
+f AS (SELECT p_partkey AS id, nutrient, unit, CASE WHEN (p_partkey + i) % 9 > 0 THEN CAST(p_size * (i + 1) AS DOUBLE) END AS value, reference, p_partkey % 300 AS d FROM part, n)
+SELECT id, nutrient, value, CASE WHEN value IS NULL THEN '目前尚無資料' ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) || ' ' || unit END AS label, round(value / reference * 100, 9) AS pct, round(CASE WHEN value / reference * 100 > 100 THEN 100 ELSE value / reference * 100 END, 9) AS progress, 's' AS source,
+  CAST(date_diff('day', DATE '1998-01-01' + CAST(d AS INTEGER), DATE '1998-10-28') AS INTEGER) AS days, date_diff('day', DATE '1998-01-01' + CAST(d AS INTEGER), DATE '1998-10-28') > 180 AS stale FROM f""")
+def q_nutrition_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nutrient of every product: amount, label, share of the daily reference, source and its freshness."""
+    from provender.plans.products import product_facts
+
+    k = F.col("p_partkey")
+    amounts = F.struct(*(F.struct(F.when((k + i) % 9 > 0, F.col("p_size") * (i + 1)).cast("double").alias("value"), F.lit(UNITS[n]).alias("unit")).alias(n) for i, n in enumerate(NAMES)))
+    source = F.array(F.struct(F.lit("s").alias("id"), F.lit("n").alias("name"), F.lit("https://x/").alias("url"), F.date_format(F.date_add(F.to_date(F.lit("1998-01-01")), (k % 300).cast("int")), "yyyy-MM-dd").alias("verified_at")))
+    rows = read(spark, sf_dir, "part").select(k.alias("_pos"), k.alias("id"), F.col("p_name").alias("name"), amounts.alias("nutrition"), source.alias("sources"), F.lit(" s").alias("nutritionSource"), F.array().cast("array<struct<name:string,sourceId:string>>").alias("ingredients"))
+    facts = product_facts(rows, F.to_date(F.lit("1998-10-28")))
+    return facts.select("id", "nutrient", "value", "label", F.round("pct", 9).alias("pct"), F.round("progress", 9).alias("progress"), F.col("source.id").alias("source"), F.col("freshness.elapsed_days").alias("days"), F.col("freshness.is_stale").alias("stale"))
+
+
+@query("""
+WITH n AS (SELECT * FROM (VALUES (0, 'calories', 'kcal', 2000.0), (1, 'protein', 'g', 60.0), (2, 'fat', 'g', 60.0), (3, 'saturatedFat', 'g', 18.0), (4, 'transFat', 'g', NULL), (5, 'carbohydrates', 'g', 300.0), (6, 'sugar', 'g', NULL), (7, 'sodium', 'mg', 2000.0)) t(i, nutrient, unit, reference)),
+f AS (SELECT l_orderkey AS "user", nutrient, unit, reference, bool_and((p_partkey + i) % 60 > 0) AS good, sum(l_quantity * (p_size * (i + 1) * 2 + 1)) / 4 AS v FROM lineitem JOIN part ON p_partkey = l_partkey CROSS JOIN n GROUP BY ALL)
+SELECT "user", nutrient, CAST(v AS DOUBLE) AS value, unit, round(v / reference * 100, 6) AS pct, CASE WHEN v / reference * 100 >= 100 THEN 'reached' WHEN v / reference * 100 >= 80 THEN 'near' WHEN reference IS NOT NULL THEN 'normal' END AS status FROM f WHERE good""")
+def q_basket_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of baskets in all nutrients, in fractions, with their share of the daily reference and its status."""
+    from provender.plans.products import basket_totals
+
+    k = F.col("p_partkey")
+    amounts = F.struct(*(F.struct(F.when((k + i) % 60 > 0, F.col("p_size") * (i + 1) / 2 + 0.25).cast("double").alias("value"), F.lit(UNITS[n]).alias("unit")).alias(n) for i, n in enumerate(NAMES)))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("user"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("double").alias("quantity"))
+    out = basket_totals(items, read(spark, sf_dir, "part").select(k.alias("id"), amounts.alias("nutrition")))
+    return out.select("user", "nutrient", "value", "unit", F.round("pct", 6).alias("pct"), "status")
