@@ -106,7 +106,7 @@ def daily_pct(value: Column, unit: Column, reference: Column, reference_unit: Co
 
 
 def progress(pct: Column) -> Column:
-    return F.least(F.greatest(pct, F.lit(0.0)), F.lit(100.0))
+    return F.when(pct.isNotNull(), F.least(F.greatest(pct, F.lit(0.0)), F.lit(100.0)))
 
 
 def one_decimal(x: Column) -> Column:

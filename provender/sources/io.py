@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +38,12 @@ def read_array(spark: SparkSession, path: str, fields: list[str] | None = None)
         return _records(_whole(spark, path).select(F.try_variant_get("v", "$", "array<variant>").alias("r")), "$")
     schema = T.StructType([T.StructField(f, T.VariantType()) for f in fields])
     rows = spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
-    return rows.select(F.monotonically_increasing_id().alias("_pos"), F.to_variant_object(F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"`{f}`")))), lambda _, v: v.isNotNull())).alias("record"))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    # a file is read by one task in its order; positions go on from file to file, in order of their paths
+    files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    files = files.select("_file", "_first", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
+    rows = rows.join(files, "_file")
+    return rows.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("_pos"), F.to_variant_object(F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"`{f}`")))), lambda _, v: v.isNotNull())).alias("record"))
 
 
 def read_envelope(spark: SparkSession, path: str, array_key: str = "records") -> tuple[DataFrame, DataFrame]:
@@ -58,9 +63,9 @@ def _records(whole: DataFrame, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(_pos, record VARIANT) of JSON lines that carry their position in ``_pos``."""
-    rows = spark.read.text(path).select(F.try_parse_json("value").alias("record"))
-    return rows.select(F.try_variant_get("record", "$._pos", "long").alias("_pos"), "record")
+    """(_pos, record VARIANT, bad) of JSON lines that carry their position in ``_pos``; bad is the text of a line that isn't JSON."""
+    rows = spark.read.text(path).where("trim(value) <> ''").select("value", F.try_parse_json("value").alias("record"))
+    return rows.select(F.try_variant_get("record", "$._pos", "long").alias("_pos"), "record", F.when(F.col("record").isNull(), F.col("value")).alias("bad"))
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -77,11 +82,12 @@ def read_registry(spark: SparkSession, path: str, encoding: str | None = None) -
     """A registry CSV as text columns, ``_malformed`` for rows with cells beyond the header, and ``_empty`` for blank ones.
 
     Missing cells are empty texts. Without an encoding the file is looked through for lines that aren't
-    UTF-8, with a byte order mark or without; MS950 needs spark.sql.legacy.javaCharsets, which is set then.
+    UTF-8, with a byte order mark or without. MS950 needs spark.sql.legacy.javaCharsets to be true in the session, also
+    when the rows are used; settings are the caller's, so it is an error if it isn't.
     """
     encoding = encoding or encoding_of(spark, path)
-    if encoding == "MS950":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    if encoding == "MS950" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ContractError("this file is in MS950: set spark.sql.legacy.javaCharsets to true to read it")
     header = spark.read.csv(path, encoding=encoding, multiLine=True).first()
     names = [(c or "").lstrip("﻿").strip() for c in header]
     schema = T.StructType([*(T.StructField(n, T.StringType()) for n in names), T.StructField("_bad", T.StringType())])

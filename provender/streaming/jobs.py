@@ -16,13 +16,40 @@ from provender.operators.ordered import product_key
 from provender.plans.traceability import normalize
 
 
-def incoming_records(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
-    """Trace records of JSON-lines files as they arrive, normalised and classified; ``files`` at a time."""
+def incoming_lines(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """(line, record) of files as they arrive, ``files`` at a time; record is null where a line isn't JSON. Blank lines are left out."""
     reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
-    rows = reader.text(path).select(F.try_parse_json("value").alias("record"))
+    return reader.text(path).where("trim(value) <> ''").select(F.col("value").alias("line"), F.try_parse_json("value").alias("record"))
+
+
+def incoming_records(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """Trace records of JSON-lines files as they arrive, normalised and classified; see incoming_faults for lines that aren't JSON."""
+    rows = incoming_lines(spark, path, files).where("record is not null")
     return classified(normalize(rows.select(F.try_variant_get("record", "$._pos", "long").alias("_pos"), "record")))
 
 
+def incoming_faults(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """(file, line) of what arrives and isn't JSON, with the text as it came: a stream beside that of the records."""
+    reader = spark.readStream if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), F.try_parse_json("value").alias("record"))
+    return rows.where("record is null and trim(line) <> ''").drop("record")
+
+
+def running_class_counts(records: DataFrame) -> DataFrame:
+    """(classification, n, anomalies) of all records so far; each class that a batch touches is told anew."""
+    return records.groupBy("classification").agg(F.count("*").alias("n"), F.count_if("hasAnomaly").alias("anomalies"))
+
+
+def into_counts(counts: DataFrame, path: str, checkpoint: str, whole: bool = True) -> StreamingQuery:
+    """Write the counts of all classes after each batch to one folder, the last in place of those before."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    writer = counts.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete")
+    return (writer.trigger(availableNow=True) if whole else writer).start()
+
+
 def apply_event(basket: dict[str, float], op: str, product: str | None, quantity: float | None) -> None:
     """One event on a basket in order of insertion; ids are trimmed already, null where they say nothing."""
     if op == "clear":

@@ -10,7 +10,7 @@ from provender.functions.nutrition import NAMES
 from provender.operators import classify, joins, ordered, schema, validate
 from provender.plans import catalog, products, registry, traceability, websites
 from provender.sources import io
-from provender.streaming.jobs import apply_event, baskets_now, incoming_records, into_baskets, into_parquet, running_ledger
+from provender.streaming.jobs import apply_event, baskets_now, incoming_faults, incoming_records, into_baskets, into_counts, into_parquet, running_class_counts, running_ledger
 
 
 def rows(df, *columns):
@@ -150,10 +150,15 @@ def test_large_files(spark, tmp_path):
         io.read_array(spark, str(tmp_path / "b.json")).count()
 
 
-def test_registry_encodings(spark, tmp_path):
+def test_registry_encodings(spark, tmp_path, request):
     head, row = "公司或商業登記名稱,公司統一編號,業者地址,食品業者登錄字號,登錄項目", "甲公司,12345678,台北,A-1,販售"
     for name, data in {"utf8": (head + "\n" + row + "\n").encode(), "bom": b"\xef\xbb\xbf" + (head + "\n" + row + "\n").encode(), "cp950": (head + "\n" + row + "\n").encode("cp950")}.items():
         (tmp_path / name).write_bytes(data)
+        if name == "cp950":
+            with pytest.raises(io.ContractError, match="javaCharsets"):
+                io.read_registry(spark, str(tmp_path / name))
+            request.addfinalizer(lambda: spark.conf.unset("spark.sql.legacy.javaCharsets"))
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         got = io.read_registry(spark, str(tmp_path / name)).drop("_malformed", "_empty")
         assert got.columns == head.split(",") and rows(got) == [tuple(row.split(","))]
 
@@ -579,3 +584,30 @@ def test_schema_against_brute_force(spark):
     assert got[-1]["errors"] == [] and len(docs) > 600
     plan = schema.schema_validate(df, "v", schema.product_schema())._jdf.queryExecution().executedPlan().toString()
     assert len(plan) < 150_000
+
+
+def test_positions_over_files(spark, tmp_path):
+    """Elements of several files are numbered in whole numbers, file after file."""
+    (tmp_path / "a").mkdir()
+    for k, n in (("2", 3), ("10", 4), ("3", 0), ("9", 2)):
+        (tmp_path / "a" / f"{k}.json").write_text(json.dumps([{"id": f"{k}-{i}"} for i in range(n)]))
+    got = io.read_array(spark, str(tmp_path / "a"), ["id"]).select("_pos", F.try_variant_get("record", "$.id", "string").alias("id"))
+    assert rows(got) == [(i, x) for i, x in enumerate(["10-0", "10-1", "10-2", "10-3", "2-0", "2-1", "2-2", "9-0", "9-1"])]
+
+
+def test_lines_that_are_no_json(spark, tmp_path):
+    """Kept apart with their text, in batch and as they arrive; classes are counted over all that arrived."""
+    path, at = tmp_path / "in", {k: str(tmp_path / k) for k in ("r", "f", "n", "c1", "c2", "c3")}
+    path.mkdir()
+    batches = [[json.dumps(trace(0) | {"_pos": 0}, ensure_ascii=False), "{broken", ""], ["not json", json.dumps(trace(4, 內容物標示=" ") | {"_pos": 1}, ensure_ascii=False), json.dumps(trace(5, 每份鈉="少量") | {"_pos": 2}, ensure_ascii=False), " "]]
+    for i, lines in enumerate(batches):
+        (path / f"{i}.json").write_text("\n".join(lines) + "\n")
+        into_parquet(incoming_records(spark, str(path)).select("_pos", "classification"), at["r"], at["c1"]).awaitTermination()
+        into_parquet(incoming_faults(spark, str(path)), at["f"], at["c2"]).awaitTermination()
+        into_counts(running_class_counts(incoming_records(spark, str(path))), at["n"], at["c3"]).awaitTermination()
+        known = io.read_lines(spark, str(path))
+        assert rows(known.where("bad is not null"), "bad") == rows(spark.read.parquet(at["f"]), "line")
+        want = classify.class_counts(traceability.classify_products(traceability.normalize(known.where("bad is null")))[0]).where("n > 0")
+        assert rows(spark.read.parquet(at["n"]), "classification", "n") == rows(want)
+    assert rows(spark.read.parquet(at["f"]), "line") == [("not json",), ("{broken",)] and spark.read.parquet(at["r"]).count() == 3
+    assert sum(r["anomalies"] for r in spark.read.parquet(at["n"]).collect()) == 1
