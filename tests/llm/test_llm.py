@@ -333,7 +333,7 @@ def test_hilbert_steps():
 
 
 def brute_lines(rows, ratio, distinct):
-    """The rule by its definition: (k - 1) / (n - 1) of a host's pages, line by line."""
+    """The rule by its definition: on k of a host's n pages, line by line, four at least."""
     hosts = {}
     for i, t, h in rows:
         hosts.setdefault(h, []).append(t)
@@ -344,7 +344,7 @@ def brute_lines(rows, ratio, distinct):
         for t in texts:
             for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
                 on[x] = on.get(x, 0) + 1
-        gone[h] = {x for x, k in on.items() if k > 1 and k - 1 > ratio * (len(texts) - 1)}
+        gone[h] = {x for x, k in on.items() if k >= 4 and k > ratio * len(texts)}
     out = {}
     for i, t, h in rows:
         split = (t or "").split("\n")
@@ -359,7 +359,9 @@ def test_lines(spark, distinct):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lines.drop_boilerplate(docs_of(spark, rows), distinct=distinct).collect()}
     assert got == brute_lines(rows, lines.RATIO, distinct)
     assert got[60] == ("copy", 2, 1) if distinct else got[60] == ("", 2, 2)
-    assert got[93] == ("only page\nof its host", 2, 0) and got[94] == ("one", 2, 1)
+    assert got[93] == ("only page\nof its host", 2, 0) and got[94] == ("both\none", 2, 0)
+    alone = {r["doc_id"]: r["n_dropped"] for r in lines.drop_boilerplate(docs_of(spark, rows), distinct=distinct, least=2).collect()}
+    assert alone[94] == alone[95] == 1 and alone[93] == 0
 
 
 @pytest.mark.parametrize("distinct", [False, True])
