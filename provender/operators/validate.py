@@ -64,6 +64,11 @@ def _sources(v: Column) -> tuple[Column, Column]:
     return F.coalesce(kept, none), F.coalesce(F.flatten(F.transform(read, of)), F.array(F.struct(F.lit("sources").alias("field"), F.lit("missing or not an array").alias("reason"))))
 
 
+def refers_to_source(sources: Column, source_id: Column) -> Column:
+    """Whether a product's nutrition source is one of its sources."""
+    return F.coalesce(F.exists(sources, lambda s: s["id"] == script_trimmed(source_id)) & has_display_value(source_id), F.lit(False))
+
+
 def checked_products(rows: DataFrame, record: str = "record") -> DataFrame:
     """Every VARIANT row once, with ``kept``, the fields of a product (null unless kept) and ``warnings``.
 
@@ -84,7 +89,7 @@ def checked_products(rows: DataFrame, record: str = "record") -> DataFrame:
     refers = _text(F.col("raw_nutritionSource"))
     nutrition = F.struct(*(_amount(_field(F.col("raw_nutrition"), n), "value", UNITS[n]).alias(n) for n in NAMES))
     is_object = F.coalesce(kind_is(F.col("raw_nutrition"), "object"), F.lit(False))
-    out = out.select("*", *(c.alias(t) for t, c in texts.items()), _amount(F.col("raw_serving"), "amount").alias("serving"), nutrition.alias("nutrition"), F.when(F.exists("_s.sources", lambda s: s["id"] == refers), refers).alias("nutritionSource"))
+    out = out.select("*", *(c.alias(t) for t, c in texts.items()), _amount(F.col("raw_serving"), "amount").alias("serving"), nutrition.alias("nutrition"), F.when(refers_to_source(F.col("_s.sources"), refers), refers).alias("nutritionSource"))
     found = [_warn(F.col(f"raw_{t}").isNotNull() & _text(F.col(f"raw_{t}")).isNull(), t, "missing or not a text") for t in TEXTS]
     found += [_warn(_text(F.col("raw_barcode")).isNotNull() & F.col("barcode").isNull(), "barcode", "not digits"), _warn(F.col("serving").isNull(), "serving", "not a quantity"), _warn(~is_object, "nutrition", "missing or not an object")]
     found += [_warn(is_object & F.col("nutrition")[n].isNull(), f"nutrition.{n}", "not a quantity") for n in NAMES]
@@ -106,11 +111,6 @@ def load_validate(rows: DataFrame, record: str = "record") -> tuple[DataFrame, D
     return checked.where("kept").drop("kept", "warnings"), checked.select("_pos", F.explode("warnings").alias("w")).select("_pos", "w.*")
 
 
-def refers_to_source(sources: Column, source_id: Column) -> Column:
-    """Whether a product's nutrition source is one of its sources."""
-    return F.coalesce(F.exists(sources, lambda s: s["id"] == script_trimmed(source_id)) & has_display_value(source_id), F.lit(False))
-
-
 def retail_gate(complete: Column) -> Column:
     """The first thing that keeps a retail candidate from promotion; null if nothing does.
 

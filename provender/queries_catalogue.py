@@ -565,3 +565,50 @@ def q_basket_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("user"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("double").alias("quantity"))
     out = basket_totals(items, read(spark, sf_dir, "part").select(k.alias("id"), amounts.alias("nutrition")))
     return out.select("user", "nutrient", "value", "unit", F.round("pct", 6).alias("pct"), "status")
+
+
+@query("""
+WITH r AS (SELECT p_partkey AS k, p_partkey % 6 AS m FROM part)
+SELECT k AS _pos, CASE WHEN m = 0 THEN 's1' WHEN m = 1 THEN 's2' END AS "nutritionSource", CASE WHEN m IN (2, 4) THEN 'no such source' WHEN m IN (3, 5) THEN 'missing or not a text' END AS warning, CASE WHEN m = 4 THEN 0 ELSE 2 END AS sources FROM r""")
+def q_load_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with sources: where a product's nutrition comes from, if that is one of them."""
+    from provender.operators.validate import checked_products
+
+    k = F.col("p_partkey")
+    sources = F.when(k % 6 == 4, F.lit('[{"id":"s1","name":"n","url":"ftp://x"},{"id":" ","name":"n","url":"https://x"}]')).otherwise(F.lit('[{"id":"s1","name":"n","url":"https://x/a"},{"id":" s2 ","name":"m","url":"http://y","verified_at":"2026-02-03"},{"id":"s1","name":"again","url":"https://z"}]'))
+    named = F.element_at(F.array(*map(F.lit, ('" s1"', '"s2"', '"s3"', '5', '"s1"', '"undefined"'))), (k % 6 + 1).cast("int"))
+    text = F.concat(F.lit('{"id":"p'), k, F.lit('","name":"n","sources":'), sources, F.lit(',"nutritionSource":'), named, F.lit("}"))
+    rows = checked_products(read(spark, sf_dir, "part").select(k.cast("long").alias("_pos"), F.try_parse_json(text).alias("record")))
+    found = F.get(F.filter("warnings", lambda w: w["field"] == "nutritionSource"), F.lit(0))["reason"]
+    return rows.select("_pos", "nutritionSource", found.alias("warning"), F.size("sources").alias("sources"))
+
+
+@query("""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'full_name_in_page' WHEN 1 THEN 'core_name_in_page' END AS evidence FROM pages""")
+def q_page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a page shows of a business's name: the whole of it, its core, or nothing."""
+    from provender.functions.evidence import core_name, match_key, page_evidence
+
+    k = F.col("page_id")
+    name = F.concat(F.lit("甲乙"), F.lit("丙丁"), F.lit("食品股份有限公司"))
+    own = F.when(k % 4 == 0, F.lit("<p> 甲乙 丙丁 食品股份有限公司 </p>")).when(k % 4 == 1, F.concat(F.lit("<b>"), core_name(name), F.lit("</b>"))).otherwise(F.lit("甲"))
+    rows = read(spark, sf_dir, "pages").select("page_id", F.concat("html", own).alias("page"), name.alias("name"))
+    rows = rows.select("page_id", match_key("page").alias("_p"), match_key("name").alias("_n"), match_key(core_name(F.col("name"))).alias("_c"))
+    return rows.select("page_id", F.get(page_evidence(F.col("_p"), F.col("_n"), F.col("_c")), F.lit(0)).alias("evidence"))
+
+
+@query("""
+SELECT 'n' || n_nationkey AS identity FROM nation WHERE (n_nationkey % 4 = 0 AND EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)) OR (n_nationkey % 5 = 1 AND EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey))""")
+def q_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Businesses to evaluate again: those with one registry record that changed, or one search result more than last time."""
+    from provender.operators.joins import input_signatures
+
+    registry = read(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("identity"), "s_nationkey", "s_suppkey", "s_name")
+    results = read(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("identity"), "c_nationkey", "c_custkey", "c_name")
+    first = registry.groupBy(F.col("s_nationkey").alias("n")).agg(F.min("s_suppkey").alias("least"))
+    changed = registry.join(first, F.col("s_nationkey") == F.col("n")).withColumn("s_name", F.when((F.col("n") % 4 == 0) & (F.col("s_suppkey") == F.col("least")), F.lit("renamed")).otherwise(F.col("s_name"))).drop("n", "least")
+    newest = results.groupBy("c_nationkey").agg(F.max("c_custkey").alias("c_custkey"))
+    before = results.join(newest.where("c_nationkey % 5 = 1"), ["c_nationkey", "c_custkey"], "left_anti")
+    settings = {"provider": "table", "max": 5}
+    now = input_signatures("identity", {"registry": changed, "results": results}, settings)
+    return unfinished(now, input_signatures("identity", {"results": before, "registry": registry}, settings)).select("identity")
