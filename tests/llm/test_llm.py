@@ -332,6 +332,22 @@ def test_hilbert_steps():
     assert sorted(at) == list(range(512)) and (np.abs(np.diff(cells[order], axis=0)).sum(1) == 1).all()
 
 
+def test_copies_are_on_one_side(monkeypatch):
+    """The temperature isn't fitted on texts that were trained on: of many copies all are aside, or none."""
+    seen = {}
+    real = quality.Model.logits
+
+    def logits(self, x):
+        seen["aside"] = len(x)
+        return real(self, x)
+
+    monkeypatch.setattr(quality.Model, "logits", logits)
+    texts = [f"copy {i % 4} of a text" for i in range(80)]
+    quality.fit(texts, np.arange(80) % 2, epochs=1)
+    assert seen.get("aside", 0) % 20 == 0
+    quality.fit(["one text"] * 30, np.arange(30) % 2, epochs=1)
+
+
 def brute_lines(rows, ratio, distinct):
     """The rule by its definition: on k of a host's n pages, line by line, four at least."""
     hosts = {}
