@@ -49,8 +49,14 @@ GUESSES = set("ad ads advert adverts advertisement sponsor sponsored banner menu
 QUOTED, DOUBT = 0.2, 0.01
 
 
+#: A name made of words; others (a letter, one with digits, a very long one) are kept apart, as they may be generated.
+WORDED = re.compile(r"[^a-z0-9]*[a-z]{2,20}(?:[^a-z0-9]+[a-z]{2,20})*[^a-z0-9]*")
+ODD = "~"
+
+
 def symbol(tag: str, attributes: str) -> str:
-    """A tag with the words of its class, id and role; numbers and generated names are left out."""
+    """A tag with the words of its class, id and role. Names that aren't made of words follow with a mark before them:
+    they count where they stand on most pages of a host, see ``stable_names``."""
     if not attributes or "=" not in attributes:
         return f"{tag}.hidden" if attributes and re.search(r"\bhidden\b", attributes) else tag
     words = []
@@ -58,11 +64,19 @@ def symbol(tag: str, attributes: str) -> str:
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
             words += [w for w in re.split(r"[^a-z]+", value) if 1 < len(w) <= 20]
+            words += [ODD + re.sub(r"[./~]", "_", w) for w in value.split() if not WORDED.fullmatch(w)]
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             words.append("hidden")
     return ".".join([tag, *dict.fromkeys(words)])
 
 
+def reduced(path: str, stable: frozenset[str] = frozenset()) -> str:
+    """A path without the marked names that aren't stable."""
+    if ODD not in path:
+        return path
+    return "/".join(".".join(w for w in s.split(".") if w[:1] != ODD or w[1:] in stable) for s in path.split("/"))
+
+
 def parsed(html: str) -> list[tuple[str, str, int]]:
     """The blocks of a page in order: the symbols around each, joined by /, its text with one space for
     white space, and how many of its characters stand in links."""
@@ -280,8 +294,9 @@ def matched(page: list[Node], nodes: list[Node]) -> list[Node | None]:
 class Wrapper:
     """tree: the expression. fixed: the constants' digests. leaves: the slots and constants of the tree in order."""
 
-    def __init__(self, tree: Node, fixed: list[int]):
+    def __init__(self, tree: Node, fixed: list[int], stable: list[str] | None = None):
         self.tree, self.fixed, self.leaves, self.known = tree, set(fixed), [], {}
+        self.stable = frozenset(stable or ())
         self.chains: list[list[Node]] = []
         self.number(tree, [])
         self.place = {id(x): i for i, x in enumerate(self.leaves)}
@@ -317,7 +332,7 @@ class Wrapper:
 
     def text(self, blocks: list[tuple[str, str, int]]) -> str:
         """A page's main text: what stands in the article's slots, or else in any that could be text, or in the article's constants."""
-        runs, of = runs_of([b[0] for b in blocks], [digest(b[1]) for b in blocks], self.fixed)
+        runs, of = runs_of([reduced(b[0], self.stable) for b in blocks], [digest(b[1]) for b in blocks], self.fixed)
         at = self.match(runs)
         for wanted in (self.main, self.rest, self.constants):
             if own := [b[1] for b, r in zip(blocks, of) if at[r] in wanted]:
@@ -327,7 +342,7 @@ class Wrapper:
 
 def alone(blocks: list[tuple[str, str, int]]) -> Wrapper:
     """The wrapper of a page whose host isn't known: its own stream."""
-    runs, of = runs_of([b[0] for b in blocks], [0] * len(blocks), set())
+    runs, of = runs_of([reduced(b[0]) for b in blocks], [0] * len(blocks), set())
     return Wrapper(repeats(stream(runs, counts_of(of, [len(b[1]) for b in blocks], [b[2] for b in blocks]))), [])
 
 
@@ -427,7 +442,7 @@ def outlines(pages: DataFrame) -> DataFrame:
             for host, page in zip(pdf["host"], pdf["html"]):
                 blocks = parsed(page)
                 paths, ids = [b[0] for b in blocks], [digest(b[1]) for b in blocks]
-                rows.append((host, digest("\n".join([*paths, *map(str, ids)])), paths, ids, [len(b[1]) for b in blocks], [b[2] for b in blocks]))
+                rows.append((host, digest("\n".join([*map(reduced, paths), *map(str, ids)])), paths, ids, [len(b[1]) for b in blocks], [b[2] for b in blocks]))
             yield pd.DataFrame(rows, columns=["host", "page", "path", "digest", "chars", "linked"])
 
     schema = "host string, page long, path array<string>, digest array<long>, chars array<int>, linked array<int>"
@@ -451,6 +466,18 @@ def constants(outline: DataFrame) -> DataFrame:
     return on.where("k > 1").join(total, "host").where(sure).groupBy("host").agg(F.sort_array(F.collect_list("digest")).alias("fixed"))
 
 
+def stable_names(outline: DataFrame) -> DataFrame:
+    """(host, stable): the names that aren't made of words and stand on at least half of a host's pages, two or more.
+
+    A letter, a name with digits or a very long one tells two parts of a page apart as any other does, if it is the host's own;
+    those that pages or builds generate come and go. A list has at most twice as many names as the average page.
+    """
+    total = outline.groupBy("host").agg(F.count("*").alias("n"))
+    names = F.array_distinct(F.flatten(F.transform("path", lambda p: F.regexp_extract_all(p, F.lit(r"~([^./]+)"), F.lit(1)))))
+    on = outline.select("host", F.explode(names).alias("name")).groupBy("host", "name").agg(F.count("*").alias("k"))
+    return on.where("k > 1").join(total, "host").where("2 * k >= n").groupBy("host").agg(F.sort_array(F.collect_list("name")).alias("stable"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, wrapper): each host's wrapper, from all its pages, as JSON.
 
@@ -459,10 +486,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """
     outline = settled(outlines(pages), "outlines")
     fixed = settled(constants(outline), "constants")
+    stable = settled(stable_names(outline), "stable")
 
     def infer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shapes: dict[str, dict[tuple[Run, ...], list[list[int]]]] = {}
-        sets: dict[str, set[int]] = {}
+        sets: dict[str, tuple[set[int], frozenset[str]]] = {}
 
         def out() -> pd.DataFrame:
             trees = []
@@ -471,17 +499,17 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 for runs in sorted(seen):
                     page = repeats(stream(runs, seen[runs]))
                     tree = merged(tree, page) if tree else page
-                trees.append(json.dumps([tree, sorted(sets[host])], ensure_ascii=False))
+                trees.append(json.dumps([tree, sorted(sets[host][0]), sorted(sets[host][1])], ensure_ascii=False))
             df = pd.DataFrame({"host": list(shapes), "wrapper": trees}, dtype=object)
             shapes.clear()
             sets.clear()
             return df
 
         for pdf in batches:
-            for host, path, ids, chars, linked, known in zip(*(pdf[c] for c in ("host", "path", "digest", "chars", "linked", "fixed"))):
+            for host, path, ids, chars, linked, known, names in zip(*(pdf[c] for c in ("host", "path", "digest", "chars", "linked", "fixed", "stable"))):
                 if host not in sets:
-                    sets[host], shapes[host] = set() if known is None else set(known.tolist()), {}
-                runs, of = runs_of(path.tolist(), ids.tolist(), sets[host])
+                    sets[host], shapes[host] = (set() if known is None else set(known.tolist()), frozenset() if names is None else frozenset(names.tolist())), {}
+                runs, of = runs_of([reduced(p, sets[host][1]) for p in path], ids.tolist(), sets[host][0])
                 counts = counts_of(of, chars.tolist(), linked.tolist())
                 had = shapes[host].get(runs)
                 shapes[host][runs] = counts if had is None else [[a + b for a, b in zip(x, y)] for x, y in zip(had, counts)]
@@ -492,11 +520,11 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         tree, known = None, []
         for w in sorted(pdf["wrapper"]):
-            one, known = json.loads(w)
+            one, *known = json.loads(w)
             tree = merged(tree, one) if tree else one
-        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps([tree, known], ensure_ascii=False)]})
+        return pd.DataFrame({"host": pdf["host"].iloc[:1], "wrapper": [json.dumps([tree, *known], ensure_ascii=False)]})
 
-    rows = outline.join(fixed, "host", "left").drop("page").mapInPandas(infer, "host string, wrapper string")
+    rows = outline.join(fixed, "host", "left").join(stable, "host", "left").drop("page").mapInPandas(infer, "host string, wrapper string")
     some = rows.withColumn("share", F.expr("pmod(spark_partition_id(), 32)")).groupBy("host", "share").applyInPandas(merge, "host string, wrapper string")
     return some.groupBy("host").applyInPandas(merge, "host string, wrapper string")
 

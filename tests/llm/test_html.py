@@ -127,3 +127,28 @@ def test_pages(spark, at):
         body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
         want = " ".join(" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", body))
         assert r["text"] == " ".join(want.split())
+
+
+@pytest.mark.parametrize("names", [("a", "b"), ("c1", "c2"), ("x" * 30, "y" * 30), ("story", "tail"), ("css-1k9", "css-77b")], ids=["letters", "digits", "long", "words", "generated by a build"])
+def test_names_that_are_not_words(spark, names):
+    """Containers told apart by any name that is the host's own: what stands beside the story isn't in the text. Names that pages generate tell nothing."""
+    rows, want = [], {}
+    for h in range(3):
+        for i in range(20):
+            story = [f"story {h} {i} {j} " + "with some words of its own that go on for a while " * 3 for j in range(3)]
+            links = "".join(f'<p><a href="/{h}/{(i * 7 + j) % 90}">see also number {(i * 7 + j) % 90} of {h}</a></p>' for j in range(4))
+            body = "".join(f"<p>{s}</p>" for s in story)
+            page = f'<html><body><div class="page{i}" id="p{h * 100 + i}"><div class="{names[0]}">{body}</div><div class="{names[1]}">{links}</div></div></body></html>'
+            rows.append((f"{h}-{i}", f"http://h{h}.example/{i}", page))
+            want[f"{h}-{i}"] = " ".join(" ".join(s.split()) for s in story)
+    assert texts(spark, rows) == want
+
+
+def test_stable_names(spark):
+    """A name counts from half of a host's pages on, two at least; others go, and pages that differ in them alone are one."""
+    rows = [(str(i), "http://s.example/x", f'<div class="q7 only{i}"><p id="n{i % 2}">text {i}</p></div>') for i in range(6)] + [("t", "http://t.example/", '<div class="q7"><p>alone</p></div>')]
+    out = html.outlines(spark.createDataFrame(rows, PAGES))
+    assert {(r["host"], tuple(r["stable"])) for r in html.stable_names(out).collect()} == {("s.example", ("n0", "n1", "q7"))}
+    same = [(str(i), "http://u.example/x", f'<div class="g{i}x"><p>same</p></div>') for i in range(3)]
+    assert html.outlines(spark.createDataFrame(same, PAGES)).count() == 1
+    assert html.reduced("div.main.~a1.~b2/p.~c3", frozenset(["b2"])) == "div.main.~b2/p"
