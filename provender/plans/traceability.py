@@ -16,7 +16,7 @@ from provender.operators.ordered import appended, duplicates, occurrence_ids
 from provender.operators.schema import product_schema, schema_validate, text_in
 from provender.operators.validate import catalogue_faults
 from provender.sources.io import TRACE_FIELDS, TRACE_NUTRIENTS, ContractError, first_rows
-from provender.sources.shared import kept, released
+from provender.sources.shared import computed, kept, released
 
 
 def normalize(records: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def build_candidates(rows: DataFrame, source: dict[str, str], sample: int | None
     taken from elsewhere.
     """
     # read twice in numbering, so parsed once
-    chosen = kept(first_rows(rows.where(F.col("classification") == CLASSES[0]), sample), "chosen")
+    chosen = kept(first_rows(computed(rows).where(F.col("classification") == CLASSES[0]), sample), "chosen")
     identity = [F.col(c) for c in ("companyName", "productName", "packageSpecification")]
     chosen = occurrence_ids(chosen, candidate_id(F.col("traceabilityCode"), *identity), "candidateId")
     split = split_strict("contentLabel")

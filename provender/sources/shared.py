@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+def computed(df: DataFrame) -> DataFrame:
+    """df with its columns computed once for each row: a condition on one of them isn't rewritten as one on what it is made
+    from, which would parse a record anew for each field that the condition looks at."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: planned and computed once, and a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
