@@ -9,7 +9,7 @@ from provender.functions.display import ingredient_sources, quantity_label, reso
 from provender.functions.nutrition import NAMES, UNITS, daily_pct, freshness, long_form, pct_label, precision15, progress, reference_of, reference_status, unit_of
 from provender.functions.text import finite, non_negative
 from provender.operators.classify import search_state
-from provender.operators.joins import search_batch
+from provender.operators.joins import search_batch, search_counts
 from provender.operators.ordered import ledger, product_key
 from provender.operators.validate import load_validate
 
@@ -24,7 +24,7 @@ def search(products: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     """Hits (query_id, _pos, ..., summary, suggestion) of queries (query_id, text), and each query's state."""
     hits = search_batch(products, queries, SEARCHED)
     hits = hits.withColumns({"summary": summary(*(F.col(c) for c in SEARCHED[1:])), "suggestion": suggestion(F.col("brand"), F.col("barcode"))})
-    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = search_counts(products, queries, SEARCHED, "_pos")
     states = queries.join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return hits, states.select("query_id", "n", search_state(F.col("text"), F.col("n")).alias("state"))
 
