@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provender.functions.nutrition import NAMES, UNITS, calendar_date
 from provender.functions.text import clean, filled, has_display_value, script_trimmed
+from provender.sources.shared import computed
 
 from .schema import kind_is, number_in, text_in
 
@@ -79,17 +80,18 @@ def checked_products(rows: DataFrame, record: str = "record") -> DataFrame:
     the join with the first positions asks for it.
     """
     v = F.col(record)
-    rows = rows.withColumn("_id", F.when(F.coalesce(kind_is(v, "object"), F.lit(False)), _text(_field(v, "id"))))
+    rows = computed(rows.withColumn("_id", F.when(F.coalesce(kind_is(v, "object"), F.lit(False)), _text(_field(v, "id")))))
     named = rows.where("_id is not null").groupBy("_id").agg(F.min("_pos").alias("_p"))
     read = rows.join(named, "_id", "left").select("_pos", v.alias("other"), F.coalesce(kind_is(v, "object"), F.lit(False)).alias("object"), F.col("_id").alias("id"), _text(_field(v, "name")).alias("name"), F.coalesce(F.col("_pos") == F.col("_p"), F.lit(False)).alias("first"), *(_field(v, t).alias(f"raw_{t}") for t in (*TEXTS, "serving", "nutrition", "sources", "nutritionSource")))
     texts = {t: _text(F.col(f"raw_{t}")) for t in TEXTS}
     texts["barcode"] = F.when(texts["barcode"].rlike(r"\A[0-9]+\z"), texts["barcode"])
     sources, source_warnings = _sources(F.col("raw_sources"))
-    out = read.withColumn("kept", F.col("first") & F.col("name").isNotNull()).withColumn("_s", F.struct(sources.alias("sources"), source_warnings.alias("warnings")))
+    out = computed(read).withColumn("kept", F.col("first") & F.col("name").isNotNull()).withColumn("_s", F.struct(sources.alias("sources"), source_warnings.alias("warnings")))
     refers = _text(F.col("raw_nutritionSource"))
     nutrition = F.struct(*(_amount(_field(F.col("raw_nutrition"), n), "value", UNITS[n]).alias(n) for n in NAMES))
     is_object = F.coalesce(kind_is(F.col("raw_nutrition"), "object"), F.lit(False))
-    out = out.select("*", *(c.alias(t) for t, c in texts.items()), _amount(F.col("raw_serving"), "amount").alias("serving"), nutrition.alias("nutrition"), F.when(refers_to_source(F.col("_s.sources"), refers), refers).alias("nutritionSource"))
+    out = computed(out).select("*", *(c.alias(t) for t, c in texts.items()), _amount(F.col("raw_serving"), "amount").alias("serving"), nutrition.alias("nutrition"), F.when(refers_to_source(F.col("_s.sources"), refers), refers).alias("nutritionSource"))
+    out = computed(out)
     found = [_warn(F.col(f"raw_{t}").isNotNull() & _text(F.col(f"raw_{t}")).isNull(), t, "missing or not a text") for t in TEXTS]
     found += [_warn(_text(F.col("raw_barcode")).isNotNull() & F.col("barcode").isNull(), "barcode", "not digits"), _warn(F.col("serving").isNull(), "serving", "not a quantity"), _warn(~is_object, "nutrition", "missing or not an object")]
     found += [_warn(is_object & F.col("nutrition")[n].isNull(), f"nutrition.{n}", "not a quantity") for n in NAMES]

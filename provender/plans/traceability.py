@@ -16,22 +16,25 @@ from provender.operators.ordered import appended, duplicates, occurrence_ids
 from provender.operators.schema import product_schema, schema_validate, text_in
 from provender.operators.validate import catalogue_faults
 from provender.sources.io import TRACE_FIELDS, TRACE_NUTRIENTS, ContractError, first_rows
-from provender.sources.shared import computed, kept, released
+from provender.sources.shared import computed, kept, released, spread
 
 
 def normalize(records: DataFrame) -> DataFrame:
     """Typed trace records of VARIANT rows (_pos, record): values that aren't texts count as missing."""
     v = F.col("record")
-    fields = {n: text_in(v, f"$['{f}']") for n, f in TRACE_FIELDS.items()}
+    texts = {**TRACE_FIELDS, **{f"_{n}": f for n, f in TRACE_NUTRIENTS.items()}}
+    # each text is taken out of its record once, and each amount read once, however often they are looked at
+    records = computed(records.select("_pos", *(text_in(v, f"$['{f}']").alias(n) for n, f in texts.items())))
+    fields = {n: F.col(n) for n in texts}
     out = records.select(
         "_pos",
         *(clean(fields[n]).alias(n) for n in ("companyName", "productName", "packageSpecification", "traceabilityCode")),
         F.lit(None).cast("string").alias("barcode"),
         quantity(fields["serving"]).alias("serving"),
-        F.struct(*(nutrient(text_in(v, f"$['{f}']"), UNITS[n]).alias(n) for n, f in TRACE_NUTRIENTS.items())).alias("nutrition"),
+        F.struct(*(nutrient(fields[f"_{n}"], UNITS[n]).alias(n) for n in TRACE_NUTRIENTS)).alias("nutrition"),
         F.coalesce(fields["contentLabel"], F.lit("")).alias("contentLabel"),
     )
-    return out.withColumn("anomalies", anomalies(F.col("packageSpecification"), F.col("nutrition")))
+    return computed(out).withColumn("anomalies", anomalies(F.col("packageSpecification"), F.col("nutrition")))
 
 
 def collection_stats(rows: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def build_candidates(rows: DataFrame, source: dict[str, str], sample: int | None
     # read twice in numbering, so parsed once
     chosen = kept(first_rows(computed(rows).where(F.col("classification") == CLASSES[0]), sample), "chosen")
     identity = [F.col(c) for c in ("companyName", "productName", "packageSpecification")]
-    chosen = occurrence_ids(chosen, candidate_id(F.col("traceabilityCode"), *identity), "candidateId")
+    chosen = spread(occurrence_ids(chosen, candidate_id(F.col("traceabilityCode"), *identity), "candidateId"))
     split = split_strict("contentLabel")
     src = F.struct(*(F.lit(v).alias(k) for k, v in source.items()))
     return chosen.withColumn("_i", split).select(
@@ -162,7 +165,7 @@ def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = No
     )
     failed = F.lit(None).cast("string").alias("batch_schema_error")
     if "product" in products.columns:
-        old = schema_validate(products.select("_pos", "product"), "product", schema or product_schema()).where("status = 'blocked'")
+        old = schema_validate(spread(products.select("_pos", "product")), "product", schema or product_schema()).where("status = 'blocked'")
         first = old.agg(F.min_by(F.concat(F.lit("$.products["), F.col("_pos").cast("string"), F.lit("]"), F.expr("substring(first_error, 2)")), "_pos").alias("batch_schema_error"))
         counts = counts.join(F.broadcast(first))  # one row each
     else:
@@ -189,7 +192,7 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
         raise ContractError(f"{counts['safe_imports']} safe and {counts['convertible']} convertible candidates, {expected} expected")
     new = rows.where("safe").select("_pos", "id", "traceabilityCode", "product")
     out = kept(appended(products.select("_pos", "id", "traceabilityCode", "product"), new), "promoted")
-    checked = schema_validate(out, "product", schema or product_schema())
+    checked = schema_validate(spread(out), "product", schema or product_schema())
     if checked.where("status = 'blocked'").limit(1).count() or catalogue_faults(out).limit(1).count():
         raise ContractError("the catalogue to be written isn't valid")
     released(rows)

@@ -15,6 +15,7 @@ from provender.operators.ordered import appended, merge_brands, restored
 from provender.operators.validate import catalogue_faults, refers_to_source, select_unique
 from provender.query_table import query, read
 from provender.sources.io import catalog_targets, first_rows
+from provender.sources.shared import computed, spread
 
 
 @query("""
@@ -26,7 +27,7 @@ def q_label_nutrition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of labels: serving, nutrients, later lines over earlier ones, numerals that are none."""
     text = F.expr(r"""concat(if(p_partkey % 5 = 0, '營養標示', concat('每一份量 ', p_size, if(p_partkey % 2 = 0, '毫升', ' 公克'))), '\n 熱量 ', if(p_partkey % 11 = 0, '1.2.3', concat(p_size, '.5')), ' 大卡\r\n鈉', p_size, '毫克', if(p_partkey % 3 = 0, '\n鈉 7 公克', ''), '\n其他 3 公克')""")
     n = F.col("n")
-    rows = read(spark, sf_dir, "part").select("p_partkey", label_nutrition(text).alias("n"))
+    rows = computed(spread(read(spark, sf_dir, "part")).select("p_partkey", label_nutrition(text).alias("n")))
     return rows.select("p_partkey", n["serving"]["amount"].alias("amount"), n["serving"]["unit"].alias("unit"), n["nutrition"]["calories"]["value"].alias("calories"), n["nutrition"]["sodium"]["value"].alias("sodium"), n["nutrition"]["sodium"]["unit"].alias("sodium_unit"), n["error"].alias("error"))
 
 
@@ -223,7 +224,7 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of every nineteenth key as products there are; of every 38th one isn't valid."""
     k = F.col("p_partkey")
     name = F.when(k % 38 == 0, " ").otherwise("n")
-    return read(spark, sf_dir, "part").where(k % 19 == 0).select(k.cast("long").alias("_pos"), F.concat(F.lit("old-"), k).alias("id"), F.concat(F.lit("T"), k).alias("traceabilityCode"), F.try_parse_json(F.concat(F.lit('{"id":"old-'), k, F.lit('","name":"'), name, F.lit('"}'))).alias("product"))
+    return spread(read(spark, sf_dir, "part").where(k % 19 == 0)).select(k.cast("long").alias("_pos"), F.concat(F.lit("old-"), k).alias("id"), F.concat(F.lit("T"), k).alias("traceabilityCode"), F.try_parse_json(F.concat(F.lit('{"id":"old-'), k, F.lit('","name":"'), name, F.lit('"}'))).alias("product"))
 
 
 DRY = f"""
@@ -578,7 +579,7 @@ def q_load_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.when(k % 6 == 4, F.lit('[{"id":"s1","name":"n","url":"ftp://x"},{"id":" ","name":"n","url":"https://x"}]')).otherwise(F.lit('[{"id":"s1","name":"n","url":"https://x/a"},{"id":" s2 ","name":"m","url":"http://y","verified_at":"2026-02-03"},{"id":"s1","name":"again","url":"https://z"}]'))
     named = F.element_at(F.array(*map(F.lit, ('" s1"', '"s2"', '"s3"', '5', '"s1"', '"undefined"'))), (k % 6 + 1).cast("int"))
     text = F.concat(F.lit('{"id":"p'), k, F.lit('","name":"n","sources":'), sources, F.lit(',"nutritionSource":'), named, F.lit("}"))
-    rows = checked_products(read(spark, sf_dir, "part").select(k.cast("long").alias("_pos"), F.try_parse_json(text).alias("record")))
+    rows = checked_products(spread(read(spark, sf_dir, "part")).select(k.cast("long").alias("_pos"), F.try_parse_json(text).alias("record")))
     found = F.get(F.filter("warnings", lambda w: w["field"] == "nutritionSource"), F.lit(0))["reason"]
     return rows.select("_pos", "nutritionSource", found.alias("warning"), F.size("sources").alias("sources"))
 

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from provender.functions.text import clean, filled
 
+from .shared import spread
+
 # Columns that sources must have.
 REGISTRY_COLUMNS = ["公司或商業登記名稱", "公司統一編號", "業者地址", "食品業者登錄字號", "登錄項目"]
 TRACE_FIELDS = {"companyName": "公司名稱", "productName": "產品名稱", "packageSpecification": "包裝規格", "traceabilityCode": "產品追溯系統串接碼", "serving": "每一份量", "contentLabel": "內容物標示"}
@@ -42,7 +44,7 @@ def read_array(spark: SparkSession, path: str, fields: list[str] | None = None)
     # a file is read by one task in its order; positions go on from file to file, in order of their paths
     files = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     files = files.select("_file", "_first", (F.sum("_n").over(Window.orderBy("_file")) - F.col("_n")).alias("_before"))
-    rows = rows.join(files, "_file")
+    rows = spread(rows.join(files, "_file"))
     return rows.select((F.col("_before") + F.col("_id") - F.col("_first")).alias("_pos"), F.to_variant_object(F.map_filter(F.create_map(*(x for f in fields for x in (F.lit(f), F.col(f"`{f}`")))), lambda _, v: v.isNotNull())).alias("record"))
 
 
@@ -59,7 +61,7 @@ def read_envelope(spark: SparkSession, path: str, array_key: str = "records") ->
 def _records(whole: DataFrame, path: str) -> DataFrame:
     good = F.coalesce(F.forall("r", lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(False))
     checked = F.when(good, F.col("r")).otherwise(F.raise_error(F.lit(f"not an array of objects at {path}")).cast("array<variant>"))
-    return whole.select(F.posexplode(checked).alias("_pos", "record")).withColumn("_pos", F.col("_pos").cast("long"))
+    return spread(whole.select(F.posexplode(checked).alias("_pos", "record")).withColumn("_pos", F.col("_pos").cast("long")))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

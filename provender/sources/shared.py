@@ -27,6 +27,12 @@ def computed(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over all cores, twice as many tasks: for rows that are quick to read and slow to work on, as a few
+    megabytes, or a file that can't be split, are one task's otherwise. What is worked out of a row, and conditions on that, stay after it."""
+    return computed(df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: planned and computed once, and a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
