@@ -205,26 +205,29 @@ def restored(items: DataFrame, user: str = "user", order: str = "ord") -> DataFr
     return first.select(user, "product_id", "_f.quantity", F.row_number().over(Window.partitionBy(user).orderBy("_f._o", "product_id")).cast("long").alias("ord")).withColumn("ord", F.col("ord") - 1)
 
 
-def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank", each: int = 1_000_000) -> DataFrame:
+def ranked_candidates(df: DataFrame, group: list[str], score: str, *ties: str, name: str = "rank", each: int = 1_000_000, span: int = 250_000) -> DataFrame:
     """Add each row's place in its group: the highest score first, then by ties.
 
-    Groups of up to ``each`` rows are put in order whole. Larger ones are dealt by ranges of (group, score, ties),
-    numbered within their ranges, and what lies in the ranges before is added: at most one such number for each range.
+    Groups of up to ``each`` rows are put in order whole. Larger ones are dealt by ranges of (group, score, ties) of about
+    ``span`` rows or fewer, numbered within their ranges, and what lies in the ranges before is added: at most one such number for each range.
     Where ties don't tell rows apart, any of them may come first.
     """
     order = [F.desc(score), *map(F.col, ties)]
-    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(f"_n > {each}").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)))
+    large = df.groupBy(*group).agg(F.count("*").alias("_n")).where(f"_n > {each}").select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), "_n")
     whole = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    if large.isEmpty():
+    n = large.agg(F.sum("_n")).first()[0]
+    if not n:
         return df.withColumn(name, whole)
+    large = F.broadcast(large.drop("_n"))  # one row for each ``each`` rows at most; dealt by group, a group would be one task's
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)))
     small = df.join(large, same, "left_anti").withColumn(name, whole)
-    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges stay as large as they are however many rows there are
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // span))
     dealt = kept(df.join(large, same, "left_semi").repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()), "ranked")
     before = dealt.groupBy(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
     before = before.withColumn("_before", F.sum("_n").over(Window.partitionBy(*(f"_g{i}" for i in range(len(group)))).orderBy("_r")) - F.col("_n"))
     before = before.where("_before > 0").drop("_n")  # a range begins in one group: no more rows than ranges
-    within = dealt.withColumn("_w", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)))
+    within = dealt.repartition(ranges, "_range").withColumn("_w", F.row_number().over(Window.partitionBy("_range", *group).orderBy(*order)))
     placed = within.join(F.broadcast(before), same & (F.col("_range") == F.col("_r")), "left").withColumn(name, (F.col("_w") + F.coalesce("_before", F.lit(0))).cast("int"))
     return small.unionByName(placed.select(*df.columns, name))
 
