@@ -12,6 +12,7 @@ from provender.operators.classify import search_state
 from provender.operators.joins import search_batch, search_counts
 from provender.operators.ordered import ledger, product_key
 from provender.operators.validate import load_validate
+from provender.sources.shared import computed
 
 SEARCHED = ["name", "brand", "manufacturer", "barcode", "traceabilityCode"]
 
@@ -60,15 +61,25 @@ def totals(items: DataFrame, products: DataFrame, user: str = "user", names: lis
     """
     amounts = products.select("product_id", *(F.struct(F.col("nutrition")[n]["value"].cast("double").alias("value"), F.col("nutrition")[n]["unit"].alias("unit")).alias(f"_n{i}") for i, n in enumerate(names)))
     rows = items.select(user, "product_id", F.col("quantity").cast("double").alias("_q")).join(amounts, "product_id", "left")
-    each = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.lit(UNITS[n]).alias("unit"), F.col(f"_n{i}").alias("a")) for i, n in enumerate(names)))
-    flat = rows.select(user, "_q", F.inline(each)).withColumn("_x", F.col("a.value") * F.col("_q"))
-    good = finite(F.col("_q")) & (F.col("_q") > 0) & non_negative(F.col("a.value")) & F.coalesce(F.col("a.unit") == F.col("unit"), F.lit(False)) & finite(F.col("_x"))
-    flat = flat.withColumn("_good", F.coalesce(good, F.lit(False)))
-    scale, hi, lo = scaled_parts(F.when(F.col("_good"), F.col("_x")).otherwise(0.0))
-    flat = flat.select(user, "nutrient", "unit", "_good", scale.alias("_scale"), hi.cast("decimal(20,0)").alias("_hi"), lo.cast("decimal(20,0)").alias("_lo"))
-    sums = flat.groupBy(user, "nutrient", "unit", "_scale").agg(F.sum("_hi").alias("_hi"), F.sum("_lo").alias("_lo"), F.bool_and("_good").alias("_good"))
+    columns = []
+    for i, n in enumerate(names):
+        a, x = F.col(f"_n{i}"), F.col(f"_n{i}")["value"] * F.col("_q")
+        good = F.coalesce(finite(F.col("_q")) & (F.col("_q") > 0) & non_negative(a["value"]) & (a["unit"] == UNITS[n]) & finite(x), F.lit(False))
+        columns.append(F.when(good, x).alias(f"_x{i}"))  # null: not valid
+    rows = computed(rows.select(user, *columns))
+    # one row an item, its amounts side by side: by scale in three whole numbers of 29 bits, 2 ** 34 of which can be added
+    parts = [scaled_parts(F.coalesce(f"_x{i}", F.lit(0.0))) for i in range(len(names))]
+    rows = rows.select(user, *(F.col(f"_x{i}").isNotNull().alias(f"_g{i}") for i in range(len(names))), *(F.struct(scale.cast("tinyint").alias("s"), hi.alias("hi"), lo.alias("lo")).alias(f"_p{i}") for i, (scale, hi, lo) in enumerate(parts)))
+    rows = computed(rows)
+    limbs = lambda p: (F.shiftright(p["hi"], 25), F.shiftleft(p["hi"].bitwiseAND(2**25 - 1), 4).bitwiseOR(F.shiftright(p["lo"], 29)), p["lo"].bitwiseAND(2**29 - 1))
+    added = [F.sum(limb).alias(f"_l{i}_{j}") for i in range(len(names)) for j, limb in enumerate(limbs(F.col(f"_p{i}")))]
+    wide = rows.groupBy(user, F.array(*(F.col(f"_p{i}")["s"] for i in range(len(names)))).alias("_scales")).agg(*added, *(F.bool_and(f"_g{i}").alias(f"_g{i}") for i in range(len(names))))
+    # a user has few rows now, one for each set of scales; dealt by user, they become rows of a nutrient without another exchange
+    each = F.array(*(F.struct(F.lit(n).alias("nutrient"), F.lit(UNITS[n]).alias("unit"), F.get("_scales", F.lit(i)).cast("int").alias("_scale"), *(F.col(f"_l{i}_{j}").cast("decimal(20,0)").alias(f"_l{j}") for j in range(3)), F.col(f"_g{i}").alias("_good")) for i, n in enumerate(names)))
+    flat = wide.repartition(F.col(user)).select(user, F.inline(each))
+    sums = flat.groupBy(user, "nutrient", "unit", "_scale").agg(*(F.sum(f"_l{j}").cast("decimal(20,0)").alias(f"_l{j}") for j in range(3)), F.bool_and("_good").alias("_good"))
     half = F.pow(F.lit(2.0), F.lit(16) * F.col("_scale"))
-    whole = F.expr("(cast(_hi as decimal(27,0)) * cast(8589934592 as decimal(10,0)) + _lo)").cast("double") * 2.0**-53 * half * half
+    whole = F.expr("cast(_l0 as decimal(20,0)) * cast(288230376151711744 as decimal(18,0)) + cast(_l1 as decimal(20,0)) * cast(536870912 as decimal(9,0)) + _l2").cast("double") * 2.0**-53 * half * half
     out = sums.groupBy(user, "nutrient", "unit").agg(F.array_sort(F.collect_list(F.struct("_scale", whole.alias("x")))).alias("_all"), F.bool_and("_good").alias("_good"))
     value = F.aggregate("_all", F.lit(0.0), lambda a, e: a + e["x"])  # the small ones first; there are at most 67
     return out.where("_good").withColumn("value", value).where(finite(F.col("value"))).select(user, "nutrient", precision15("value").alias("value"), "unit")
