@@ -30,10 +30,14 @@ def name_key(names: pd.Series) -> pd.Series:
     return _each(names, lambda v: DROPPED.sub("", v.casefold()))
 
 
+def matched(value: str) -> str:
+    return DROPPED.sub("", unicodedata.normalize("NFKC", unquote(value)).casefold())
+
+
 @arrow("string")
 def match_key(names: pd.Series) -> pd.Series:
     """As name_key, after percent decoding and compatibility normalisation."""
-    return _each(names, lambda v: DROPPED.sub("", unicodedata.normalize("NFKC", unquote(v)).casefold()))
+    return _each(names, matched)
 
 
 @arrow("string")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provender.functions.evidence import core_name, distinctive_prefix, field_urls, match_evidence, match_key, own_url, page_evidence
+from provender.functions.evidence import core_name, distinctive_prefix, field_urls, match_evidence, match_key, own_url, page_evidence, result_read
 from provender.functions.text import clean
-from provender.functions.urls import decode_redirect, exclusion_reason, url_parts
+from provender.functions.urls import exclusion_reason
 from provender.operators.classify import website_status
 from provender.operators.joins import excluded_domains, with_excluded, with_pages
 from provender.operators.ordered import decide, first_wins
@@ -38,13 +38,16 @@ def evaluate(business: DataFrame, results: DataFrame, pages: DataFrame, most: in
 
     domains (domain): hosts that aren't looked at; without it those that are known.
     """
-    rows = results.join(business.select("business_id", "name", "number"), "business_id")
-    rows = rows.withColumn("decoded_url", decode_redirect("raw_url")).withColumn("_p", url_parts("decoded_url"))
+    # names are read once a business, and all that is read of a result is one step, as each step is a Python worker beside every task
+    names = business.select("business_id", "name", "number", match_key("name").alias("_n"), match_key(core_name(F.col("name"))).alias("_c"))
+    text = clean(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))
+    read = results.withColumn("text", text).withColumn("_p", result_read("raw_url", "text"))
+    rows = read.withColumn("decoded_url", F.col("_p.decoded_url")).join(names, "business_id")
     rows = with_excluded(rows, F.col("_p.host"), excluded_domains(rows.sparkSession) if domains is None else domains, "_x")
-    rows = rows.withColumns({"excluded": exclusion_reason(F.col("_p"), F.col("_x")), "text": clean(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))))})
-    rows = rows.withColumn("url", F.when(F.col("excluded").isNull(), F.col("_p.url"))).drop("_p", "_x")
-    rows = rows.withColumns({"_n": match_key("name"), "_c": match_key(core_name(F.col("name"))), "_u": match_key("url"), "_t": match_key("text")})
-    rows = rows.withColumn("evidence", match_evidence(F.col("_u"), F.col("_t"), F.col("_n"), F.col("_c"), F.col("url"), F.col("text"), F.col("number")))
+    rows = rows.withColumn("excluded", exclusion_reason(F.col("_p"), F.col("_x")))
+    rows = rows.withColumns({name: F.when(F.col("excluded").isNull(), F.col(f"_p.{of}")) for name, of in (("url", "url"), ("_u", "url_key"), ("_plain", "plain"))})
+    rows = rows.withColumn("_t", F.col("_p.text_key")).drop("_p", "_x")
+    rows = rows.withColumn("evidence", match_evidence(F.col("_u"), F.col("_t"), F.col("_n"), F.col("_c"), F.col("url"), F.col("text"), F.col("number"), F.col("_plain"))).drop("_plain")
     open_ = F.coalesce((F.size("evidence") == 0) & F.col("url").isNotNull() & distinctive_prefix(F.concat("_t", "_u"), F.col("_c")), F.lit(False))
     rows = kept(rows.withColumn("_open", open_), "results")  # looked at several times from here on
     # pages are looked at for those alone whose title and address don't tell
