@@ -28,6 +28,9 @@ UNITS = {name: unit for name, unit, _ in NUTRIENTS}
 # Spellings of units on labels.
 VOLUME_UNITS = {"公克": "g", "克": "g", "g": "g", "毫升": "ml", "ml": "ml"}
 NUTRIENT_UNITS = {"大卡": "kcal", "千卡": "kcal", "kcal": "kcal", "公克": "g", "克": "g", "g": "g", "毫克": "mg", "mg": "mg"}
+# Letters of units in small ones: what a pattern without regard to case lets pass for them, with the Kelvin sign. lower() takes
+# several times as long, as it first asks for the language.
+CASES = ("ACGKLM\u212a", "acgklmk")
 NUMERAL = r"((?:0|[1-9]\d*)(?:\.\d+)?)"
 NUTRITION_TYPE = "struct<" + ",".join(f"{n}:struct<value:double,unit:string>" for n in NAMES) + ">"
 STALE_DAYS = 180
@@ -38,7 +41,7 @@ def _amount(text: Column, units: dict[str, str], wanted: str | None = None) -> C
     for any other, or if the canonical unit isn't the one wanted."""
     names = "|".join(sorted(units, key=len, reverse=True))
     pattern = rf"(?iU)\A\s*{NUMERAL}\s*({names})\s*\z"
-    parts = F.struct(F.coalesce(text, F.lit("")).alias("raw"), F.regexp_extract(text, pattern, 1).alias("value"), F.lower(F.regexp_extract(text, pattern, 2)).alias("unit"))
+    parts = F.struct(F.coalesce(text, F.lit("")).alias("raw"), F.regexp_extract(text, pattern, 1).alias("value"), F.translate(F.regexp_extract(text, pattern, 2), *CASES).alias("unit"))
     canonical = F.create_map(*(F.lit(x) for pair in units.items() for x in pair))
 
     def read(m: Column) -> Column:

@@ -179,8 +179,10 @@ def dry_run(candidates: DataFrame, products: DataFrame, schema: dict | None = No
 def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: dict | None = None) -> DataFrame:
     """products with the safe candidates after them, if the dry run is without conflicts and as large as expected.
 
-    products: _pos, id, traceabilityCode, product (VARIANT).
+    products: _pos, id, traceabilityCode, product (VARIANT). They are written once, so what the dry run validates is what is
+    taken over; each product is validated once, an existing one by the dry run and a new one where it is judged.
     """
+    products = kept(products.select("_pos", "id", "traceabilityCode", "product"), "existing")
     rows = kept(judged(candidates, products, schema), "promotion")
     counts = dry_run(candidates, products, schema, rows)[0].first()
     zero = ["duplicate_id_values", "duplicate_code_values", "existing_id_conflicts", "existing_code_conflicts", "schema_fail"]
@@ -191,10 +193,10 @@ def promote(candidates: DataFrame, products: DataFrame, expected: int, schema: d
     if not counts["safe_imports"] or counts["safe_imports"] != expected or counts["convertible"] != expected:
         raise ContractError(f"{counts['safe_imports']} safe and {counts['convertible']} convertible candidates, {expected} expected")
     new = rows.where("safe").select("_pos", "id", "traceabilityCode", "product")
-    out = kept(appended(products.select("_pos", "id", "traceabilityCode", "product"), new), "promoted")
-    checked = schema_validate(spread(out), "product", schema or product_schema())
-    if checked.where("status = 'blocked'").limit(1).count() or catalogue_faults(out).limit(1).count():
+    out = kept(appended(products, new), "promoted")
+    if catalogue_faults(out).limit(1).count():
         raise ContractError("the catalogue to be written isn't valid")
     released(rows)
+    released(products)
     return out
 
