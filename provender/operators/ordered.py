@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions.text import clean, filled, finite, has_display_value, plain_key, script_trimmed
-from provender.sources.shared import kept
+from provender.sources.shared import dealt, kept
 
 POS = "_pos"
 
@@ -162,13 +162,16 @@ def ledger(events: DataFrame, user: str = "user", order: str = "seq", each: int
     Events are folded by spans of ``each`` positions: of a product's run of events it is enough to know
     whether it was taken out, the first add and the last good update since, and the adds after that. Folds
     of spans are composed the same way. A user's products are dealt into ``slices``, and clears go to
-    each of them, so neither a user nor a product with very many events is one task's work; nothing is joined.
+    each of them, so neither a user nor a product with very many events is one task's work; nothing is joined. Events
+    are counted before, so that no task puts more of them in order as there are more.
     """
+    n = events.agg(F.sum(F.when(F.col("op") == "clear", slices).otherwise(1))).first()[0] or 0
     key, part = [user, "_slice", "product_id"], [user, "_slice"]
     rows = events.where("op in ('add', 'update', 'remove', 'clear')").select(user, F.col(order).alias("_s"), "op", F.when(F.col("op") != "clear", product_key(F.col("product_id"))).alias("product_id"), F.col("quantity").cast("double").alias("_q"))
     rows = rows.where("op = 'clear' or product_id is not null")
     mine = F.pmod(F.xxhash64("product_id"), F.lit(slices)).cast("int")
     rows = rows.withColumn("_slice", F.explode(F.when(F.col("op") == "clear", F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(mine)))).withColumn("_span", F.expr(f"floor(_s / {each})"))
+    rows = dealt(rows, n, *part, "_span")
 
     good = F.when((F.col("op") == "update") & good_quantity(F.col("_q")), F.col("_s"))
     pair, all_ = Window.partitionBy(user, "_slice", "_span", "product_id"), Window.partitionBy(user, "_slice", "_span")
@@ -183,6 +186,7 @@ def ledger(events: DataFrame, user: str = "user", order: str = "seq", each: int
     )
 
     pair = Window.partitionBy(*key)
+    folds = dealt(folds, n, *part)
     folds = folds.withColumn("_cleared", F.max(F.when(F.col("_c").isNotNull(), F.col("_span"))).over(Window.partitionBy(*part))).withColumn("_from", F.max(F.when(F.col("_out"), F.col("_span"))).over(pair))
     folds = folds.withColumn("_in", (F.coalesce("_from", F.col("_span")) <= F.col("_span")) & (F.coalesce("_cleared", F.col("_span")) <= F.col("_span")))
     last = F.when(F.col("_in"), F.col("_u"))
@@ -191,7 +195,7 @@ def ledger(events: DataFrame, user: str = "user", order: str = "seq", each: int
         F.min("_a").alias("_a"), F.max("_u").alias("_u"), F.max_by("_set", "_u").alias("_set"), F.sum(F.when(F.col("_last").isNull() | (F.col("_span") >= F.col("_last")), F.col("_n"))).alias("_n")
     )
     out = found.where("_a is not null").select(user, "product_id", (F.when(F.col("_u") > F.col("_a"), F.col("_set")).otherwise(0.0) + F.coalesce("_n", F.lit(0))).alias("quantity"), "_a")
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("_a")).cast("long") - 1).drop("_a")
+    return dealt(out, n, user).withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("_a")).cast("long") - 1).drop("_a")
 
 
 def restored(items: DataFrame, user: str = "user", order: str = "ord") -> DataFrame:

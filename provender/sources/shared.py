@@ -33,6 +33,12 @@ def spread(df: DataFrame) -> DataFrame:
     return computed(df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
+def dealt(df: DataFrame, rows: int, *columns: str, each: int = 250_000) -> DataFrame:
+    """df with so many rows dealt by columns, about ``each`` to a part: a part is as large however many rows there are. Spark goes by
+    bytes as they are packed, of which narrow rows take so few that a task sorts millions of them."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)), *columns)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: planned and computed once, and a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
