@@ -24,10 +24,14 @@ def _each(values: pd.Series, f) -> pd.Series:
     return pd.Series([None if v is None else f(v) for v in values], dtype=object)
 
 
+def folded(value: str) -> str:
+    return DROPPED.sub("", value.casefold())
+
+
 @arrow("string")
 def name_key(names: pd.Series) -> pd.Series:
     """Case folded; letters, digits and ideographs alone."""
-    return _each(names, lambda v: DROPPED.sub("", v.casefold()))
+    return _each(names, folded)
 
 
 def matched(value: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from provender.functions.ingredients import split_lenient
 from provender.functions.keys import case_folded, name_key, product_id, sequence_ratio, source_id
 from provender.functions.nutrition import NAMES, NUTRITION_TYPE, complete_non_negative, label_nutrition, serving_text
-from provender.functions.pages import brand_cards_of, brand_page_of, embedded_record_of, json_ld_products_of, product_anchors_of, product_heading_of, sitemap_links_of, table_rows_of
+from provender.functions.pages import anchor_keys_of, brand_cards_of, brand_page_of, json_ld_keys_of, product_heading_of, shop_record_of, sitemap_links_of
 from provender.functions.text import clean, filled
 from provender.functions.urls import absolute_url, unquoted
 from provender.operators.joins import contained, lookup_ids
@@ -18,6 +18,7 @@ from provender.operators.ordered import appended, first_wins, merge_brands, merg
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import retail_gate, select_unique
 from provender.sources.io import ContractError
+from provender.sources.shared import spread
 
 
 def brand_index(lists: DataFrame, sitemaps: DataFrame) -> DataFrame:
@@ -70,7 +71,8 @@ CANDIDATE = ["target_id", "source_name", "source_url", "matched_name", "barcode"
 
 def from_catalogue(targets: DataFrame, pages: DataFrame, details: DataFrame, source: str) -> DataFrame:
     """Candidates of the catalogue itself: a target's product on its page, by the listed id, and that id's details (product_id, html)."""
-    listed = pages.select(F.col("url").alias("page"), F.posexplode(product_anchors_of("html")).alias("_pos", "a")).select("page", "_pos", F.col("a.product_id").alias("product_id"), name_key("a.name").alias("key"))
+    # pages of lists grow with the catalogue: dealt out, few of them meet in one worker
+    listed = spread(pages.select(F.col("url").alias("page"), "html")).select("page", F.posexplode(anchor_keys_of("html")).alias("_pos", "a")).select("page", "_pos", F.col("a.product_id").alias("product_id"), F.col("a.key").alias("key"))
     wanted = targets.select("target_id", "product_name", F.col("catalog_source").alias("page"), name_key("product_name").alias("key"))
     rows = lookup_ids(wanted, listed).join(details, "product_id").withColumn("_h", product_heading_of("html")).where("_h.name <> ''")
     return rows.select(
@@ -84,11 +86,11 @@ def from_shop(targets: DataFrame, searches: DataFrame, pages: DataFrame, source:
 
     searches (target_id, html): the result page of each target's query; pages (url, html): product pages.
     """
-    found = searches.select("target_id", F.posexplode(json_ld_products_of("html")).alias("_pos", "p")).select("target_id", "_pos", F.col("p.name").alias("found_name"), F.col("p.url").alias("url"), name_key("p.name").alias("name_key"))
+    found = searches.select("target_id", F.posexplode(json_ld_keys_of("html")).alias("_pos", "p")).select("target_id", "_pos", F.col("p.name").alias("found_name"), F.col("p.url").alias("url"), F.col("p.key").alias("name_key"))
     keys = targets.select("target_id", name_key("brand").alias("brand_key"), name_key("product_name").alias("product_key"))
     hits = contained(keys, found).join(pages.select("url", "html"), "url", "left")
-    hits = hits.join(targets.select("target_id", F.concat("brand", "product_name").alias("query")), "target_id").withColumn("_r", embedded_record_of("html"))
-    table = hits.withColumn("_t", table_rows_of("_r.details"))
+    hits = hits.join(targets.select("target_id", F.concat("brand", "product_name").alias("query")), "target_id").withColumn("_r", shop_record_of("html"))
+    table = hits.withColumn("_t", F.col("_r.rows"))
     # of rows with the same label the last counts, in the place of the first
     block = lambda test: F.coalesce(F.get(F.filter("_t", test), F.lit(0))["text"], F.lit(""))
     rows = table.withColumns({"_i": block(lambda r: F.contains(r["label"], F.lit("內容物")) & F.contains(r["label"], F.lit("成分"))), "_n": label_nutrition(block(lambda r: F.contains(r["label"], F.lit("營養標示"))))})
