@@ -13,7 +13,7 @@ from provender.functions.nutrition import NAMES, UNITS, anomalies, complete_non_
 from provender.functions.text import clean, filled
 from provender.operators.classify import CLASSES, candidate_issues, class_counts, classified, eligible, ingredients_parsed, issue_category
 from provender.operators.ordered import appended, duplicates, occurrence_ids
-from provender.operators.schema import product_schema, schema_validate, text_in
+from provender.operators.schema import as_variant, product_schema, schema_validate, text_in
 from provender.operators.validate import catalogue_faults
 from provender.sources.io import TRACE_FIELDS, TRACE_NUTRIENTS, ContractError, first_rows
 from provender.sources.shared import computed, kept, released, spread
@@ -78,7 +78,7 @@ def candidate_stats(scanned: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def formal_product(promotion: bool) -> Column:
-    """A candidate as a formal product's JSON object (VARIANT).
+    """A candidate as a formal product: the JSON object that this struct is without its null fields.
 
     For analysis the optional parts that aren't valid are left out, and maker and trace code too;
     for promotion those are in, and ingredients refer to the source.
@@ -95,8 +95,7 @@ def formal_product(promotion: bool) -> Column:
     else:
         fields |= {"brand": F.when(filled(F.col("brand")), clean(F.col("brand"))), "barcode": F.when(filled(F.col("barcode")), clean(F.col("barcode"))), "ingredients": F.when(F.col("ingredientsParseError").isNull(), F.col("ingredients"))}
     fields |= {"serving": F.when(serving_ok, serving), "nutrition": F.when(nutrition_ok, nutrition), "sources": F.when(good_source, sources), "nutritionSource": F.when(good_source & nutrition_ok, clean(src["id"]))}
-    # to_json leaves null fields out, as an absent field has to be
-    return F.try_parse_json(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))))
+    return F.struct(*(c.alias(k) for k, c in fields.items()))
 
 
 def promotion_analysis(candidates: DataFrame, schema: dict | None = None, sample: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -117,14 +116,14 @@ FLAGS = {"dup_id": "dup and kind = 'id'", "dup_code": "dup and kind = 'code'", "
 def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = None) -> DataFrame:
     """Candidates with what speaks for and against each: eligible, converted, schema_ok, dup_*, old_*, safe.
 
-    Rows are converted and held against the schema once, and kept. All keys of all kinds are then counted in
-    one grouping, together with those of products; the few that are common meet the positions that have them,
-    and rows are moved once, by position, which has to tell them apart.
+    Rows are converted and held against the schema once, and kept; a product's VARIANT is made where it is asked for. All keys
+    of all kinds are then counted in one grouping, together with those of products; the few that are common meet the positions
+    that have them, and rows are moved once, by position, which has to tell them apart.
     """
     source_ok = filled(F.col("source.id")) & filled(F.col("source.name")) & filled(F.col("source.dataset_url"))
     rows = candidates.withColumn("eligible", eligible()).withColumn("converted", F.col("eligible") & F.coalesce(source_ok, F.lit(False)))
-    rows = rows.withColumns({"id": F.col("candidateId"), "product": F.when(F.col("converted"), formal_product(promotion=True))})
-    rows = schema_validate(rows, "product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error")
+    rows = rows.withColumns({"id": F.col("candidateId"), "_product": F.when(F.col("converted"), formal_product(promotion=True))})
+    rows = schema_validate(rows, "_product", schema or product_schema()).withColumn("schema_ok", F.col("converted") & (F.col("status") == "ready")).drop("errors", "status", "first_error", "_product")
     identity = F.when(F.col("eligible"), F.concat_ws("\x1f", *(clean(F.col(c)) for c in ("companyName", "productName", "packageSpecification"))))
     keys = {n: F.when(F.col("converted") & filled(F.col(c)), clean(F.col(c))) for n, c in (("id", "id"), ("code", "traceabilityCode"))} | {"product": identity}
     rows = kept(rows.withColumns({f"_{name}": key for name, key in keys.items()}), "judged")
@@ -140,6 +139,7 @@ def judged(candidates: DataFrame, products: DataFrame, schema: dict | None = Non
     met = own.join(counts.where("n > 1 or (n > 0 and old)").select("kind", "value", F.expr("n > 1").alias("dup"), "old"), ["kind", "value"])
     flags = met.groupBy("_pos").agg(*(F.bool_or(F.expr(c)).alias(name) for name, c in FLAGS.items()))
     out = rows.join(flags, "_pos", "left").withColumns({name: F.coalesce(name, F.lit(False)) for name in FLAGS})
+    out = out.withColumn("product", F.when(F.col("converted"), as_variant(formal_product(promotion=True))))
     return out.withColumn("safe", F.col("schema_ok") & F.col("_id").isNotNull() & ~F.col("dup_id") & ~F.col("dup_code") & ~F.col("old_id") & ~F.col("old_code"))
 
 
