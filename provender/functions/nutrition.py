@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .arrow import arrow
-from .text import filled, let, non_negative, number_of
+from .text import filled, non_negative, number_of, raised
 
 # Nutrient, unit, daily reference (null: none).
 NUTRIENTS = [
@@ -28,9 +28,6 @@ UNITS = {name: unit for name, unit, _ in NUTRIENTS}
 # Spellings of units on labels.
 VOLUME_UNITS = {"公克": "g", "克": "g", "g": "g", "毫升": "ml", "ml": "ml"}
 NUTRIENT_UNITS = {"大卡": "kcal", "千卡": "kcal", "kcal": "kcal", "公克": "g", "克": "g", "g": "g", "毫克": "mg", "mg": "mg"}
-# Letters of units in small ones: what a pattern without regard to case lets pass for them, with the Kelvin sign. lower() takes
-# several times as long, as it first asks for the language.
-CASES = ("ACGKLM\u212a", "acgklmk")
 NUMERAL = r"((?:0|[1-9]\d*)(?:\.\d+)?)"
 NUTRITION_TYPE = "struct<" + ",".join(f"{n}:struct<value:double,unit:string>" for n in NAMES) + ">"
 STALE_DAYS = 180
@@ -39,17 +36,13 @@ STALE_DAYS = 180
 def _amount(text: Column, units: dict[str, str], wanted: str | None = None) -> Column:
     """{raw, value, unit} of a text that is nothing but a number and a unit; value and unit are null
     for any other, or if the canonical unit isn't the one wanted."""
-    names = "|".join(sorted(units, key=len, reverse=True))
-    pattern = rf"(?iU)\A\s*{NUMERAL}\s*({names})\s*\z"
-    parts = F.struct(F.coalesce(text, F.lit("")).alias("raw"), F.regexp_extract(text, pattern, 1).alias("value"), F.translate(F.regexp_extract(text, pattern, 2), *CASES).alias("unit"))
-    canonical = F.create_map(*(F.lit(x) for pair in units.items() for x in pair))
-
-    def read(m: Column) -> Column:
-        unit = canonical[m["unit"]]
-        good = unit.isNotNull() if wanted is None else unit == wanted
-        return F.struct(m["raw"].alias("raw"), F.when(good, number_of(m["value"])).alias("value"), F.when(good, unit).alias("unit"))
-
-    return let(parts, read)
+    value = unit = F.lit(None)
+    # a pattern for each canonical unit: what it finds has that unit, whatever its spelling, so no spelling is looked up row by row
+    for u in [wanted] if wanted else dict.fromkeys(units.values()):
+        names = "|".join(sorted((name for name, canonical in units.items() if canonical == u), key=len, reverse=True))
+        found = F.regexp_extract(text, rf"(?iU)\A\s*{NUMERAL}\s*(?:{names})\s*\z", 1)
+        value, unit = F.when(found != "", number_of(found)).otherwise(value), F.when(found != "", u).otherwise(unit)
+    return F.struct(F.coalesce(text, F.lit("")).alias("raw"), value.cast("double").alias("value"), unit.cast("string").alias("unit"))
 
 
 def quantity(text: Column) -> Column:
@@ -70,9 +63,8 @@ def zero_package(text: Column) -> Column:
 
 def anomalies(package: Column, nutrition: Column, names: list[str] = NAMES) -> Column:
     """What is wrong with a label: a package of nothing, then amounts that say something unreadable."""
-    found = [F.when(zero_package(package), F.lit("zero_package_quantity"))]
-    found += [F.when((nutrition[n]["raw"] != "") & nutrition[n]["value"].isNull(), F.lit(f"unparsed_nutrition:{n}")) for n in names]
-    return F.array_compact(F.array(*found))
+    found = {"zero_package_quantity": zero_package(package)} | {f"unparsed_nutrition:{n}": (nutrition[n]["raw"] != "") & nutrition[n]["value"].isNull() for n in names}
+    return raised(list(found.values()), list(found))
 
 
 def complete(nutrition: Column, names: list[str] = NAMES) -> Column:

@@ -31,8 +31,8 @@ def clean(c: Column) -> Column:
 
 
 def filled(c: Column) -> Column:
-    """Whether there is text besides white space."""
-    return clean(c) != ""
+    """Whether there is text besides white space; as a rule its first character tells."""
+    return F.coalesce(c.rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False))
 
 
 def has_display_value(c: Column) -> Column:
@@ -71,3 +71,8 @@ def plain_key(c: Column) -> Column:
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once; large expressions stay small that way."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def raised(flags: list[Column], names: list[str]) -> Column:
+    """The names whose flags are up, in order. Blanks are removed, not nulls, as that needs no function of values, which isn't compiled."""
+    return F.array_remove(F.array(*(F.when(flag, F.lit(name)).otherwise("") for flag, name in zip(flags, names))), "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provender.functions.nutrition import complete, complete_non_negative, valid_amount
-from provender.functions.text import filled
+from provender.functions.text import filled, raised
 
 # Names of classes and issues.
 CLASSES = ["complete_nutrition_and_ingredients", "complete_nutrition", "has_ingredients", "incomplete"]
@@ -35,7 +35,7 @@ def class_counts(df: DataFrame, column: str = "classification", classes: list[st
 
 def issues_of(flags: list[Column], names: list[str] = ISSUES) -> Column:
     """The names whose flags are up, in order."""
-    return F.array_compact(F.array(*(F.when(flag, F.lit(name)) for flag, name in zip(flags, names))))
+    return raised(flags, names)
 
 
 def candidate_issues() -> Column:

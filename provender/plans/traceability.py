@@ -21,10 +21,11 @@ from provender.sources.shared import computed, kept, released, spread
 
 def normalize(records: DataFrame) -> DataFrame:
     """Typed trace records of VARIANT rows (_pos, record): values that aren't texts count as missing."""
-    v = F.col("record")
     texts = {**TRACE_FIELDS, **{f"_{n}": f for n, f in TRACE_NUTRIENTS.items()}}
-    # each text is taken out of its record once, and each amount read once, however often they are looked at
-    records = computed(records.select("_pos", *(text_in(v, f"$['{f}']").alias(n) for n, f in texts.items())))
+    # a record is gone through once for all its fields, as each path looks them up anew; each amount is read once, however often it is looked at
+    kind = ", ".join(f"`{f}`: variant" for f in dict.fromkeys(texts.values()))
+    records = computed(records.select("_pos", F.try_variant_get("record", "$", f"struct<{kind}>").alias("_r")))
+    records = computed(records.select("_pos", *(text_in(F.col("_r")[f]).alias(n) for n, f in texts.items())))
     fields = {n: F.col(n) for n in texts}
     out = records.select(
         "_pos",
