@@ -18,7 +18,7 @@ from provender.operators.ordered import appended, first_wins, merge_brands, merg
 from provender.operators.schema import product_schema, schema_validate
 from provender.operators.validate import retail_gate, select_unique
 from provender.sources.io import ContractError
-from provender.sources.shared import spread
+from provender.sources.shared import computed, kept, spread
 
 
 def brand_index(lists: DataFrame, sitemaps: DataFrame) -> DataFrame:
@@ -74,7 +74,8 @@ def from_catalogue(targets: DataFrame, pages: DataFrame, details: DataFrame, sou
     # pages of lists grow with the catalogue: dealt out, few of them meet in one worker
     listed = spread(pages.select(F.col("url").alias("page"), "html")).select("page", F.posexplode(anchor_keys_of("html")).alias("_pos", "a")).select("page", "_pos", F.col("a.product_id").alias("product_id"), F.col("a.key").alias("key"))
     wanted = targets.select("target_id", "product_name", F.col("catalog_source").alias("page"), name_key("product_name").alias("key"))
-    rows = lookup_ids(wanted, listed).join(details, "product_id").withColumn("_h", product_heading_of("html")).where("_h.name <> ''")
+    # details are far larger than Spark takes them for, and so aren't sent to all; those that are wanted are read, once
+    rows = computed(lookup_ids(wanted, listed).join(details.hint("merge"), "product_id").withColumn("_h", product_heading_of("html")).drop("html")).where("_h.name <> ''")
     return rows.select(
         "target_id", F.lit(source).alias("source_name"), F.col("page").alias("source_url"), F.col("_h.name").alias("matched_name"), F.lit(None).cast("string").alias("barcode"), F.when(F.col("_h.serving") != "", F.col("_h.serving")).alias("specification"),
         serving_text(F.col("_h.serving")).alias("serving"), F.lit(None).cast(NUTRITION_TYPE).alias("nutrition"), F.array().cast("array<string>").alias("ingredients"), sequence_ratio("product_name", F.col("_h.name")).alias("match_score"),
@@ -86,23 +87,29 @@ def from_shop(targets: DataFrame, searches: DataFrame, pages: DataFrame, source:
 
     searches (target_id, html): the result page of each target's query; pages (url, html): product pages.
     """
-    found = searches.select("target_id", F.posexplode(json_ld_keys_of("html")).alias("_pos", "p")).select("target_id", "_pos", F.col("p.name").alias("found_name"), F.col("p.url").alias("url"), F.col("p.key").alias("name_key"))
+    # pages of results are quick to read and slow to work on
+    found = spread(searches.select("target_id", "html")).select("target_id", F.posexplode(json_ld_keys_of("html")).alias("_pos", "p")).select("target_id", "_pos", F.col("p.name").alias("found_name"), F.col("p.url").alias("url"), F.col("p.key").alias("name_key"))
     keys = targets.select("target_id", name_key("brand").alias("brand_key"), name_key("product_name").alias("product_key"))
-    hits = contained(keys, found).join(pages.select("url", "html"), "url", "left")
-    hits = hits.join(targets.select("target_id", F.concat("brand", "product_name").alias("query")), "target_id").withColumn("_r", shop_record_of("html"))
-    table = hits.withColumn("_t", F.col("_r.rows"))
-    # of rows with the same label the last counts, in the place of the first
-    block = lambda test: F.coalesce(F.get(F.filter("_t", test), F.lit(0))["text"], F.lit(""))
-    rows = table.withColumns({"_i": block(lambda r: F.contains(r["label"], F.lit("內容物")) & F.contains(r["label"], F.lit("成分"))), "_n": label_nutrition(block(lambda r: F.contains(r["label"], F.lit("營養標示"))))})
+    # no side is sent to all: each grows with the targets, and pages are far larger than Spark takes them for. Targets come before
+    # pages, as hits lie by target already and are still short
+    hits = contained(keys, found).join(targets.select("target_id", F.concat("brand", "product_name").alias("query")).hint("merge"), "target_id")
+    hits = hits.join(pages.select("url", "html").hint("merge"), "url", "left").withColumn("_r", shop_record_of("html"))
     missing = F.col("_r.name").isNull() & F.col("_r.barcode").isNull() & F.col("_r.specification").isNull() & F.col("_r.details").isNull()
-    rows = rows.withColumn("error", F.coalesce(F.when(F.col("html").isNull(), "page missing"), F.when(missing, "record not found"), F.col("_n.error")))
+    read = F.when(F.col("html").isNull(), "page missing").when(missing, "record not found")
+    # of rows with the same label the last counts, in the place of the first
+    block = lambda test: F.coalesce(F.get(F.filter("_r.rows", test), F.lit(0))["text"], F.lit(""))
+    texts = {"_i": block(lambda r: F.contains(r["label"], F.lit("內容物")) & F.contains(r["label"], F.lit("成分"))), "_l": block(lambda r: F.contains(r["label"], F.lit("營養標示")))}
+    own = ["target_id", "_pos", "url", "found_name", "query", F.col("_r.name").alias("_name"), F.col("_r.barcode").alias("_barcode"), F.col("_r.specification").alias("_specification")]
+    rows = computed(hits.select(*own, read.alias("_read"), *(c.alias(n) for n, c in texts.items()))).withColumn("_n", label_nutrition(F.col("_l"))).drop("_l")
+    # candidates and errors are read from these, and once more for ranks: pages are gone through once
+    rows = kept(rows, "shop").withColumn("error", F.coalesce("_read", "_n.error"))
     # an error makes the whole source fail for the target
     failed = rows.where("error is not null").groupBy("target_id").agg(F.min_by("error", "_pos").alias("error"))
-    good = rows.join(failed.select("target_id"), "target_id", "left_anti")
-    name = F.trim(F.coalesce(F.when(F.col("_r.name") != "", F.col("_r.name")), F.col("found_name")))
+    good = rows.join(failed.select("target_id").hint("merge"), "target_id", "left_anti")
+    name = F.trim(F.coalesce(F.when(F.col("_name") != "", F.col("_name")), F.col("found_name")))
     blank = lambda c: F.when(clean(F.col(c)) != "", clean(F.col(c)))
     out = good.withColumn("matched_name", name).select(
-        "target_id", F.lit(source).alias("source_name"), F.col("url").alias("source_url"), "matched_name", blank("_r.barcode").alias("barcode"), blank("_r.specification").alias("specification"),
+        "target_id", F.lit(source).alias("source_name"), F.col("url").alias("source_url"), "matched_name", blank("_barcode").alias("barcode"), blank("_specification").alias("specification"),
         F.when(F.col("_n.serving").isNotNull(), F.struct(F.col("_n.serving.amount").alias("amount"), F.col("_n.serving.unit").alias("unit"), F.lit(None).cast("string").alias("text"))).alias("serving"),
         F.col("_n.nutrition").alias("nutrition"), split_lenient("_i").alias("ingredients"), sequence_ratio("query", "matched_name").alias("match_score"), "_pos",
     )

@@ -15,7 +15,7 @@ from provender.operators.ordered import appended, merge_brands, restored
 from provender.operators.validate import catalogue_faults, refers_to_source, select_unique
 from provender.query_table import query, read
 from provender.sources.io import catalog_targets, first_rows
-from provender.sources.shared import computed, spread
+from provender.sources.shared import computed, kept, spread
 
 
 @query("""
@@ -527,6 +527,7 @@ def q_collect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     own, shop, _ = _two_sources(spark, sf_dir)
     calories = F.col("nutrition.calories.value")
+    own = kept(own, "own")  # read twice: groups are counted before they are put in order
     return match_candidates(own, shop).select("target_id", "source_name", "rank", "match_score", "matched_name", "barcode", F.col("serving.amount").alias("amount"), calories.alias("calories"), F.size("ingredients").alias("ingredients"))
 
 
