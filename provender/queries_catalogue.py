@@ -160,9 +160,12 @@ def q_match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of two sources in one order for each target."""
     from provender.plans.catalog import CANDIDATE, match_candidates
 
-    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.col("l_partkey").cast("string").alias("barcode"), F.col("l_extendedprice").cast("double").alias("match_score"), F.col("l_linenumber").alias("_pos"))
+    line = F.col("l_linenumber")
+    # numbers below 0 come first and missing ones last; where price and number are equal, which the SQL leaves open, the smaller part does
+    order = F.struct(F.coalesce(line % 2, F.lit(2)).alias("source"), line.alias("line"), F.col("l_partkey").alias("part"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target_id"), F.col("l_partkey").cast("string").alias("barcode"), F.col("l_extendedprice").cast("double").alias("match_score"), order.alias("_pos"))
     rows = rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in CANDIDATE), "_pos")
-    return match_candidates(*(rows.where(F.col("_pos") % 2 == i) for i in (0, 1))).select("target_id", "barcode", "rank")
+    return match_candidates(rows.where("_pos.source < 1"), rows.where("_pos.source >= 1")).select("target_id", "barcode", "rank")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 4 > 0 OR s_suppkey % 3 = 0")
